@@ -54,3 +54,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def hex_unit(text: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of the MD5 of a string; the same in every engine and rerun."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def pieces(texts, most_bytes: int = 8 << 20):
+    """Slices of an Arrow string array of about so many bytes each (a longer text stands alone), nulls made empty.
+
+    Arrow hands over up to 64 MB at once; slices keep what the tasks derive from a batch small.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def buffers(texts):
+    """(bytes as uint8, offsets as int64 from 0) of an Arrow large_string array without nulls; no copy of the bytes."""
+    import numpy as np
+
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[ends[0] : ends[-1]], ends - ends[0]

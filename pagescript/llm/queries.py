@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, toxicity
 from .common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(toxicity.learnable(F.col("doc_id"))).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    held_out = F.coalesce(~toxicity.learnable(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= toxicity.CUTOFF, 1).otherwise(0).alias("predicted"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {"op4_mix_sources": op4_mix_sources}
+    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources}
 
 
 def oracle_sql() -> dict:
