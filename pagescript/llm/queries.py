@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, toxicity
+from . import mixing, suffix_dedup, toxicity
 from .common import read
 
 
@@ -22,8 +22,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.removal(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources}
+    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op8_suffix_dedup": op8_suffix_dedup}
 
 
 def oracle_sql() -> dict:
