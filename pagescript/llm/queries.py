@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, suffix_dedup, toxicity
+from . import mixing, quality, suffix_dedup, toxicity
 from .common import read
 
 
@@ -27,8 +27,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 3).alias("distance2"))
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op8_suffix_dedup": op8_suffix_dedup}
+    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op8_suffix_dedup": op8_suffix_dedup, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict:
