@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, suffix_dedup, toxicity
+from . import jaccard, mixing, quality, suffix_dedup, toxicity
 from .common import read
 
 
@@ -32,8 +32,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 3).alias("distance2"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op8_suffix_dedup": op8_suffix_dedup, "op9_quality_rules": op9_quality_rules}
+    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op8_suffix_dedup": op8_suffix_dedup, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict:
