@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality, suffix_dedup, toxicity
+from . import decontam, jaccard, mixing, quality, suffix_dedup, toxicity
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), decontam.question_and_answer(read(spark, sf_dir, "benchmark")))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.removal(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -37,7 +41,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op8_suffix_dedup": op8_suffix_dedup, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op6_decontamination": op6_decontamination, "op8_suffix_dedup": op8_suffix_dedup, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict:
