@@ -5,9 +5,9 @@ impact as a share of the part's own score, in blocks with the largest impact of
 the passage has, and one threshold fits all parts. Passages are windows of two parts' length every part's length, so
 any run of PART words lies in one.
 
-Whole batches of passages are first held against an upper bound: exact impacts of the rare terms, largest impacts of the common
-ones. Passages below the threshold cannot be hits, the rest go through block-max WAND, which returns all parts that reach
-it. For each hit the item's question and answer are looked for in the passage and its surroundings as word n-grams.
+Whole batches of passages are first held against an upper bound: the impacts of a part's strong terms in the passage plus all of
+its weak ones. Passages below the threshold for every part cannot be hits, the rest go through block-max WAND, which returns all
+parts that reach it. For each hit the item's question and answer are looked for in the passage and its surroundings as word n-grams.
 
 The index is a broadcast of bounded size: a benchmark of more than MOST_CHARS characters is searched in several passes.
 """
@@ -31,8 +31,6 @@ from .common import pieces
 
 PART = 64
 BLOCK = 32
-#: Terms in at most so many parts are summed exactly in the bound.
-RARE = 8
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Characters of items in one index.
@@ -139,6 +137,24 @@ def block_max_wand(index: Index, query: list[int], threshold: float) -> list[tup
     return found
 
 
+def essential(index: Index, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings without each part's weakest terms, and the weakest terms' sum per part: (parts, impacts, postings per term, sums).
+
+    The weakest terms of a part together stay below half the threshold, so no part reaches it by them alone, and the
+    impacts that are left plus that sum bound the part's score from above.
+    """
+    df = np.array([len(x) for x in index.parts])
+    term, part, impact = np.repeat(np.arange(len(df)), df), np.concatenate(index.parts), np.concatenate(index.impacts)
+    order = np.lexsort((impact, part))
+    first = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+    sums = np.cumsum(impact[order])
+    start = np.repeat(sums[first] - impact[order][first], np.diff(np.append(first, len(order))))
+    weak = np.zeros(len(part), dtype=bool)
+    weak[order] = sums - start < threshold / 2
+    rest = np.bincount(part, weights=np.where(weak, impact, 0), minlength=len(index.item_of))
+    return part[~weak], impact[~weak], np.bincount(term[~weak], minlength=len(df)), rest
+
+
 def leaked(question_overlap: float, answer_overlap: float) -> bool:
     return question_overlap >= 0.8 or (question_overlap >= 0.5 and answer_overlap >= 0.5)
 
@@ -149,10 +165,8 @@ def searcher(index: Index, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(index.terms, pa.large_string())
         largest = np.array([x.max() for x in index.impacts])
-        df = np.array([len(x) for x in index.parts])
-        rare = df <= RARE
+        parts, impacts, df, rest = essential(index, threshold)
         begin = np.cumsum(df) - df
-        all_parts, all_impacts = np.concatenate(index.parts), np.concatenate(index.impacts)
         count = len(index.terms)
         for batch in batches:
             at = 0
@@ -179,14 +193,11 @@ def searcher(index: Index, threshold: float):
                 reach = np.bincount(window, weights=largest[t], minlength=total) >= threshold
                 keep = reach[window]
                 window, t = window[keep], t[keep]
-                common = np.bincount(window, weights=np.where(rare[t], 0, largest[t]), minlength=total)
-                r = rare[t]
-                times = df[t[r]]
-                where = np.repeat(begin[t[r]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                key = np.repeat(window[r], times) * len(index.item_of) + all_parts[where]
-                pair, inverse = np.unique(key, return_inverse=True)
-                bound = np.bincount(inverse, weights=all_impacts[where], minlength=len(pair)) + common[pair // len(index.item_of)]
-                hot = np.unique(np.concatenate([pair[bound >= threshold] // len(index.item_of), np.flatnonzero(common >= threshold)]))
+                times = df[t]
+                where = np.repeat(begin[t], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                pair, inverse = np.unique(np.repeat(window, times) * len(index.item_of) + parts[where], return_inverse=True)
+                bound = np.bincount(inverse, weights=impacts[where], minlength=len(pair)) + rest[pair % len(index.item_of)]
+                hot = np.unique(pair[bound >= threshold - 1e-9] // len(index.item_of))
                 found: dict[tuple[int, int], list] = {}
                 for w in hot.tolist():
                     query = t[np.searchsorted(window, w) : np.searchsorted(window, w, side="right")].tolist()
