@@ -19,7 +19,7 @@ from .common import WS, cut
 SYMBOLS = "#*$%&|<>"
 #: Share of a group that a concentration step keeps.
 SUBSET = 0.75
-STEPS = 3
+STEPS = 2
 #: Groups of fewer documents are judged by the estimate of all documents.
 MIN_GROUP = 50
 #: Median of chi-squared with three degrees of freedom.
@@ -114,40 +114,47 @@ def moments(rows: DataFrame, groups: list[str]) -> DataFrame:
     return rows.groupBy(*groups).agg(*[F.avg(f"z{i}").alias(f"m{i}") for i in (1, 2, 3)], *[F.covar_pop(f"z{i}", f"z{j}").alias(f"c{i}{j}") for i, j in pairs])
 
 
-def mcd(vectors: DataFrame, groups: list[str], subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """Estimates per group: groups + m1..m3, c11..c33, scaled to the normal distribution. groups must not be null.
+def by_group(estimates: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """estimates with a broadcast hint if there are few groups, counted; as they are if not."""
+    return F.broadcast(estimates) if estimates.limit(most_rows + 1).count() <= most_rows else estimates
 
-    Groups whose subset is constant have a covariance of zero; the floors of distance() keep it usable.
+
+def mcd(vectors: DataFrame, group: str, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
+    """Estimates per group: group + m1..m3, c11..c33, scaled to the normal distribution. group must not be null.
+
+    The start is the median and the quartile range of each statistic. Groups whose subset is constant have a covariance of zero;
+    the floors of distance() keep it usable.
     """
-    start = vectors.groupBy(*groups).agg(*[F.percentile_approx(z, 0.5, 2000).alias(f"m{i}") for i, z in enumerate(DIMS, 1)])
-    spread = vectors.join(start, groups).groupBy(*groups).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in (1, 2, 3)], *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f"z{i}") - F.col(f"m{i}")), 0.5, 2000), F.lit(2.0)).alias(f"c{i}{i}") for i in (1, 2, 3)])
-    now = cut(spread.withColumns({c: F.lit(0.0) for c in ("c12", "c13", "c23")}))
+    quartiles = vectors.groupBy(group).agg(*[F.percentile_approx(z, [0.25, 0.5, 0.75], 2000).alias(z) for z in DIMS])
+    means = {f"m{i}": F.col(z)[1] for i, z in enumerate(DIMS, 1)}
+    spreads = {f"c{i}{i}": F.pow((F.col(z)[2] - F.col(z)[0]) / 1.349, F.lit(2.0)) for i, z in enumerate(DIMS, 1)}
+    now = cut(quartiles.withColumns(means | spreads | {c: F.lit(0.0) for c in ("c12", "c13", "c23")}).drop(*DIMS))
     for _ in range(steps):
-        far = vectors.join(now, groups).withColumn("d2", distance(FLOORS))
-        within = far.groupBy(*groups).agg(F.percentile_approx("d2", subset, 2000).alias("most"))
-        now = cut(moments(far.select(*groups, *DIMS, "d2").join(within, groups).where("d2 <= most"), groups))
-    far = vectors.join(now, groups).withColumn("d2", distance())
-    scale = far.groupBy(*groups).agg((F.percentile_approx("d2", 0.5, 2000) / F.lit(MEDIAN)).alias("scale"))
+        far = vectors.join(by_group(now), group).select(group, *DIMS, distance(FLOORS).alias("d2"))
+        within = cut(far.groupBy(group).agg(F.percentile_approx("d2", subset, 2000).alias("most")))
+        now = cut(moments(far.join(by_group(within), group).where("d2 <= most"), [group]))
+    far = vectors.join(by_group(now), group).select(group, distance().alias("d2"))
+    scale = far.groupBy(group).agg((F.percentile_approx("d2", 0.5, 2000) / F.lit(MEDIAN)).alias("scale"))
     # A scale below 1 or from a degenerate group is no evidence that documents are closer together than their subset.
     factor = F.when(F.isnan("scale") | F.col("scale").isNull(), F.lit(1.0)).otherwise(F.least(F.greatest(F.col("scale"), F.lit(1.0)), F.lit(4.0)))
-    return now.join(scale, groups).withColumn("_f", factor).select(*groups, "m1", "m2", "m3", *[(F.col(c) * F.col("_f")).alias(c) for c in ("c11", "c12", "c13", "c22", "c23", "c33")])
+    return cut(now.join(scale, group).withColumn("_f", factor).select(group, "m1", "m2", "m3", *[(F.col(c) * F.col("_f")).alias(c) for c in ("c11", "c12", "c13", "c22", "c23", "c33")]))
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """Per document: doc_id, lang, source, the statistics, base_failed, distance2 (null if base_failed), kept.
 
-    Documents that fail the base rules take no part in the estimates. Null languages and sources are groups of their own. Repeated
-    rows are separate documents. An empty table gives an empty result.
+    Documents that fail the base rules take no part in the estimates. Null languages and sources are groups of their own; a group of
+    fewer than min_group documents is judged by the estimate of all. Repeated rows are separate documents. An empty table gives an
+    empty result.
     """
-    stats = cut(vector(statistics(docs.select("doc_id", "lang", "source", "text")).drop("text")).withColumn("base_failed", base_failed()))
-    named = stats.withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")), "g_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))})
-    good = named.where("NOT base_failed")
-    large = good.groupBy("g_lang", "g_source").count().where(F.col("count") >= min_group).select("g_lang", "g_source")
-    own = mcd(good.join(large, ["g_lang", "g_source"], "left_semi"), ["g_lang", "g_source"])
-    everything = mcd(good.select(F.lit("all").alias("g_all"), *DIMS), ["g_all"])
-    estimates = ["m1", "m2", "m3", "c11", "c12", "c13", "c22", "c23", "c33"]
-    joined = named.join(own, ["g_lang", "g_source"], "left").join(F.broadcast(everything.drop("g_all").select(*[F.col(c).alias(f"a_{c}") for c in estimates])), how="left")
-    chosen = joined.withColumns({c: F.coalesce(F.col(c), F.col(f"a_{c}")) for c in estimates})
-    judged = chosen.withColumn("distance2", F.when(F.col("base_failed"), None).otherwise(distance(FLOORS)))
+    group = F.concat_ws("/", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
+    stats = vector(statistics(docs.select("doc_id", "lang", "source", "text")).drop("text")).withColumn("base_failed", base_failed())
+    named = cut(stats.withColumn("own", group))
+    sizes = by_group(cut(named.where("NOT base_failed").groupBy("own").count()))
+    judged_by = F.when(F.col("count") >= min_group, F.col("own")).otherwise(F.lit("*"))
+    named = named.join(sizes, "own", "left").withColumn("group", judged_by)
+    vectors = named.where("NOT base_failed").select(F.explode(F.array_distinct(F.array("group", F.lit("*")))).alias("group"), *DIMS)
+    judged = named.join(by_group(mcd(vectors, "group")), "group", "left")
+    judged = judged.withColumn("distance2", F.when(F.col("base_failed"), None).otherwise(distance(FLOORS)))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return judged.withColumn("kept", kept).select(*stats.columns, "distance2", "kept")
