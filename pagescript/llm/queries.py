@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, quality, suffix_dedup, toxicity
-from .common import read
+from . import chat, decontam, jaccard, licenses, mixing, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from .common import read, scratch_path
+
+#: Place of the vocabulary files; a file of the same name must be on every executor.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,15 +27,52 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= toxicity.CUTOFF, 1).otherwise(0).alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("places")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    model = secret_scan.fit(secret_scan.weak_labels(secret_scan.candidates(docs, "source")))
+    found = secret_scan.scan(docs, model, "source").where("is_secret")
+    return found.select("doc_id", "ordinal", F.col("length").cast("long").alias("length"), F.sha2("candidate", 256).alias("secret_sha256"), F.round("probability", 4).alias("probability"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents; those of every 97th id deleted; those of every 89th id that are left counted as half, rounded down.
+
+    The second batch is committed twice, which must not count.
+    """
+    from .common import cut
+
+    docs = read(spark, sf_dir, "documents")
+    counts = cut(token_counts.counted(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", _pattern(), "byte_bpe_50k/1"))
+    ledger = token_counts.Ledger(spark, scratch_path(spark, "token-ledger"))
+    gone = counts.where("doc_id % 97 = 0")
+    ledger.commit("0001", token_counts.inserts(counts))
+    ledger.commit("0002", token_counts.deletes(gone))
+    ledger.commit("0002", token_counts.deletes(gone))
+    ledger.commit("0003", token_counts.revisions(counts.where("doc_id % 89 = 0 AND doc_id % 97 <> 0"), F.floor(F.col("n_tokens") / 2)))
+    return ledger.totals()
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), decontam.question_and_answer(read(spark, sf_dir, "benchmark")))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    tricky = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    vocabulary, pattern = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", _pattern()
+    return chat.read_back(chat.format_turns(rows, vocabulary, pattern), vocabulary, pattern)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.removal(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -41,7 +88,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op4_mix_sources": op4_mix_sources, "op6_decontamination": op6_decontamination, "op8_suffix_dedup": op8_suffix_dedup, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
+    found = (
+        op1_toxicity, op2_license_scan, op3_secret_scan, op4_mix_sources, op5_token_counts,
+        op6_decontamination, op7_chat_format, op8_suffix_dedup, op9_quality_rules, op10_ngram_jaccard,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
