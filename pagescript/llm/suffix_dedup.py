@@ -17,7 +17,7 @@ can match meet, and most never move:
 3. Each block marks the bytes that such windows cover.
 
 Nothing is capped: a hash that a third of all documents hold is one packed entry per block, and a run that they all share
-one copy per block. A block holds the documents of one hash bucket of doc_id; there are as many blocks as the session has shuffle partitions.
+one copy per block. A block holds the documents of one hash bucket of doc_id.
 """
 
 from __future__ import annotations
@@ -194,19 +194,20 @@ def _block(table: pa.Table, length: int, anchor: int) -> Block | None:
     return Block(table["doc_id"].to_numpy(), pa.compute.fill_null(texts.cast(pa.large_string()), ""), length, anchor)
 
 
-def removal(docs: DataFrame, length: int = 50, anchor: int = 20, blocks: int | None = None) -> DataFrame:
+def removal(docs: DataFrame, length: int = 50, anchor: int = 20, block_bytes: int = 6 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, spans (array of [start, end) in bytes), kept_sha256, kept (binary).
 
     docs: (doc_id, text), doc_id unique; a null id is one document after all others; other columns are left out. Texts are UTF-8 bytes, null is empty. Matches
     never cross documents and never count within one document. Texts shorter than length lose nothing. Equal doc_ids
-    are no earlier than each other, so copies under one id stay.
+    are no earlier than each other, so copies under one id stay. block_bytes is the text in one block, and what a task works on:
+    it holds some twenty times as much in memory. There are as many ranges as blocks.
     """
     if not 16 <= anchor <= length - 1:
         raise ValueError("anchor must be from 16 to length - 1")
-    spark = docs.sparkSession
-    count = blocks or partitions(spark)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = total // block_bytes + 1
     block_of = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", block_of.alias("block")).repartition(count, "block")
+    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", block_of.alias("block")).repartition(max(count, partitions(docs.sparkSession)), "block")
 
     def send_hashes(key: tuple, rows: pa.Table) -> pa.Table:
         """The distinct anchor hashes of a block by range: low 32 bits, and whether two documents of the block have it."""
