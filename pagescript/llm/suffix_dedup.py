@@ -35,7 +35,7 @@ from .common import buffers, partitions
 #: Stands for a null id: after all others.
 NO_ID = (1 << 63) - 1
 #: Bytes of text whose hashes are worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 RUNS = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("bytes", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -194,7 +194,7 @@ def _block(table: pa.Table, length: int, anchor: int) -> Block | None:
     return Block(table["doc_id"].to_numpy(), pa.compute.fill_null(texts.cast(pa.large_string()), ""), length, anchor)
 
 
-def removal(docs: DataFrame, length: int = 50, anchor: int = 20, block_bytes: int = 6 << 20) -> DataFrame:
+def removal(docs: DataFrame, length: int = 50, anchor: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, spans (array of [start, end) in bytes), kept_sha256, kept (binary).
 
     docs: (doc_id, text), doc_id unique; a null id is one document after all others; other columns are left out. Texts are UTF-8 bytes, null is empty. Matches
