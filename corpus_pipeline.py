@@ -1,19 +1,61 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Each stage takes all that its predecessor kept and decides on whole texts:
+
+1. toxicity: documents that the compression-distance classifier rejects go.
+2. near_duplicates: of each group that five-word shingles with a Jaccard similarity of 0.8 or more link, the smallest id stays.
+3. decontamination: documents that hold a benchmark item go.
+4. secrets: secrets are replaced by a mark, n_chars follows; no document goes.
+5. mixing: one row per copy of the mix, with size, source_size, target, copies, taken and copy.
+
+Rows without a doc_id pass stages 1 and 2 on their own merit and count as one document in stages 3 and 4.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagescript.llm import decontam, jaccard, mixing, secret_scan, toxicity
+from pagescript.llm.common import cut, read, scratch_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(toxicity.learnable(F.col("doc_id"))).select("doc_id", "toxic")
+    verdict = toxicity.scorer(toxicity.fit(docs.select("doc_id", "text"), labels))
+    return docs.where(verdict(F.col("text")) < toxicity.CUTOFF)
 
-from pagescript.llm import mixing
-from pagescript.llm.common import read, scratch_path
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.join(docs, width=5, num=80, den=100)
+    later = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct()
+    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = decontam.question_and_answer(read(spark, sf_dir, "benchmark"))
+    leaked = cut(decontam.leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct())
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = secret_scan.fit(secret_scan.weak_labels(secret_scan.candidates(docs, "source")))
+    return secret_scan.redact(docs, secret_scan.scan(docs, model, "source"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Systematic sampling to the target weights; one row per copy."""
     return mixing.repeat(mixing.mix(docs))
 
 
-STAGES = [("mixing", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+]
+
+#: No SQL can train the classifiers; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -53,7 +53,7 @@ def source_targets(sources: DataFrame, max_ratio: float = 3.0) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", max_ratio: float = 3.0, buckets: int = BUCKETS) -> DataFrame:
-    """Copies of each document in the mix: all columns of docs + size, source_size, target, copies, taken.
+    """Copies of each document in the mix: all columns of docs (but those of the names that follow) + size, source_size, target, copies, taken.
 
     size is the number of words of the text, 0 for a null text. A null source is a source of its own. Documents of no
     words take no part (copies 0 where their source's target is 0, else as any other; taken is 0 in any case).
@@ -62,11 +62,15 @@ def mix(docs: DataFrame, seed: str = "mix", max_ratio: float = 3.0, buckets: int
     """
     taken = {"size", "source_size", "target", "copies", "taken"} & {c.lower() for c in docs.columns}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in taken])
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
+    sized = whole.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.lit(seed))
     keyed = sized.select(
-        "*",
+        "doc_id",
+        "source",
+        "size",
+        "_in",
         name.alias("_name"),
         F.floor(F.log2(F.col("size") + 1.0) * F.lit(CLASSES_PER_OCTAVE)).alias("_class"),
         F.floor(hex_unit(key) * F.lit(buckets)).cast("int").alias("_bucket"),
@@ -88,7 +92,7 @@ def mix(docs: DataFrame, seed: str = "mix", max_ratio: float = 3.0, buckets: int
         .join(starts, ["_name", "_class", "_bucket"])
         .withColumn("copies", F.least(crossed, F.ceil(F.lit(max_ratio))).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+        .select("_in.*", "size", "source_size", "target", "copies", "taken")
     )
 
 

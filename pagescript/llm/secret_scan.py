@@ -118,11 +118,14 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
     nothing of it. Documents without a finding keep their rows as they are.
     """
     secrets = found.where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("_secrets")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    whole = docs.select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
+    joined = whole.join(secrets, F.col("_doc_id").eqNullSafe(F.col("_id")), "left")
     longest_first = F.transform(F.sort_array(F.transform("_secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
-    clean = F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    out = joined.withColumn("text", F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate(longest_first, F.col("_text"), lambda t, s: F.replace(t, s, F.lit(mark)))
+    text = F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col("_text"))
+    out = joined.select("_secrets", "_in", text.alias("_text"))
+    made = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("_secrets").isNotNull(), F.length("_text").cast(kind)).otherwise(F.col("_in.n_chars"))
+    return out.select(*[made.get(c, F.col("_in")[c]).alias(c) for c in docs.columns])
