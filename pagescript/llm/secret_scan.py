@@ -79,9 +79,10 @@ def weak_labels(found: DataFrame, most_rows: int = 20_000) -> DataFrame:
     letters alone, examples, and runs with neither digits nor case changes. Everything else stays unlabelled.
     """
     c = F.col("candidate")
-    secret = c.rlike(KNOWN_FORMAT) | ((F.col("credential_before") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.15) & (F.col("covered") < 0.3))
+    known = c.rlike(KNOWN_FORMAT)
+    secret = (F.col("credential_before") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.15) & (F.col("covered") < 0.3)
     harmless = (F.col("digits") == 0) & (F.col("case_changes") < 0.2)
-    labelled = found.withColumn("label", F.when((F.col("example_near") == 1) | harmless, 0.0).when(secret, 1.0)).where("label IS NOT NULL")
+    labelled = found.withColumn("label", F.when(F.col("example_near") == 1, 0.0).when(known, 1.0).when(harmless, 0.0).when(secret, 1.0)).where("label IS NOT NULL")
     order = F.xxhash64("candidate", "before")
     pick = [labelled.where(F.col("label") == y).orderBy(order, "doc_id", "ordinal").limit(most_rows).select("label", *FEATURES) for y in (0.0, 1.0)]
     return pick[0].unionAll(pick[1])
