@@ -1,0 +1,174 @@
+"""Transcript scoring: page text, token alignment, speaker mapping, scores per sequence and their means."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+PAGE = ["sequence_id", "page_index"]
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """(page, text): the lines of a page in order, joined by blanks."""
+    entry = F.struct("line_index", F.col("text"))
+    return lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"]), " ").alias("text"))
+
+
+def page_text_score(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(page, score) of pages with text on either side: 1 - edits / the longer length."""
+    both = page_texts(gold).withColumnRenamed("text", "g").join(page_texts(predicted).withColumnRenamed("text", "p"), PAGE, "full")
+    g, p = F.coalesce("g", F.lit("")), F.coalesce("p", F.lit(""))
+    longest = F.greatest(F.length(g), F.length(p))
+    score = F.when(g == p, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(g, p) / longest))
+    return both.where(longest > 0).select(*PAGE, score.alias("score"))
+
+
+@lru_cache(1 << 16)
+def token_weight(a: str, b: str) -> float:
+    """1 for equal tokens; for tokens of three characters or more 1 - edits / the longer length, if that is .6 or more."""
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) < 3:
+        return 0.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    similar = 1 - row[-1] / max(len(a), len(b))
+    return similar if similar >= 0.6 else 0.0
+
+
+def align(gold: list[str], predicted: list[str]) -> list[tuple[int, int, float]]:
+    """The monotone alignment of greatest weight; of equal ones that which steps back in gold first, then in predicted."""
+    weight = np.array([[token_weight(a, b) for b in predicted] for a in gold]).reshape(len(gold), len(predicted))
+    best = np.zeros((len(gold) + 1, len(predicted) + 1))
+    for i in range(1, len(gold) + 1):
+        diagonal = best[i - 1, :-1] + weight[i - 1]
+        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], diagonal))
+    out, i, j = [], len(gold), len(predicted)
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            out.append((i - 1, j - 1, float(weight[i - 1, j - 1])))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def tokens_of(lines: DataFrame) -> DataFrame:
+    """(page, place, token, speaker) of all tokens of a transcript, in reading order of each page."""
+    exploded = lines.select(*PAGE, "line_index", "speaker", F.posexplode(T.tokens(T.scorer(F.col("text")))).alias("i", "token"))
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_index", "i")) - 1
+    return exploded.select(*PAGE, place.alias("place"), "token", "speaker")
+
+
+def align_tokens(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(page, gold_place, pred_place, gold_speaker, pred_speaker, weight) of aligned tokens; one page is worked on at a time."""
+
+    def run(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        g, p = g.sort_values("place"), p.sort_values("place")
+        pairs = align(g["token"].tolist(), p["token"].tolist())
+        gs, ps = g["speaker"].tolist(), p["speaker"].tolist()
+        return pd.DataFrame([(*key, i, j, gs[i], ps[j], w) for i, j, w in pairs], columns=["sequence_id", "page_index", "gold_place", "pred_place", "gold_speaker", "pred_speaker", "weight"])
+
+    return tokens_of(gold).groupBy(*PAGE).cogroup(tokens_of(predicted).groupBy(*PAGE)).applyInPandas(run, "sequence_id long, page_index int, gold_place int, pred_place int, gold_speaker string, pred_speaker string, weight double")
+
+
+def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
+    """The one-to-one assignment of greatest weight, by shortest augmenting paths with potentials."""
+    n = max(weight.shape)
+    cost = np.zeros((n + 1, n + 1))
+    cost[1 : weight.shape[0] + 1, 1 : weight.shape[1] + 1] = -weight
+    u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, way, used = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=bool)
+        while match[j0]:
+            used[j0] = True
+            gap = cost[match[j0]] - u[match[j0]] - v
+            better = ~used & (gap < least)
+            better[0] = False
+            least[better], way[better] = gap[better], j0
+            free = np.where(used, np.inf, least)
+            free[0] = np.inf
+            j1 = int(np.argmin(free))
+            delta = free[j1]
+            u[match[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j0 = j1
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    return [(match[j] - 1, j - 1) for j in range(1, n + 1) if match[j] - 1 < weight.shape[0] and j - 1 < weight.shape[1]]
+
+
+def speaker_mapping(pairs: DataFrame) -> DataFrame:
+    """(sequence_id, pred_speaker, gold_speaker): one-to-one, of greatest total weight; narration maps to itself; only what has weight."""
+    weights = pairs.where("gold_speaker IS NOT NULL AND pred_speaker IS NOT NULL").groupBy("sequence_id", "pred_speaker", "gold_speaker").agg(F.sum("weight").alias("weight"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        named = rows[(rows.pred_speaker != "NARRATION") & (rows.gold_speaker != "NARRATION")]
+        p, g = sorted(set(named.pred_speaker)), sorted(set(named.gold_speaker))
+        table = np.zeros((len(p), len(g)))
+        for r in named.itertuples(index=False):
+            table[p.index(r.pred_speaker), g.index(r.gold_speaker)] = r.weight
+        out = [(p[i], g[j]) for i, j in assignment(table) if table[i, j] > 0] if len(named) else []
+        if ((rows.pred_speaker == "NARRATION") & (rows.gold_speaker == "NARRATION")).any():
+            out.append(("NARRATION", "NARRATION"))
+        return pd.DataFrame([(rows.sequence_id.iloc[0], a, b) for a, b in out], columns=["sequence_id", "pred_speaker", "gold_speaker"])
+
+    return weights.groupBy("sequence_id").applyInPandas(run, "sequence_id long, pred_speaker string, gold_speaker string")
+
+
+def score_sequences(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per sequence of gold: text order, joint F1, speaker accuracy on aligned tokens, token coverage, and counts.
+
+    Tokens of gold without a speaker count for text alone; predicted tokens that are aligned to them are left out of the joint score.
+    """
+    pairs = align_tokens(gold, predicted).persist()
+    mapped = pairs.join(speaker_mapping(pairs).withColumn("hit", F.lit(1)), ["sequence_id", "pred_speaker", "gold_speaker"], "left")
+    of_pairs = mapped.groupBy("sequence_id").agg(
+        F.sum("weight").alias("aligned"),
+        F.sum(F.when(F.col("gold_speaker").isNotNull(), F.col("weight")).otherwise(0.0)).alias("attributable"),
+        F.sum(F.when(F.col("hit") == 1, F.col("weight")).otherwise(0.0)).alias("correct"),
+        F.sum(F.col("gold_speaker").isNull().cast("int")).alias("masked"),
+    )
+    g = tokens_of(gold).groupBy("sequence_id").agg(F.count("*").alias("gold_tokens"), F.count("speaker").alias("gold_spoken"))
+    p = tokens_of(predicted).groupBy("sequence_id").agg(F.count("*").alias("pred_tokens"))
+    text = page_text_score(gold, predicted).groupBy("sequence_id").agg(F.avg("score").alias("text_order_score"))
+    joined = gold.select("sequence_id").distinct().join(g, "sequence_id", "left").join(p, "sequence_id", "left").join(of_pairs, "sequence_id", "left").join(text, "sequence_id", "left").fillna(0)
+    zero = lambda value, over: F.when(over > 0, value / over).otherwise(0.0)
+    return joined.select(
+        "sequence_id", "gold_tokens", "pred_tokens", "text_order_score",
+        zero(F.col("aligned"), F.col("gold_tokens")).alias("matched_token_coverage"),
+        zero(F.col("correct"), F.col("attributable")).alias("speaker_accuracy_on_matched"),
+        zero(2 * F.col("correct"), F.col("gold_spoken") + F.col("pred_tokens") - F.col("masked")).alias("joint_f1"),
+    )
+
+
+def macro_scores(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """Means over all sequences of gold; one without a score counts 0, null scores are left out of their mean."""
+    every = gold.select("sequence_id").distinct().join(scores.withColumn("_has", F.lit(1)), "sequence_id", "left")
+    metrics = ["text_order_score", "matched_token_coverage", "joint_f1"]
+    return every.agg(F.count("*").alias("sequences"), *[F.avg(F.when(F.col("_has").isNull(), 0.0).otherwise(F.col(m))).alias(m) for m in metrics])
+
+
+def recognizer_summary(pairs: DataFrame) -> DataFrame:
+    """(source, sequence_id, n, mean_cer, exact, empty): per sequence, and over all where sequence_id is null."""
+    cer = T.char_error_rate(F.col("truth"), F.col("found"))
+    return pairs.withColumn("cer", cer).rollup("source", "sequence_id").agg(F.count("*").alias("n"), F.avg("cer").alias("mean_cer"), F.sum((F.col("truth") == F.col("found")).cast("int")).alias("exact"), F.sum((F.col("found") == "").cast("int")).alias("empty")).where("source IS NOT NULL")
+
+
+def paired_wins(pairs: DataFrame) -> DataFrame:
+    """(a, b, ties) of pairs with cer_a and cer_b: on how many each is lower."""
+    return pairs.agg(F.count_if(F.col("cer_a") < F.col("cer_b")).alias("a"), F.count_if(F.col("cer_b") < F.col("cer_a")).alias("b"), F.count_if(F.col("cer_a") == F.col("cer_b")).alias("ties"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import boxes
+from . import boxes, records
 
 
 def _modules():
-    return (boxes,)
+    return (boxes, records)
 
 
 def queries() -> dict:
