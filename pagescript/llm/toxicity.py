@@ -7,8 +7,9 @@ in lower case, between blanks; long ones in overlapping pieces) is compressed wi
 in bytes is its gain. Both dictionaries end in a fixed preamble that stands on either side of each window, so zstandard
 always finds a match, never falls back to a stored block, and the difference is due to the window alone.
 
-A document's evidence is the sum of the gains of its distinct windows that reach the gain threshold. Threshold and the
-map from evidence to probability are calibrated on labelled documents that the dictionaries were not made from.
+A document's evidence is the sum of the gains of its distinct windows that reach the gain threshold or, if none does, its
+largest gain. Threshold and the map from evidence to probability are calibrated on labelled documents that the dictionaries were not
+made from.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Model:
     toxic: bytes
     ordinary: bytes
     threshold: int
-    #: Probability of label 1 at evidence 0, 1, ..., MAX_EVIDENCE.
+    #: Probability of label 1 at evidence 0, 1, ...; below the threshold the largest gain, from there on sums of gains.
     probability: tuple[float, ...]
 
 
@@ -115,7 +116,8 @@ def dictionaries(toxic: list[str], ordinary: list[str], support: float = 0.02, l
 
 
 def evidence(gains: list[int], threshold: int) -> int:
-    return min(MAX_EVIDENCE, sum(g for g in gains if g >= threshold))
+    strong = sum(g for g in gains if g >= threshold)
+    return min(MAX_EVIDENCE, strong) if strong else max([0, *gains])
 
 
 def rising(pairs: list[tuple[int, int]], prior_weight: float = 1.0) -> tuple[float, ...]:
@@ -179,13 +181,16 @@ def scorer(model: Model):
                 words = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
                 distinct = pc.dictionary_encode(words.flatten())
                 gains = np.array([gain(w) if w else -99 for w in distinct.dictionary.to_pylist()], dtype=np.int64)
-                telling = np.flatnonzero(gains >= model.threshold)
+                telling = np.flatnonzero(gains >= 1)
                 codes = distinct.indices.to_numpy(zero_copy_only=False)
                 found = np.flatnonzero(np.isin(codes, telling))
                 rows = np.searchsorted(words.offsets.to_numpy() - words.offsets[0].as_py(), found, side="right") - 1
                 once = np.unique(rows * (len(gains) + 1) + codes[found])
-                totals = np.bincount(once // (len(gains) + 1), weights=gains[once % (len(gains) + 1)], minlength=len(texts))
-                out.append(pa.array(probability[np.minimum(totals, MAX_EVIDENCE).astype(int)]))
+                row, gained = once // (len(gains) + 1), gains[once % (len(gains) + 1)]
+                strong = np.bincount(row, weights=np.where(gained >= model.threshold, gained, 0), minlength=len(texts)).astype(int)
+                largest = np.zeros(len(texts), dtype=int)
+                np.maximum.at(largest, row, gained)
+                out.append(pa.array(probability[np.where(strong > 0, np.minimum(strong, MAX_EVIDENCE), largest)]))
             yield pa.concat_arrays(out) if out else pa.array([], pa.float64())
 
     return score
