@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescript.llm import decontam, jaccard, mixing, secret_scan, toxicity
-from pagescript.llm.common import cut, read, scratch_path
+from pagescript.llm.common import broadcast_if_small, cut, read, scratch_path
+
+#: Ids that a join may broadcast; more are joined by a shuffle.
+MOST_IDS = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard.join(docs, width=5, num=80, den=100)
-    later = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    later = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct())
+    return docs.join(broadcast_if_small(later, MOST_IDS), F.col("doc_id") == F.col("_later"), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = decontam.question_and_answer(read(spark, sf_dir, "benchmark"))
     leaked = cut(decontam.leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    return docs.join(broadcast_if_small(leaked, MOST_IDS), F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most most_rows rows, counted; as it is, for a shuffled join, if not.
+
+    df must be cheap to compute twice: cut() it first.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

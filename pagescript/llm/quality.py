@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, cut
+from .common import WS, broadcast_if_small, cut
 
 SYMBOLS = "#*$%&|<>"
 #: Share of a group that a concentration step keeps.
@@ -114,11 +114,6 @@ def moments(rows: DataFrame, groups: list[str]) -> DataFrame:
     return rows.groupBy(*groups).agg(*[F.avg(f"z{i}").alias(f"m{i}") for i in (1, 2, 3)], *[F.covar_pop(f"z{i}", f"z{j}").alias(f"c{i}{j}") for i, j in pairs])
 
 
-def by_group(estimates: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """estimates with a broadcast hint if there are few groups, counted; as they are if not."""
-    return F.broadcast(estimates) if estimates.limit(most_rows + 1).count() <= most_rows else estimates
-
-
 def mcd(vectors: DataFrame, group: str, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
     """Estimates per group: group + m1..m3, c11..c33, scaled to the normal distribution. group must not be null.
 
@@ -130,10 +125,10 @@ def mcd(vectors: DataFrame, group: str, subset: float = SUBSET, steps: int = STE
     spreads = {f"c{i}{i}": F.pow((F.col(z)[2] - F.col(z)[0]) / 1.349, F.lit(2.0)) for i, z in enumerate(DIMS, 1)}
     now = cut(quartiles.withColumns(means | spreads | {c: F.lit(0.0) for c in ("c12", "c13", "c23")}).drop(*DIMS))
     for _ in range(steps):
-        far = vectors.join(by_group(now), group).select(group, *DIMS, distance(FLOORS).alias("d2"))
+        far = vectors.join(broadcast_if_small(now), group).select(group, *DIMS, distance(FLOORS).alias("d2"))
         within = cut(far.groupBy(group).agg(F.percentile_approx("d2", subset, 2000).alias("most")))
-        now = cut(moments(far.join(by_group(within), group).where("d2 <= most"), [group]))
-    far = vectors.join(by_group(now), group).select(group, distance().alias("d2"))
+        now = cut(moments(far.join(broadcast_if_small(within), group).where("d2 <= most"), [group]))
+    far = vectors.join(broadcast_if_small(now), group).select(group, distance().alias("d2"))
     scale = far.groupBy(group).agg((F.percentile_approx("d2", 0.5, 2000) / F.lit(MEDIAN)).alias("scale"))
     # A scale below 1 or from a degenerate group is no evidence that documents are closer together than their subset.
     factor = F.when(F.isnan("scale") | F.col("scale").isNull(), F.lit(1.0)).otherwise(F.least(F.greatest(F.col("scale"), F.lit(1.0)), F.lit(4.0)))
@@ -150,11 +145,11 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -
     group = F.concat_ws("/", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     stats = vector(statistics(docs.select("doc_id", "lang", "source", "text")).drop("text")).withColumn("base_failed", base_failed())
     named = cut(stats.withColumn("own", group))
-    sizes = by_group(cut(named.where("NOT base_failed").groupBy("own").count()))
+    sizes = broadcast_if_small(cut(named.where("NOT base_failed").groupBy("own").count()))
     judged_by = F.when(F.col("count") >= min_group, F.col("own")).otherwise(F.lit("*"))
     named = named.join(sizes, "own", "left").withColumn("group", judged_by)
     vectors = named.where("NOT base_failed").select(F.explode(F.array_distinct(F.array("group", F.lit("*")))).alias("group"), *DIMS)
-    judged = named.join(by_group(mcd(vectors, "group")), "group", "left")
+    judged = named.join(broadcast_if_small(mcd(vectors, "group")), "group", "left")
     judged = judged.withColumn("distance2", F.when(F.col("base_failed"), None).otherwise(distance(FLOORS)))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return judged.withColumn("kept", kept).select(*stats.columns, "distance2", "kept")

@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, cut
+
 MIN_LENGTH = 12
 CUTOFF = 0.5
 #: A run, with what stands before it on the line (80 characters at most) and a few characters after it.
@@ -90,8 +92,6 @@ def weak_labels(found: DataFrame, most_rows: int = 20_000) -> DataFrame:
 
 def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> RandomForestClassificationModel | None:
     """A forest on labelled findings (FEATURES, label 0 or 1); None if one of the labels does not occur."""
-    from .common import cut
-
     rows = cut(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled.where("label IS NOT NULL")).select("features", "label").repartition(4))
     if rows.select("label").distinct().count() < 2:
         return None
@@ -118,9 +118,9 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
     Rows that share an id, null included, share their secrets. The longest secrets go first, so one that is part of another leaves
     nothing of it. Documents without a finding keep their rows as they are.
     """
-    secrets = found.where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("_secrets")).withColumnRenamed("doc_id", "_id")
+    secrets = cut(found.where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("_secrets")).withColumnRenamed("doc_id", "_id"))
     whole = docs.select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
-    joined = whole.join(secrets, F.col("_doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = whole.join(broadcast_if_small(secrets), F.col("_doc_id").eqNullSafe(F.col("_id")), "left")
     longest_first = F.transform(F.sort_array(F.transform("_secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
     clean = F.aggregate(longest_first, F.col("_text"), lambda t, s: F.replace(t, s, F.lit(mark)))
     text = F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col("_text"))
