@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, broadcast_if_small, cut
+from .common import WS, broadcast_if_small, cut, let
 
 SYMBOLS = "#*$%&|<>"
 #: Share of a group that a concentration step keeps.
@@ -31,11 +31,6 @@ FLOORS = (0.08, 0.15, 0.35)
 DIMS = ("z1", "z2", "z3")
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once per row even where body uses it inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 

@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame and SQL functions only.
 
-A candidate is a run of at least MIN_LENGTH characters of tokens and keys. Its features are its length, its character
+A candidate is a run of at least MIN_LENGTH characters of tokens and keys that is no plain word, or any run of eight that is assigned. Its features are its length, its character
 transitions, how much of it dictionary words cover, hints in the path, and the words around it. The forest is fitted on labelled
 findings: (the same features, label). Where no such table exists, weak_labels() labels a bounded sample of the candidates by rules
 that are right about what they label.
@@ -14,18 +14,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, let
 
 MIN_LENGTH = 12
 CUTOFF = 0.5
-#: A run, with what stands before it on the line (80 characters at most) and a few characters after it.
-_RUN = rf"[A-Za-z0-9_+/\-]{{{MIN_LENGTH},}}"
-_FOUND = rf"(?<![A-Za-z0-9_+/\-]){_RUN}={{0,2}}"
+_C = r"A-Za-z0-9_+/\-"
+#: A run of token characters with a digit, with capitals after small letters, or of capitals alone; right after = or : any run of eight.
+_FOUND = (
+    rf"(?<![{_C}])(?:(?<=[=:]|[=:][\"'`]|[=:] [\"'`])[{_C}]{{8,}}"
+    rf"|(?=[A-Za-z_+/\-]*[0-9]|[{_C}]*[a-z][A-Za-z_+/\-]*[A-Z]|[A-Z]{{16}})[{_C}]{{{MIN_LENGTH},}})={{0,2}}"
+)
 
 # Common words and word parts, names of credentials, signs of examples, prefixes of well-known key formats.
 DICTIONARY = "the|and|ing|ion|tion|ent|est|ere|her|ther|this|that|with|for|from|are|was|not|you|all|con|com|pre|pro|der|die|und|ein|sch|ich|ung|que|les|des|ent|ment|eau|aux|los|las|ado|cion|mente|http|www|org|test|example|sample|user|name|file|data|code|line|text|page|list|item|value|index|class|type|time|date|number|string|version|release"
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
-EXAMPLE = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test)"
+EXAMPLE = r"(?i)(\b(example|sample|dummy|placeholder|changeme|test)\b|\byour[_-]|xxxx)"
 KNOWN_FORMAT = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk_live_|^AIza[0-9A-Za-z_\-]{35}$"
 
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "case_changes", "kind_changes", "distinct", "vowels", "hex_only", "covered", "path_hint", "credential_before", "assigned", "quoted", "example_near", "words_before"]
@@ -42,14 +45,16 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     the text is cut at its candidates, so each keeps its own neighbours. Repeated candidates are rows of their own.
     """
     text = F.col("text")
-    with_any = docs.where(text.rlike(_FOUND))
-    # Pieces between candidates and the candidates themselves, in turn: before, candidate, before, ... , rest.
     runs = F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0))
-    gaps = F.split(text, _FOUND)
-    zipped = F.arrays_zip(runs.alias("candidate"), F.slice(gaps, F.lit(1), F.size(gaps) - 1).alias("left"), F.slice(gaps, F.lit(2), F.size(gaps) - 1).alias("right"))
-    exploded = with_any.select("doc_id", (F.col(path) if path else F.lit(None).cast("string")).alias("path"), F.posexplode(zipped).alias("ordinal", "x"))
+    gaps = F.split(text, _FOUND)  # one more than candidates
+    zipped = let(
+        F.struct(runs.alias("runs"), gaps.alias("gaps")),
+        lambda s: F.transform(s["runs"], lambda c, i: F.struct(c.alias("candidate"), F.right(F.get(s["gaps"], i), F.lit(40)).alias("before"), F.left(F.get(s["gaps"], i + 1), F.lit(20)).alias("after"))),
+    )
+    with_any = docs.where(text.rlike(_FOUND)).select("doc_id", (F.col(path) if path else F.lit(None).cast("string")).alias("path"), zipped.alias("found"))
+    near = with_any.select("doc_id", "path", F.posexplode("found").alias("ordinal", "x")).select("doc_id", "path", "ordinal", "x.*")
+    c = F.col("candidate")
     c = F.col("candidate")
-    near = exploded.select("doc_id", "path", "ordinal", F.col("x.candidate").alias("candidate"), F.right("x.left", F.lit(40)).alias("before"), F.left("x.right", F.lit(20)).alias("after"))
     known = near.withColumns(
         {
             "length": F.length(c).cast("double"),
@@ -78,12 +83,12 @@ def weak_labels(found: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """Labelled findings from candidates: FEATURES + label, at most most_rows of each label (those of least hash).
 
     1: a well-known key format, or an assignment to a credential of a value with digits and without dictionary words. 0: runs of
-    letters alone, examples, and runs with neither digits nor case changes. Everything else stays unlabelled.
+    examples, digits alone, and runs with neither digits nor many case changes. Everything else stays unlabelled.
     """
     c = F.col("candidate")
     known = c.rlike(KNOWN_FORMAT)
     secret = (F.col("credential_before") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.15) & (F.col("covered") < 0.3)
-    harmless = (F.col("digits") == 0) & (F.col("case_changes") < 0.2)
+    harmless = ((F.col("digits") == 0) & (F.col("case_changes") < 0.2)) | (F.col("digits") == 1)
     labelled = found.withColumn("label", F.when(F.col("example_near") == 1, 0.0).when(known, 1.0).when(harmless, 0.0).when(secret, 1.0)).where("label IS NOT NULL")
     order = F.xxhash64("candidate", "before")
     pick = [labelled.where(F.col("label") == y).orderBy(order, "doc_id", "ordinal").limit(most_rows).select("label", *FEATURES) for y in (0.0, 1.0)]
