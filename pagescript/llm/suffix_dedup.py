@@ -113,7 +113,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tup
         first, last = np.concatenate([first[rest], more_first]), np.concatenate([last[rest], more_last])
         order = np.argsort(first, kind="stable")
         first, last = first[order], last[order]
-    return least[first], first, last
+    # Least hashes crowd near 0; scrambled again, they spread evenly over ranges.
+    return mixed(least[first] ^ _MIX), first, last
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
