@@ -100,3 +100,38 @@ def grouping_decisions(regions: DataFrame, panels: DataFrame, proposals: DataFra
     decided = joined.withColumn("reason", reason)
     status = F.when(F.col("reason").isNull(), "assigned").when(F.col("reason").isin("malformed", "no_proposal_overlap"), "unassigned").otherwise("ambiguous")
     return decided.select(*own, status.alias("status"), "reason")
+
+
+def apply_visual_groupings(proposals: DataFrame, regions: DataFrame, least: float = 0.65) -> DataFrame:
+    """(keys, proposal_pos, accepted, target, members): which outside proposals to group regions are taken, in order.
+
+    proposals: keys, proposal_pos, confidence, target (a balloon or null), members (array of region positions). regions: keys, region_pos,
+    status, panel_pos, targets (balloons that may own it). All members must be ambiguous and unused by an accepted proposal before; a
+    target must be open to each of them; without one it takes two members or more of exactly one panel. What was accepted decides on
+    the next, so the proposals of a page are folded in one place.
+    """
+    import pandas as pd
+
+    def fold(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        by_pos = {r.region_pos: r for r in known.itertuples(index=False)}
+        used: set = set()
+        out = []
+        for p in asked.sort_values("proposal_pos").itertuples(index=False):
+            members = [int(m) for m in p.members]
+            rows = [by_pos.get(m) for m in members]
+            free = bool(rows) and all(r is not None and r.status == "ambiguous" for r in rows) and not used & set(members)
+            target = None if pd.isna(p.target) else int(p.target)
+            if target is not None:
+                fits = free and all(target in list(r.targets) for r in rows)
+            else:
+                fits = free and len(rows) >= 2 and len({r.panel_pos for r in rows}) == 1 and not pd.isna(rows[0].panel_pos)
+            accepted = bool(fits and p.confidence >= least)
+            used |= set(members) if accepted else set()
+            out.append((*key, p.proposal_pos, accepted, target, members))
+        return pd.DataFrame(out, columns=["sequence_id", "page_index", "proposal_pos", "accepted", "target", "members"])
+
+    # Named anew: both may come from one table.
+    grouped = proposals.select(*[F.col(c).alias(c) for c in (*KEYS, "proposal_pos", "confidence", "target", "members")]).groupBy(*KEYS)
+    beside = regions.select(*[F.col(c).alias(c) for c in (*KEYS, "region_pos", "status", "panel_pos", "targets")]).groupBy(*KEYS)
+    found = grouped.cogroup(beside).applyInPandas(fold, "sequence_id long, page_index int, proposal_pos int, accepted boolean, target int, members array<int>")
+    return found.where("proposal_pos IS NOT NULL")

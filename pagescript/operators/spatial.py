@@ -161,3 +161,21 @@ def match_truth_to_balloons(truths: DataFrame, balloons: DataFrame, least: float
     best = joined.groupBy(*KEYS, "gt_pos").agg(F.max(F.struct("iou", (-F.col("pos")).alias("p"))).alias("m"))
     hit = F.col("m.iou") > least
     return best.select(*KEYS, "gt_pos", F.when(hit, -F.col("m.p")).alias("pos"), F.col("m.iou").alias("iou"), (~hit).alias("coverage_failure"))
+
+
+def character_panels(characters: DataFrame, panels: DataFrame) -> DataFrame:
+    """(keys, character_pos, panel_pos) by the rule of assign_panels; null where it is not sure."""
+    return assign_panels(characters, panels, "character_pos").select(*KEYS, "character_pos", "panel_pos")
+
+
+def join_oracle(blocks: DataFrame, oracle: DataFrame, least_iou: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """(blocks with their oracle row and a drift flag, oracle keys that occur twice).
+
+    blocks count pages from 1, oracle rows from 0. Blocks without an oracle row stay.
+    """
+    a = blocks.withColumn("page_index", F.col("page_index") - 1)
+    repeated = oracle.groupBy(*KEYS, "block_pos").count().where("count > 1").drop("count")
+    on = (F.col("a.sequence_id") == F.col("b.sequence_id")) & (F.col("a.page_index") == F.col("b.page_index")) & (F.col("a.block_pos") == F.col("b.block_pos"))
+    same = F.when(F.col("b.block_pos").isNotNull(), iou("a", "b"))
+    joined = a.alias("a").join(oracle.alias("b"), on, "left").select(*[F.col(f"a.{k}") for k in KEYS], F.col("a.block_pos"), F.col("b.block_pos").isNotNull().alias("matched"), same.alias("iou"), (same < least_iou).alias("drift"))
+    return joined, repeated

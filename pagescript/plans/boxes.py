@@ -431,3 +431,52 @@ def p3_resolve_speakers(spark, sf_dir):
 @query(f"SELECT sequence_id, page_index, pos, list(character_pos ORDER BY character_pos) AS character_ids FROM ({_J8}) GROUP BY ALL", "fx_regions", "fx_characters", "fx_pages")
 def p4_candidate_ids(spark, sf_dir):
     return speakers.candidate_ids(_scored(spark, sf_dir)[1])
+
+
+@query(f"SELECT sequence_id, page_index, region_pos AS character_pos, panel_pos FROM ({_J1.replace('fx_regions a', '(SELECT *, character_pos AS region_pos FROM fx_characters) a')})", "fx_characters", "fx_panels")
+def j5_character_panels(spark, sf_dir):
+    return spatial.character_panels(*load(spark, sf_dir, "fx_characters", "fx_panels"))
+
+
+@query(
+    f"""SELECT a.sequence_id, a.page_index, a.region_pos AS block_pos, b.region_pos IS NOT NULL AS matched, CASE WHEN b.region_pos IS NOT NULL THEN round({_IOU}, 6) END AS iou, CASE WHEN b.region_pos IS NOT NULL THEN {_IOU} < 0.85e0 END AS drift
+    FROM fx_regions a LEFT JOIN (SELECT sequence_id, page_index, region_pos, x1 + k AS x1, y1, x2 + k AS x2, y2 FROM fx_regions WHERE k <> 3) b ON {PAGE} AND a.region_pos = b.region_pos""",
+    "fx_regions",
+)
+def j12_join_oracle(spark, sf_dir):
+    (regions,) = load(spark, sf_dir, "fx_regions")
+    oracle = regions.where("k <> 3").select(*K, F.col("region_pos").alias("block_pos"), (F.col("x1") + F.col("k")).alias("x1"), "y1", (F.col("x2") + F.col("k")).alias("x2"), "y2")
+    blocks = regions.select("sequence_id", (F.col("page_index") + 1).alias("page_index"), F.col("region_pos").alias("block_pos"), "x1", "y1", "x2", "y2")
+    return spatial.join_oracle(blocks, oracle)[0].withColumn("iou", F.round("iou", 6))
+
+
+@query("SELECT DISTINCT region_id, source AS candidate_id FROM fx_candidates WHERE region_id % 5 = 0", "fx_candidates")
+def d2_conflicting_candidates(spark, sf_dir):
+    (rows,) = load(spark, sf_dir, "fx_candidates")
+    first = rows.select("region_id", F.col("source").alias("candidate_id"), "text", F.lit(0).alias("position"))
+    again = first.withColumn("position", F.lit(1))
+    other = first.where("region_id % 5 = 0").withColumns({"text": F.concat("text", F.lit("!")), "position": F.lit(2)})
+    conflicts = suppress.dedupe_candidates(first.unionByName(again).unionByName(other), ["region_id", "candidate_id"], "position")[1]
+    return conflicts.select("region_id", "candidate_id").distinct()
+
+
+@query()
+def l6_visual_groupings(spark, sf_dir):
+    regions, panels, balloons = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_balloons")
+    known = spatial.assign_regions_to_balloons(regions, balloons).select(*K, "region_pos", "status")
+    placed = spatial.assign_panels(regions, panels).select(*K, "region_pos", "panel_pos")
+    near = balloons.select(*K, "proposal_pos").groupBy(*K).agg(F.collect_list(F.col("proposal_pos").cast("int")).alias("targets"))
+    rows = regions.select(*K, "region_pos", "confidence", "k").join(known, [*K, "region_pos"]).join(placed, [*K, "region_pos"]).join(near, K)
+    asked = rows.where("status = 'ambiguous'").select(*K, F.col("region_pos").alias("proposal_pos"), F.lit(0.7).alias("confidence"), F.when(F.col("k") % 2 == 0, F.col("targets")[0]).alias("target"), F.array("region_pos", (F.col("region_pos") + 1).cast("int")).alias("members"))
+    return layout.apply_visual_groupings(asked, rows)
+
+
+@query()
+def p1_balloon_tails(spark, sf_dir):
+    (regions,) = load(spark, sf_dir, "fx_regions")
+    x, y, w = F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1")
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    tip = corner(x + w / 2, F.col("y2") + F.col("k") * 40)
+    outline = F.array(corner(x, y), corner(F.col("x2"), y), corner(F.col("x2"), F.col("y2")), corner(x + w / 2 + 8, F.col("y2")), tip, corner(x + w / 2 - 8, F.col("y2")), corner(x, F.col("y2")))
+    found = speakers.balloon_tails(regions.select(*K, F.col("region_pos").alias("pos"), outline.alias("polygon")))
+    return found.withColumns({c: F.round(c, 4) for c in ("tail_x", "tail_y", "strength")})
