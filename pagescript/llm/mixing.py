@@ -66,13 +66,14 @@ def mix(docs: DataFrame, seed: str = "mix", max_ratio: float = 3.0, buckets: int
     sized = whole.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.lit(seed))
+    octave = F.length(F.bin(F.col("size") + 1)) - 1
     keyed = sized.select(
         "doc_id",
         "source",
         "size",
         "_in",
         name.alias("_name"),
-        F.floor(F.log2(F.col("size") + 1.0) * F.lit(CLASSES_PER_OCTAVE)).alias("_class"),
+        (F.lit(CLASSES_PER_OCTAVE) * octave + F.floor((F.col("size") + 1) * F.lit(CLASSES_PER_OCTAVE) / F.pow(F.lit(2.0), octave))).alias("_class"),
         F.floor(hex_unit(key) * F.lit(buckets)).cast("int").alias("_bucket"),
     )
     blocks = cut(keyed.groupBy("_name", "_class", "_bucket").agg(F.first("source").alias("source"), F.count("*").alias("_n"), F.sum("size").alias("_words")))
