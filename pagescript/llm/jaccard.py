@@ -238,10 +238,21 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
         if held:
             yield _ordered(held)
 
+    packed = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("base", pa.int64()), ("ids", pa.binary()), ("several", pa.binary()), ("key", pa.int64()), ("x", pa.int64())])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed rows per range of keys: low 32 bits of each distinct key, its smallest id, and whether others follow."""
+        """Packed rows per range of keys: low 32 bits of each distinct key, its smallest id, and whether others follow.
+
+        The others come in rows (key, x) of their own. Both are made in one go, so however tasks are cut, a set is in one of them.
+        """
         for key, ids in blocks(batches):
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+            first, behind = np.flatnonzero(fresh), np.flatnonzero(~fresh)
+            short = (_range(key[behind], count) << 32) + (key[behind] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            for s in range(0, len(behind), 1 << 16):
+                part = slice(s, s + (1 << 16))
+                none = {f.name: pa.nulls(len(short[part]), f.type) for f in packed if f.name not in ("key", "x")}
+                yield pa.RecordBatch.from_pydict(none | {"key": pa.array(short[part]), "x": pa.array(ids[behind[part]])}, schema=packed)
             several = np.diff(np.append(first, len(key))) > 1
             key, ids = key[first], ids[first]
             cuts = np.searchsorted(_range(key, count), np.arange(count + 1))
@@ -250,10 +261,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
                 base = int(ids[s].min())
                 off = ids[s] - base
                 kind = np.uint32 if int(off.max()) < 1 << 32 else np.uint64
-                yield pa.RecordBatch.from_pydict(
-                    {"range": [int(r)], "keys": [key[s].astype(np.uint32).tobytes()], "base": [base], "ids": [off.astype(kind).tobytes()], "several": [np.packbits(several[s]).tobytes()]},
-                    schema=pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("base", pa.int64()), ("ids", pa.binary()), ("several", pa.binary())]),
-                )
+                row = {"range": [int(r)], "keys": [key[s].astype(np.uint32).tobytes()], "base": [base], "ids": [off.astype(kind).tobytes()], "several": [np.packbits(several[s]).tobytes()], "key": [None], "x": [None]}
+                yield pa.RecordBatch.from_pydict(row, schema=packed)
 
     def lead(key: tuple, table: pa.Table) -> pa.Table:
         """Leader of each key that two sets or more have, its members as far as blocks sent them, and whether more follow."""
@@ -270,16 +279,9 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
         keep = (np.repeat(times, times) > 1) | follow
         return pa.table({"key": pa.array((np.int64(key[0].as_py()) << 32) + k[keep].astype(np.int64)), "h": pa.array(leader[keep]), "x": pa.array(x[keep]), "more": pa.array(follow[keep])})
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, id) of the sets that stand behind the first one of their key and block."""
-        for key, ids in blocks(batches):
-            behind = np.flatnonzero(np.append(False, key[1:] == key[:-1])) if len(key) else np.zeros(0, np.int64)
-            k = (_range(key[behind], count) << 32) + (key[behind] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            for s in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[s : s + (1 << 16)]), pa.array(ids[behind[s : s + (1 << 16)]])], names=["key", "x"])
-
-    leaders = cut(rows.mapInArrow(send, "range int, keys binary, base long, ids binary, several binary").groupBy("range").applyInArrow(lead, "key long, h long, x long, more boolean"))
-    behind = rows.mapInArrow(rest, "key long, x long").join(leaders.where("more").select("key", "h").distinct(), "key").select("h", "x")
+    sent = cut(rows.mapInArrow(send, "range int, keys binary, base long, ids binary, several binary, key long, x long"))
+    leaders = cut(sent.where("range IS NOT NULL").select("range", "keys", "base", "ids", "several").groupBy("range").applyInArrow(lead, "key long, h long, x long, more boolean"))
+    behind = sent.where("range IS NULL").select("key", "x").join(leaders.where("more").select("key", "h").distinct(), "key").select("h", "x")
     members = leaders.select("h", "x").unionByName(behind).where("h != x").distinct()
     members = cut(members)
     tiles = members.groupBy("h").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))

@@ -166,6 +166,8 @@ class Block:
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, length: int, anchor: int):
         order = np.argsort(ids, kind="stable")
+        if len(np.unique(ids)) < len(ids):  # texts of one id in an order of their own, the same in every pass
+            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_py())))
         self.ids, self.texts = ids[order], texts.take(pa.array(order))
         self.data, self.ends = buffers(self.texts)
         parts, at = [], 0
