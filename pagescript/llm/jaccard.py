@@ -4,8 +4,9 @@ Two documents link if the Jaccard similarity of their sets of word shingles reac
 
 - Small sets enumerate their subsets of the fixed sizes that a link with any possible partner needs in common.
 - Large sets stand in inverted lists. The list of a single shingle would hold every document with a common line, so the elements of
-  the lists are hash ranges of shingles: with at most D shingles in either set alone, of D + 1 + SPARE ranges at least SPARE + 1
-  have equal contents. A range without shingles makes no list; sets with more than SPARE such ranges share one list.
+  the lists are hash ranges of shingles: with at most D shingles in either set alone, of D + 1 + E + SPARE ranges at least E + 1 + SPARE
+  have equal contents. A range without shingles makes no list; sets with more than SPARE such ranges share one list. So linked sets
+  share E + 1 lists, and each may leave out the E / 2 longest of its own: those that a common passage makes.
 - The boundary is the size at which subsets begin to cost more than lists, by the histogram of the sizes.
 
 Links in a list are found from its leader (smallest id): each member is reduced to its difference from the leader, and two
@@ -24,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, pieces
@@ -38,9 +39,13 @@ TILE = 512
 #: Largest size that may count as small.
 LARGEST_SMALL = 64
 SPARE = 2
+#: Ranges that are made beyond the necessary ones, so that sets may leave out their longest lists.
+EXTRA = 8
 GROWTH = 1.25
 #: Shingles that stand side by side in the matrix of a tile.
 COLUMNS = 8192
+#: Set in keys that no set may leave out.
+_SUBSET = np.uint64(1)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -55,12 +60,23 @@ class Scheme:
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, int(edges[-1] * GROWTH)))
         self.edges = np.array(edges)
-        self.ranges = np.array([self.apart(b - 1) + 1 + SPARE for b in edges[1:]])
+        self.ranges = np.array([self.apart(b - 1) + 1 + self.extra(self.apart(b - 1)) + SPARE for b in edges[1:]])
 
     def apart(self, size: int) -> int:
         """Most shingles that only one of two linked sets has, the smaller of this size."""
         return (self.den - self.num) * size // self.num
 
+    @staticmethod
+    def extra(apart: int) -> int:
+        """Ranges beyond those needed: linked sets share so many lists more than one, and each may leave half of them out."""
+        return min(EXTRA, apart // 2)
+
+    def droppable(self, size):
+        """Lists that a set of this size (a column) may leave out: half the extra of the least level that it has keys of."""
+        least = F.greatest(F.lit(0), F.floor(size / F.lit(GROWTH * GROWTH)) - 3)
+        apart = F.floor(F.lit(self.den - self.num) * least / F.lit(self.num))
+        return F.floor(F.least(F.lit(EXTRA), F.floor(apart / 2)) / 2)
+
     def common(self, size: int) -> list[int]:
         """The numbers of common shingles that links with the possible partners need."""
         partners = range(-(-self.num * size // self.den), self.den * size // self.num + 1)
@@ -96,7 +112,7 @@ def keys(hashes: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.nd
         for c in scheme.common(int(size)):
             left_out = np.array(list(combinations(range(size), int(size) - c)), dtype=np.int64)
             subset = whole[:, None] - (rows[:, left_out].sum(axis=2, dtype=np.uint64) if left_out.shape[1] else np.zeros((len(members), 1), np.uint64))
-            out_key.append(mixed(subset + np.array([c], np.uint64) * _K1).ravel())
+            out_key.append(mixed(subset + np.array([c], np.uint64) * _K1).ravel() | _SUBSET)
             out_set.append(np.repeat(members, subset.shape[1]))
     large = sizes >= scheme.low
     if large.any():
@@ -116,11 +132,11 @@ def keys(hashes: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.nd
             begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])))
             content = np.add.reduceat(value[chosen], begin)
             place = mixed((at[own[begin]].astype(np.uint64) << np.uint64(32)) + part[begin] + _K1)
-            out_key.append(mixed(content ^ place))
+            out_key.append(mixed(content ^ place) & ~_SUBSET)
             out_set.append(own[begin])
             filled = np.bincount(own[begin], minlength=len(sizes))
             sparse = np.flatnonzero(fits & (ranges - filled > SPARE))
-            out_key.append(mixed((at[sparse].astype(np.uint64) << np.uint64(32)) ^ _K2))
+            out_key.append(mixed((at[sparse].astype(np.uint64) << np.uint64(32)) ^ _K2) | _SUBSET)
             out_set.append(sparse)
     if not out_key:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -238,10 +254,10 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
         if held:
             yield _ordered(held)
 
-    packed = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("base", pa.int64()), ("ids", pa.binary()), ("several", pa.binary()), ("key", pa.int64()), ("x", pa.int64())])
+    packed = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("base", pa.int64()), ("ids", pa.binary()), ("times", pa.binary()), ("key", pa.int64()), ("x", pa.int64())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed rows per range of keys: low 32 bits of each distinct key, its smallest id, and whether others follow.
+        """Packed rows per range of keys: low 32 bits of each distinct key, its smallest id, and how many sets have it.
 
         The others come in rows (key, x) of their own. Both are made in one go, so however tasks are cut, a set is in one of them.
         """
@@ -253,7 +269,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
                 part = slice(s, s + (1 << 16))
                 none = {f.name: pa.nulls(len(short[part]), f.type) for f in packed if f.name not in ("key", "x")}
                 yield pa.RecordBatch.from_pydict(none | {"key": pa.array(short[part]), "x": pa.array(ids[behind[part]])}, schema=packed)
-            several = np.diff(np.append(first, len(key))) > 1
+            times = np.minimum(np.diff(np.append(first, len(key))), 65535).astype(np.uint16)
             key, ids = key[first], ids[first]
             cuts = np.searchsorted(_range(key, count), np.arange(count + 1))
             for r in np.flatnonzero(cuts[1:] > cuts[:-1]):
@@ -261,28 +277,33 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
                 base = int(ids[s].min())
                 off = ids[s] - base
                 kind = np.uint32 if int(off.max()) < 1 << 32 else np.uint64
-                row = {"range": [int(r)], "keys": [key[s].astype(np.uint32).tobytes()], "base": [base], "ids": [off.astype(kind).tobytes()], "several": [np.packbits(several[s]).tobytes()], "key": [None], "x": [None]}
+                row = {"range": [int(r)], "keys": [key[s].astype(np.uint32).tobytes()], "base": [base], "ids": [off.astype(kind).tobytes()], "times": [times[s].tobytes()], "key": [None], "x": [None]}
                 yield pa.RecordBatch.from_pydict(row, schema=packed)
 
     def lead(key: tuple, table: pa.Table) -> pa.Table:
         """Leader of each key that two sets or more have, its members as far as blocks sent them, and whether more follow."""
         each = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
         ids = [np.frombuffer(x, np.uint32 if len(x) == 4 * len(k) else np.uint64).astype(np.int64) + b for x, k, b in zip(table["ids"].to_pylist(), each, table["base"].to_pylist(), strict=True)]
-        more = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table["several"].to_pylist(), each, strict=True)]
-        k, x, more = np.concatenate(each), np.concatenate(ids), np.concatenate(more)
+        counts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table["times"].to_pylist()]
+        k, x, counts = np.concatenate(each), np.concatenate(ids), np.concatenate(counts)
         order = np.lexsort((x, k))
-        k, x, more = k[order], x[order], more[order]
+        k, x, counts = k[order], x[order], counts[order]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        times = np.diff(np.append(first, len(k)))
-        follow = np.repeat(np.logical_or.reduceat(more, first), times)
-        leader = np.repeat(x[first], times)
-        keep = (np.repeat(times, times) > 1) | follow
-        return pa.table({"key": pa.array((np.int64(key[0].as_py()) << 32) + k[keep].astype(np.int64)), "h": pa.array(leader[keep]), "x": pa.array(x[keep]), "more": pa.array(follow[keep])})
-
-    sent = cut(rows.mapInArrow(send, "range int, keys binary, base long, ids binary, several binary, key long, x long"))
-    leaders = cut(sent.where("range IS NOT NULL").select("range", "keys", "base", "ids", "several").groupBy("range").applyInArrow(lead, "key long, h long, x long, more boolean"))
-    behind = sent.where("range IS NULL").select("key", "x").join(leaders.where("more").select("key", "h").distinct(), "key").select("h", "x")
-    members = leaders.select("h", "x").unionByName(behind).where("h != x").distinct()
+        blocks_ = np.diff(np.append(first, len(k)))
+        size = np.repeat(np.add.reduceat(counts, first), blocks_)
+        follow = np.repeat(np.maximum.reduceat(counts, first) > 1, blocks_)
+        leader = np.repeat(x[first], blocks_)
+        keep = size > 1
+        return pa.table({"key": pa.array((np.int64(key[0].as_py()) << 32) + k[keep].astype(np.int64)), "h": pa.array(leader[keep]), "x": pa.array(x[keep]), "size": pa.array(size[keep]), "more": pa.array(follow[keep])})
+
+    sent = cut(rows.mapInArrow(send, "range int, keys binary, base long, ids binary, times binary, key long, x long"))
+    leaders = cut(sent.where("range IS NOT NULL").select("range", "keys", "base", "ids", "times").groupBy("range").applyInArrow(lead, "key long, h long, x long, size long, more boolean"))
+    behind = sent.where("range IS NULL").select("key", "x").join(leaders.where("more").select("key", "h", "size").distinct(), "key").select("key", "h", "x", "size")
+    listed = leaders.select("key", "h", "x", "size").unionByName(behind).withColumn("fixed", F.col("key") % 2)
+    # Linked sets share more lists than they need to: each set leaves its longest ones out.
+    longest = Window.partitionBy("x").orderBy("fixed", F.desc("size"), "key")
+    ranked = listed.withColumn("rank", F.row_number().over(longest)).join(signed.select(F.col("doc_id").alias("x"), "n_shingles"), "x")
+    members = ranked.where((F.col("fixed") == 1) | (F.col("rank") > scheme.droppable(F.col("n_shingles")))).where("h != x").select("h", "x").distinct()
     members = cut(members)
     tiles = members.groupBy("h").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
     placed = members.join(tiles, "h").select("h", "x", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int").alias("tile"), "tiles")
