@@ -35,7 +35,9 @@ from .shingles import mixed, per_text, sets
 #: Text of one packed block of keys.
 BLOCK_BYTES = 48 << 20
 #: Members of a leader that are compared in one task.
-TILE = 512
+TILE = 2048
+#: Shingles of the members of a leader that are compared in one task, about.
+TILE_SHINGLES = 2_000_000
 #: Largest size that may count as small.
 LARGEST_SMALL = 64
 SPARE = 2
@@ -43,7 +45,7 @@ SPARE = 2
 EXTRA = 8
 GROWTH = 1.25
 #: Shingles that stand side by side in the matrix of a tile.
-COLUMNS = 8192
+COLUMNS = 1024
 #: Set in keys that no set may leave out.
 _SUBSET = np.uint64(1)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -192,17 +194,42 @@ def forest(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[tuple[int,
     return kept
 
 
+def alone(deltas: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """For each difference, how many of its elements no other one has; these set its member apart from all of them."""
+    lengths = np.array([len(d) for d in deltas])
+    values = np.concatenate(deltas) if len(deltas) else np.zeros(0, np.uint64)
+    if others is None:
+        distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
+        single = times[place] == 1
+    else:
+        there = np.unique(np.concatenate(others))
+        at = np.minimum(np.searchsorted(there, values), len(there) - 1)
+        single = there[at] != values if len(there) else np.ones(len(values), dtype=bool)
+    return np.bincount(np.repeat(np.arange(len(deltas)), lengths), weights=single, minlength=len(deltas)).astype(np.int64)
+
+
 def links_within(ids: np.ndarray, sizes: np.ndarray, deltas: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between members of a tile, as a forest. The first is the leader, whose difference is empty."""
+    """Links between members of a tile, as a forest. The first is the leader, whose difference is empty.
+
+    Members that more elements set apart from all others than a link allows are left out before pairs are looked at, again
+    and again while that leaves others without company.
+    """
     lengths = np.array([len(d) for d in deltas])
     to_leader = np.flatnonzero(linked(sizes[0], sizes[1:], lengths[1:], num, den)) + 1
     a, b = [np.zeros(len(to_leader), np.int64)], [to_leader]
-    if len(ids) > 2:
-        common = common_counts(deltas[1:], deltas[1:]).astype(np.int64)
-        apart = lengths[1:, None] + lengths[None, 1:] - 2 * common
-        i, j = np.nonzero(np.triu(linked(sizes[1:, None], sizes[None, 1:], apart, num, den), 1))
-        a.append(i + 1)
-        b.append(j + 1)
+    left = np.arange(1, len(ids))
+    while len(left) > 1:
+        near = alone([deltas[i] for i in left]) <= (den - num) * sizes[left] // num
+        if near.all():
+            break
+        left = left[near]
+    if len(left) > 1:
+        chosen = [deltas[i] for i in left]
+        common = common_counts(chosen, chosen).astype(np.int64)
+        apart = lengths[left][:, None] + lengths[left][None, :] - 2 * common
+        i, j = np.nonzero(np.triu(linked(sizes[left][:, None], sizes[left][None, :], apart, num, den), 1))
+        a.append(left[i])
+        b.append(left[j])
     return [(int(ids[x]), int(ids[y])) for x, y in forest(np.concatenate(a), np.concatenate(b), len(ids))]
 
 
@@ -303,9 +330,9 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     # Linked sets share more lists than they need to: each set leaves its longest ones out.
     longest = Window.partitionBy("x").orderBy("fixed", F.desc("size"), "key")
     ranked = listed.withColumn("rank", F.row_number().over(longest)).join(signed.select(F.col("doc_id").alias("x"), "n_shingles"), "x")
-    members = ranked.where((F.col("fixed") == 1) | (F.col("rank") > scheme.droppable(F.col("n_shingles")))).where("h != x").select("h", "x").distinct()
+    members = ranked.where((F.col("fixed") == 1) | (F.col("rank") > scheme.droppable(F.col("n_shingles")))).where("h != x").select("h", "x", "n_shingles").distinct()
     members = cut(members)
-    tiles = members.groupBy("h").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    tiles = members.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES))).cast("int").alias("tiles"))
     placed = members.join(tiles, "h").select("h", "x", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int").alias("tile"), "tiles")
     heads = tiles.select("h", F.col("h").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "tiles")
     wanted = placed.unionByName(heads)
@@ -363,6 +390,12 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
                 (xa, na, la, da), (xb, nb, lb, db) = sides
                 if not len(xa) or not len(xb):
                     continue
+                keep_a = alone(da, db) <= (den - num) * na // num
+                keep_b = alone(db, da) <= (den - num) * nb // num
+                if not keep_a.any() or not keep_b.any():
+                    continue
+                xa, na, la, da = xa[keep_a], na[keep_a], la[keep_a], [d for d, k in zip(da, keep_a, strict=True) if k]
+                xb, nb, lb, db = xb[keep_b], nb[keep_b], lb[keep_b], [d for d, k in zip(db, keep_b, strict=True) if k]
                 apart = la[:, None] + lb[None, :] - 2 * common_counts(da, db).astype(np.int64)
                 i, j = np.nonzero(linked(na[:, None], nb[None, :], apart, num, den))
                 found = forest(i, j + len(xa), len(xa) + len(xb))
