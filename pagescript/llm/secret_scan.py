@@ -19,10 +19,11 @@ from .common import broadcast_if_small, cut, let
 MIN_LENGTH = 12
 CUTOFF = 0.5
 _C = r"A-Za-z0-9_+/\-"
-#: A run of token characters with a digit, with capitals after small letters, or of capitals alone; right after = or : any run of eight.
+#: A run of token characters with a digit, with a capital after small letters, or of capitals alone; right after = or : any run of
+#: eight. Looked at once from its start, without a way back, so long words cost no more than their length.
 _FOUND = (
-    rf"(?<![{_C}])(?:(?<=[=:]|[=:][\"'`]|[=:] [\"'`])[{_C}]{{8,}}"
-    rf"|(?=[A-Za-z_+/\-]*[0-9]|[{_C}]*[a-z][A-Za-z_+/\-]*[A-Z]|[A-Z]{{16}})[{_C}]{{{MIN_LENGTH},}})={{0,2}}"
+    rf"(?<![{_C}])(?:(?<=[=:]|[=:][\"'`]|[=:] [\"'`])[{_C}]{{8,}}+"
+    rf"|(?=[{_C}]{{{MIN_LENGTH}}})(?=[A-Za-z_+/\-]*+[0-9]|[A-Z]*+[a-z_+/\-]++[A-Z]|[A-Z]{{16}})[{_C}]++)={{0,2}}"
 )
 
 # Common words and word parts, names of credentials, signs of examples, prefixes of well-known key formats.
