@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,25 +30,36 @@ def page_text_score(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.where(longest > 0).select(*PAGE, score.alias("score"))
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 18)
+def _letters(token: str) -> Counter:
+    return Counter(token)
+
+
+@lru_cache(1 << 20)
 def token_weight(a: str, b: str) -> float:
     """1 for equal tokens; for tokens of three characters or more 1 - edits / the longer length, if that is .6 or more."""
     if a == b:
         return 1.0
-    if min(len(a), len(b)) < 3:
+    longest = max(len(a), len(b))
+    least = longest - 0.4 * longest - 1e-9
+    # Tokens can't be nearer than by their lengths, or by the letters that they share.
+    if min(len(a), len(b)) < max(3, least) or sum((_letters(a) & _letters(b)).values()) < least:
         return 0.0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    similar = 1 - row[-1] / max(len(a), len(b))
+    similar = 1 - row[-1] / longest
     return similar if similar >= 0.6 else 0.0
 
 
 def align(gold: list[str], predicted: list[str]) -> list[tuple[int, int, float]]:
     """The monotone alignment of greatest weight; of equal ones that which steps back in gold first, then in predicted."""
-    weight = np.array([[token_weight(a, b) for b in predicted] for a in gold]).reshape(len(gold), len(predicted))
+    rows, columns = sorted(set(gold)), sorted(set(predicted))
+    table = np.array([[token_weight(a, b) for b in columns] for a in rows]).reshape(len(rows), len(columns))
+    at_row, at_column = ({t: i for i, t in enumerate(x)} for x in (rows, columns))
+    weight = table[np.ix_([at_row[t] for t in gold], [at_column[t] for t in predicted])]
     best = np.zeros((len(gold) + 1, len(predicted) + 1))
     for i in range(1, len(gold) + 1):
         diagonal = best[i - 1, :-1] + weight[i - 1]
