@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, pieces
+from .common import broadcast_if_small, cut, partitions, pieces, written
 from .components import components
 from .shingles import mixed, per_text, sets
 
 #: Text of one packed block of keys.
 BLOCK_BYTES = 48 << 20
+#: Members that may be broadcast to the texts; if there are more, the texts are shuffled to them.
+MOST_MEMBERS = 500_000
 #: Members of a leader that are compared in one task.
 TILE = 2048
 #: Shingles of the members of a leader that are compared in one task, about.
@@ -323,8 +325,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
         keep = size > 1
         return pa.table({"key": pa.array((np.int64(key[0].as_py()) << 32) + k[keep].astype(np.int64)), "h": pa.array(leader[keep]), "x": pa.array(x[keep]), "size": pa.array(size[keep]), "more": pa.array(follow[keep])})
 
-    sent = cut(rows.mapInArrow(send, "range int, keys binary, base long, ids binary, times binary, key long, x long"))
-    leaders = cut(sent.where("range IS NOT NULL").select("range", "keys", "base", "ids", "times").groupBy("range").applyInArrow(lead, "key long, h long, x long, size long, more boolean"))
+    sent = written(rows.mapInArrow(send, "range int, keys binary, base long, ids binary, times binary, key long, x long"), "jaccard-keys")
+    leaders = written(sent.where("range IS NOT NULL").select("range", "keys", "base", "ids", "times").groupBy("range").applyInArrow(lead, "key long, h long, x long, size long, more boolean"), "jaccard-lists")
     behind = sent.where("range IS NULL").select("key", "x").join(leaders.where("more").select("key", "h", "size").distinct(), "key").select("key", "h", "x", "size")
     listed = leaders.select("key", "h", "x", "size").unionByName(behind).withColumn("fixed", F.col("key") % 2)
     # Linked sets share more lists than they need to: each set leaves its longest ones out.
@@ -335,8 +337,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     tiles = members.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES))).cast("int").alias("tiles"))
     placed = members.join(tiles, "h").select("h", "x", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int").alias("tile"), "tiles")
     heads = tiles.select("h", F.col("h").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "tiles")
-    wanted = placed.unionByName(heads)
-    with_text = wanted.join(rows.withColumnRenamed("doc_id", "x"), "x").select("h", "tile", "tiles", "x", "text")
+    wanted = broadcast_if_small(cut(placed.unionByName(heads)), MOST_MEMBERS)
+    with_text = rows.withColumnRenamed("doc_id", "x").join(wanted, "x").select("h", "tile", "tiles", "x", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links inside each tile; for leaders of several tiles also the tile, as differences from the leader."""
