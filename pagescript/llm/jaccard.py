@@ -406,7 +406,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     split = compared.where("ids IS NOT NULL").drop("a", "b")
     left = split.select("h", *[F.col(c).alias(f"{c}_l") for c in split.columns if c != "h"])
     right = split.select("h", *[F.col(c).alias(f"{c}_r") for c in split.columns if c != "h"])
-    pairs = left.join(right, "h").where("tile_l < tile_r").drop("h", "tile_l", "tile_r").repartition(count)
+    pairs = left.join(right, "h").where("tile_l < tile_r").drop("h", "tile_l", "tile_r")
     inside = compared.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
     links = inside.unionByName(pairs.mapInArrow(across, "a long, b long"))
 
