@@ -2,8 +2,8 @@
 
 Each document gets a vector of three transformed statistics. For each language and source a minimum-covariance-determinant
 estimate is made: from a start of medians and median deviations, concentration steps keep the share ``SUBSET`` of the group that
-is nearest by Mahalanobis distance and estimate mean and covariance anew from it; no step raises the determinant. The
-covariance is then scaled so that the median distance is what a normal distribution has. Documents beyond ``CUTOFF`` go.
+is nearest by Mahalanobis distance and estimate mean and covariance anew from it, until the determinant of no group falls any
+more. The covariance is then scaled so that the median distance is what a normal distribution has. Documents beyond ``CUTOFF`` go.
 
 Estimates are sums and mergeable quantile sketches, so a group of any size is pre-aggregated where its rows are; only one row per
 group is joined back.
@@ -19,15 +19,17 @@ from .common import WS, broadcast_if_small, cut, let
 SYMBOLS = "#*$%&|<>"
 #: Share of a group that a concentration step keeps.
 SUBSET = 0.75
-STEPS = 2
+#: A group whose determinant falls by no more than this share in a step has settled.
+SETTLED = 1e-6
 #: Groups of fewer documents are judged by the estimate of all documents.
 MIN_GROUP = 50
 #: Median of chi-squared with three degrees of freedom.
 MEDIAN = 2.366
-#: Squared distance beyond which a document goes: chi-squared with three degrees of freedom exceeds it once in a million.
-CUTOFF = 30.7
-#: Added to the standard deviation of each statistic: groups of nearly equal documents don't reject small differences.
-FLOORS = (0.08, 0.15, 0.35)
+#: Squared distance beyond which a document goes: chi-squared with three degrees of freedom exceeds it once in a thousand.
+CUTOFF = 16.266
+#: Standard deviations added to each statistic, for groups where it is tied. Most texts have no symbol and no repeated line, so these
+#: alone set how much passes there: a symbol in every five words, one line in five that is a repeat.
+FLOORS = (0.05, 0.05, 0.3)
 DIMS = ("z1", "z2", "z3")
 
 
@@ -91,17 +93,22 @@ def vector(stats: DataFrame) -> DataFrame:
     )
 
 
+def determinant(floors: tuple[float, ...]) -> Column:
+    a, b, c = (F.col(f"c{i}{i}") + floors[i - 1] ** 2 for i in (1, 2, 3))
+    x, y, z = F.col("c12"), F.col("c13"), F.col("c23")
+    return a * (b * c - z * z) - x * (x * c - z * y) + y * (x * z - b * y)
+
+
 def distance(floors: tuple[float, ...] = (1e-6, 1e-6, 1e-6)) -> Column:
     """Squared Mahalanobis distance of (z1, z2, z3) from m1.. under the covariance c11.., each variance raised by its floor squared."""
     d = {i: F.col(f"z{i}") - F.col(f"m{i}") for i in (1, 2, 3)}
     a, b, c = (F.col(f"c{i}{i}") + floors[i - 1] ** 2 for i in (1, 2, 3))
     x, y, z = F.col("c12"), F.col("c13"), F.col("c23")
-    det = a * (b * c - z * z) - x * (x * c - z * y) + y * (x * z - b * y)
     form = (
         d[1] * d[1] * (b * c - z * z) + d[2] * d[2] * (a * c - y * y) + d[3] * d[3] * (a * b - x * x)
         + 2 * (d[1] * d[2] * (y * z - x * c) + d[1] * d[3] * (x * z - b * y) + d[2] * d[3] * (x * y - a * z))
     )
-    return form / det
+    return form / determinant(floors)
 
 
 def moments(rows: DataFrame, groups: list[str]) -> DataFrame:
@@ -109,20 +116,26 @@ def moments(rows: DataFrame, groups: list[str]) -> DataFrame:
     return rows.groupBy(*groups).agg(*[F.avg(f"z{i}").alias(f"m{i}") for i in (1, 2, 3)], *[F.covar_pop(f"z{i}", f"z{j}").alias(f"c{i}{j}") for i, j in pairs])
 
 
-def mcd(vectors: DataFrame, group: str, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
+def mcd(vectors: DataFrame, group: str, subset: float = SUBSET) -> DataFrame:
     """Estimates per group: group + m1..m3, c11..c33, scaled to the normal distribution. group must not be null.
 
-    The start is the median and the quartile range of each statistic. Groups whose subset is constant have a covariance of zero;
-    the floors of distance() keep it usable.
+    The start is the median and the quartile range of each statistic. A group keeps its estimate and takes part in no more steps once
+    a step doesn't lower its determinant (that of distance(), with the floors); as this is bounded below, the steps come to an end.
+    Groups whose subset is constant have a covariance of zero; the floors of distance() keep it usable.
     """
     quartiles = vectors.groupBy(group).agg(*[F.percentile_approx(z, [0.25, 0.5, 0.75], 2000).alias(z) for z in DIMS])
     means = {f"m{i}": F.col(z)[1] for i, z in enumerate(DIMS, 1)}
     spreads = {f"c{i}{i}": F.pow((F.col(z)[2] - F.col(z)[0]) / 1.349, F.lit(2.0)) for i, z in enumerate(DIMS, 1)}
-    now = cut(quartiles.withColumns(means | spreads | {c: F.lit(0.0) for c in ("c12", "c13", "c23")}).drop(*DIMS))
-    for _ in range(steps):
-        far = vectors.join(broadcast_if_small(now), group).select(group, *DIMS, distance(FLOORS).alias("d2"))
+    now = cut(quartiles.withColumns(means | spreads | {c: F.lit(0.0) for c in ("c12", "c13", "c23")}).drop(*DIMS).withColumns({"_det": F.lit(None).cast("double"), "_moved": F.lit(True)}))
+    while not (moving := now.where("_moved")).isEmpty():
+        far = vectors.join(broadcast_if_small(moving), group).select(group, *DIMS, distance(FLOORS).alias("d2"))
         within = cut(far.groupBy(group).agg(F.percentile_approx("d2", subset, 2000).alias("most")))
-        now = cut(moments(far.join(broadcast_if_small(within), group).where("d2 <= most"), [group]))
+        step = moments(far.join(broadcast_if_small(within), group).where("d2 <= most"), [group]).withColumn("_new", determinant(FLOORS))
+        step = cut(step.join(moving.select(group, "_det"), group).where(F.col("_det").isNull() | (F.col("_new") < F.col("_det") * (1 - SETTLED))))
+        taken = step.drop("_det").withColumnRenamed("_new", "_det").withColumn("_moved", F.lit(True))
+        stays = now.join(step.select(group), group, "left_anti").withColumn("_moved", F.lit(False))
+        now = cut(stays.unionByName(taken))
+    now = now.drop("_det", "_moved")
     far = vectors.join(broadcast_if_small(now), group).select(group, distance().alias("d2"))
     scale = far.groupBy(group).agg((F.percentile_approx("d2", 0.5, 2000) / F.lit(MEDIAN)).alias("scale"))
     # A scale below 1 or from a degenerate group is no evidence that documents are closer together than their subset.

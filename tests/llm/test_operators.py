@@ -203,6 +203,47 @@ def test_quality_rejects_outliers_only(spark):
     assert not any(found[900 + i] for i in range(15)) and sum(found[i] for i in range(200)) >= 198
 
 
+def test_quality_rejects_tables_and_repeated_lines(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randrange(40, 90)), "en", "a", 0) for i in range(300)]
+    rows += [(900 + i, " | ".join(prose(rng, 1 + j % 2) for j in range(20)), "en", "a", 0) for i in range(40)]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOC)).collect()}
+    tables = [found[900 + i] for i in range(40)]
+    assert all(0.3 < r.n_symbols / r.n_words < 0.6 for r in tables) and not any(r.base_failed or r.kept for r in tables)
+    assert sum(found[i].kept for i in range(300)) >= 297
+    half = spark.createDataFrame([(1.0, 0.0, 1.79, 1.0, 0.0, 0.0, *[0.0] * 6)], "z1 double, z2 double, z3 double, m1 double, m2 double, m3 double, c11 double, c12 double, c13 double, c22 double, c23 double, c33 double")
+    assert half.select(quality.distance(quality.FLOORS)).first()[0] > quality.CUTOFF
+
+
+def test_quality_estimates_settle(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    groups = {}
+    for k in range(4):
+        good, bad = rng.normal(0, 1, (400, 3)) * (0.3, 0.5, 1), rng.normal(0, 0.4, (60 + 20 * k, 3)) + (2.5, -3, 3)
+        groups[f"g{k}"] = np.concatenate([good, bad])
+    groups["tied"] = np.tile((1.0, 0.0, 0.0), (80, 1))
+    floors = np.diag(np.square(quality.FLOORS))
+    steps = {}
+    for name, z in groups.items():
+        q = np.quantile(z, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        m, c, least = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2), None
+        for n in range(100):
+            d = np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c + floors), z - m)
+            near = z[d <= np.quantile(d, quality.SUBSET, method="inverted_cdf") + 1e-12]
+            new = np.cov(near.T, bias=True)
+            if least is not None and np.linalg.det(new + floors) >= least * (1 - quality.SETTLED):
+                break
+            m, c, least = near.mean(0), new, np.linalg.det(new + floors)
+        steps[name] = (n, m)
+    assert max(n for n, _ in steps.values()) > 2
+    rows = [(g, *map(float, z)) for g, zs in groups.items() for z in zs]
+    found = {r.g: r for r in quality.mcd(spark.createDataFrame(rows, "g string, z1 double, z2 double, z3 double"), "g").collect()}
+    for name, (_, m) in steps.items():
+        assert [found[name][f"m{i}"] for i in (1, 2, 3)] == pytest.approx(list(m), abs=1e-6)
+
+
 def test_license_base_places_equal_brute_force(spark, empty):
     texts = ["CC BY cc-by, x", "The GNU General  Public\nLicense; all rights reserved. All Rights", None, "", "cc", "by cc by cc by", "general public", "Released under the MIT License.", "license general public license", "a" * 5000 + " cc by", "Licensed under CC BY-NC 4.0."] * 2
     rows = [(i, t) for i, t in enumerate(texts)]
