@@ -13,8 +13,8 @@ def action_errors(actions: DataFrame) -> DataFrame:
 
 
 def oracle_actions(errors: DataFrame, least_gain: float = 0.03) -> DataFrame:
-    """(item, best_action, best_cer, base_cer, gain, oracle_action): the action of least error, the first of equals; NONE if it gains little."""
-    best = errors.groupBy("sequence_id", "item_id").agg(F.min(F.struct("cer", "action_pos", "action")).alias("b"), F.max(F.when(F.col("action") == "NONE", F.col("cer"))).alias("base_cer"))
+    """(item, best_action, best_cer, base_cer, gain, oracle_action): the action of least error, the first of equals; NONE if it gains little. Actions without a text have no error."""
+    best = errors.groupBy("sequence_id", "item_id").agg(F.min(F.when(F.col("cer").isNotNull(), F.struct("cer", "action_pos", "action"))).alias("b"), F.max(F.when(F.col("action") == "NONE", F.col("cer"))).alias("base_cer"))
     gain = F.col("base_cer") - F.col("b.cer")
     return best.select("sequence_id", "item_id", F.col("b.action").alias("best_action"), F.col("b.cer").alias("best_cer"), "base_cer", gain.alias("gain"), F.when(gain >= least_gain, F.col("b.action")).otherwise("NONE").alias("oracle_action"))
 

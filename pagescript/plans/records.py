@@ -403,13 +403,23 @@ def s8_resume_pending(spark, sf_dir):
 
 # ---- text and scores
 
-_CER = "CASE WHEN length({t}) = 0 THEN CASE WHEN length({f}) = 0 THEN 0.0e0 ELSE 1.0e0 END ELSE levenshtein({t}, {f}) / CAST(length({t}) AS DOUBLE) END"
-_ASCII = r"regexp_matches({c}, '^[ -~\s]*$')"
+# DuckDB's levenshtein counts bytes, so in SQL the letters outside ASCII that the tables hold stand for one byte each.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(upper(text), '\s+', ' ', 'g')) AS plain, trim(regexp_replace(regexp_replace(upper(text), '[^A-Z0-9''!?.,:;()\-\x22\s]', '', 'g'), '\s+', ' ', 'g')) AS oracle FROM documents WHERE " + _ASCII.format(c="text"))
+def _edits(a: str, b: str) -> str:
+    return "levenshtein({}, {})".format(*[f"translate({c}, '{_LETTERS}', '{_BYTES}')" for c in (a, b)])
+
+
+_CER = f"CASE WHEN length(target_text) = 0 THEN CASE WHEN length(text) = 0 THEN 0.0e0 ELSE 1.0e0 END ELSE {_edits('target_text', 'text')} / CAST(length(target_text) AS DOUBLE) END"
+#: Upper case as Spark has it.
+_UPPER = f"translate(upper(replace(text, 'ß', 'SS')), '{T.FANCY}', '{T.PLAIN.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(upper(replace(text, 'ß', 'SS')), '\s+', ' ', 'g')) AS plain, trim(regexp_replace(regexp_replace(replace(" + _UPPER + r", '…', '...'), '[^A-Z0-9''!?.,:;()\-\x22\s]', '', 'g'), '\s+', ' ', 'g')) AS oracle FROM documents")
 def t1_normalize_text(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(T.ASCII))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", T.plain(F.col("text")).alias("plain"), T.oracle(F.col("text")).alias("oracle"))
 
 
@@ -419,18 +429,18 @@ def t1_scorer_form(spark, sf_dir):
     return docs.select("doc_id", F.sha2(T.scorer(F.col("text")), 256).alias("form"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''\-][a-z0-9]+)*|[^\sa-z0-9]')) AS tokens FROM documents WHERE " + _ASCII.format(c="text"))
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''\-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]')) AS tokens FROM documents")
 def t2_tokenize(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(T.ASCII))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.size(T.tokens(F.lower("text"))).alias("tokens"))
 
 
 def _actions(spark, sf_dir):
     (rows,) = load(spark, sf_dir, "fx_actions")
-    return rows.where(F.col("target_text").rlike(T.ASCII))
+    return rows
 
 
-_ERRORS = "SELECT *, " + _CER.format(t="target_text", f="text") + " AS cer FROM fx_actions WHERE " + _ASCII.format(c="target_text")
+_ERRORS = f"SELECT *, {_CER} AS cer FROM fx_actions"
 
 
 @query(f"SELECT item_id, action, round(cer, 6) AS cer FROM ({_ERRORS})", "fx_actions")
@@ -475,16 +485,13 @@ def t8_fuzzy_ratio(spark, sf_dir):
 
 
 _T9 = f"""WITH g AS (SELECT sequence_id, page_index, string_agg(text, ' ' ORDER BY line_index) AS g FROM fx_gold GROUP BY ALL), p AS (SELECT sequence_id, page_index, string_agg(text, ' ' ORDER BY line_index) AS p FROM fx_pred GROUP BY ALL)
-  SELECT sequence_id, page_index, CASE WHEN g = p THEN 1.0e0 ELSE greatest(0.0e0, 1 - levenshtein(coalesce(g, ''), coalesce(p, '')) / CAST(greatest(length(coalesce(g, '')), length(coalesce(p, ''))) AS DOUBLE)) END AS score
-  FROM g FULL JOIN p USING (sequence_id, page_index) WHERE greatest(length(coalesce(g, '')), length(coalesce(p, ''))) > 0 AND {_ASCII.format(c="coalesce(g, '')")} AND {_ASCII.format(c="coalesce(p, '')")}"""
+  SELECT sequence_id, page_index, CASE WHEN g = p THEN 1.0e0 ELSE greatest(0.0e0, 1 - {_edits("coalesce(g, '')", "coalesce(p, '')")} / CAST(greatest(length(coalesce(g, '')), length(coalesce(p, ''))) AS DOUBLE)) END AS score
+  FROM g FULL JOIN p USING (sequence_id, page_index) WHERE greatest(length(coalesce(g, '')), length(coalesce(p, ''))) > 0"""
 
 
 @query(f"SELECT sequence_id, page_index, round(score, 6) AS score FROM ({_T9})", "fx_gold", "fx_pred")
 def t9_page_text_score(spark, sf_dir):
-    gold, pred = load(spark, sf_dir, "fx_gold", "fx_pred")
-    foreign = gold.where(~F.col("text").rlike(T.ASCII)).select(*K).unionByName(pred.where(~F.col("text").rlike(T.ASCII)).select(*K)).distinct()
-    plain = [t.join(foreign, K, "left_anti") for t in (gold, pred)]
-    return score.page_text_score(*plain).select(*K, *r6("score"))
+    return score.page_text_score(*load(spark, sf_dir, "fx_gold", "fx_pred")).select(*K, *r6("score"))
 
 
 @query()
@@ -529,7 +536,7 @@ def _blocks(spark, sf_dir):
     return rows.select(F.col("sequence_id").alias("page_id"), (F.col("item_id") % 5).alias("block_pos"), (F.col("item_id") * 3 % 7).alias("gt_pos"), "action", "action_pos", score_.alias("score"))
 
 
-_BLOCKS = "SELECT sequence_id AS page_id, item_id % 5 AS block_pos, item_id * 3 % 7 AS gt_pos, action, action_pos, CAST((item_id * 17 + action_pos * 31) % 101 AS DOUBLE) AS score FROM fx_actions WHERE " + _ASCII.format(c="target_text")
+_BLOCKS = "SELECT sequence_id AS page_id, item_id % 5 AS block_pos, item_id * 3 % 7 AS gt_pos, action, action_pos, CAST((item_id * 17 + action_pos * 31) % 101 AS DOUBLE) AS score FROM fx_actions"
 _X1 = f"""SELECT page_id, block_pos, gt_pos, action, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, gt_pos ORDER BY score DESC, block_pos DESC) AS m FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id, block_pos ORDER BY score DESC, gt_pos, action_pos) AS n FROM ({_BLOCKS})) WHERE n = 1 AND score >= 50) WHERE m = 1"""
 

@@ -245,3 +245,45 @@ def test_accepted_groupings_use_up_their_members(spark):
     proposals = spark.createDataFrame([(1, 0, *a) for a in asked], f"{keys}, proposal_pos int, confidence double, target int, members array<int>")
     found = {r.proposal_pos: r.accepted for r in layout.apply_visual_groupings(proposals, regions).collect()}
     assert found == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_text_queries_take_rows_in_any_alphabet(spark):
+    import re
+
+    from pagescript.fixtures import load
+    from pagescript.plans.records import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    plain = {r.doc_id: r.plain for r in QUERIES["t1_normalize_text"](spark, SF).collect()}
+    sizes = {r.doc_id: r.tokens for r in QUERIES["t2_tokenize"](spark, SF).collect()}
+    assert any(not t.isascii() for t in texts.values())
+    assert plain == {d: re.sub(r"[ \t\n\x0b\f\r]+", " ", t.upper()).strip(" ") for d, t in texts.items()}
+    assert sizes == {d: len(re.findall(r"[^\W_]+(?:['\-][^\W_]+)*|[^\s\w]|_", t.lower())) for d, t in texts.items()}
+    actions = {(r.item_id, r.action): (r.target_text, r.text) for r in load(spark, SF, "fx_actions")[0].collect()}
+    errors = {(r.item_id, r.action): r.cer for r in QUERIES["t3_char_error_rate"](spark, SF).collect()}
+    assert set(errors) == set(actions)
+    some = [k for k in sorted(k for k, (t, f) in actions.items() if not t.isascii() and t != f)][::10]
+    assert some and all(errors[k] == pytest.approx(levenshtein(*actions[k]) / len(actions[k][0]), abs=1e-6) for k in some)
+    for name in ("t4_word_error_rate", "t8_fuzzy_ratio", "x7_policy_features"):
+        assert {(r.item_id, r.action) for r in QUERIES[name](spark, SF).collect()} == set(actions)
+    gold, pred = load(spark, SF, "fx_gold", "fx_pred")
+    pages = {(r.sequence_id, r.page_index) for r in gold.unionByName(pred).where("text <> ''").collect()}
+    assert {(r.sequence_id, r.page_index) for r in QUERIES["t9_page_text_score"](spark, SF).collect()} == pages
+
+
+def test_an_action_without_text_is_never_best(spark):
+    rows = [(1, 1, "NONE", 1, 0.5), (1, 1, "UPSCALE", 2, None), (1, 1, "CONTRAST", 3, 0.2)]
+    table = spark.createDataFrame(rows, "sequence_id long, item_id long, action string, action_pos int, cer double")
+    assert policy.oracle_actions(table).first().best_action == "CONTRAST"
