@@ -1,4 +1,4 @@
-"""Views that re-shape the driver tables into detection, candidate and transcript tables. The same SQL runs on Spark and DuckDB."""
+"""Views that re-shape the driver tables into detection, candidate and transcript tables. The same SQL runs on Spark and, but for the name of explode, DuckDB."""
 
 from __future__ import annotations
 
@@ -71,22 +71,26 @@ select conv_id as sequence_id, cast(turn % 3 as int) as page_index, cast(floor(t
             when role = 'user' then 'Character A' else 'Character B' end as speaker,
        replace(text, 'th', 't') as text
 from conversations where turn <> 4 and conv_id % 10 <> 7
+""",
+    # regions of 60 characters, so that each text is there to its end
+    "fx_lines": """
+select doc_id * 1000000 + line as region_id, substring(text, line * 60 + 1, 60) as text, n_chars
+from (select doc_id, text, n_chars, explode(sequence(0, cast(floor((greatest(coalesce(length(text), 0), 1) - 1) / 60) as int))) as line from documents) as lines
 """,
     # three hypotheses per region, four regions per balloon
     "fx_candidates": """
-select cast(floor(doc_id / 4) as bigint) as balloon_id, doc_id as region_id, s.source,
-       case s.source when 'ocr_base' then replace(substring(text, 1, 60), 'e', 'c')
-                     when 'nemotron' then substring(text, 1, 60) else upper(substring(text, 1, 60)) end as text,
+select cast(floor(region_id / 4) as bigint) as balloon_id, region_id, s.source,
+       case s.source when 'ocr_base' then replace(text, 'e', 'c')
+                     when 'nemotron' then text else upper(replace(text, 'ß', 'ss')) end as text,
        case when s.source = 'qwen3_vl' then null else ((n_chars + s.j * 17) % 101) / 100.0e0 end as ocr_confidence
-from documents cross join (values ('ocr_base', 1), ('nemotron', 2), ('qwen3_vl', 3)) as s(source, j)
-where lang = 'en'
+from fx_lines cross join (values ('ocr_base', 1), ('nemotron', 2), ('qwen3_vl', 3)) as s(source, j)
 """,
     # six preprocessing outcomes per reference text
     "fx_actions": """
-select cast(floor(item_id / 8) as bigint) as sequence_id, item_id, a.action, a.j as action_pos, substring(text, 1, 80) as target_text,
-       case when a.j = 1 then replace(substring(text, 1, 80), 'an', 'en')
-            when (item_id + a.j) % 3 = 0 then substring(text, 1, 80)
-            else replace(substring(text, 1, 80), 'th', cast(a.j as string)) end as text,
+select cast(floor(item_id / 8) as bigint) as sequence_id, item_id, a.action, a.j as action_pos, text as target_text,
+       case when a.j = 1 then replace(text, 'an', 'en')
+            when (item_id + a.j) % 3 = 0 then text
+            else replace(text, 'th', cast(a.j as string)) end as text,
        ((item_id * 13 + a.j * 29) % 100) / 100.0e0 as recognition_score
 from benchmark cross join (values ('NONE', 1), ('UPSCALE', 2), ('CONTRAST', 3), ('THRESHOLD', 4), ('ROTATE_CW', 5), ('ROTATE_CCW', 6)) as a(action, j)
 """,
@@ -131,4 +135,5 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]
 
 def with_views(sql: str, *names: str) -> str:
     """sql for DuckDB with the views as common table expressions."""
-    return "WITH " + ", ".join(f"{name} AS ({VIEWS[name]})" for name in needed(list(names))) + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else "\n" + sql)
+    views = {name: VIEWS[name].replace("explode(sequence(", "unnest(generate_series(") for name in needed(list(names))}
+    return "WITH " + ", ".join(f"{name} AS ({view})" for name, view in views.items()) + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else "\n" + sql)

@@ -287,3 +287,16 @@ def test_an_action_without_text_is_never_best(spark):
     rows = [(1, 1, "NONE", 1, 0.5), (1, 1, "UPSCALE", 2, None), (1, 1, "CONTRAST", 3, 0.2)]
     table = spark.createDataFrame(rows, "sequence_id long, item_id long, action string, action_pos int, cer double")
     assert policy.oracle_actions(table).first().best_action == "CONTRAST"
+
+
+def test_fixtures_hold_whole_texts(spark):
+    from pagescript.fixtures import load
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    regions = sorted((r.region_id, r.text) for r in load(spark, SF, "fx_candidates")[0].where("source = 'nemotron'").collect())
+    found = {d: "" for d in texts}
+    for region, text in regions:
+        found[region // 1000000] += text
+    assert found == texts and len({r for r, _ in regions}) == len(regions)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert {(r.item_id, r.target_text) for r in load(spark, SF, "fx_actions")[0].collect()} == set(items.items())
