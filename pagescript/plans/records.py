@@ -80,7 +80,7 @@ def c4_candidate_bank(spark, sf_dir):
 
 @query()
 def c5_candidate_similarity(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).where(F.col("region_id") % 4 == 0).withColumn("candidate_id", F.concat_ws("-", "region_id", "source"))
+    rows = _candidates(spark, sf_dir).withColumn("candidate_id", F.concat_ws("-", "region_id", "source"))
     return evidence.candidate_similarity(rows, "region_id").withColumn("ratio", F.round("ratio", 6))
 
 

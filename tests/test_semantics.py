@@ -300,3 +300,11 @@ def test_fixtures_hold_whole_texts(spark):
     assert found == texts and len({r for r, _ in regions}) == len(regions)
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     assert {(r.item_id, r.target_text) for r in load(spark, SF, "fx_actions")[0].collect()} == set(items.items())
+
+
+def test_every_region_is_compared(spark):
+    from pagescript.fixtures import load
+    from pagescript.plans.records import QUERIES
+
+    regions = load(spark, SF, "fx_candidates")[0].select("region_id").distinct()
+    assert QUERIES["c5_candidate_similarity"](spark, SF).count() == 6 * regions.count()
