@@ -53,13 +53,15 @@ def identity_summary(members: DataFrame) -> DataFrame:
 
 
 def consistency_checks(resolved: DataFrame, members: DataFrame) -> DataFrame:
-    """(sequence_id, rule, n): labels per identity, characters of one page in a cluster, excluded rows, page order, repeats."""
+    """(sequence_id, rule, n): labels per identity, characters of one page in a cluster, excluded rows, page order, repeats, unknown characters."""
     along = Window.partitionBy("sequence_id").orderBy("sequence_position")
     found = [
         members.groupBy("sequence_id", "cluster", "page_index").count().where("count > 1").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("same_page_members")),
         resolved.where("character_id IS NOT NULL AND speaker IS NOT NULL AND speaker <> 'NARRATION'").groupBy("sequence_id", "character_id").agg(F.countDistinct("speaker").alias("k")).where("k > 1").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("several_labels")),
         resolved.withColumn("_prev", F.lag("page_index").over(along)).where("page_index < _prev").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("page_order")),
         resolved.groupBy(*BALLOON).count().where("count > 1").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("repeated_balloon")),
+        resolved.where("resolution = 'excluded'").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("excluded_in_story")),
+        resolved.where(F.array_contains("codes", "unknown_character")).groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("unknown_character")),
     ]
     out = found[0]
     for more in found[1:]:

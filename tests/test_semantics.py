@@ -308,3 +308,11 @@ def test_every_region_is_compared(spark):
 
     regions = load(spark, SF, "fx_candidates")[0].select("region_id").distinct()
     assert QUERIES["c5_candidate_similarity"](spark, SF).count() == 6 * regions.count()
+
+
+def test_consistency_checks_find_excluded_rows_and_unknown_characters(spark):
+    rows = [(1, 0, 1, 0, 3, "A", "excluded", []), (1, 0, 2, 1, 9, None, "unresolved", ["unknown_character"]), (1, 1, 1, 2, 3, "A", "ordered", [])]
+    resolved = spark.createDataFrame(rows, "sequence_id long, page_index int, balloon_pos int, sequence_position int, character_id long, speaker string, resolution string, codes array<string>")
+    members = spark.createDataFrame([(1, 3, 0, 1)], "sequence_id long, character_id long, page_index int, cluster int")
+    found = {tuple(r) for r in resolve.consistency_checks(resolved, members).collect()}
+    assert found == {(1, "excluded_in_story", 1), (1, "unknown_character", 1)}
