@@ -83,14 +83,18 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
 def weak_labels(found: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """Labelled findings from candidates: FEATURES + label, at most most_rows of each label (those of least hash).
 
-    1: a well-known key format, or an assignment to a credential of a value with digits and without dictionary words. 0: runs of
-    examples, digits alone, and runs with neither digits nor many case changes. Everything else stays unlabelled.
+    1: a well-known key format, or an assignment to a credential of a value with digits and without dictionary words. 0: runs that
+    are examples by themselves or by the name that they are assigned to, digits alone, and runs with neither digits nor many case
+    changes unless they are assigned to a credential. Everything else stays unlabelled.
     """
     c = F.col("candidate")
     known = c.rlike(KNOWN_FORMAT)
     secret = (F.col("credential_before") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.15) & (F.col("covered") < 0.3)
-    harmless = ((F.col("digits") == 0) & (F.col("case_changes") < 0.2)) | (F.col("digits") == 1)
-    labelled = found.withColumn("label", F.when(F.col("example_near") == 1, 0.0).when(known, 1.0).when(harmless, 0.0).when(secret, 1.0)).where("label IS NOT NULL")
+    to_credential = (F.col("credential_before") == 1) & (F.col("assigned") == 1)
+    harmless = ((F.col("digits") == 0) & (F.col("case_changes") < 0.2) & ~to_credential) | (F.col("digits") == 1)
+    name = F.regexp_extract("before", r"([\w.\-]+)[\"'`]?\s*[=:]\s*[\"'`]?$", 1)
+    example = c.rlike(EXAMPLE) | name.rlike(EXAMPLE) | F.translate(name, "_-.", "   ").rlike(EXAMPLE)
+    labelled = found.withColumn("label", F.when(known, 1.0).when(example, 0.0).when(harmless, 0.0).when(secret, 1.0)).where("label IS NOT NULL")
     order = F.xxhash64("candidate", "before")
     pick = [labelled.where(F.col("label") == y).orderBy(order, "doc_id", "ordinal").limit(most_rows).select("label", *FEATURES) for y in (0.0, 1.0)]
     return pick[0].unionAll(pick[1])

@@ -381,3 +381,13 @@ def test_chat_round_trip(spark):
     offsets = chat.with_offsets(turns).where("conv_id = 1").orderBy("token_offset").collect()
     assert offsets[0].token_offset == 0 and offsets[1].token_offset == len(offsets[0].ids)
     assert chat.read_back(turns.where("false"), VOCABULARY, PATTERN).count() == 0
+
+
+def test_weak_labels_spare_real_secrets(spark):
+    key = "AKIA" + "ABCDEFGH2345JKLM"
+    texts = [f"a test of the deploy, key {key} here", "password=correcthorsebattery", "for the test run: token = a8f3k2m9x4q7z1w5", "test_token = a8f3k2m9x4q7z1w5"]
+    found = secret_scan.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    labels = {}
+    for i in range(4):
+        labels[i] = [r.label for r in secret_scan.weak_labels(found.where(F.col("doc_id") == i)).collect()]
+    assert labels == {0: [1.0], 1: [], 2: [1.0], 3: [0.0]}
