@@ -99,11 +99,14 @@ def stump_leave_one_out(rows: DataFrame, feature: str, label: str, group: str) -
     """(group, threshold, direction, score): per left-out group the one-feature rule of best balanced accuracy on the others.
 
     Thresholds lie midway between neighbouring values; direction 1 says yes above, -1 below; of equals the larger threshold, then
-    direction. Counts come from one table of (group, value) totals.
+    direction. Counts are the totals of each value less those of the left-out group.
     """
-    totals = rows.groupBy(group, F.col(feature).cast("double").alias("value")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    totals = rows.groupBy(group, F.col(feature).cast("double").alias("value")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"), F.count("*").alias("n")).where(F.col(group).isNotNull())
     folds = totals.select(F.col(group).alias("fold")).distinct()
-    kept = folds.join(totals, F.col("fold") != F.col(group)).groupBy("fold", "value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    overall = totals.groupBy("value").agg(*[F.sum(x).alias(f"all_{x}") for x in ("pos", "neg", "n")])
+    own = totals.withColumnRenamed(group, "fold")
+    less = [(F.coalesce(f"all_{x}", F.lit(0)) - F.coalesce(x, F.lit(0))).alias(x) for x in ("pos", "neg", "n")]
+    kept = folds.crossJoin(overall).join(own, ["fold", "value"], "left").select("fold", "value", *less).where("n > 0").drop("n")
     along = Window.partitionBy("fold").orderBy("value")
     upto, all_ = along.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("fold")
     cut = kept.withColumns({"next": F.lead("value").over(along), "pos_below": F.sum("pos").over(upto), "neg_below": F.sum("neg").over(upto), "pos_all": F.sum("pos").over(all_), "neg_all": F.sum("neg").over(all_)}).where("next IS NOT NULL AND pos_all > 0 AND neg_all > 0")
@@ -135,5 +138,19 @@ def grouped_cv(rows: DataFrame, features: list[str], label: str, fold: str, fold
 
 def group_split(sequences: DataFrame, ratio: float, seed: int) -> DataFrame:
     """+ held_out: max(1, round(n * ratio)) whole sequences, those of least hash. The hash replaces a shuffle by a random generator."""
-    chosen = sequences.select("sequence_id").distinct().orderBy(F.xxhash64("sequence_id", F.lit(seed)), "sequence_id").limit(int(max(1, round(ratio * sequences.select("sequence_id").distinct().count()))))
-    return sequences.join(chosen.withColumn("held_out", F.lit(True)), "sequence_id", "left").fillna(False, ["held_out"])
+    hashed = sequences.select("sequence_id").distinct().withColumn("h", F.xxhash64("sequence_id", F.lit(seed))).withColumn("bucket", F.shiftright("h", 52))
+    counts = sorted(hashed.groupBy("bucket").count().collect())
+    left = int(max(1, round(ratio * sum(n for _, n in counts))))
+    last = None
+    for bucket, n in counts:
+        last = bucket
+        if left <= n:
+            break
+        left -= n
+    # Only the bucket in which the last of them lies is ranked.
+    edge = hashed.where(F.col("bucket") == F.lit(last)).orderBy("h", "sequence_id").limit(left).agg(F.max(F.struct("h", "sequence_id")).alias("e")).first().e
+    if edge is None:
+        return sequences.withColumn("held_out", F.lit(False))
+    h = F.xxhash64("sequence_id", F.lit(seed))
+    below = (h < edge.h) | ((h == edge.h) & (F.col("sequence_id") <= F.lit(edge.sequence_id)))
+    return sequences.withColumn("held_out", F.coalesce(below & F.col("sequence_id").isNotNull(), F.lit(False)))
