@@ -1,85 +1,75 @@
 """N-gram Jaccard join, size-aware: subsets for small sets, inverted lists for large ones.
 
-Two documents link if the Jaccard similarity of their sets of word shingles reaches ``num / den``. Linked sets share a key:
-
-- Small sets enumerate their subsets of the fixed sizes that a link with any possible partner needs in common.
-- Large sets stand in inverted lists. The list of a single shingle would hold every document with a common line, so the elements of
-  the lists are hash ranges of shingles: with at most D shingles in either set alone, of D + 1 + E + SPARE ranges at least E + 1 + SPARE
-  have equal contents. A range without shingles makes no list; sets with more than SPARE such ranges share one list. So linked sets
-  share E + 1 lists, and each may leave out the E / 2 longest of its own: those that a common passage makes.
-- The boundary is the size at which subsets begin to cost more than lists, by the histogram of the sizes.
-
-Links in a list are found from its leader (smallest id): each member is reduced to its difference from the leader, and two
-members' distance follows from their differences alone, ``|x ^ y| = |dx| + |dy| - 2 |dx & dy|``. Members of all lists of a leader
-are compared once, in tiles of bounded size; only a spanning forest of the links leaves a tile. No pair is skipped, none is capped.
-
-Copies of a set are joined first, by signature. Keys travel packed, one row per block of texts and range of keys; a key that
-several texts of a block have is sent once, and these texts follow in an ordinary join on the key, which Spark splits if it is skewed.
+Two documents link if the Jaccard similarity of their sets of word shingles reaches ``num / den``. The join works on distinct sets:
+
+1. A set of n shingles can only link if it shares ``need(n)`` of them, so one with ``n - need(n) + 1`` shingles that no other document has is
+   closed. Blocks of texts send the hashes of a part of the hash space, packed and each once; ranges of hashes tell which are in
+   one document alone. Only open sets go on; in a corpus of mostly different texts these are few.
+2. Small sets enumerate their subsets of the fixed sizes that a link with any possible partner needs in common. Large sets are looked
+   up in inverted lists: of their rarest shingles, so many that two linked sets have one of them in common. A common line or
+   passage is never among these where a text has enough of its own. The boundary is the size from which on subsets cost
+   more than lists, by the histogram of the sizes of the open sets.
+3. The members of all lists that have the same least set (the leader) are compared once, in tiles of bounded size: each member is
+   reduced to its difference from the leader, and ``|x ^ y| = |dx| + |dy| - 2 |dx & dy|``. Only a spanning forest of the links
+   leaves a tile, so a group of near copies never becomes a table of pairs.
+4. Leaders of several tiles: members of different tiles that the links so far do not connect are held against each other by parity
+   sketches (a bit per hash value, flipped by each shingle there). Sketches differ in no more bits than sets differ in shingles, so
+   what they tell apart cannot link; what is left is compared in full.
+
+No pair is skipped, no list is capped. Copies of a set are joined by its signature (its size and two 64-bit sums).
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, partitions, pieces, written
 from .components import components
 from .shingles import mixed, per_text, sets
 
-#: Text of one packed block of keys.
-BLOCK_BYTES = 48 << 20
-#: Members that may be broadcast to the texts; if there are more, the texts are shuffled to them.
-MOST_MEMBERS = 500_000
-#: Members of a leader that are compared in one task.
-TILE = 2048
-#: Shingles of the members of a leader that are compared in one task, about.
-TILE_SHINGLES = 2_000_000
+#: Hashes and texts of one packed block.
+BLOCK_HASHES, BLOCK_TEXTS = 4_000_000, 60_000
+#: Hashes in one range, about.
+RANGE_HASHES = 2_000_000
+#: Of the hash space, so many times the share of shingles that a link may lack are looked at to close sets.
+POOL = 2.5
+#: Sets that may be broadcast to the texts; if there are more, the texts are shuffled to them.
+MOST_OPEN = 500_000
+#: Members of a leader, and shingles of these, that are compared in one task.
+TILE, TILE_SHINGLES = 2048, 2_000_000
+#: Members of a leader whose sketches are compared in one task.
+SKETCHES = 16_384
 #: Largest size that may count as small.
 LARGEST_SMALL = 64
-SPARE = 2
-#: Ranges that are made beyond the necessary ones, so that sets may leave out their longest lists.
-EXTRA = 8
-GROWTH = 1.25
 #: Shingles that stand side by side in the matrix of a tile.
 COLUMNS = 1024
-#: Set in keys that no set may leave out.
-_SUBSET = np.uint64(1)
+_SEVERAL = 0xFFFF
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Scheme:
-    """Which keys a set of some size has."""
+    """What a link needs, and which sets have subsets and which have lists."""
 
-    def __init__(self, num: int, den: int, boundary: int):
+    def __init__(self, num: int, den: int, boundary: int = 0):
         self.num, self.den, self.boundary = num, den, boundary
         #: Sets of this size or more may have a large partner.
         self.low = -(-num * (boundary + 1) // den)
-        edges = [max(1, self.low)]
-        while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, int(edges[-1] * GROWTH)))
-        self.edges = np.array(edges)
-        self.ranges = np.array([self.apart(b - 1) + 1 + self.extra(self.apart(b - 1)) + SPARE for b in edges[1:]])
-
-    def apart(self, size: int) -> int:
-        """Most shingles that only one of two linked sets has, the smaller of this size."""
-        return (self.den - self.num) * size // self.num
-
-    @staticmethod
-    def extra(apart: int) -> int:
-        """Ranges beyond those needed: linked sets share so many lists more than one, and each may leave half of them out."""
-        return min(EXTRA, apart // 2)
-
-    def droppable(self, size):
-        """Lists that a set of this size (a column) may leave out: half the extra of the least level that it has keys of."""
-        least = F.greatest(F.lit(0), F.floor(size / F.lit(GROWTH * GROWTH)) - 3)
-        apart = F.floor(F.lit(self.den - self.num) * least / F.lit(self.num))
-        return F.floor(F.least(F.lit(EXTRA), F.floor(apart / 2)) / 2)
+
+    def prefix(self, size):
+        """Of so many shingles of a set, linked sets share one, whichever are taken first in an order common to all (number or array)."""
+        return size + (-self.num * size) // self.den + 1
+
+    def prefix_of(self, size: Column) -> Column:
+        return size - F.ceil(F.lit(self.num) * size / F.lit(self.den)) + 1
 
     def common(self, size: int) -> list[int]:
         """The numbers of common shingles that links with the possible partners need."""
@@ -91,12 +81,15 @@ class Scheme:
 
 
 def boundary(counts: dict[int, int], num: int, den: int) -> int:
-    """The largest size whose sets, and all smaller ones, are cheaper as subsets: keys against keys and reading of the shingles."""
-    lists = {s: Scheme(num, den, 0).apart(s) * 2 + 1 + SPARE + s // 4 for s in range(1, LARGEST_SMALL + 1)}
+    """The largest size whose sets, and all smaller ones, are cheaper as subsets.
+
+    A set costs its subsets, or for lists a look-up of each shingle's frequency and an entry for each shingle of its prefix.
+    """
+    scheme = Scheme(num, den)
     cost, best, at = 0, 0, 0
     for s in range(1, LARGEST_SMALL + 1):
-        each = Scheme(num, den, 0).subsets(s)
-        cost += counts.get(s, 0) * (each - lists[s]) if counts.get(s) else (each - lists[s]) / 1e6
+        each = scheme.subsets(s)
+        cost += counts.get(s, 0) * (each - s - scheme.prefix(s)) if counts.get(s) else (each - s - scheme.prefix(s)) / 1e6
         if each > 100_000:
             break
         if cost < best:
@@ -104,46 +97,19 @@ def boundary(counts: dict[int, int], num: int, den: int) -> int:
     return at
 
 
-def keys(hashes: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the set) of all keys of all sets."""
-    sizes = np.diff(offsets)
-    value = mixed(hashes ^ _K2)
-    out_key, out_set = [], []
+def subset_keys(each: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of the set) of all subsets of the fixed sizes; each: the hashes of sets up to the boundary."""
+    sizes = np.array([len(x) for x in each])
+    out_key, out_set = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for size in np.unique(sizes[(sizes > 0) & (sizes <= scheme.boundary)]):
         members = np.flatnonzero(sizes == size)
-        rows = value[offsets[members][:, None] + np.arange(size)]
+        rows = mixed(np.stack([each[i] for i in members]) ^ _K2)
         whole = rows.sum(axis=1, dtype=np.uint64)
         for c in scheme.common(int(size)):
             left_out = np.array(list(combinations(range(size), int(size) - c)), dtype=np.int64)
             subset = whole[:, None] - (rows[:, left_out].sum(axis=2, dtype=np.uint64) if left_out.shape[1] else np.zeros((len(members), 1), np.uint64))
-            out_key.append(mixed(subset + np.array([c], np.uint64) * _K1).ravel() | _SUBSET)
+            out_key.append(mixed(subset + np.array([c], np.uint64) * _K1).ravel())
             out_set.append(np.repeat(members, subset.shape[1]))
-    large = sizes >= scheme.low
-    if large.any():
-        level = np.searchsorted(scheme.edges, np.maximum(sizes, scheme.edges[0]), side="right") - 1
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        for back in (0, 1):
-            at = level - back
-            fits = large & (at >= 0)
-            if back:  # as the larger set of a pair whose smaller one is a level below
-                fits &= scheme.num * sizes <= scheme.den * (scheme.edges[np.maximum(level, 0)] - 1)
-            ranges = np.where(fits, scheme.ranges[np.maximum(at, 0)], 0)
-            chosen = np.flatnonzero(fits[owner])
-            if not len(chosen):
-                continue
-            own = owner[chosen]
-            part = ((hashes[chosen] >> np.uint64(32)) * ranges[own].astype(np.uint64)) >> np.uint64(32)
-            begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])))
-            content = np.add.reduceat(value[chosen], begin)
-            place = mixed((at[own[begin]].astype(np.uint64) << np.uint64(32)) + part[begin] + _K1)
-            out_key.append(mixed(content ^ place) & ~_SUBSET)
-            out_set.append(own[begin])
-            filled = np.bincount(own[begin], minlength=len(sizes))
-            sparse = np.flatnonzero(fits & (ranges - filled > SPARE))
-            out_key.append(mixed((at[sparse].astype(np.uint64) << np.uint64(32)) ^ _K2) | _SUBSET)
-            out_set.append(sparse)
-    if not out_key:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_key), np.concatenate(out_set)
 
 
@@ -196,18 +162,11 @@ def forest(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[tuple[int,
     return kept
 
 
-def alone(deltas: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+def alone(deltas: list[np.ndarray]) -> np.ndarray:
     """For each difference, how many of its elements no other one has; these set its member apart from all of them."""
     lengths = np.array([len(d) for d in deltas])
-    values = np.concatenate(deltas) if len(deltas) else np.zeros(0, np.uint64)
-    if others is None:
-        distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
-        single = times[place] == 1
-    else:
-        there = np.unique(np.concatenate(others))
-        at = np.minimum(np.searchsorted(there, values), len(there) - 1)
-        single = there[at] != values if len(there) else np.ones(len(values), dtype=bool)
-    return np.bincount(np.repeat(np.arange(len(deltas)), lengths), weights=single, minlength=len(deltas)).astype(np.int64)
+    distinct, place, times = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+    return np.bincount(np.repeat(np.arange(len(deltas)), lengths), weights=times[place] == 1, minlength=len(deltas)).astype(np.int64)
 
 
 def links_within(ids: np.ndarray, sizes: np.ndarray, deltas: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -235,196 +194,307 @@ def links_within(ids: np.ndarray, sizes: np.ndarray, deltas: list[np.ndarray], n
     return [(int(ids[x]), int(ids[y])) for x, y in forest(np.concatenate(a), np.concatenate(b), len(ids))]
 
 
-def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included).
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the shingles at each hash value, in a power of two of bits that is twice the size of the set or more; at least 64."""
+    bits = 64
+    while bits < 2 * len(hashes):
+        bits *= 2
+    odd = np.bincount((mixed(hashes ^ _K1) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, to: int) -> np.ndarray:
+    """Rows of sketches brought down to fewer words: hash values are taken modulo the number of bits, so halves add up."""
+    while words.shape[1] > to:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def near_by_sketch(left: list[np.ndarray], sizes_l: np.ndarray, right: list[np.ndarray], sizes_r: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) whose sketches leave a link possible, in portions."""
+    words_l, words_r = (np.array([len(x) for x in side]) for side in (left, right))
+    for u in np.unique(words_l):
+        for v in np.unique(words_r):
+            i, j = np.flatnonzero(words_l == u), np.flatnonzero(words_r == v)
+            x, y = folded(np.stack([left[k] for k in i]), min(u, v)), folded(np.stack([right[k] for k in j]), min(u, v))
+            for at in range(0, len(i), 256):
+                apart = np.zeros((len(x[at : at + 256]), len(j)), dtype=np.int64)
+                for w in range(x.shape[1]):
+                    apart += np.bitwise_count(x[at : at + 256, w, None] ^ y[None, :, w])
+                p, q = np.nonzero(linked(sizes_l[i[at : at + 256]][:, None], sizes_r[j][None, :], np.maximum(apart, np.abs(sizes_l[i[at : at + 256]][:, None] - sizes_r[j][None, :])), num, den))
+                yield i[at + p], j[q]
 
-    docs: (doc_id, text), doc_id unique; rows with a null doc_id are left out, other columns too. A-Z count as lower case, a null
-    text is empty; documents without words link with nothing. Copies of a set are linked. num / den is the least similarity.
-    """
-    spark = docs.sparkSession
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    count = partitions(spark)
+
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2) per row of (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in pieces(batch.column(1)):
                 hashes, offsets = sets(texts, width)
-                value = mixed(hashes ^ _K1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(np.diff(offsets)), pa.array(per_text(np.add, value, offsets).view(np.int64)), pa.array(per_text(np.bitwise_xor, mixed(value), offsets).view(np.int64))],
-                    names=["doc_id", "n_shingles", "s1", "s2"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *map(pa.array, _signed(hashes, offsets))], names=["doc_id", *SIGNATURE])
                 at += len(texts)
 
-    signed = cut(rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long"))
-    sizes = signed.where(F.col("n_shingles").between(1, LARGEST_SMALL)).groupBy("n_shingles").count().collect()
-    scheme = Scheme(num, den, boundary({r.n_shingles: r["count"] for r in sizes}, num, den))
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long")
+
+
+SIGNATURE = ["n_shingles", "s1", "s2"]
+
+
+def _signed(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    value = mixed(hashes ^ _K1)
+    return [np.diff(offsets), per_text(np.add, value, offsets).view(np.int64), per_text(np.bitwise_xor, mixed(value), offsets).view(np.int64)]
+
+
+def closed_sets(rows: DataFrame, width: int, scheme: Scheme, total: int) -> DataFrame:
+    """Signatures of sets that link with no other: (n_shingles, s1, s2). total: shingles in all sets.
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(keys, ids) of the sets of about BLOCK_BYTES of text, sorted by key and id; each different set once per task."""
-        seen: set = set()
-        held, size = [], 0
+    A set that is not found here only costs more. So it does no harm that a lost task's blocks come back under other numbers.
+    """
+    pool = min(1.0, POOL * (scheme.den - scheme.num) / scheme.den)
+    top = int(pool * 2**32)
+    count = max(partitions(rows.sparkSession), int(total * pool) // RANGE_HASHES + 1)
+    kinds = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("signs", pa.binary())])
+
+    def packed(hashes: list[np.ndarray], owners: list[np.ndarray], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        block, h, owner = secrets.randbits(62), np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        owner = np.where(np.diff(np.append(first, len(h))) > 1, _SEVERAL, owner[first]).astype(np.uint16)
+        h = h[first]
+        to = ((h >> np.uint64(32)) * np.uint64(count) // np.uint64(top)).astype(np.int64)
+        cuts = np.searchsorted(to, np.arange(count + 1))
+        short = h.astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"range": [block % count], "block": [block], "hashes": [None], "owners": [None], "signs": [np.concatenate(signs).tobytes()]}, schema=kinds)
+        for r in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            s = slice(cuts[r], cuts[r + 1])
+            yield pa.RecordBatch.from_pydict({"range": [int(r)], "block": [block], "hashes": [short[s].tobytes()], "owners": [owner[s].tobytes()], "signs": [None]}, schema=kinds)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        n_hashes = n_texts = 0
         for batch in batches:
-            at = 0
-            for texts in pieces(batch.column(1)):
-                ids = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False)
-                at += len(texts)
+            for piece in pieces(batch.column(1)):
+                for at in range(0, len(piece), BLOCK_TEXTS):
+                    texts = piece.slice(at, BLOCK_TEXTS)
+                    if n_hashes >= BLOCK_HASHES or n_texts + len(texts) > BLOCK_TEXTS:
+                        yield from packed(*held)
+                        held, n_hashes, n_texts = ([], [], []), 0, 0
+                    hashes, offsets = sets(texts, width)
+                    looked_at = (hashes >> np.uint64(32)) < np.uint64(top)
+                    held[0].append(hashes[looked_at])
+                    held[1].append(np.repeat(np.arange(len(texts)) + n_texts, np.diff(offsets))[looked_at])
+                    held[2].append(np.stack(_signed(hashes, offsets), axis=1))
+                    n_hashes, n_texts = n_hashes + len(held[0][-1]), n_texts + len(texts)
+        if n_texts:
+            yield from packed(*held)
+
+    def single(key: tuple, table: pa.Table) -> pa.Table:
+        """Per block, how many hashes of the range each of its texts has alone."""
+        table = table.combine_chunks()
+        signs = table.filter(pa.compute.is_valid(table["signs"]))
+        table = table.filter(pa.compute.is_valid(table["hashes"]))
+        out = {"block": signs["block"].to_pylist(), "owners": [None] * len(signs), "times": [None] * len(signs), "signs": signs["signs"].to_pylist()}
+        if len(table):
+            each = [np.frombuffer(x, np.uint32) for x in table["hashes"].to_pylist()]
+            _, inverse, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+            owners = np.concatenate([np.frombuffer(x, np.uint16) for x in table["owners"].to_pylist()])
+            good = (times[inverse] == 1) & (owners != _SEVERAL)
+            ends = np.cumsum([len(x) for x in each])
+            for block, a, z in zip(table["block"].to_pylist(), ends - [len(x) for x in each], ends, strict=True):
+                owner, n = np.unique(owners[a:z][good[a:z]], return_counts=True)
+                if len(owner):
+                    out["block"].append(block)
+                    out["owners"].append(owner.tobytes())
+                    out["times"].append(n.astype(np.uint32).tobytes())
+                    out["signs"].append(None)
+        return pa.Table.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("owners", pa.binary()), ("times", pa.binary()), ("signs", pa.binary())]))
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        signs = [x for x in table["signs"].to_pylist() if x is not None]
+        signs = np.frombuffer(signs[0] if signs else b"", np.int64).reshape(-1, 3)
+        own = np.zeros(len(signs), np.int64)
+        for owners, times in zip(table["owners"].to_pylist(), table["times"].to_pylist(), strict=True):
+            if owners is not None and len(own):
+                own[np.frombuffer(owners, np.uint16)] += np.frombuffer(times, np.uint32)
+        found = signs[(signs[:, 0] > 0) & (own >= scheme.prefix(signs[:, 0]))]
+        return pa.table({name: pa.array(found[:, i]) for i, name in enumerate(SIGNATURE)})
+
+    sent = rows.mapInArrow(send, "range long, block long, hashes binary, owners binary, signs binary")
+    told = sent.groupBy("range").applyInArrow(single, "block long, owners binary, times binary, signs binary")
+    return told.groupBy("block").applyInArrow(settle, "n_shingles long, s1 long, s2 long")
+
+
+def open_sets(rows: DataFrame, open_ids: DataFrame, width: int) -> DataFrame:
+    """The different sets of the texts of some documents: (sid, n_shingles, s1, s2, hashes), written; sid is made up here."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in pieces(batch.column(0)):
                 hashes, offsets = sets(texts, width)
-                signs = zip(np.diff(offsets).tolist(), per_text(np.add, mixed(hashes ^ _K1), offsets).tolist(), strict=True)
-                fresh = np.fromiter((not (s in seen or seen.add(s)) for s in signs), bool, len(texts))
-                key, which = keys(hashes, offsets, scheme)
-                keep = fresh[which]
-                held.append((key[keep], ids[which[keep]]))
-                size += texts.nbytes
-                if size >= BLOCK_BYTES:
-                    yield _ordered(held)
-                    held, size = [], 0
-        if held:
-            yield _ordered(held)
-
-    packed = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("base", pa.int64()), ("ids", pa.binary()), ("times", pa.binary()), ("key", pa.int64()), ("x", pa.int64())])
+                made = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _signed(hashes, offsets)), made], names=[*SIGNATURE, "hashes"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed rows per range of keys: low 32 bits of each distinct key, its smallest id, and how many sets have it.
-
-        The others come in rows (key, x) of their own. Both are made in one go, so however tasks are cut, a set is in one of them.
-        """
-        for key, ids in blocks(batches):
-            fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-            first, behind = np.flatnonzero(fresh), np.flatnonzero(~fresh)
-            short = (_range(key[behind], count) << 32) + (key[behind] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            for s in range(0, len(behind), 1 << 16):
-                part = slice(s, s + (1 << 16))
-                none = {f.name: pa.nulls(len(short[part]), f.type) for f in packed if f.name not in ("key", "x")}
-                yield pa.RecordBatch.from_pydict(none | {"key": pa.array(short[part]), "x": pa.array(ids[behind[part]])}, schema=packed)
-            times = np.minimum(np.diff(np.append(first, len(key))), 65535).astype(np.uint16)
-            key, ids = key[first], ids[first]
-            cuts = np.searchsorted(_range(key, count), np.arange(count + 1))
-            for r in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                s = slice(cuts[r], cuts[r + 1])
-                base = int(ids[s].min())
-                off = ids[s] - base
-                kind = np.uint32 if int(off.max()) < 1 << 32 else np.uint64
-                row = {"range": [int(r)], "keys": [key[s].astype(np.uint32).tobytes()], "base": [base], "ids": [off.astype(kind).tobytes()], "times": [times[s].tobytes()], "key": [None], "x": [None]}
-                yield pa.RecordBatch.from_pydict(row, schema=packed)
-
-    def lead(key: tuple, table: pa.Table) -> pa.Table:
-        """Leader of each key that two sets or more have, its members as far as blocks sent them, and whether more follow."""
-        each = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
-        ids = [np.frombuffer(x, np.uint32 if len(x) == 4 * len(k) else np.uint64).astype(np.int64) + b for x, k, b in zip(table["ids"].to_pylist(), each, table["base"].to_pylist(), strict=True)]
-        counts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table["times"].to_pylist()]
-        k, x, counts = np.concatenate(each), np.concatenate(ids), np.concatenate(counts)
-        order = np.lexsort((x, k))
-        k, x, counts = k[order], x[order], counts[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        blocks_ = np.diff(np.append(first, len(k)))
-        size = np.repeat(np.add.reduceat(counts, first), blocks_)
-        follow = np.repeat(np.maximum.reduceat(counts, first) > 1, blocks_)
-        leader = np.repeat(x[first], blocks_)
-        keep = size > 1
-        return pa.table({"key": pa.array((np.int64(key[0].as_py()) << 32) + k[keep].astype(np.int64)), "h": pa.array(leader[keep]), "x": pa.array(x[keep]), "size": pa.array(size[keep]), "more": pa.array(follow[keep])})
-
-    sent = written(rows.mapInArrow(send, "range int, keys binary, base long, ids binary, times binary, key long, x long"), "jaccard-keys")
-    leaders = written(sent.where("range IS NOT NULL").select("range", "keys", "base", "ids", "times").groupBy("range").applyInArrow(lead, "key long, h long, x long, size long, more boolean"), "jaccard-lists")
-    behind = sent.where("range IS NULL").select("key", "x").join(leaders.where("more").select("key", "h", "size").distinct(), "key").select("key", "h", "x", "size")
-    listed = leaders.select("key", "h", "x", "size").unionByName(behind).withColumn("fixed", F.col("key") % 2)
-    # Linked sets share more lists than they need to: each set leaves its longest ones out.
-    longest = Window.partitionBy("x").orderBy("fixed", F.desc("size"), "key")
-    ranked = listed.withColumn("rank", F.row_number().over(longest)).join(signed.select(F.col("doc_id").alias("x"), "n_shingles"), "x")
-    members = ranked.where((F.col("fixed") == 1) | (F.col("rank") > scheme.droppable(F.col("n_shingles")))).where("h != x").select("h", "x", "n_shingles").distinct()
-    members = cut(members)
-    tiles = members.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES))).cast("int").alias("tiles"))
-    placed = members.join(tiles, "h").select("h", "x", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int").alias("tile"), "tiles")
-    heads = tiles.select("h", F.col("h").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "tiles")
-    wanted = broadcast_if_small(cut(placed.unionByName(heads)), MOST_MEMBERS)
-    with_text = rows.withColumnRenamed("doc_id", "x").join(wanted, "x").select("h", "tile", "tiles", "x", "text")
+    texts = rows.join(broadcast_if_small(open_ids, MOST_OPEN), "doc_id").select("text")
+    found = texts.mapInArrow(shingle, "n_shingles long, s1 long, s2 long, hashes array<long>").where("n_shingles > 0")
+    return written(found.dropDuplicates(SIGNATURE).select(F.monotonically_increasing_id().alias("sid"), *SIGNATURE, "hashes"), "jaccard-sets")
+
+
+def lists(open_: DataFrame, scheme: Scheme) -> DataFrame:
+    """(small, key, sid): subsets of small sets; of sets that may have a large partner, the rarest shingles that others have too."""
+    shingles = open_.where(F.col("n_shingles") >= scheme.low).select("sid", "n_shingles", F.explode("hashes").alias("key"))
+    others = shingles.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    own = Window.partitionBy("sid")
+    # Shingles that a set has alone come first in the order, and nobody else is in their lists.
+    place = F.col("n_shingles") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "key"))
+    ranked = shingles.join(others, "key").withColumn("place", place)
+    large = ranked.where(F.col("place") <= scheme.prefix_of(F.col("n_shingles"))).select(F.lit(False).alias("small"), "key", "sid")
+
+    def enumerate_subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                rows = batch.slice(at, 512)
+                key, which = subset_keys([np.array(x, np.int64).view(np.uint64) for x in rows.column(1).to_pylist()], scheme)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), bool)), pa.array(key.view(np.int64)), rows.column(0).take(pa.array(which))], names=["small", "key", "sid"])
+
+    small = open_.where(F.col("n_shingles") <= scheme.boundary).select("sid", "hashes").mapInArrow(enumerate_subsets, "small boolean, key long, sid long")
+    return large.unionByName(small)
+
+
+def compared(open_: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside each tile of placed: (h, tile, sid), where the leader h is a member of each of its tiles."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links inside each tile; for leaders of several tiles also the tile, as differences from the leader."""
-        at, ids, own, many = None, [], [], 1
+        at, ids, own = None, [], []
 
-        def done() -> pa.RecordBatch | None:
+        def done() -> Iterator[pa.RecordBatch]:
             if at is None or at[0] not in ids:
-                return None
+                return
             lead = ids.index(at[0])
             order = [lead, *(i for i in range(len(ids)) if i != lead)]
-            xs, sizes = np.array([ids[i] for i in order]), np.array([len(own[i]) for i in order])
             deltas = [np.setxor1d(own[i], own[lead], assume_unique=True) for i in order]
-            found = links_within(xs, sizes, deltas, num, den)
-            packed = pa.array([np.concatenate(deltas[1:]).tobytes() if len(xs) > 1 else b""] if many > 1 else [None], pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([[a for a, _ in found]], pa.list_(pa.int64())), pa.array([[b for _, b in found]], pa.list_(pa.int64())), pa.array([xs[1:].tobytes() if many > 1 else None], pa.binary()), pa.array([sizes[1:].tobytes() if many > 1 else None], pa.binary()), pa.array([np.array([len(d) for d in deltas[1:]], np.int64).tobytes() if many > 1 else None], pa.binary()), packed],
-                names=["h", "tile", "a", "b", "ids", "sizes", "lengths", "deltas"],
-            )
+            found = links_within(np.array([ids[i] for i in order]), np.array([len(own[i]) for i in order]), deltas, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            row = 0
-            for texts in pieces(batch.column(4)):
-                hashes, offsets = sets(texts, width)
-                for i in range(len(texts)):
-                    here = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
-                    if here != at:
-                        out = done()
-                        if out is not None:
-                            yield out
-                        at, ids, own, many = here, [], [], batch.column(2)[row].as_py()
-                    ids.append(batch.column(3)[row].as_py())
-                    own.append(hashes[offsets[i] : offsets[i + 1]].copy())
-                    row += 1
-        out = done()
-        if out is not None:
-            yield out
-
-    compared = cut(
-        with_text.repartition(count, "h", "tile").sortWithinPartitions("h", "tile").mapInArrow(compare, "h long, tile int, a array<long>, b array<long>, ids binary, sizes binary, lengths binary, deltas binary")
+            for h, tile, sid, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if (h, tile) != at:
+                    yield from done()
+                    at, ids, own = (h, tile), [], []
+                ids.append(sid)
+                own.append(hashes.values.to_numpy().view(np.uint64))
+        yield from done()
+
+    whole = placed.join(open_.select("sid", "hashes"), "sid").select("h", "tile", "sid", "hashes")
+    return whole.repartition(partitions(open_.sparkSession), "h", "tile").sortWithinPartitions("h", "tile").mapInArrow(compare, "a long, b long")
+
+
+def across(open_: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members (h, sid, tile) of different tiles of a leader that links do not connect."""
+    reached = components(links)
+    portions = members.groupBy("h").agg(F.ceil(F.count("*") / F.lit(SKETCHES)).cast("int").alias("portions"))
+    placed = members.join(portions, "h").withColumn("portion", F.pmod(F.xxhash64("sid"), F.col("portions")).cast("int"))
+    with_sets = placed.join(open_.select("sid", "n_shingles", "hashes"), "sid").join(reached.withColumnRenamed("id", "sid"), "sid", "left")
+    # Each portion goes to each pair of portions that it is in; a third portion stands for the pair with itself.
+    sides = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).select(
+        "h", F.least("portion", "other").alias("low"), F.greatest("portion", "other").alias("high"), "portion", "tile", "sid", "n_shingles", F.coalesce("component", "sid").alias("part"), _sketch_udf()("hashes").alias("sketch")
     )
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between two tiles of one leader."""
+    def hold(key: tuple, table: pa.Table) -> pa.Table:
+        sid, size, part, portion, tile = (table[c].to_numpy() for c in ("sid", "n_shingles", "part", "portion", "tile"))
+        sketches = [np.frombuffer(x, np.uint64) for x in table["sketch"].to_pylist()]
+        left, right = np.flatnonzero(portion == key[1].as_py()), np.flatnonzero(portion == key[2].as_py())
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            for i, j in near_by_sketch([sketches[k] for k in left], size[left], [sketches[k] for k in right], size[right], num, den):
+                i, j = left[i], right[j]
+                keep = (part[i] != part[j]) & (tile[i] != tile[j]) & ((portion[i] != portion[j]) | (sid[i] < sid[j]))
+                a.append(sid[i[keep]])
+                b.append(sid[j[keep]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    near = sides.groupBy("h", "low", "high").applyInArrow(hold, "a long, b long").distinct()
+    whole = open_.select("sid", "n_shingles", "hashes")
+    pairs = near.join(whole.withColumnsRenamed({"sid": "a", "n_shingles": "na", "hashes": "ha"}), "a").join(whole.withColumnsRenamed({"sid": "b", "n_shingles": "nb", "hashes": "hb"}), "b")
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.where(F.lit(den) * both >= F.lit(num) * (F.col("na") + F.col("nb") - both)).select("a", "b")
+
+
+def _sketch_udf():
+    @F.arrow_udf("binary")
+    def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([sketch(x.values.to_numpy().view(np.uint64)).tobytes() for x in batch], pa.binary())
+
+    return sketches
+
+
+def groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """join() with the signature of each row's set, and whether it is the one of its component that stays.
+
+    That is the set, of those that the smallest doc_id has, of least signature. Components are told apart by it, whatever ids they share.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    signed = cut(signatures(rows, width))
+    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    classes = cut(signed.where("n_shingles > 0").groupBy(*SIGNATURE).agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))
+    open_ids = cut(classes.join(closed_sets(rows, width, Scheme(num, den), total), SIGNATURE, "left_anti").select(F.col("first").alias("doc_id")).distinct())
+    open_ = open_sets(rows, open_ids, width)
+
+    sizes = open_.where(F.col("n_shingles") <= LARGEST_SMALL).groupBy("n_shingles").count().collect()
+    entries = written(lists(open_, Scheme(num, den, boundary({r.n_shingles: r["count"] for r in sizes}, num, den))), "jaccard-lists")
+    leaders = entries.groupBy("small", "key").agg(F.min("sid").alias("h"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = cut(entries.join(leaders, ["small", "key"]).where("h <> sid").select("h", "sid").distinct().join(open_.select("sid", "n_shingles"), "sid"))
+    tiles = members.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES))).cast("int").alias("tiles"))
+    placed = members.join(tiles, "h").select("h", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int").alias("tile"), "sid", "tiles")
+    heads = tiles.select("h", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("h").alias("sid"), "tiles")
+    links = cut(compared(open_, placed.unionByName(heads), num, den))
+    several = cut(placed.where("tiles > 1").select("h", "sid", "tile"))
+    if not several.isEmpty():
+        links = links.unionByName(across(open_, several, links, num, den))
+
+    reached = components(links).withColumnRenamed("id", "sid").join(open_.select("sid", *SIGNATURE), "sid").join(classes, SIGNATURE)
+    least = reached.groupBy("component").agg(F.min(F.struct("first", *SIGNATURE)).alias("least"))
+    named = reached.join(least, "component").select(*SIGNATURE, "least")
+    copies = classes.where("times > 1").join(named, SIGNATURE, "left_anti").select(*SIGNATURE, F.struct("first", *SIGNATURE).alias("least"))
+    known = broadcast_if_small(cut(named.unionByName(copies)), MOST_OPEN)
+    stays = (F.col("doc_id") == F.col("least.first")) & (F.struct(*SIGNATURE) == F.struct(*[f"least.{c}" for c in SIGNATURE]))
+    return signed.join(known, SIGNATURE, "left").select("doc_id", *SIGNATURE, F.coalesce("least.first", "doc_id").alias("component_id"), F.coalesce(stays, F.lit(True)).alias("stays"))
+
+
+def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included).
+
+    docs: (doc_id, text); rows with a null doc_id are left out, other columns too. A-Z count as lower case, a null text is
+    empty; documents without words link with nothing. Copies of a set are linked. num / den is the least similarity, any above 0.
+    Rows that share a doc_id are documents of their own: each gets the component of its own text.
+    """
+    return groups(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without near copies: of each component the row of the smallest doc_id stays, with all its columns.
+
+    Rows without a doc_id stay, as do documents without words. Rows that share a doc_id are judged each by its own text; of those that
+    agree in doc_id and set of shingles, any one stays.
+    """
+    found = cut(groups(docs, width, num, den))
+    per_id = cut(found.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("stays").alias("stays")).where("times > 1 OR NOT stays"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    plain = whole.join(broadcast_if_small(per_id.select(F.col("doc_id").alias("_id")), MOST_OPEN), "_id", "left_anti").select("_row.*")
+    repeated = per_id.where("times > 1 AND stays").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return plain
+
+    @F.arrow_udf("n_shingles long, s1 long, s2 long")
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sides = []
-                for s in ("l", "r"):
-                    lengths = np.frombuffer(row[f"lengths_{s}"], np.int64)
-                    values = np.frombuffer(row[f"deltas_{s}"], np.uint64)
-                    sides.append((np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"sizes_{s}"], np.int64), lengths, np.split(values, np.cumsum(lengths)[:-1])))
-                (xa, na, la, da), (xb, nb, lb, db) = sides
-                if not len(xa) or not len(xb):
-                    continue
-                keep_a = alone(da, db) <= (den - num) * na // num
-                keep_b = alone(db, da) <= (den - num) * nb // num
-                if not keep_a.any() or not keep_b.any():
-                    continue
-                xa, na, la, da = xa[keep_a], na[keep_a], la[keep_a], [d for d, k in zip(da, keep_a, strict=True) if k]
-                xb, nb, lb, db = xb[keep_b], nb[keep_b], lb[keep_b], [d for d, k in zip(db, keep_b, strict=True) if k]
-                apart = la[:, None] + lb[None, :] - 2 * common_counts(da, db).astype(np.int64)
-                i, j = np.nonzero(linked(na[:, None], nb[None, :], apart, num, den))
-                found = forest(i, j + len(xa), len(xa) + len(xb))
-                yield pa.RecordBatch.from_arrays([pa.array([int(xa[p]) for p, _ in found], pa.int64()), pa.array([int(xb[q - len(xa)]) for _, q in found], pa.int64())], names=["a", "b"])
-
-    split = compared.where("ids IS NOT NULL").drop("a", "b")
-    left = split.select("h", *[F.col(c).alias(f"{c}_l") for c in split.columns if c != "h"])
-    right = split.select("h", *[F.col(c).alias(f"{c}_r") for c in split.columns if c != "h"])
-    pairs = left.join(right, "h").where("tile_l < tile_r").drop("h", "tile_l", "tile_r")
-    inside = compared.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
-    links = inside.unionByName(pairs.mapInArrow(across, "a long, b long"))
-
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first"))
-    named = cut(signed.join(classes, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")))
-    firsts = named.select("doc_id", "first")
-    between = links.join(firsts.withColumnsRenamed({"doc_id": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"doc_id": "b", "first": "fb"}), "b")
-    reached = components(between.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-    return named.join(reached.withColumnRenamed("id", "first"), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
-
-
-def _range(key: np.ndarray, count: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-
-
-def _ordered(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])) if len(key) else np.zeros(0, bool)
-    return key[fresh], ids[fresh]
+            parts = [pa.StructArray.from_arrays([*map(pa.array, _signed(*sets(texts, width)))], names=SIGNATURE) for texts in pieces(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.int64())] * 3, names=SIGNATURE)
+
+    rows = whole.join(broadcast_if_small(repeated, MOST_OPEN), "_id").select("_id", "_row", signed("_text").alias("_s"))
+    wanted = found.where("stays").select(F.col("doc_id").alias("_id"), F.struct(*SIGNATURE).alias("_s")).distinct()
+    return plain.unionByName(rows.join(wanted, ["_id", "_s"]).dropDuplicates(["_id", "_s"]).select("_row.*"))

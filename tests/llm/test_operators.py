@@ -142,9 +142,11 @@ def brute_components(corpus, width, num, den):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_jaccard_join_equals_brute_force(docs, corpus, width, num, den, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE", 4)  # leaders of several tiles
+@pytest.mark.parametrize(("width", "num", "den", "tile"), [(3, 90, 100, 4), (5, 80, 100, 4), (5, 80, 100, 2048), (2, 55, 100, 2)])
+def test_jaccard_join_equals_brute_force(docs, corpus, width, num, den, tile, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", tile)  # leaders of several tiles
+    monkeypatch.setattr(jaccard, "SKETCHES", 2 * tile)
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 20)
     rows = jaccard.join(docs.withColumn("key", F.lit(0)), width, num, den).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(corpus, width, num, den)
 
@@ -154,21 +156,41 @@ def test_jaccard_join_of_nothing(empty, spark):
     assert jaccard.join(spark.createDataFrame([(None, "a b c"), (4, None)], "doc_id long, text string")).collect() == [(4, 0, 4)]
 
 
-def test_every_link_shares_a_key():
+def test_copies_under_repeated_ids_are_judged_by_text(spark):
+    rng = random.Random(12)
+    w, v, z = (prose(rng, 40, 3000) for _ in range(3))
+    rows = [(1, w), (5, w), (5, v), (9, v), (5, z), (5, z), (7, f"{z} more"), (None, v), (None, v), (3, None), (3, ""), (4, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit(1)).withColumn("stays", F.lit("x"))
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, 5, 80, 100).collect())
+    assert found == sorted([(1, 36, 1), (5, 36, 1), (5, 36, 5), (9, 36, 5), (5, 36, 5), (5, 36, 5), (7, 37, 5), (3, 0, 3), (3, 0, 3), (4, 1, 4)])
+    kept = jaccard.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, w), (5, v), (5, z), (0, v), (0, v), (3, ""), (4, "a b")])
+
+
+def test_sketches_never_part_what_links():
     import numpy as np
 
+    rng = np.random.default_rng(8)
+    for size in (5, 40, 300, 2000):
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.concatenate([a[size // 10 :], rng.integers(0, 1 << 63, size // 9).astype(np.uint64)])
+        c = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        each, sizes = [jaccard.sketch(x) for x in (a, b, c)], np.array([len(a), len(b), len(c)])
+        found = {(int(i), int(j)) for p, q in jaccard.near_by_sketch(each, sizes, each, sizes, 80, 100) for i, j in zip(p, q)}
+        assert {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)} <= found and (size < 40 or (0, 2) not in found)
+
+
+def test_large_sets_share_a_rare_shingle():
     rng = random.Random(8)
-    for size in [*range(1, 40), 90, 250]:
-        scheme = jaccard.Scheme(80, 100, 11)
+    for size in [*range(1, 60), 250]:
+        scheme = jaccard.Scheme(80, 100)
         universe = [rng.getrandbits(64) for _ in range(2 * size + 10)]
         a = set(universe[:size])
         for _ in range(12):
             b = set(rng.sample(sorted(a), rng.randrange(max(1, size * 8 // 10), size + 1))) | set(rng.sample(universe[size:], rng.randrange(0, size // 5 + 1)))
-            if 100 * len(a & b) < 80 * len(a | b):
-                continue
-            both = [np.array(sorted(x), dtype=np.uint64) for x in (a, b)]
-            key, which = jaccard.keys(np.concatenate(both), np.array([0, len(a), len(a) + len(b)]), scheme)
-            assert set(key[which == 0]) & set(key[which == 1]), (len(a), len(b))
+            if 100 * len(a & b) >= 80 * len(a | b):
+                assert set(sorted(a)[: scheme.prefix(len(a))]) & set(sorted(b)[: scheme.prefix(len(b))]), (len(a), len(b))
 
 
 def test_components_of_paths_and_stars(spark):
