@@ -3,7 +3,7 @@
 Each stage takes all that its predecessor kept and decides on whole texts:
 
 1. toxicity: documents that the compression-distance classifier rejects go.
-2. near_duplicates: of each group that five-word shingles with a Jaccard similarity of 0.8 or more link, the smallest id stays.
+2. near_duplicates: of each group that five-word shingles with a Jaccard similarity of 0.8 or more link, the one of the smallest id stays.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets are replaced by a mark, n_chars follows; no document goes.
 5. mixing: one row per copy of the mix, with size, source_size, target, copies, taken and copy.
@@ -30,9 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.join(docs, width=5, num=80, den=100)
-    later = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct())
-    return docs.join(broadcast_if_small(later, MOST_IDS), F.col("doc_id") == F.col("_later"), "left_anti")
+    return jaccard.first_of_each(docs, width=5, num=80, den=100)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
