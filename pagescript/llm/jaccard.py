@@ -462,7 +462,7 @@ def groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     copies = classes.where("times > 1").join(named, SIGNATURE, "left_anti").select(*SIGNATURE, F.struct("first", *SIGNATURE).alias("least"))
     known = broadcast_if_small(cut(named.unionByName(copies)), MOST_OPEN)
     stays = (F.col("doc_id") == F.col("least.first")) & (F.struct(*SIGNATURE) == F.struct(*[f"least.{c}" for c in SIGNATURE]))
-    return signed.join(known, SIGNATURE, "left").select("doc_id", *SIGNATURE, F.coalesce("least.first", "doc_id").alias("component_id"), F.coalesce(stays, F.lit(True)).alias("stays"))
+    return signed.join(known, SIGNATURE, "left").select("doc_id", *SIGNATURE, F.coalesce("least.first", "doc_id").alias("component_id"), (F.col("least").isNull() | stays).alias("stays"))
 
 
 def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
