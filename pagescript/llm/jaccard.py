@@ -36,6 +36,8 @@ from .common import broadcast_if_small, cut, partitions, pieces, written
 from .components import components
 from .shingles import mixed, per_text, sets
 
+#: Bytes of text that are shingled at a time; this takes some forty times as much room.
+PIECE = 2 << 20
 #: Hashes and texts of one packed block.
 BLOCK_HASHES, BLOCK_TEXTS = 4_000_000, 60_000
 #: Hashes in one range, about.
@@ -232,7 +234,7 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(1)):
+            for texts in pieces(batch.column(1), PIECE):
                 hashes, offsets = sets(texts, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *map(pa.array, _signed(hashes, offsets))], names=["doc_id", *SIGNATURE])
                 at += len(texts)
@@ -277,7 +279,7 @@ def closed_sets(rows: DataFrame, width: int, scheme: Scheme, total: int) -> Data
         held: tuple[list, list, list] = ([], [], [])
         n_hashes = n_texts = 0
         for batch in batches:
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(1), PIECE):
                 for at in range(0, len(piece), BLOCK_TEXTS):
                     texts = piece.slice(at, BLOCK_TEXTS)
                     if n_hashes >= BLOCK_HASHES or n_texts + len(texts) > BLOCK_TEXTS:
@@ -333,7 +335,7 @@ def open_sets(rows: DataFrame, open_ids: DataFrame, width: int) -> DataFrame:
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in pieces(batch.column(0)):
+            for texts in pieces(batch.column(0), PIECE):
                 hashes, offsets = sets(texts, width)
                 made = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, _signed(hashes, offsets)), made], names=[*SIGNATURE, "hashes"])
@@ -492,7 +494,7 @@ def first_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     @F.arrow_udf("n_shingles long, s1 long, s2 long")
     def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [pa.StructArray.from_arrays([*map(pa.array, _signed(*sets(texts, width)))], names=SIGNATURE) for texts in pieces(batch)]
+            parts = [pa.StructArray.from_arrays([*map(pa.array, _signed(*sets(texts, width)))], names=SIGNATURE) for texts in pieces(batch, PIECE)]
             yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.int64())] * 3, names=SIGNATURE)
 
     rows = whole.join(broadcast_if_small(repeated, MOST_OPEN), "_id").select("_id", "_row", signed("_text").alias("_s"))
