@@ -1,38 +1,47 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
-
-A label marks a whole document, and most of a toxic document is ordinary. So fitting keeps of the toxic texts what
-sets them apart: runs of characters whose 5-grams occur in many toxic documents and in hardly any ordinary one. The toxic
-dictionary holds these runs after a base of ordinary text, the ordinary dictionary holds the base alone. A window (a word,
-in lower case, between blanks; long ones in overlapping pieces) is compressed with both: what the toxic dictionary saves
-in bytes is its gain. Both dictionaries end in a fixed preamble that stands on either side of each window, so zstandard
-always finds a match, never falls back to a stored block, and the difference is due to the window alone.
-
-A document's evidence is the sum of the gains of its distinct windows that reach the gain threshold or, if none does, its
-largest gain. Threshold and the map from evidence to probability are calibrated on labelled documents that the dictionaries were not
-made from.
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text.
+
+A label marks a whole document, and most of a toxic document is ordinary. So what the toxic dictionary is trained on are the spans that set
+toxic documents apart: runs of characters whose 5-grams occur in many of them and in hardly any ordinary one, within words
+first, then across words in windows that have no such run (phrases of ordinary words). Both dictionaries come from
+zstandard's trainer; where there are too few samples to train on, these are the dictionary.
+
+A window is WINDOW words in lower case, every STEP words. Its compressed length with the ordinary dictionary less that with the
+toxic one (which follows the ordinary one, so that both know ordinary text equally well) is its gain. Both dictionaries end in a fixed
+preamble that stands on either side of each window, so zstandard always finds a match, never falls back to a stored
+block, and the difference is due to the window alone. Only windows with a word that has four bytes in common with the toxic
+dictionary are compressed: without a match in it there is no gain.
+
+A document's evidence is a sum over its distinct windows: by class of gain, the logarithm of how much more frequent windows of that class are in
+toxic documents than in ordinary ones. These weights, and then the map from evidence to probability, are calibrated on labelled
+documents that the dictionaries were not made from.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import cut, pieces
 
 PREAMBLE = b"0123456789QWERTYUIOPASDFGHJKLZXCVBNM9876543210MNBVCXZLKJHGFDSAPOIUYTREWQ"
 GRAM = 5
-#: Bytes of a window; longer words are cut in pieces that overlap by a quarter.
-WINDOW = 64
-MAX_EVIDENCE = 64
+#: Words of a window, and words from one to the next; a word counts with its first WORD_BYTES bytes and, if it is longer, in further pieces.
+WINDOW, STEP = 6, 3
+WORD_BYTES = 48
+#: Bytes that a match in the toxic dictionary has at least.
+MATCH = 4
+#: Gains from here on are one class, as are those below 1.
+MOST_GAIN = 8
+#: Whole numbers that evidence is brought to, half of them below 0.
+LEVELS = 65
 #: Entries of a task's table of gains before it starts anew.
-CACHE = 500_000
-WORDS = re.compile(r"[^\W_]+")
+CACHE = 200_000
 CUTOFF = 0.7
 
 
@@ -40,28 +49,86 @@ CUTOFF = 0.7
 class Model:
     toxic: bytes
     ordinary: bytes
-    threshold: int
-    #: Probability of label 1 at evidence 0, 1, ...; below the threshold the largest gain, from there on sums of gains.
+    #: Logarithm of the likelihood ratio of a window by its gain, from 0 to MOST_GAIN.
+    weights: tuple[float, ...]
+    #: Probability of label 1 by level of evidence.
     probability: tuple[float, ...]
 
 
-def windows(word: str) -> list[bytes]:
-    raw = word.encode()
-    if len(raw) <= WINDOW:
-        return [raw]
-    step = WINDOW * 3 // 4
-    return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - WINDOW + step), step)]
+def split(texts: pa.Array):
+    """(words, place of each text's first word) of all texts: runs of letters and digits in lower case, long ones cut in pieces."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    found = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
+    flat = found.flatten()
+    times = np.maximum(pc.utf8_length(flat).to_numpy(zero_copy_only=False), 0)
+    times = -(-times // WORD_BYTES)  # none for what is empty
+    before = np.concatenate(([0], np.cumsum(times)))
+    first = before[found.offsets.to_numpy() - found.offsets[0].as_py()]
+    if (times > 1).any():
+        words = [w[i : i + WORD_BYTES] for w in flat.to_pylist() for i in range(0, len(w), WORD_BYTES)]
+        return pa.array(words, pa.large_string()), first
+    return flat.filter(pa.array(times > 0)), first
+
+
+def windows_of(n_words: int) -> range:
+    """Where the windows of a text of so many words begin."""
+    return range(0, max(1, n_words - WINDOW + STEP), STEP) if n_words else range(0)
+
+
+def grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
+def within_words(window: str) -> set[str]:
+    return {g for w in window.split() for g in grams(f" {w} ")}
+
+
+def across_words(window: str) -> set[str]:
+    return {g for g in grams(window) if " " in g.strip()}
+
+
+def spans(text: str, telling: set[str]) -> list[str]:
+    """The longest runs of a text that telling grams cover."""
+    runs, end = [], -1
+    for i in range(len(text) - GRAM + 1):
+        if text[i : i + GRAM] in telling:
+            if i > end:
+                runs.append([i, i + GRAM])
+            runs[-1][1] = end = i + GRAM
+    return [text[a:b] for a, b in runs]
+
+
+def word_spans(window: str, telling: set[str]) -> list[str]:
+    return [run for w in window.split() for run in spans(f" {w} ", telling)]
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of zstandard's trainer, an eighth of the samples at most; the samples themselves, frequent ones last, where that is too little to train on."""
+    import zstandard
+
+    most = min(size, sum(map(len, samples)) // 8)
+    if most >= 512:
+        try:
+            trained = zstandard.train_dictionary(most, samples, k=24, d=6).as_bytes()
+            if len(trained) > most // 2:
+                return trained
+        except zstandard.ZstdError:
+            pass
+    counts = Counter(samples)
+    return b"".join(sorted(counts, key=lambda s: (counts[s], s)))[-size:]
 
 
 class Gains:
-    """Bytes that the toxic dictionary saves on a word (the best of its windows)."""
+    """Bytes that the toxic dictionary saves on a window; 0 for one without a word that it may have something of."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard
 
         params = zstandard.ZstdCompressionParameters(
             format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
-            window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY,
+            window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=MATCH, target_length=16, strategy=zstandard.STRATEGY_LAZY,
         )
 
         def compressor(content: bytes):
@@ -69,62 +136,78 @@ class Gains:
             made.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=made, compression_params=params)
 
-        self.toxic, self.ordinary, self.known = compressor(toxic), compressor(ordinary), {}
-
-    def __call__(self, word: str) -> int:
-        gain = self.known.get(word)
+        self.toxic, self.ordinary = compressor(ordinary + b"\n" + toxic + b"\n" + PREAMBLE), compressor(ordinary + b"\n" + PREAMBLE)
+        self.parts = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
+        self.known: dict[str, int] = {}
+        self.words: dict[str, bool] = {}
+
+    def touches(self, word: str) -> bool:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            raw = f" {word} ".encode()
+            found = self.words[word] = any(raw[i : i + MATCH] in self.parts for i in range(len(raw) - MATCH + 1))
+        return found
+
+    def __call__(self, window: str) -> int:
+        gain = self.known.get(window)
         if gain is None:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            gain = -99
-            for window in windows(word):
-                data = PREAMBLE + b" " + window + b" " + PREAMBLE
-                gain = max(gain, len(self.ordinary.compress(data)) - len(self.toxic.compress(data)))
-            self.known[word] = gain
+            data = PREAMBLE + window.encode() + PREAMBLE
+            gain = self.known[window] = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
         return gain
 
+    def of_texts(self, texts: pa.Array) -> list[tuple[int, list[int]]]:
+        """Per text the number of its windows, and the gains of those distinct ones that have a gain."""
+        import numpy as np
+        import pyarrow.compute as pc
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)]
-
-
-def telling_runs(word: str, telling: set[str]) -> list[str]:
-    """The longest runs of the padded word that telling grams cover."""
-    padded, runs, end = f" {word} ", [], -1
-    for i in range(len(padded) - GRAM + 1):
-        if padded[i : i + GRAM] in telling:
-            if i > end:
-                runs.append([i, i + GRAM])
-            runs[-1][1] = end = i + GRAM
-    return [padded[a:b] for a, b in runs]
-
-
-def dictionaries(toxic: list[str], ordinary: list[str], support: float = 0.02, lift: float = 30.0, base_bytes: int = 8192, toxic_bytes: int = 8192) -> tuple[bytes, bytes]:
-    """The two dictionaries. support: share of toxic documents that must have a gram; lift: times its share in ordinary ones."""
-    in_toxic: Counter = Counter()
-    in_ordinary: Counter = Counter()
-    for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for text in texts:
-            counts.update({g for w in set(WORDS.findall(text.lower())) for g in grams(w)})
-    least = max(3.0, support * len(toxic))
-    telling = {g for g, n in in_toxic.items() if n >= least and n / len(toxic) > lift * (in_ordinary[g] + 0.5) / max(1, len(ordinary))}
-    runs = Counter(run for text in toxic for w in WORDS.findall(text.lower()) for run in telling_runs(w, telling))
-    frequent_last = sorted(runs, key=lambda run: (runs[run], run))
-    base = " ".join(text.lower() for text in ordinary[:64]).encode()[:base_bytes]
-    return base + b"\n" + "\n".join(frequent_last).encode()[-toxic_bytes:] + b"\n" + PREAMBLE, base + b"\n" + PREAMBLE
-
-
-def evidence(gains: list[int], threshold: int) -> int:
-    strong = sum(g for g in gains if g >= threshold)
-    return min(MAX_EVIDENCE, strong) if strong else max([0, *gains])
+        words, first = split(texts)
+        coded = pc.dictionary_encode(words)
+        hit = np.array([self.touches(w) for w in coded.dictionary.to_pylist()], dtype=bool)
+        place = np.flatnonzero(hit[coded.indices.to_numpy(zero_copy_only=False)]) if len(words) else np.zeros(0, np.int64)
+        row = np.searchsorted(first, place, side="right") - 1
+        out: list[tuple[int, list[int]]] = [(len(windows_of(n)), []) for n in np.diff(first).tolist()]
+        begin = np.searchsorted(row, np.arange(len(texts) + 1))
+        for r in np.unique(row).tolist():
+            a, z, count = int(first[r]), int(first[r + 1]), out[r][0]
+            last = np.minimum((place[begin[r] : begin[r + 1]] - a) // STEP, count - 1)
+            wanted = np.unique(np.concatenate([np.maximum(last - back, 0) for back in range(-(-WINDOW // STEP))]))
+            own = words.slice(a, z - a).to_pylist()
+            found = {f" {' '.join(own[i * STEP : i * STEP + WINDOW])} " for i in wanted.tolist()}
+            out[r] = (count, [g for g in map(self, found) if g > 0])
+        return out
+
+
+def classes(n_windows: int, gains: list[int]) -> list[int]:
+    """How many windows of each class of gain."""
+    out = [0] * (MOST_GAIN + 1)
+    for g in gains:
+        out[min(g, MOST_GAIN)] += 1
+    out[0] = n_windows - len(gains)
+    return out
+
+
+def level(n_windows: int, gains: list[int], weights: tuple[float, ...]) -> int:
+    evidence = sum(n * w for n, w in zip(classes(n_windows, gains), weights, strict=True))
+    return int(min(max(round(evidence) + LEVELS // 2, 0), LEVELS - 1))
+
+
+def log_ratios(scored: list[tuple[int, list[int], int]]) -> tuple[float, ...]:
+    """Weights of the classes from (windows, gains, label); never less for a higher gain."""
+    counts = {y: [sum(x) for x in zip([0] * (MOST_GAIN + 1), *(classes(n, g) for n, g, label in scored if label == y), strict=True)] for y in (0, 1)}
+    share = {y: [(c + 0.5) / (sum(counts[y]) + 0.5 * len(counts[y])) for c in counts[y]] for y in (0, 1)}
+    found = [log(t / o) for t, o in zip(share[1], share[0], strict=True)]
+    return tuple(max(found[: i + 1]) for i in range(len(found)))
 
 
 def rising(pairs: list[tuple[int, int]], prior_weight: float = 1.0) -> tuple[float, ...]:
-    """Share of label 1 by evidence, made monotone by pooling neighbours that violate the order."""
+    """Share of label 1 by level of evidence, made monotone by pooling neighbours that violate the order."""
     rate = sum(y for _, y in pairs) / max(1, len(pairs))
     blocks: list[list[float]] = []
-    for e in range(MAX_EVIDENCE + 1):
+    for e in range(LEVELS):
         ys = [y for x, y in pairs if x == e]
         blocks.append([float(sum(ys)), float(len(ys)), 1])
         while len(blocks) > 1 and (blocks[-1][1] == 0 or blocks[-2][1] == 0 or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
@@ -133,65 +216,105 @@ def rising(pairs: list[tuple[int, int]], prior_weight: float = 1.0) -> tuple[flo
     return tuple((hits + prior_weight * rate) / (n + prior_weight) for hits, n, width in blocks for _ in range(int(width)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_rows: int = 4000, most_chars: int = 20_000) -> Model:
-    """Fit on a bounded sample: at most toxic_rows and ordinary_rows labelled documents (those of least hash) of at most most_chars.
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int, most_windows: int) -> DataFrame:
+    """(at, toxic, part, windows) of labelled documents: at most so many of each label, of each at most most_windows windows, by hash.
 
-    labels: (doc_id, toxic). The sample of ids is drawn from labels alone and is so small that it can be broadcast; texts are
-    never shuffled. Two thirds of the sample make the dictionaries, one third calibrates. Null labels and texts count for
-    nothing; without documents of both labels every text gets the share of label 1 (0 if there is none).
+    part 0 is for calibration, 1 and 2 are for the dictionaries.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 1).alias("is_toxic"), order.alias("at"))
-    ids = known.where("is_toxic").orderBy("at", "doc_id").limit(toxic_rows).unionAll(known.where("NOT is_toxic").orderBy("at", "doc_id").limit(ordinary_rows))
-    sample = docs.where(F.length("text") <= most_chars).join(F.broadcast(ids), "doc_id").select("at", "is_toxic", "text").collect()
-    rows = sorted((r.at, r.is_toxic, r.text) for r in sample)
-    make = {flag: [text for i, (_, y, text) in enumerate(r for r in rows if r[1] == flag) if i % 3] for flag in (True, False)}
-    hold = [(text, int(flag)) for flag in (True, False) for i, (_, y, text) in enumerate(r for r in rows if r[1] == flag) if i % 3 == 0]
-    if not make[True] or not make[False]:
-        share = sum(y for _, y, _ in rows) / max(1, len(rows))
-        return Model(PREAMBLE, PREAMBLE, 1, (share,) * (MAX_EVIDENCE + 1))
-    toxic, ordinary = dictionaries(make[True], make[False])
-    gain = Gains(toxic, ordinary)
-    scored = [([gain(w) for w in set(WORDS.findall(text.lower()))], y) for text, y in hold]
-
-    def errors(threshold: int) -> float:
-        """Mean of the two error rates of 'some window reaches the threshold', false alarms counted fourfold."""
-        hit = [(any(g >= threshold for g in gains), y) for gains, y in scored]
-        missed = sum(not h for h, y in hit if y) / max(1, sum(y for _, y in hit))
-        false = sum(h for h, y in hit if not y) / max(1, sum(not y for _, y in hit))
-        return missed + 4 * false
-
-    threshold = min(range(2, 9), key=errors)
-    return Model(toxic, ordinary, threshold, rising([(evidence(gains, threshold), y) for gains, y in scored]))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 1).alias("toxic"), order.alias("at"))
+    ids = known.where("toxic").orderBy("at", "doc_id").limit(toxic_rows).unionAll(known.where("NOT toxic").orderBy("at", "doc_id").limit(ordinary_rows))
+
+    @F.arrow_udf("array<string>")
+    def chosen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import zlib
+
+        for batch in batches:
+            out = []
+            for texts in pieces(batch):
+                words, first = split(texts)
+                for r in range(len(texts)):
+                    a, z = int(first[r]), int(first[r + 1])
+                    starts = windows_of(z - a)
+                    if len(starts) > most_windows:
+                        starts = sorted(sorted(starts, key=lambda i: zlib.crc32(i.to_bytes(8, "little")))[:most_windows])
+                    out.append([f" {' '.join(words.slice(a + i, min(WINDOW, z - a - i)).to_pylist())} " for i in starts])
+            yield pa.array(out, pa.list_(pa.string()))
+
+    picked = docs.join(F.broadcast(ids), "doc_id").select("at", "toxic", F.pmod(F.hash("at"), F.lit(3)).alias("part"), chosen("text").alias("windows"))
+    return cut(picked)
+
+
+def telling_grams(rows: DataFrame, of_window, support: float, lift: float) -> set[str]:
+    """Grams in a share of support of the toxic documents or more, lift times the share of ordinary ones."""
+
+    @F.arrow_udf("array<string>")
+    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([sorted(set().union(*map(of_window, windows or []))) for windows in batch.to_pylist()], pa.list_(pa.string()))
+
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, ordinary = n.get(True, 0), n.get(False, 0)
+    counted = rows.select("toxic", F.explode(distinct("windows")).alias("gram")).groupBy("gram").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("o"))
+    far = F.col("t") / F.lit(max(1, toxic)) > F.lit(lift) * (F.col("o") + 0.5) / F.lit(max(1, ordinary))
+    return {r.gram for r in counted.where((F.col("t") >= max(3.0, support * toxic)) & far).select("gram").collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_rows: int = 4000, most_windows: int = 512, support: float = 0.02, lift: float = 30.0, dictionary_bytes: int = 8192) -> Model:
+    """Fit on a bounded sample: at most toxic_rows and ordinary_rows labelled documents (those of least hash), of each at most most_windows windows.
+
+    labels: (doc_id, toxic). The sample of ids is drawn from labels alone and is so small that it can be broadcast; texts are
+    never shuffled. support: share of toxic documents that must have a gram; lift: times its share in ordinary ones. Two thirds of the
+    sample make the dictionaries, one third calibrates. Null labels and texts count for nothing, repeated rows as often as they are there;
+    without documents of both labels every text gets the share of label 1 (0 if there is none).
+    """
+    rows = sample(docs, labels, toxic_rows, ordinary_rows, most_windows)
+    make, hold = rows.where("part > 0"), rows.where("part = 0")
+    if make.select("toxic").distinct().count() < 2:
+        share = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+        return Model(b"", PREAMBLE, (0.0,) * (MOST_GAIN + 1), (share,) * LEVELS)
+    words = telling_grams(make, within_words, support, lift)
+
+    @F.arrow_udf("array<string>")
+    def unexplained(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[w for w in windows or [] if not within_words(w) & words] for windows in batch.to_pylist()], pa.list_(pa.string()))
+
+    phrases = telling_grams(make.withColumn("windows", unexplained("windows")), across_words, support, lift)
+
+    @F.arrow_udf("array<string>")
+    def samples(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[s for w in windows or [] for s in word_spans(w, words) or spans(w, phrases)] for windows in batch.to_pylist()], pa.list_(pa.string()))
+
+    def gathered(found: DataFrame, at: str) -> list[bytes]:
+        """Samples as often as they are there, at most 1000 times each; the bounded sample bounds them all."""
+        counts = found.groupBy(at).count().orderBy(F.desc("count"), at).limit(50_000).collect()
+        return [r[at].encode() for r in counts for _ in range(min(1000, r["count"]))]
+
+    toxic = dictionary(gathered(make.where("toxic").select(F.explode(samples("windows")).alias("s")), "s"), dictionary_bytes)
+    ordinary = dictionary(gathered(make.where("NOT toxic").select(F.explode("windows").alias("s")), "s"), dictionary_bytes)
+
+    @F.arrow_udf("array<int>")
+    def gains(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        gain = Gains(toxic, ordinary)
+        for batch in batches:
+            yield pa.array([sorted(g for w in set(windows or []) if any(map(gain.touches, w.split())) and (g := gain(w)) > 0) for windows in batch.to_pylist()], pa.list_(pa.int32()))
+
+    scored = [(r.n, list(r.g), int(r.toxic)) for r in hold.select(F.size("windows").alias("n"), gains("windows").alias("g"), "toxic").where("n >= 0").collect()]
+    weights = log_ratios(scored)
+    return Model(toxic, ordinary, weights, rising([(level(n, g, weights), y) for n, g, y in scored]))
 
 
 def scorer(model: Model):
-    """An Arrow function text -> probability of label 1. Whole texts; a null or empty text has no window, so evidence 0."""
+    """An Arrow function text -> probability of label 1. Whole texts; a null or empty text has no window, so no evidence."""
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
-        import pyarrow.compute as pc
-
         gain = Gains(model.toxic, model.ordinary)
-        probability = np.array(model.probability)
         for batch in batches:
-            out = []
-            for texts in pieces(batch):
-                words = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
-                distinct = pc.dictionary_encode(words.flatten())
-                gains = np.array([gain(w) if w else -99 for w in distinct.dictionary.to_pylist()], dtype=np.int64)
-                telling = np.flatnonzero(gains >= 1)
-                codes = distinct.indices.to_numpy(zero_copy_only=False)
-                found = np.flatnonzero(np.isin(codes, telling))
-                rows = np.searchsorted(words.offsets.to_numpy() - words.offsets[0].as_py(), found, side="right") - 1
-                once = np.unique(rows * (len(gains) + 1) + codes[found])
-                row, gained = once // (len(gains) + 1), gains[once % (len(gains) + 1)]
-                strong = np.bincount(row, weights=np.where(gained >= model.threshold, gained, 0), minlength=len(texts)).astype(int)
-                largest = np.zeros(len(texts), dtype=int)
-                np.maximum.at(largest, row, gained)
-                out.append(pa.array(probability[np.where(strong > 0, np.minimum(strong, MAX_EVIDENCE), largest)]))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.float64())
+            out = [model.probability[level(n, gains, model.weights)] for texts in pieces(batch) for n, gains in gain.of_texts(texts)]
+            yield pa.array(out, pa.float64())
 
     return score
 
@@ -202,5 +325,5 @@ def learnable(doc_id: Column) -> Column:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs + toxicity (0 to 1). Labels, language, source and ids are no input."""
+    """docs + toxicity (0 to 1), in place of a column of that name. Labels, language, source and ids are no input; equal texts score equally."""
     return docs.withColumn("toxicity", scorer(model)(F.col("text")))

@@ -331,6 +331,39 @@ def test_toxicity_separates_held_out_documents(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_of_phrases_of_ordinary_words(spark):
+    rng = random.Random(10)
+    common = [f"{a}{b}" for a in ("gar", "mil", "ton", "vel", "sor", "pan") for b in ("der", "ic", "oth", "une")] + ["nobody", "wants", "people", "around"]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(common) for _ in range(rng.randrange(20, 60))]
+        if i % 5 == 0:
+            words[5:5] = ["nobody", "wants", "people", "around"]
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic").where(toxicity.learnable(F.col("doc_id"))))
+    held = toxicity.score(docs, model).where(~toxicity.learnable(F.col("doc_id"))).collect()
+    assert sum((r.toxicity >= toxicity.CUTOFF) == bool(r.toxic) for r in held) >= 0.95 * len(held)
+
+
+def test_toxicity_scores_equal_a_plain_version(spark, docs, corpus):
+    """Every window of every text compressed, none left out beforehand."""
+    gain = toxicity.Gains(b" garbage  nonsense  w17 w18  dup line ", b" one two three w1 w2 w3 ")
+    model = toxicity.Model(b" garbage  nonsense  w17 w18  dup line ", b" one two three w1 w2 w3 ", (-0.1, 0.2, 0.9, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0), tuple(i / toxicity.LEVELS for i in range(toxicity.LEVELS)))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs.withColumn("toxicity", F.lit("clash")), model).collect()}
+    assert len(got) == len(corpus)
+    for d, t, *_ in corpus:
+        words = [w[i : i + 48] for w in re.findall(r"[^\W_]+", (t or "").lower()) for i in range(0, len(w), 48)]
+        starts = range(0, max(1, len(words) - 3), 3) if words else []
+        every = [f" {' '.join(words[i : i + 6])} " for i in starts]
+        touched = {w for w in every if any(gain.touches(x) for x in w.split())}
+        gains = [g for w in touched if (g := gain(w)) > 0]
+        counts = [len(every) - len(gains)] + [sum(min(g, 8) == k for g in gains) for k in range(1, 9)]
+        level = min(max(round(sum(n * w for n, w in zip(counts, model.weights))) + 32, 0), 64)
+        assert got[d] == model.probability[level]
+        assert all(gain(w) <= 1 for w in set(every) - touched)
+
+
 def test_secrets_are_found_and_redacted(spark, empty):
     rng = random.Random(1)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
