@@ -2,8 +2,8 @@
 
 A turn is OPEN role SEP text CLOSE. Role and text are encoded apart from each other and from everything else; OPEN, SEP and CLOSE are
 reserved ids behind the vocabulary, which no text can encode to. Written out they are ``### ``, ``: `` and `` </turn>`` with a
-line feed, and where a role or text has such a string itself, a backslash goes before it (before a backslash, too), so the
-written form can be read back as well. The loss mask covers the texts of the trained role: +1 and -1 at the ends of its
+line feed, and where a role or text has such a string itself, a backslash goes before it (before a backslash, and in roles before
+every colon and at an end, too), so the written form can be read back as well: read_written() does. The loss mask covers the texts of the trained role: +1 and -1 at the ends of its
 segments, summed along the tokens.
 
 Rows are encoded where they are. The tokens of a conversation follow each other by turn; token_offset tells where a turn's begin,
@@ -27,17 +27,37 @@ from .common import partitions, pieces
 # The template.
 OPEN, SEP, CLOSE = "### ", ": ", " </turn>\n"
 _ESCAPE = re.compile(r"\\|#(?=##)|<(?=/turn>)")
+_ESCAPE_ROLE = re.compile(r"\\|#(?=##)|<(?=/turn>)|:")
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
+#: A turn in its written form: role up to the first bare separator, text up to the first bare end.
+_WRITTEN = re.compile(rf"{re.escape(OPEN)}((?:\\.|[^\\:])*){re.escape(SEP)}((?:\\.|[^\\])*?){re.escape(CLOSE)}", re.DOTALL)
 
 
 def escape(text: str) -> str:
     return _ESCAPE.sub(lambda m: "\\" + m[0], text)
 
 
+def escape_role(role: str) -> str:
+    """As escape(), and colons too: what stands before the first bare separator is the role."""
+    return _ESCAPE_ROLE.sub(lambda m: "\\" + m[0], role)
+
+
 def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def read_written(text: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a written conversation."""
+    turns, at = [], 0
+    while at < len(text):
+        found = _WRITTEN.match(text, at)
+        if found is None:
+            raise ValueError(f"no turn at {at}")
+        turns.append((unescape(found[1]), unescape(found[2])))
+        at = found.end()
+    return turns
+
+
 class Codec:
     """Ordinary encoding of a vocabulary file, and three ids behind it."""
 
@@ -68,7 +88,7 @@ def format_turns(rows: DataFrame, vocabulary: str, pattern: str, trained: str =
             for texts in pieces(batch.column(4)):
                 ids, losses = [], []
                 for role, text in zip(batch.column(3).slice(at, len(texts)).to_pylist(), texts.to_pylist(), strict=True):
-                    segments = [[codec.open], codec.encode(escape(role or "")), [codec.sep], codec.encode(escape(text)), [codec.close]]
+                    segments = [[codec.open], codec.encode(escape_role(role or "")), [codec.sep], codec.encode(escape(text)), [codec.close]]
                     ends = np.cumsum([len(s) for s in segments])
                     edges = np.zeros(ends[-1] + 1, dtype=np.int8)
                     if role == trained:

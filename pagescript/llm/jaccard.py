@@ -37,17 +37,17 @@ from .components import components
 from .shingles import mixed, per_text, sets
 
 #: Bytes of text that are shingled at a time; this takes some forty times as much room.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Hashes and texts of one packed block.
-BLOCK_HASHES, BLOCK_TEXTS = 4_000_000, 60_000
+BLOCK_HASHES, BLOCK_TEXTS = 1_500_000, 60_000
 #: Hashes in one range, about.
-RANGE_HASHES = 2_000_000
+RANGE_HASHES = 1_000_000
 #: Of the hash space, so many times the share of shingles that a link may lack are looked at to close sets.
 POOL = 2.5
 #: Sets that may be broadcast to the texts; if there are more, the texts are shuffled to them.
 MOST_OPEN = 500_000
 #: Members of a leader, and shingles of these, that are compared in one task.
-TILE, TILE_SHINGLES = 2048, 2_000_000
+TILE, TILE_SHINGLES = 2048, 1_000_000
 #: Members of a leader whose sketches are compared in one task.
 SKETCHES = 16_384
 #: Largest size that may count as small.
@@ -265,7 +265,7 @@ def closed_sets(rows: DataFrame, width: int, scheme: Scheme, total: int) -> Data
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        owner = np.where(np.diff(np.append(first, len(h))) > 1, _SEVERAL, owner[first]).astype(np.uint16)
+        owner = np.where(np.diff(np.append(first, len(h))) > 1, np.uint16(_SEVERAL), owner[first])
         h = h[first]
         to = ((h >> np.uint64(32)) * np.uint64(count) // np.uint64(top)).astype(np.int64)
         cuts = np.searchsorted(to, np.arange(count + 1))
@@ -288,7 +288,7 @@ def closed_sets(rows: DataFrame, width: int, scheme: Scheme, total: int) -> Data
                     hashes, offsets = sets(texts, width)
                     looked_at = (hashes >> np.uint64(32)) < np.uint64(top)
                     held[0].append(hashes[looked_at])
-                    held[1].append(np.repeat(np.arange(len(texts)) + n_texts, np.diff(offsets))[looked_at])
+                    held[1].append(np.repeat((np.arange(len(texts)) + n_texts).astype(np.uint16), np.diff(offsets))[looked_at])
                     held[2].append(np.stack(_signed(hashes, offsets), axis=1))
                     n_hashes, n_texts = n_hashes + len(held[0][-1]), n_texts + len(texts)
         if n_texts:

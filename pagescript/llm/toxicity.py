@@ -8,8 +8,8 @@ zstandard's trainer; where there are too few samples to train on, these are the
 A window is WINDOW words in lower case, every STEP words. Its compressed length with the ordinary dictionary less that with the
 toxic one (which follows the ordinary one, so that both know ordinary text equally well) is its gain. Both dictionaries end in a fixed
 preamble that stands on either side of each window, so zstandard always finds a match, never falls back to a stored
-block, and the difference is due to the window alone. Only windows with a word that has four bytes in common with the toxic
-dictionary are compressed: without a match in it there is no gain.
+block, and the difference is due to the window alone. Only windows that have five bytes in a row in common with the toxic
+dictionary, the least that a match takes here, are compressed: all others have no gain.
 
 A document's evidence is a sum over its distinct windows: by class of gain, the logarithm of how much more frequent windows of that class are in
 toxic documents than in ordinary ones. These weights, and then the map from evidence to probability, are calibrated on labelled
@@ -23,11 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import buffers, cut, pieces
 
 PREAMBLE = b"0123456789QWERTYUIOPASDFGHJKLZXCVBNM9876543210MNBVCXZLKJHGFDSAPOIUYTREWQ"
 GRAM = 5
@@ -35,7 +37,7 @@ GRAM = 5
 WINDOW, STEP = 6, 3
 WORD_BYTES = 48
 #: Bytes that a match in the toxic dictionary has at least.
-MATCH = 4
+MATCH = 5
 #: Gains from here on are one class, as are those below 1.
 MOST_GAIN = 8
 #: Whole numbers that evidence is brought to, half of them below 0.
@@ -43,6 +45,7 @@ LEVELS = 65
 #: Entries of a task's table of gains before it starts anew.
 CACHE = 200_000
 CUTOFF = 0.7
+_NONE, _BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 
 
 @dataclass(frozen=True)
@@ -55,11 +58,8 @@ class Model:
     probability: tuple[float, ...]
 
 
-def split(texts: pa.Array):
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words, place of each text's first word) of all texts: runs of letters and digits in lower case, long ones cut in pieces."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     found = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
     flat = found.flatten()
     times = np.maximum(pc.utf8_length(flat).to_numpy(zero_copy_only=False), 0)
@@ -120,8 +120,21 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
     return b"".join(sorted(counts, key=lambda s: (counts[s], s)))[-size:]
 
 
+def _codes(data: np.ndarray) -> np.ndarray:
+    """The MATCH bytes from each place as a number."""
+    n = max(0, len(data) - MATCH + 1)
+    codes = np.zeros(n, dtype=np.uint64)
+    for i in range(MATCH):
+        codes |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    return codes
+
+
+def _short(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
 class Gains:
-    """Bytes that the toxic dictionary saves on a window; 0 for one without a word that it may have something of."""
+    """Bytes that the toxic dictionary saves on a window."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard
@@ -137,18 +150,17 @@ class Gains:
             return zstandard.ZstdCompressor(dict_data=made, compression_params=params)
 
         self.toxic, self.ordinary = compressor(ordinary + b"\n" + toxic + b"\n" + PREAMBLE), compressor(ordinary + b"\n" + PREAMBLE)
-        self.parts = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
+        own = np.frombuffer(toxic, np.uint8)
+        self.parts = np.unique(_codes(own))
+        self.maybe = np.zeros(1 << 16, dtype=bool)
+        self.maybe[_short(self.parts)] = True
         self.known: dict[str, int] = {}
-        self.words: dict[str, bool] = {}
 
-    def touches(self, word: str) -> bool:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            raw = f" {word} ".encode()
-            found = self.words[word] = any(raw[i : i + MATCH] in self.parts for i in range(len(raw) - MATCH + 1))
-        return found
+    def matches(self, data: np.ndarray) -> np.ndarray:
+        """Where MATCH bytes begin that the toxic dictionary has."""
+        codes = _codes(data)
+        at = np.flatnonzero(self.maybe[_short(codes)])
+        return at[np.isin(codes[at], self.parts)]
 
     def __call__(self, window: str) -> int:
         gain = self.known.get(window)
@@ -161,23 +173,27 @@ class Gains:
 
     def of_texts(self, texts: pa.Array) -> list[tuple[int, list[int]]]:
         """Per text the number of its windows, and the gains of those distinct ones that have a gain."""
-        import numpy as np
-        import pyarrow.compute as pc
-
         words, first = split(texts)
-        coded = pc.dictionary_encode(words)
-        hit = np.array([self.touches(w) for w in coded.dictionary.to_pylist()], dtype=bool)
-        place = np.flatnonzero(hit[coded.indices.to_numpy(zero_copy_only=False)]) if len(words) else np.zeros(0, np.int64)
-        row = np.searchsorted(first, place, side="right") - 1
-        out: list[tuple[int, list[int]]] = [(len(windows_of(n)), []) for n in np.diff(first).tolist()]
-        begin = np.searchsorted(row, np.arange(len(texts) + 1))
-        for r in np.unique(row).tolist():
-            a, z, count = int(first[r]), int(first[r + 1]), out[r][0]
-            last = np.minimum((place[begin[r] : begin[r + 1]] - a) // STEP, count - 1)
-            wanted = np.unique(np.concatenate([np.maximum(last - back, 0) for back in range(-(-WINDOW // STEP))]))
-            own = words.slice(a, z - a).to_pylist()
-            found = {f" {' '.join(own[i * STEP : i * STEP + WINDOW])} " for i in wanted.tolist()}
-            out[r] = (count, [g for g in map(self, found) if g > 0])
+        counts = [len(windows_of(n)) for n in np.diff(first).tolist()]
+        out: list[tuple[int, list[int]]] = [(n, []) for n in counts]
+        if not len(words):
+            return out
+        starts = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)  # of the words after the first, in all words with blanks between
+        at = self.matches(np.concatenate((np.array([32], np.uint8), buffers(pc.binary_join_element_wise(words, _NONE, _BLANK))[0])))
+        word = np.unique(np.minimum(np.concatenate([np.searchsorted(starts, at + i, side="right") for i in (0, MATCH - 1)]), len(words) - 1))
+        row = np.searchsorted(first, word, side="right") - 1
+        last = np.minimum((word - first[row]) // STEP, np.array(counts)[row] - 1)
+        begin = np.unique(np.concatenate([first[row] + np.maximum(last - back, 0) * STEP for back in range(-(-WINDOW // STEP))]))
+        row = np.searchsorted(first, begin, side="right") - 1
+        columns = [words.take(pa.array(begin + i, mask=begin + i >= first[row + 1])) for i in range(WINDOW)]
+        # As windows are written everywhere: a blank before, between and after words.
+        found = pc.binary_join_element_wise(_NONE, *columns, _NONE, _BLANK, null_handling="skip").dictionary_encode()
+        gain = np.array([self(w) for w in found.dictionary.to_pylist()], dtype=np.int64)
+        code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        once = np.unique(row * len(gain) + code) if len(gain) else np.zeros(0, np.int64)
+        once = once[gain[once % len(gain)] > 0] if len(gain) else once
+        for r, g in zip((once // max(1, len(gain))).tolist(), gain[once % max(1, len(gain))].tolist(), strict=True):
+            out[r][1].append(g)
         return out
 
 
@@ -248,19 +264,22 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: i
 def telling_grams(rows: DataFrame, of_window, support: float, lift: float) -> set[str]:
     """Grams in a share of support of the toxic documents or more, lift times the share of ordinary ones."""
 
-    @F.arrow_udf("array<string>")
-    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([sorted(set().union(*map(of_window, windows or []))) for windows in batch.to_pylist()], pa.list_(pa.string()))
+    def counts(docs: DataFrame, wanted: frozenset | None) -> DataFrame:
+        @F.arrow_udf("array<string>")
+        def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                found = [set().union(*map(of_window, windows or [])) for windows in batch.to_pylist()]
+                yield pa.array([list(x if wanted is None else x & wanted) for x in found], pa.list_(pa.string()))
+
+        return docs.select(F.explode(distinct("windows")).alias("gram")).groupBy("gram").count()
 
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    toxic, ordinary = n.get(True, 0), n.get(False, 0)
-    counted = rows.select("toxic", F.explode(distinct("windows")).alias("gram")).groupBy("gram").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("o"))
-    far = F.col("t") / F.lit(max(1, toxic)) > F.lit(lift) * (F.col("o") + 0.5) / F.lit(max(1, ordinary))
-    return {r.gram for r in counted.where((F.col("t") >= max(3.0, support * toxic)) & far).select("gram").collect()}
+    frequent = {r.gram: r["count"] for r in counts(rows.where("toxic"), None).where(F.col("count") >= max(3.0, support * n.get(True, 0))).collect()}
+    ordinary = {r.gram: r["count"] for r in counts(rows.where("NOT toxic"), frozenset(frequent)).collect()}
+    return {g for g, t in frequent.items() if t / max(1, n.get(True, 0)) > lift * (ordinary.get(g, 0) + 0.5) / max(1, n.get(False, 0))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_rows: int = 4000, most_windows: int = 512, support: float = 0.02, lift: float = 30.0, dictionary_bytes: int = 8192) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_rows: int = 3000, most_windows: int = 256, support: float = 0.02, lift: float = 30.0, dictionary_bytes: int = 8192) -> Model:
     """Fit on a bounded sample: at most toxic_rows and ordinary_rows labelled documents (those of least hash), of each at most most_windows windows.
 
     labels: (doc_id, toxic). The sample of ids is drawn from labels alone and is so small that it can be broadcast; texts are
@@ -287,19 +306,17 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_row
         for batch in batches:
             yield pa.array([[s for w in windows or [] for s in word_spans(w, words) or spans(w, phrases)] for windows in batch.to_pylist()], pa.list_(pa.string()))
 
-    def gathered(found: DataFrame, at: str) -> list[bytes]:
-        """Samples as often as they are there, at most 1000 times each; the bounded sample bounds them all."""
-        counts = found.groupBy(at).count().orderBy(F.desc("count"), at).limit(50_000).collect()
-        return [r[at].encode() for r in counts for _ in range(min(1000, r["count"]))]
-
-    toxic = dictionary(gathered(make.where("toxic").select(F.explode(samples("windows")).alias("s")), "s"), dictionary_bytes)
-    ordinary = dictionary(gathered(make.where("NOT toxic").select(F.explode("windows").alias("s")), "s"), dictionary_bytes)
+    found = make.where("toxic").select(F.explode(samples("windows")).alias("s")).groupBy("s").count().collect()
+    toxic = dictionary([r.s.encode() for r in sorted(found) for _ in range(r["count"])], dictionary_bytes)
+    # Of ordinary text an eighth of the windows is enough to train on.
+    eighth = F.filter("windows", lambda w: F.crc32(w.cast("binary")) % 8 == 0)
+    ordinary = dictionary(sorted(r.s.encode() for r in make.where("NOT toxic").select(F.explode(eighth).alias("s")).collect()), dictionary_bytes)
 
     @F.arrow_udf("array<int>")
     def gains(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gain = Gains(toxic, ordinary)
         for batch in batches:
-            yield pa.array([sorted(g for w in set(windows or []) if any(map(gain.touches, w.split())) and (g := gain(w)) > 0) for windows in batch.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([sorted(g for w in set(windows or []) if len(gain.matches(np.frombuffer(w.encode(), np.uint8))) and (g := gain(w)) > 0) for windows in batch.to_pylist()], pa.list_(pa.int32()))
 
     scored = [(r.n, list(r.g), int(r.toxic)) for r in hold.select(F.size("windows").alias("n"), gains("windows").alias("g"), "toxic").where("n >= 0").collect()]
     weights = log_ratios(scored)

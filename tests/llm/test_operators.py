@@ -333,7 +333,7 @@ def test_toxicity_separates_held_out_documents(spark, empty):
 
 def test_toxicity_of_phrases_of_ordinary_words(spark):
     rng = random.Random(10)
-    common = [f"{a}{b}" for a in ("gar", "mil", "ton", "vel", "sor", "pan") for b in ("der", "ic", "oth", "une")] + ["nobody", "wants", "people", "around"]
+    common = [f"{a}{b}" for a in ("gar", "mil", "ton", "vel", "sor", "pan", "bri", "cho", "dul", "fer", "hin", "jas") for b in ("der", "ic", "oth", "une", "ly", "and", "est", "ow", "ish", "ent")] + ["nobody", "wants", "people", "around"]
     rows = []
     for i in range(900):
         words = [rng.choice(common) for _ in range(rng.randrange(20, 60))]
@@ -347,7 +347,7 @@ def test_toxicity_of_phrases_of_ordinary_words(spark):
 
 
 def test_toxicity_scores_equal_a_plain_version(spark, docs, corpus):
-    """Every window of every text compressed, none left out beforehand."""
+    """Every window of every text looked at, one by one."""
     gain = toxicity.Gains(b" garbage  nonsense  w17 w18  dup line ", b" one two three w1 w2 w3 ")
     model = toxicity.Model(b" garbage  nonsense  w17 w18  dup line ", b" one two three w1 w2 w3 ", (-0.1, 0.2, 0.9, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0), tuple(i / toxicity.LEVELS for i in range(toxicity.LEVELS)))
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs.withColumn("toxicity", F.lit("clash")), model).collect()}
@@ -356,12 +356,10 @@ def test_toxicity_scores_equal_a_plain_version(spark, docs, corpus):
         words = [w[i : i + 48] for w in re.findall(r"[^\W_]+", (t or "").lower()) for i in range(0, len(w), 48)]
         starts = range(0, max(1, len(words) - 3), 3) if words else []
         every = [f" {' '.join(words[i : i + 6])} " for i in starts]
-        touched = {w for w in every if any(gain.touches(x) for x in w.split())}
-        gains = [g for w in touched if (g := gain(w)) > 0]
+        gains = [g for w in set(every) if (g := gain(w)) > 0]
         counts = [len(every) - len(gains)] + [sum(min(g, 8) == k for g in gains) for k in range(1, 9)]
         level = min(max(round(sum(n * w for n, w in zip(counts, model.weights))) + 32, 0), 64)
         assert got[d] == model.probability[level]
-        assert all(gain(w) <= 1 for w in set(every) - touched)
 
 
 def test_secrets_are_found_and_redacted(spark, empty):
@@ -420,6 +418,12 @@ def test_escapes_are_reversible(text):
     assert "###" not in bare and "</turn>" not in bare
 
 
+@pytest.mark.parametrize("turns", [[("a: b", "c"), ("a", "b: c")], [("", "")], [("\\", "\\"), (":", ": "), ("x:", "y </turn>\n### z: ")], [("### a", "</turn>"), ("</turn>", "\\</turn>\n")], [("user", "ü\n" * 3)]])
+def test_written_form_is_read_back(turns):
+    written = "".join(f"{chat.OPEN}{chat.escape_role(role)}{chat.SEP}{chat.escape(text)}{chat.CLOSE}" for role, text in turns)
+    assert chat.read_written(written) == turns
+
+
 def test_chat_round_trip(spark):
     tricky = "\\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", "yes ### </turn>"), (1, 0, "user", None), (1, 2, None, "tool\n"), (2, 0, "assistant", ""), (None, 0, "user", "no id"), (-7, 0, "user", tricky), (-7, 1, "assistant", tricky), (3, 0, "user", "same"), (3, 0, "user", "same"), (4, None, "assistant", "é" * 3000)]
@@ -432,7 +436,7 @@ def test_chat_round_trip(spark):
         loss = "".join(text or "" for _, _, role, text in own if role == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(everything.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert r.formatted_chars == sum(len(f"### {chat.escape(role or '')}: {chat.escape(text or '')} </turn>\n") for _, _, role, text in own)
+        assert r.formatted_chars == sum(len(f"### {chat.escape_role(role or '')}: {chat.escape(text or '')} </turn>\n") for _, _, role, text in own)
     offsets = chat.with_offsets(turns).where("conv_id = 1").orderBy("token_offset").collect()
     assert offsets[0].token_offset == 0 and offsets[1].token_offset == len(offsets[0].ids)
     assert chat.read_back(turns.where("false"), VOCABULARY, PATTERN).count() == 0
