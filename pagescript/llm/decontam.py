@@ -63,9 +63,10 @@ class Index:
     parts: list[np.ndarray]
     impacts: list[np.ndarray]
     block_max: list[np.ndarray]
+    #: Per part its item's number, per item its id and the word n-grams of question and answer.
     item_of: list[int]
-    #: Per item: word n-grams of question and answer.
-    grams: dict[int, tuple[frozenset, frozenset]]
+    ids: list[int]
+    grams: list[tuple[frozenset, frozenset]]
 
 
 def n_grams(found: list[str], n: int = GRAM) -> frozenset:
@@ -74,12 +75,13 @@ def n_grams(found: list[str], n: int = GRAM) -> frozenset:
 
 
 def build(items: list[tuple[int, str, str]]) -> Index:
-    cut, grams = [], {}
-    for item, question, answer in items:
+    """Items are told apart by their place in the list: those that share an id are all in the index."""
+    cut, grams = [], []
+    for item, (_, question, answer) in enumerate(items):
         q, a = words(question), words(answer)
         both = q + a
+        grams.append((n_grams(q), n_grams(a)))
         if both:
-            grams[item] = (n_grams(q), n_grams(a))
             count = -(-len(both) // PART)
             cut += [(item, both[len(both) * i // count : len(both) * (i + 1) // count]) for i in range(count)]
     df = Counter(t for _, part in cut for t in set(part))
@@ -94,7 +96,7 @@ def build(items: list[tuple[int, str, str]]) -> Index:
     terms = sorted(postings)
     parts = [np.array([p for p, _ in postings[t]]) for t in terms]
     impacts = [np.array([x for _, x in postings[t]]) for t in terms]
-    return Index(terms, parts, impacts, [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in impacts], [item for item, _ in cut], grams)
+    return Index(terms, parts, impacts, [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in impacts], [item for item, _ in cut], [item for item, *_ in items], grams)
 
 
 def block_max_wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -170,7 +172,7 @@ def searcher(index: Index, threshold: float):
         count = len(index.terms)
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(1), 4 << 20):
+            for texts in pieces(batch.column(1), 1 << 20):
                 split = pc.split_pattern_regex(pc.utf8_lower(texts), BREAK)
                 flat = split.flatten()
                 ends = split.offsets.to_numpy() - split.offsets[0].as_py()
@@ -216,8 +218,8 @@ def searcher(index: Index, threshold: float):
                             n = len(next(iter(side))) if side else 0
                             shares.append(len(side & {tuple(near[i : i + n]) for i in range(len(near) - n + 1)}) / len(side) if side else None)
                         if leaked(shares[0] or 0.0, shares[1] or 0.0):
-                            best = found.setdefault((d, item), [0.0, 0.0, None])
-                            found[d, item] = [max(best[0], score), max(best[1], shares[0] or 0.0), shares[1] if best[2] is None else max(best[2], shares[1] or 0.0)]
+                            best = found.setdefault((d, index.ids[item]), [0.0, 0.0, None])
+                            found[d, index.ids[item]] = [max(best[0], score), max(best[1], shares[0] or 0.0), best[2] if shares[1] is None else max(best[2] or 0.0, shares[1])]
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -237,7 +239,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
     docs: (doc_id, text); items: (item_id, question, answer). score is the largest share of a part's BM25 mass in a passage of the
     document. Null and empty texts have no passages; items without words, or with a null id, can't leak. answer_overlap is null
-    where there is no answer. Documents that share an id, and rows without one, are reported row by row.
+    where there is no answer. Documents that share an id, and rows without one, are reported row by row. Items that share an id are
+    all looked for, and what is found of any counts for that id, the largest values of each kind; equal items count once. Whole
+    texts of any length; columns besides the named ones play no part.
     """
     kept = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
     chars = kept.agg(F.sum(F.length("question") + F.length("answer"))).first()[0] or 0
@@ -246,7 +250,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     out = None
     for i in range(passes):
         chunk = kept.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i)
-        index = build(sorted((r.item_id, r.question, r.answer) for r in chunk.collect()))
+        index = build(sorted({(r.item_id, r.question, r.answer) for r in chunk.collect()}))
         if not index.terms:
             continue
         found = rows.mapInArrow(searcher(index, threshold), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")

@@ -39,7 +39,7 @@ WORD_BYTES = 48
 #: Bytes that a match in the toxic dictionary has at least.
 MATCH = 5
 #: Gains from here on are one class, as are those below 1.
-MOST_GAIN = 8
+MOST_GAIN = 16
 #: Whole numbers that evidence is brought to, half of them below 0.
 LEVELS = 65
 #: Entries of a task's table of gains before it starts anew.
@@ -104,6 +104,22 @@ def word_spans(window: str, telling: set[str]) -> list[str]:
     return [run for w in window.split() for run in spans(f" {w} ", telling)]
 
 
+def phrase_spans(window: str, telling: set[str]) -> list[str]:
+    """Runs of words whose neighbours are joined by telling grams."""
+    words = window.split()
+    runs: list[list[str]] = []
+    joined = False
+    for a, b in zip(words, words[1:], strict=False):
+        if across_words(f" {a} {b} ") & telling:
+            if not joined:
+                runs.append([a])
+            runs[-1].append(b)
+            joined = True
+        else:
+            joined = False
+    return [f" {' '.join(run)} " for run in runs]
+
+
 def dictionary(samples: list[bytes], size: int) -> bytes:
     """A dictionary of zstandard's trainer, an eighth of the samples at most; the samples themselves, frequent ones last, where that is too little to train on."""
     import zstandard
@@ -304,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
     @F.arrow_udf("array<string>")
     def samples(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[s for w in windows or [] for s in word_spans(w, words) or spans(w, phrases)] for windows in batch.to_pylist()], pa.list_(pa.string()))
+            yield pa.array([[s for w in windows or [] for s in word_spans(w, words) or phrase_spans(w, phrases)] for windows in batch.to_pylist()], pa.list_(pa.string()))
 
     found = make.where("toxic").select(F.explode(samples("windows")).alias("s")).groupBy("s").count().collect()
     toxic = dictionary([r.s.encode() for r in sorted(found) for _ in range(r["count"])], dictionary_bytes)
