@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Quotes, dashes and the ellipsis in plain form.
-FANCY = "‘’‚‛“”„‐‑‒–—―−"
-PLAIN = "''''\"\"\"-------"
+# Quotes, dashes and the minus sign in plain form; the oracle form knows no minus sign.
+FANCY, PLAIN = "‘’“”–—−", "''\"\"---"
+ORACLE_FANCY, ORACLE_PLAIN = "’‘“”—–", "''\"\"--"
 ASCII = r"^[ -~\s]*$"
+#: White space in any alphabet, and the separators of files to units.
+SPACE = r"[\s\p{Z}\x1C-\x1F\x85]"
 
 
 def plain(text: Column) -> Column:
@@ -24,31 +26,30 @@ def plain(text: Column) -> Column:
 
 
 def oracle(text: Column) -> Column:
-    """Upper case, plain punctuation, and of the rest only A-Z, 0-9 and '!?.,:;()-\" ."""
-    mapped = F.replace(F.translate(F.upper(text), FANCY, PLAIN), F.lit("…"), F.lit("..."))
-    return F.trim(F.regexp_replace(F.regexp_replace(mapped, r"[^A-Z0-9'!?.,:;()\-\"\s]", ""), r"\s+", " "))
+    """Upper case, plain punctuation, and a blank for all but A-Z, 0-9 and '!?.,:;()-\" ."""
+    mapped = F.replace(F.translate(F.upper(text), ORACLE_FANCY, ORACLE_PLAIN), F.lit("…"), F.lit("..."))
+    return F.trim(F.regexp_replace(mapped, r"[^A-Z0-9'!?.,:;()\-\"]+", " "))
 
 
 def _tidy(text: Column) -> Column:
-    dots = F.regexp_replace(text, r"\.{3,}", "…")
-    blanks = F.trim(F.regexp_replace(dots, r"\s+", " "))
+    dots = F.regexp_replace(text, r"\.{3,}", "...")
+    blanks = F.trim(F.regexp_replace(dots, f"{SPACE}+", " "))
     return F.regexp_replace(F.regexp_replace(blanks, r" +([.,!?;:%)\]}])", "$1"), r"([(\[{]) +", "$1")
 
 
+def folded(text: str) -> str:
+    """Compatibility forms, plain quotes and dashes, folded case, no format characters."""
+    text = unicodedata.normalize("NFKC", text).translate(str.maketrans(FANCY, PLAIN)).replace("…", "...").casefold()
+    return "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
+
+
 def _folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    table = str.maketrans(FANCY, PLAIN)
     for batch in batches:
-        out = []
-        for text in batch.to_pylist():
-            if text is not None:
-                text = unicodedata.normalize("NFKC", text).translate(table).casefold()
-                text = "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
-            out.append(text)
-        yield pa.array(out, pa.string())
+        yield pa.array([None if text is None else folded(text) for text in batch.to_pylist()], pa.string())
 
 
 def scorer(text: Column) -> Column:
-    """The form that transcripts are scored in: compatibility forms, plain quotes and dashes, folded case, tidy spaces.
+    """The form that transcripts are scored in: compatibility forms, plain quotes and dashes, three dots for more of them, folded case, tidy spaces.
 
     Text of ASCII alone is lowered by Spark; only the rest goes through Python.
     """
@@ -56,8 +57,8 @@ def scorer(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words, with apostrophes and hyphens inside, and single marks."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:['\-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"), F.lit(0))
+    """Words, with apostrophes and hyphens inside, and single marks; low lines are neither."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:['\-][\p{L}\p{N}]+)*|[^\s\p{Z}_\p{L}\p{N}]"), F.lit(0))
 
 
 def char_error_rate(truth: Column, found: Column) -> Column:

@@ -163,7 +163,41 @@ def test_assignment_equals_brute_force():
         full = np.zeros((size, size))
         full[:n, :m] = table
         best = max(sum(full[i, p[i]] for i in range(size)) for p in permutations(range(size)))
-        assert sum(table[i, j] for i, j in score.assignment(table)) == best
+        found = score.assignment({(f"p{i}", f"g{j}"): table[i, j] for i in range(n) for j in range(m)})
+        assert sum(table[int(p[1:]), int(g[1:])] for p, g in found.items()) == best and len(set(found.values())) == len(found)
+
+
+LINE = "sequence_id long, page_index int, line_index int, speaker string, text string"
+
+
+def test_scores_of_hand_worked_sequences(spark):
+    gold = [(1, 0, 0, "A", "Hello “World”"), (2, 0, 0, None, "one two three"), (3, 1, 0, "A", "alpha beta"), (4, 0, 0, "A", "alpha beta"), (4, 0, 1, "B", "gamma"), (5, 2, 0, "NARRATION", "wait..... here")]
+    predicted = [(1, 0, 0, "X", 'hello "world"'), (2, 0, 0, "X", "one two three"), (4, 0, 0, "X", "alpha beta"), (4, 0, 1, "Y", "gamma"), (4, 0, 2, "Z", "delta"), (5, 2, 0, "X", "wait... here")]
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 9)], "sequence_id long")
+    have = ids.where("sequence_id <> 3")
+    scores = score.score_sequences(spark.createDataFrame(gold, LINE), spark.createDataFrame(predicted, LINE), ids, have)
+    found = {r.sequence_id: r for r in scores.collect()}
+    values = {i: tuple(None if r[m] is None else round(r[m], 6) for m in score.METRICS) for i, r in found.items()}
+    # text order, balanced, accuracy, joint, coverage
+    assert values == {
+        1: (1, 1, 1, 1, 1), 2: (1, None, None, None, 1), 3: (0, 0, 0, 0, 0), 4: (round(1 - 6 / 22, 6), round(2 / 3, 6), 1, round(6 / 7, 6), 1), 5: (1, 0, 0, 0, 1), 9: (1, None, None, None, 1),
+    }
+    assert [tuple(found[2][c] for c in [*score.COUNTS, *score.WEIGHTS])] == [(3, 3, 0, 0, 0, 0)]
+    assert [tuple(found[4][c] for c in [*score.COUNTS, *score.WEIGHTS])] == [(3, 4, 3, 4, 3, 3)]
+    assert {i: (r.missing_sequence, r.active_text_pages) for i, r in found.items()} == {1: (False, 1), 2: (False, 1), 3: (True, 1), 4: (False, 1), 5: (False, 1), 9: (False, 0)}
+    mean = score.macro_scores(scores, have).first()
+    assert (mean.sequences, mean.missing_sequences) == (6, 1)
+    assert mean.text_order_score == pytest.approx((3 + 16 / 22) / 5) and mean.matched_token_coverage == pytest.approx(4 / 5)
+    assert mean.balanced_joint_f1 == pytest.approx((1 + 2 / 3) / 4) and mean.joint_f1 == pytest.approx((1 + 6 / 7) / 4) and mean.speaker_accuracy_on_matched == pytest.approx(2 / 4)
+    only = score.macro_scores(scores.where("sequence_id = 9")).first()
+    assert only.text_order_score == 1 and only.joint_f1 is None
+    with pytest.raises(ValueError):
+        score.macro_scores(scores, spark.createDataFrame([(77,)], "sequence_id long"))
+
+
+def test_tokens_leave_low_lines_out(spark):
+    text = spark.createDataFrame([("snake_case it's well-known ... né\u00a0x",)], "t string")
+    assert text.select(T.tokens(F.col("t")).alias("w")).first().w == ["snake", "case", "it's", "well-known", ".", ".", ".", "né", "x"]
 
 
 def test_error_rates_count_code_points_and_words(spark):
@@ -174,7 +208,7 @@ def test_error_rates_count_code_points_and_words(spark):
 
 def test_scorer_form_folds_and_tidies(spark):
     rows = spark.createDataFrame([("Ｈｅｌｌｏ  “WORLD” ....",), ("A , b ( c )",), ("Straße​",), (None,)], "t string")
-    assert [r.s for r in rows.select(T.scorer(F.col("t")).alias("s")).collect()] == ['hello "world" …', "a, b (c)", "strasse", None]
+    assert [r.s for r in rows.select(T.scorer(F.col("t")).alias("s")).collect()] == ['hello "world"...', "a, b (c)", "strasse", None]
 
 
 def test_confidences_that_are_none(spark):
@@ -197,12 +231,38 @@ def test_first_adjudication_wins_and_excluded_rows_are_kept_apart(spark):
     assert found == {0: ("ordered", "Character B", "hi"), 1: ("excluded", None, "x"), 2: ("unresolved", None, None)}
 
 
+def line(*items, sequence="s9", pages=3):
+    import json
+
+    return json.dumps({"sequence_id": sequence, "pages": [[{"speaker": a, "text": t} for a, t in items], *[[] for _ in range(pages - 1)]]}, ensure_ascii=False)
+
+
 def test_strict_transcripts(spark):
-    good = '{"sequence_id": "s1", "pages": [[{"speaker": "UNKNOWN", "text": "a"}], [], [{"speaker": "B", "text": "b"}]]}'
-    bad = ['{"sequence_id": "s2", "sequence_id": "s2", "pages": [[], [], []]}', '{"sequence_id": " s3", "pages": [[], [], []]}', '{"sequence_id": "s4", "pages": [[], []]}', '{"sequence_id": "s5", "pages": [[{"speaker": "B", "text": " "}], [], []]}', "nothing", '{"sequence_id": "s6", "pages": [[], [], []]}', '{"sequence_id": "s6", "pages": [[], [], []]}']
-    rows, rejected = transcripts.read_transcripts(spark.createDataFrame([(x,) for x in [good, *bad]], "value string"), reference=True)
-    assert [(r.page_index, r.speaker, r.text) for r in rows.orderBy("page_index").collect()] == [(0, None, "a"), (2, "B", "b")]
-    assert rejected.count() == 6
+    good = ['{"sequence_id": "s1", "pages": [[{"speaker": "UNKNOWN", "text": "a\\tb\\n"}], [], [{"speaker": "B", "text": "b"}]]}', "", "   ", '{"sequence_id": "s2", "pages": [[{"speaker": null, "text": "c"}], [], []]}']
+    bad = [
+        '{"sequence_id": "s2", "sequence_id": "s2", "pages": [[], [], []]}', '{"sequence_id": " s3", "pages": [[], [], []]}', '{"sequence_id": "s4", "pages": [[], []]}', '{"sequence_id": "s5", "pages": ["", "", ""]}', "nothing", "[1]", "5",
+        line(("B", " ")), line(("B", "\u200b")), line((5, "x")), line((" B", "x")), line(("", "x")), line(("B", 7)), line(("B", "x\u0085y\u0080")), line(("B", "x\u007f")), '{"sequence_id": "s6", "pages": [[{"speaker": "B"}], [], []]}',
+        '{"sequence_id": "s7", "pages": [5, [], []]}', '{"sequence_id": "s8", "pages": {"a": 1, "b": 2, "c": 3}}', '{"sequence_id": 8, "pages": [[], [], []]}', '{"sequence_id": "t", "pages": [[], [], []]}', '{"sequence_id": "t", "pages": [[], [], []]}',
+    ]
+    lines = spark.createDataFrame([(x,) for x in [*good, *bad]], "value string")
+    rows, rejected = transcripts.read_transcripts(lines, reference=True)
+    assert sorted((r.sequence_id, r.page_index, r.speaker, r.text) for r in rows.collect()) == [("s1", 0, None, "a\tb\n"), ("s1", 2, "B", "b"), ("s2", 0, None, "c")]
+    assert rejected.count() == len(bad) - 1
+    with pytest.raises(ValueError):
+        transcripts.read_transcripts(lines, reference=True, strict=True)
+    # Null speakers are for references alone.
+    assert transcripts.read_transcripts(spark.createDataFrame([(good[3],)], "value string"))[1].count() == 1
+
+
+def test_missing_files_and_strict_manifests(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name in ("a b/1.png", "2.png"):
+        (tmp_path / name).write_bytes(b"x")
+    pages = spark.createDataFrame([("s", 0, "a b/1.png"), ("s", 1, "2.png"), ("s", 2, "3.png")], "sequence_id string, page_index int, image_path string")
+    assert [r.image_path for r in transcripts.missing_files(spark, pages, str(tmp_path)).collect()] == ["3.png"]
+    (tmp_path / "m.json").write_text('[{"sequence_id": "b", "split": "other", "images": ["1", "2", "3"]}]')
+    with pytest.raises(ValueError):
+        transcripts.read_sequences(spark, str(tmp_path / "m.json"), strict=True)
 
 
 def test_manifest_and_transcripts_round_trip(spark, tmp_path):
@@ -270,7 +330,7 @@ def test_text_queries_take_rows_in_any_alphabet(spark):
     sizes = {r.doc_id: r.tokens for r in QUERIES["t2_tokenize"](spark, SF).collect()}
     assert any(not t.isascii() for t in texts.values())
     assert plain == {d: re.sub(r"[ \t\n\x0b\f\r]+", " ", t.upper()).strip(" ") for d, t in texts.items()}
-    assert sizes == {d: len(re.findall(r"[^\W_]+(?:['\-][^\W_]+)*|[^\s\w]|_", t.lower())) for d, t in texts.items()}
+    assert sizes == {d: len(re.findall(r"[^\W_]+(?:['\-][^\W_]+)*|[^\s\w]", t.lower())) for d, t in texts.items()}
     actions = {(r.item_id, r.action): (r.target_text, r.text) for r in load(spark, SF, "fx_actions")[0].collect()}
     errors = {(r.item_id, r.action): r.cer for r in QUERIES["t3_char_error_rate"](spark, SF).collect()}
     assert set(errors) == set(actions)
