@@ -43,7 +43,9 @@ MOST_GAIN = 16
 #: Whole numbers that evidence is brought to, half of them below 0.
 LEVELS = 65
 #: Entries of a task's table of gains before it starts anew.
-CACHE = 200_000
+CACHE = 20_000
+#: Bytes of text that are worked on at a time.
+PIECE = 1 << 20
 CUTOFF = 0.7
 _NONE, _BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 
@@ -263,7 +265,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: i
 
         for batch in batches:
             out = []
-            for texts in pieces(batch):
+            for texts in pieces(batch, PIECE):
                 words, first = split(texts)
                 for r in range(len(texts)):
                     a, z = int(first[r]), int(first[r + 1])
@@ -323,7 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
             yield pa.array([[s for w in windows or [] for s in word_spans(w, words) or phrase_spans(w, phrases)] for windows in batch.to_pylist()], pa.list_(pa.string()))
 
     found = make.where("toxic").select(F.explode(samples("windows")).alias("s")).groupBy("s").count().collect()
-    toxic = dictionary([r.s.encode() for r in sorted(found) for _ in range(r["count"])], dictionary_bytes)
+    # Words vary in their endings, phrases don't: one that hardly recurs is made of what happens to stand beside a telling pair.
+    often = max(3.0, support * make.where("toxic").count() / 2)
+    toxic = dictionary([r.s.encode() for r in sorted(found) if " " not in r.s.strip() or r["count"] >= often for _ in range(r["count"])], dictionary_bytes)
     # Of ordinary text an eighth of the windows is enough to train on.
     eighth = F.filter("windows", lambda w: F.crc32(w.cast("binary")) % 8 == 0)
     ordinary = dictionary(sorted(r.s.encode() for r in make.where("NOT toxic").select(F.explode(eighth).alias("s")).collect()), dictionary_bytes)
@@ -346,7 +350,7 @@ def scorer(model: Model):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gain = Gains(model.toxic, model.ordinary)
         for batch in batches:
-            out = [model.probability[level(n, gains, model.weights)] for texts in pieces(batch) for n, gains in gain.of_texts(texts)]
+            out = [model.probability[level(n, gains, model.weights)] for texts in pieces(batch, PIECE) for n, gains in gain.of_texts(texts)]
             yield pa.array(out, pa.float64())
 
     return score
