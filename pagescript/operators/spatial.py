@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boxes import KEYS, area, center_x, center_y, contains, height, intersection, iou, overlap_x, overlap_y, width
+from .boxes import KEYS, area, center_x, center_y, contains, height, intersection, iou, is_valid, overlap_x, overlap_y, width
 
 
 def on_page(a: DataFrame, b: DataFrame, condition: Column | None = None, how: str = "inner") -> DataFrame:
@@ -24,42 +24,49 @@ def _if_found(position: str, value: Column) -> Column:
 
 
 def assign_panels(regions: DataFrame, panels: DataFrame, position: str = "region_pos") -> DataFrame:
-    """(keys, position, status, panel_pos, confidence): the smallest panel that contains a region, else the one that covers it best.
+    """(keys, position, status, panel_pos, confidence, candidates, covers): the smallest panel that contains a region, else the one that covers it best.
 
-    Containment gives .95, a cover of .8 or more with a lead of .2 gives .65; a cover of .8 without the lead is ambiguous.
+    Containment gives .95 (.5 if the panel's source, where there is such a column, is not layout_model), a cover of .8 or more with a lead of
+    .2 gives .65; any other overlap is ambiguous, with all panels that overlap as candidates and their covers, largest first. Without an
+    overlap, or with a malformed box, a region is unassigned.
     """
-    joined = on_page(regions, panels, how="left").select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), F.coalesce(contains("b", "a"), F.lit(False)).alias("inside"), area("b").alias("panel_area"), _if_found("panel_pos", _coverage("a", "b")).alias("cover"))
+    from_model = F.col("b.source") == "layout_model" if "source" in panels.columns else F.lit(True)
+    marked = regions.withColumn("_good", F.coalesce(is_valid(), F.lit(False)))
+    cover = F.when(F.col("a._good"), _if_found("panel_pos", _coverage("a", "b"))).otherwise(0.0)
+    inside = F.col("a._good") & F.coalesce(contains("b", "a"), F.lit(False))
+    joined = on_page(marked, panels, how="left").select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), inside.alias("inside"), area("b").alias("panel_area"), from_model.alias("from_model"), cover.alias("cover"))
     own = [*KEYS, position]
-    smallest = Window.partitionBy(*own).orderBy(F.desc("inside"), F.when(F.col("inside"), F.col("panel_area")), F.desc("cover"), "panel_pos")
-    covers = Window.partitionBy(*own).orderBy(F.desc("cover"), "panel_pos")
-    best = joined.withColumns({"n": F.row_number().over(smallest), "second": F.max(F.col("cover")).over(Window.partitionBy(*own, F.lit(1))), "place": F.row_number().over(covers)})
-    summary = best.groupBy(*own).agg(
-        F.max(F.when(F.col("n") == 1, F.struct("panel_pos", "inside"))).alias("first"),
-        F.max(F.when(F.col("place") == 1, F.struct("panel_pos", "cover"))).alias("best"),
-        F.coalesce(F.max(F.when(F.col("place") == 2, F.col("cover"))), F.lit(0.0)).alias("next"),
+    summary = joined.groupBy(*own).agg(
+        F.min(F.when(F.col("inside"), F.struct("panel_area", "panel_pos", "from_model"))).alias("first"),
+        F.array_sort(F.collect_list(F.when(F.col("cover") > 0, F.struct((-F.col("cover")).alias("c"), F.col("panel_pos").alias("p"))))).alias("over"),
     )
-    enough = F.col("best.cover") >= 0.8
-    lead = F.col("best.cover") - F.col("next") >= 0.2
-    status = F.when(F.col("first.inside") | (enough & lead), "assigned").when(enough, "ambiguous").otherwise("unassigned")
+    contained, best, second = F.col("first").isNotNull(), -F.get("over", F.lit(0))["c"], F.coalesce(-F.get("over", F.lit(1))["c"], F.lit(0.0))
+    sure = F.coalesce((best >= 0.8) & ((F.size("over") == 1) | (best - second >= 0.2)), F.lit(False))
     return summary.select(
         *own,
-        status.alias("status"),
-        F.when(F.col("first.inside"), F.col("first.panel_pos")).when(enough & lead, F.col("best.panel_pos")).alias("panel_pos"),
-        F.when(F.col("first.inside"), 0.95).when(enough & lead, 0.65).alias("confidence"),
+        F.when(contained | sure, "assigned").when(F.size("over") > 0, "ambiguous").otherwise("unassigned").alias("status"),
+        F.when(contained, F.col("first.panel_pos")).when(sure, F.get("over", F.lit(0))["p"]).alias("panel_pos"),
+        F.when(contained, F.when(F.col("first.from_model"), 0.95).otherwise(0.5)).when(sure, 0.65).alias("confidence"),
+        F.when(contained, F.array("first.panel_pos")).otherwise(F.transform(F.when(sure, F.slice("over", 1, 1)).otherwise(F.col("over")), lambda x: x["p"])).alias("candidates"),
+        F.when(contained, F.array().cast("array<double>")).otherwise(F.transform("over", lambda x: -x["c"])).alias("covers"),
     )
 
 
 def assign_regions_to_balloons(regions: DataFrame, proposals: DataFrame, position: str = "region_pos") -> DataFrame:
-    """(keys, position, status, proposal_pos, best, runner_up) of regions that a proposal covers by a quarter or more.
+    """(keys, position, status, proposal_pos, best, runner_up, candidates, covers) of regions that a proposal covers by a quarter or more.
 
-    Assigned if the best covers half and leads the next compatible one by .15, else ambiguous.
+    Assigned if the best covers half and leads the next compatible one by .15, else ambiguous. candidates and covers: all compatible
+    proposals, the best first. Malformed regions are left out.
     """
     cover = _coverage("a", "b")
-    joined = on_page(regions, proposals, cover >= 0.25).select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.proposal_pos"), cover.alias("cover"))
-    w = Window.partitionBy(*KEYS, position).orderBy(F.desc("cover"), "proposal_pos")
-    first = joined.withColumns({"n": F.row_number().over(w), "runner_up": F.coalesce(F.lead("cover").over(w), F.lit(0.0))}).where("n = 1")
-    sure = (F.col("cover") >= 0.5) & (F.col("cover") - F.col("runner_up") >= 0.15)
-    return first.select(*KEYS, position, F.when(sure, "assigned").otherwise("ambiguous").alias("status"), F.when(sure, F.col("proposal_pos")).alias("proposal_pos"), F.col("cover").alias("best"), "runner_up")
+    joined = on_page(regions.where(is_valid()), proposals, cover >= 0.25).select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.proposal_pos"), cover.alias("cover"))
+    grouped = joined.groupBy(*KEYS, position).agg(F.array_sort(F.collect_list(F.struct((-F.col("cover")).alias("c"), F.col("proposal_pos").alias("p")))).alias("over"))
+    best, second = -F.get("over", F.lit(0))["c"], F.coalesce(-F.get("over", F.lit(1))["c"], F.lit(0.0))
+    sure = (best >= 0.5) & (best - second >= 0.15)
+    return grouped.select(
+        *KEYS, position, F.when(sure, "assigned").otherwise("ambiguous").alias("status"), F.when(sure, F.get("over", F.lit(0))["p"]).alias("proposal_pos"), best.alias("best"), second.alias("runner_up"),
+        F.transform("over", lambda x: x["p"]).alias("candidates"), F.transform("over", lambda x: -x["c"]).alias("covers"),
+    )
 
 
 def reject_cross_panel_groups(members: DataFrame, group: list[str]) -> DataFrame:
@@ -77,18 +84,41 @@ def best_panel_for_balloon(balloons: DataFrame, panels: DataFrame, position: str
 
 
 def attach_faces(bodies: DataFrame, faces: DataFrame) -> DataFrame:
-    """(keys, face_pos, body_pos, cover): the body that covers .55 of a face with a lead of .15; body_pos is null for orphans.
+    """(keys, face_pos, body_pos, cover, candidates): the body that covers .55 of a face with a lead of .15.
 
-    Both have panel_pos; the panels must be equal or one of them unknown.
+    Both have panel_pos; the panels must be equal or one of them unknown. Of orphans body_pos is null, and candidates holds the bodies
+    that cover a quarter or more, the best first.
     """
     cover = _coverage("b", "a")
     panel = (F.col("a.panel_pos") == F.col("b.panel_pos")) | F.col("a.panel_pos").isNull() | F.col("b.panel_pos").isNull()
-    joined = on_page(bodies, faces, panel).select(*[F.col(f"b.{k}") for k in KEYS], F.col("b.face_pos"), F.col("a.body_pos"), cover.alias("cover"))
-    w = Window.partitionBy(*KEYS, "face_pos").orderBy(F.desc("cover"), "body_pos")
-    first = joined.withColumns({"n": F.row_number().over(w), "next": F.coalesce(F.lead("cover").over(w), F.lit(0.0))}).where("n = 1")
-    sure = (F.col("cover") >= 0.55) & (F.col("cover") - F.col("next") >= 0.15)
-    best = first.select(*KEYS, "face_pos", F.when(sure, F.col("body_pos")).alias("body_pos"), F.col("cover"))
-    return faces.select(*KEYS, "face_pos").join(best, [*KEYS, "face_pos"], "left")
+    joined = on_page(bodies, faces, panel).select(*[F.col(f"b.{k}") for k in KEYS], F.col("b.face_pos"), F.struct((-cover).alias("c"), F.col("a.body_pos").alias("p")).alias("x"))
+    over = joined.groupBy(*KEYS, "face_pos").agg(F.array_sort(F.collect_list("x")).alias("over"))
+    best, second = -F.get("over", F.lit(0))["c"], F.coalesce(-F.get("over", F.lit(1))["c"], F.lit(0.0))
+    sure = F.coalesce((best >= 0.55) & (best - second >= 0.15), F.lit(False))
+    possible = F.transform(F.filter(F.coalesce("over", F.array().cast(over.schema["over"].dataType)), lambda x: x["c"] <= -0.25), lambda x: x["p"])
+    found = faces.select(*KEYS, "face_pos").join(over, [*KEYS, "face_pos"], "left")
+    return found.select(*KEYS, "face_pos", F.when(sure, F.get("over", F.lit(0))["p"]).alias("body_pos"), best.alias("cover"), F.when(~sure, possible).otherwise(F.array().cast(possible_type(bodies))).alias("candidates"))
+
+
+def possible_type(bodies: DataFrame) -> str:
+    return f"array<{dict(bodies.dtypes)['body_pos']}>"
+
+
+def character_proposals(bodies: DataFrame, faces: DataFrame) -> DataFrame:
+    """(keys, kind, body_pos, faces, candidates, diagnostic): a row for each body with its faces in order, one for each orphan face.
+
+    A body's faces go by falling confidence, y1, x1. Orphans (kind face_only) keep the bodies that they may belong to, and say whether there
+    are any: ambiguous_face_association or face_without_body. faces needs a confidence.
+    """
+    attached = attach_faces(bodies, faces).join(faces.select(*KEYS, "face_pos", "confidence", "x1", "y1"), [*KEYS, "face_pos"])
+    rank = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "y1", "x1", "face_pos")
+    own = attached.where("body_pos IS NOT NULL").groupBy(*KEYS, "body_pos").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda f: f["face_pos"]).alias("faces"))
+    no_faces, no_bodies = F.array().cast(f"array<{dict(faces.dtypes)['face_pos']}>"), F.array().cast(possible_type(bodies))
+    of_bodies = bodies.select(*KEYS, "body_pos").join(own, [*KEYS, "body_pos"], "left").select(*KEYS, F.lit("body").alias("kind"), "body_pos", F.coalesce("faces", no_faces).alias("faces"), no_bodies.alias("candidates"), F.lit(None).cast("string").alias("diagnostic"))
+    orphans = attached.where("body_pos IS NULL").select(
+        *KEYS, F.lit("face_only").alias("kind"), "body_pos", F.array("face_pos").alias("faces"), "candidates", F.when(F.size("candidates") > 0, "ambiguous_face_association").otherwise("face_without_body").alias("diagnostic")
+    )
+    return of_bodies.unionByName(orphans)
 
 
 def spatial_relations(regions: DataFrame, position: str = "region_pos") -> DataFrame:
@@ -164,7 +194,9 @@ def match_truth_to_balloons(truths: DataFrame, balloons: DataFrame, least: float
 
 
 def character_panels(characters: DataFrame, panels: DataFrame) -> DataFrame:
-    """(keys, character_pos, panel_pos) by the rule of assign_panels; null where it is not sure."""
+    """(keys, character_pos, panel_pos) by the rule of assign_panels among panels of the layout model; null where it is not sure."""
+    if "source" in panels.columns:
+        panels = panels.where("source = 'layout_model'")
     return assign_panels(characters, panels, "character_pos").select(*KEYS, "character_pos", "panel_pos")
 
 

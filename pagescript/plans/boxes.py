@@ -116,31 +116,30 @@ def b7_detection_boxes(spark, sf_dir):
     return boxes.detection_boxes(blocks)
 
 
-_J1 = f"""WITH j AS (SELECT a.sequence_id, a.page_index, a.region_pos, b.panel_pos, coalesce({INSIDE}, false) AS inside, {AREA("b")} AS panel_area, CASE WHEN b.panel_pos IS NULL THEN 0 ELSE {INTER} / {AREA("a")} END AS cover
-    FROM fx_regions a LEFT JOIN fx_panels b ON {PAGE}),
-  n AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, page_index, region_pos ORDER BY inside DESC, CASE WHEN inside THEN panel_area END NULLS FIRST, cover DESC, panel_pos NULLS FIRST) AS n,
-    row_number() OVER (PARTITION BY sequence_id, page_index, region_pos ORDER BY cover DESC, panel_pos NULLS FIRST) AS place FROM j),
-  s AS (SELECT sequence_id, page_index, region_pos, max(panel_pos) FILTER (n = 1) AS fp, bool_or(inside) FILTER (n = 1) AS fi, max(panel_pos) FILTER (place = 1) AS bp, max(cover) FILTER (place = 1) AS bc,
-    coalesce(max(cover) FILTER (place = 2), 0) AS nx FROM n GROUP BY ALL)
-  SELECT sequence_id, page_index, region_pos, CASE WHEN fi OR (bc >= 0.8e0 AND bc - nx >= 0.2e0) THEN 'assigned' WHEN bc >= 0.8e0 THEN 'ambiguous' ELSE 'unassigned' END AS status,
-  CASE WHEN fi THEN fp WHEN bc >= 0.8e0 AND bc - nx >= 0.2e0 THEN bp END AS panel_pos, CASE WHEN fi THEN 0.95e0 WHEN bc >= 0.8e0 AND bc - nx >= 0.2e0 THEN 0.65e0 END AS confidence FROM s"""
+_J1 = f"""WITH j AS (SELECT a.sequence_id, a.page_index, a.region_pos, b.panel_pos, {INSIDE} AS inside, {AREA("b")} AS panel_area, {INTER} / {AREA("a")} AS cover FROM fx_regions a JOIN fx_panels b ON {PAGE} AND {INTER} > 0),
+  g AS (SELECT sequence_id, page_index, region_pos, (list(panel_pos ORDER BY panel_area, panel_pos) FILTER (inside))[1] AS fp, list(panel_pos ORDER BY cover DESC, panel_pos) AS ps, list(cover ORDER BY cover DESC, panel_pos) AS cs FROM j GROUP BY ALL),
+  s AS (SELECT *, fp IS NULL AND cs[1] >= 0.8e0 AND (len(cs) = 1 OR cs[1] - cs[2] >= 0.2e0) AS sure FROM g)
+  SELECT sequence_id, page_index, region_pos, CASE WHEN fp IS NOT NULL OR sure THEN 'assigned' WHEN ps IS NOT NULL THEN 'ambiguous' ELSE 'unassigned' END AS status, coalesce(fp, CASE WHEN sure THEN ps[1] END) AS panel_pos,
+  CASE WHEN fp IS NOT NULL THEN 0.95e0 WHEN sure THEN 0.65e0 END AS confidence, CASE WHEN fp IS NOT NULL THEN [fp] WHEN sure THEN [ps[1]] ELSE coalesce(ps, []) END AS candidates,
+  CASE WHEN fp IS NOT NULL OR cs IS NULL THEN [] ELSE list_transform(cs, lambda c: round(c, 6)) END AS covers FROM fx_regions LEFT JOIN s USING (sequence_id, page_index, region_pos)"""
 
 
 @query(_J1, "fx_regions", "fx_panels")
 def j1_assign_panels(spark, sf_dir):
-    return spatial.assign_panels(*load(spark, sf_dir, "fx_regions", "fx_panels"))
+    return spatial.assign_panels(*load(spark, sf_dir, "fx_regions", "fx_panels")).withColumn("covers", F.transform("covers", lambda c: F.round(c, 6)))
 
 
 _J2 = f"""WITH j AS (SELECT a.sequence_id, a.page_index, a.region_pos, b.proposal_pos, {INTER} / {AREA("a")} AS cover FROM fx_regions a JOIN fx_balloons b ON {PAGE} AND {INTER} / {AREA("a")} >= 0.25e0),
-  w AS (SELECT *, row_number() OVER v AS n, coalesce(lead(cover) OVER v, 0) AS runner_up FROM j WINDOW v AS (PARTITION BY sequence_id, page_index, region_pos ORDER BY cover DESC, proposal_pos))
-  SELECT sequence_id, page_index, region_pos, CASE WHEN cover >= 0.5e0 AND cover - runner_up >= 0.15e0 THEN 'assigned' ELSE 'ambiguous' END AS status,
-  CASE WHEN cover >= 0.5e0 AND cover - runner_up >= 0.15e0 THEN proposal_pos END AS proposal_pos, round(cover, 6) AS best, round(runner_up, 6) AS runner_up FROM w WHERE n = 1"""
+  g AS (SELECT sequence_id, page_index, region_pos, list(proposal_pos ORDER BY cover DESC, proposal_pos) AS ps, list(cover ORDER BY cover DESC, proposal_pos) AS cs FROM j GROUP BY ALL),
+  s AS (SELECT *, cs[1] >= 0.5e0 AND cs[1] - coalesce(cs[2], 0) >= 0.15e0 AS sure FROM g)
+  SELECT sequence_id, page_index, region_pos, CASE WHEN sure THEN 'assigned' ELSE 'ambiguous' END AS status, CASE WHEN sure THEN ps[1] END AS proposal_pos, round(cs[1], 6) AS best, round(coalesce(cs[2], 0), 6) AS runner_up,
+  ps AS candidates, list_transform(cs, lambda c: round(c, 6)) AS covers FROM s"""
 
 
 @query(_J2, "fx_regions", "fx_balloons")
 def j2_regions_to_balloons(spark, sf_dir):
     found = spatial.assign_regions_to_balloons(*load(spark, sf_dir, "fx_regions", "fx_balloons"))
-    return found.withColumns({"best": F.round("best", 6), "runner_up": F.round("runner_up", 6)})
+    return found.withColumns({"best": F.round("best", 6), "runner_up": F.round("runner_up", 6), "covers": F.transform("covers", lambda c: F.round(c, 6))})
 
 
 @query(
@@ -167,18 +166,38 @@ def j4_best_panel(spark, sf_dir):
 _J6 = f"""WITH bodies AS (SELECT sequence_id, page_index, character_pos, x1, y1, x2, y2, CASE WHEN character_pos % 3 = 0 THEN NULL ELSE character_pos % 2 END AS pp FROM fx_characters),
   faces AS (SELECT sequence_id, page_index, character_pos, x1 + 40 AS x1, y1 + 10 AS y1, x2 - 40 AS x2, y1 + 100 AS y2, character_pos % 2 AS pp FROM fx_characters WHERE has_face),
   j AS (SELECT b.sequence_id, b.page_index, b.character_pos AS face_pos, a.character_pos AS body_pos, {INTER} / {AREA("b")} AS cover FROM bodies a JOIN faces b ON {PAGE} AND (a.pp = b.pp OR a.pp IS NULL OR b.pp IS NULL)),
-  w AS (SELECT *, row_number() OVER v AS n, coalesce(lead(cover) OVER v, 0) AS nx FROM j WINDOW v AS (PARTITION BY sequence_id, page_index, face_pos ORDER BY cover DESC, body_pos))
-  SELECT f.sequence_id, f.page_index, f.character_pos AS face_pos, CASE WHEN cover >= 0.55e0 AND cover - nx >= 0.15e0 THEN body_pos END AS body_pos, round(cover, 6) AS cover
-  FROM faces f LEFT JOIN w ON w.n = 1 AND f.sequence_id = w.sequence_id AND f.page_index = w.page_index AND f.character_pos = w.face_pos"""
+  g AS (SELECT sequence_id, page_index, face_pos, list(body_pos ORDER BY cover DESC, body_pos) AS ps, list(cover ORDER BY cover DESC, body_pos) AS cs FROM j GROUP BY ALL),
+  s AS (SELECT *, cs[1] >= 0.55e0 AND cs[1] - coalesce(cs[2], 0) >= 0.15e0 AS sure FROM g),
+  a AS (SELECT f.*, f.character_pos AS face_pos, CASE WHEN sure THEN ps[1] END AS body_pos, round(cs[1], 6) AS cover, CASE WHEN sure OR ps IS NULL THEN [] ELSE ps[1:len(list_filter(cs, lambda c: c >= 0.25e0))] END AS candidates
+    FROM faces f LEFT JOIN s ON f.sequence_id = s.sequence_id AND f.page_index = s.page_index AND f.character_pos = s.face_pos)"""
+#: A face's confidence, for the order of a body's faces.
+_FACE = "((character_pos * 7) % 10) / 10.0e0"
 
 
-@query(_J6, "fx_characters")
-def j6_attach_faces(spark, sf_dir):
+def _bodies_and_faces(spark, sf_dir):
     (characters,) = load(spark, sf_dir, "fx_characters")
     at = F.col("character_pos")
     bodies = characters.select(*K, at.alias("body_pos"), "x1", "y1", "x2", "y2", F.when(at % 3 != 0, at % 2).alias("panel_pos"))
-    faces = characters.where("has_face").select(*K, at.alias("face_pos"), (F.col("x1") + 40).alias("x1"), (F.col("y1") + 10).alias("y1"), (F.col("x2") - 40).alias("x2"), (F.col("y1") + 100).alias("y2"), (at % 2).alias("panel_pos"))
-    return spatial.attach_faces(bodies, faces).withColumn("cover", F.round("cover", 6))
+    faces = characters.where("has_face").select(
+        *K, at.alias("face_pos"), (F.col("x1") + 40).alias("x1"), (F.col("y1") + 10).alias("y1"), (F.col("x2") - 40).alias("x2"), (F.col("y1") + 100).alias("y2"), (at % 2).alias("panel_pos"), ((at * 7) % 10 / 10.0).alias("confidence")
+    )
+    return bodies, faces
+
+
+@query(f"{_J6} SELECT sequence_id, page_index, face_pos, body_pos, cover, candidates FROM a", "fx_characters")
+def j6_attach_faces(spark, sf_dir):
+    return spatial.attach_faces(*_bodies_and_faces(spark, sf_dir)).withColumn("cover", F.round("cover", 6))
+
+
+@query(
+    f"""{_J6} SELECT b.sequence_id, b.page_index, 'body' AS kind, b.character_pos AS body_pos, coalesce(n, []) AS faces, [] AS candidates, NULL AS diagnostic
+    FROM bodies b LEFT JOIN (SELECT sequence_id, page_index, body_pos, list(face_pos ORDER BY {_FACE} DESC, y1, x1, face_pos) AS n FROM a WHERE body_pos IS NOT NULL GROUP BY ALL) o
+    ON b.sequence_id = o.sequence_id AND b.page_index = o.page_index AND b.character_pos = o.body_pos
+    UNION ALL SELECT sequence_id, page_index, 'face_only', NULL, [face_pos], candidates, CASE WHEN len(candidates) > 0 THEN 'ambiguous_face_association' ELSE 'face_without_body' END FROM a WHERE body_pos IS NULL""",
+    "fx_characters",
+)
+def j6_character_proposals(spark, sf_dir):
+    return spatial.character_proposals(*_bodies_and_faces(spark, sf_dir))
 
 
 _GX, _GY = "greatest(greatest(a.x1, b.x1) - least(a.x2, b.x2), 0.0e0)", "greatest(greatest(a.y1, b.y1) - least(a.y2, b.y2), 0.0e0)"
@@ -433,7 +452,7 @@ def p4_candidate_ids(spark, sf_dir):
     return speakers.candidate_ids(_scored(spark, sf_dir)[1])
 
 
-@query(f"SELECT sequence_id, page_index, region_pos AS character_pos, panel_pos FROM ({_J1.replace('fx_regions a', '(SELECT *, character_pos AS region_pos FROM fx_characters) a')})", "fx_characters", "fx_panels")
+@query(f"SELECT sequence_id, page_index, region_pos AS character_pos, panel_pos FROM ({_J1.replace('fx_regions', '(SELECT *, character_pos AS region_pos FROM fx_characters)')})", "fx_characters", "fx_panels")
 def j5_character_panels(spark, sf_dir):
     return spatial.character_panels(*load(spark, sf_dir, "fx_characters", "fx_panels"))
 
