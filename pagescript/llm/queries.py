@@ -33,8 +33,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    model = secret_scan.fit(secret_scan.weak_labels(secret_scan.candidates(docs, "source")))
-    found = secret_scan.scan(docs, model, "source").where("is_secret")
+    candidates = secret_scan.candidates(docs, "source")
+    found = secret_scan.judge(candidates, secret_scan.fit(secret_scan.weak_labels(candidates))).where("is_secret")
     return found.select("doc_id", "ordinal", F.col("length").cast("long").alias("length"), F.sha2("candidate", 256).alias("secret_sha256"), F.round("probability", 4).alias("probability"))
 
 

@@ -1,9 +1,11 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame and SQL functions only.
 
-A candidate is a run of at least MIN_LENGTH characters of tokens and keys that is no plain word, or any run of eight that is assigned. Its features are its length, its character
+A candidate is any run of at least MIN_LENGTH characters of tokens and keys, or any of eight that is assigned. Its features are its length, its character
 transitions, how much of it dictionary words cover, hints in the path, and the words around it. The forest is fitted on labelled
 findings: (the same features, label). Where no such table exists, weak_labels() labels a bounded sample of the candidates by rules
 that are right about what they label.
+
+Texts are searched once: runs() of all of them are written to the shared folder, and labels, features and verdicts come from there.
 """
 
 from __future__ import annotations
@@ -14,17 +16,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, let
+from .common import broadcast_if_small, cut, let, written
 
 MIN_LENGTH = 12
 CUTOFF = 0.5
 _C = r"A-Za-z0-9_+/\-"
-#: A run of token characters with a digit, with a capital after small letters, or of capitals alone; right after = or : any run of
-#: eight. Looked at once from its start, without a way back, so long words cost no more than their length.
-_FOUND = (
-    rf"(?<![{_C}])(?:(?<=[=:]|[=:][\"'`]|[=:] [\"'`])[{_C}]{{8,}}+"
-    rf"|(?=[{_C}]{{{MIN_LENGTH}}})(?=[A-Za-z_+/\-]*+[0-9]|[A-Z]*+[a-z_+/\-]++[A-Z]|[A-Z]{{16}})[{_C}]++)={{0,2}}"
-)
+#: A run of token characters; right after = or : , a blank and a quote, one of eight. Looked at once from its start, without a way
+#: back, so long words cost no more than their length.
+_FOUND = rf"(?<![{_C}])(?:(?<=[=:]|[=:][\"'` ]|[=:] [\"'`])[{_C}]{{8,}}+|[{_C}]{{{MIN_LENGTH},}}+)={{0,2}}"
 
 # Common words and word parts, names of credentials, signs of examples, prefixes of well-known key formats.
 DICTIONARY = "the|and|ing|ion|tion|ent|est|ere|her|ther|this|that|with|for|from|are|was|not|you|all|con|com|pre|pro|der|die|und|ein|sch|ich|ung|que|les|des|ent|ment|eau|aux|los|las|ado|cion|mente|http|www|org|test|example|sample|user|name|file|data|code|line|text|page|list|item|value|index|class|type|time|date|number|string|version|release"
@@ -39,22 +38,26 @@ def _share(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)) / F.length(c)
 
 
-def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per candidate: doc_id, ordinal (from 0 in each text), candidate, before, after + FEATURES.
+def runs(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per candidate: doc_id, text_hash, path, ordinal (from 0 in each text), candidate, before, after; written to the shared folder.
 
     docs: (doc_id, text) and, if named, a column with a path. Texts without a candidate, null and empty ones give no row. Whole texts:
-    the text is cut at its candidates, so each keeps its own neighbours. Repeated candidates are rows of their own.
+    the text is cut at its candidates, so each keeps its own neighbours. Repeated candidates are rows of their own, as are those of
+    repeated rows and ids.
     """
     text = F.col("text")
-    runs = F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0))
-    gaps = F.split(text, _FOUND)  # one more than candidates
+    parts = F.struct(F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0)).alias("runs"), F.split(text, _FOUND).alias("gaps"))  # one gap more than candidates
     zipped = let(
-        F.struct(runs.alias("runs"), gaps.alias("gaps")),
+        parts,
         lambda s: F.transform(s["runs"], lambda c, i: F.struct(c.alias("candidate"), F.right(F.get(s["gaps"], i), F.lit(40)).alias("before"), F.left(F.get(s["gaps"], i + 1), F.lit(20)).alias("after"))),
     )
-    with_any = docs.where(text.rlike(_FOUND)).select("doc_id", (F.col(path) if path else F.lit(None).cast("string")).alias("path"), zipped.alias("found"))
-    near = with_any.select("doc_id", "path", F.posexplode("found").alias("ordinal", "x")).select("doc_id", "path", "ordinal", "x.*")
-    c = F.col("candidate")
+    with_any = docs.where(text.rlike(_FOUND)).select("doc_id", F.xxhash64("text").alias("text_hash"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"), zipped.alias("found"))
+    near = with_any.select("doc_id", "text_hash", "path", F.posexplode("found").alias("ordinal", "x")).select("doc_id", "text_hash", "path", "ordinal", "x.*")
+    return written(near, "secret-runs")
+
+
+def features(near: DataFrame) -> DataFrame:
+    """runs() without their path + FEATURES."""
     c = F.col("candidate")
     known = near.withColumns(
         {
@@ -80,6 +83,11 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     return known.drop("path")
 
 
+def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The candidates of runs() with their FEATURES."""
+    return features(runs(docs, path))
+
+
 def weak_labels(found: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """Labelled findings from candidates: FEATURES + label, at most most_rows of each label (those of least hash).
 
@@ -108,12 +116,11 @@ def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) ->
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel | None, path: str | None = None) -> DataFrame:
-    """Candidates with probability (null without a model) and is_secret: all of them, the forest's verdict beside each.
+def judge(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+    """candidates() with probability (null without a model) and is_secret: all of them, the forest's verdict beside each.
 
     Without a model every candidate that stands after a credential's name or has a known format counts.
     """
-    found = candidates(docs, path)
     if model is None:
         rule = F.col("candidate").rlike(KNOWN_FORMAT) | (F.col("credential_before") * F.col("assigned") == 1)
         return found.withColumn("probability", F.lit(None).cast("double")).withColumn("is_secret", rule)
@@ -122,15 +129,21 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None, path: s
     return scored.withColumn("p", probability).drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("p", "probability").withColumn("is_secret", F.col("probability") >= CUTOFF)
 
 
+def scan(docs: DataFrame, model: RandomForestClassificationModel | None, path: str | None = None) -> DataFrame:
+    """judge() of the candidates of docs."""
+    return judge(candidates(docs, path), model)
+
+
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret of found replaced in its document's text, and n_chars (if there is one) counted anew.
 
-    Rows that share an id, null included, share their secrets. The longest secrets go first, so one that is part of another leaves
-    nothing of it. Documents without a finding keep their rows as they are.
+    Secrets belong to a text, told by doc_id and a hash of the text, so rows that share an id, null included, are searched for their own
+    alone. The longest secrets go first, so one that is part of another leaves nothing of it. Documents without a finding keep their
+    rows as they are.
     """
-    secrets = cut(found.where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("_secrets")).withColumnRenamed("doc_id", "_id"))
+    secrets = cut(found.where("is_secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).agg(F.collect_set("candidate").alias("_secrets")))
     whole = docs.select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
-    joined = whole.join(broadcast_if_small(secrets), F.col("_doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = whole.join(broadcast_if_small(secrets), F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_of")), "left")
     longest_first = F.transform(F.sort_array(F.transform("_secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
     clean = F.aggregate(longest_first, F.col("_text"), lambda t, s: F.replace(t, s, F.lit(mark)))
     text = F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col("_text"))

@@ -491,6 +491,31 @@ def test_chat_round_trip(spark):
     assert chat.read_back(turns.where("false"), VOCABULARY, PATTERN).count() == 0
 
 
+def test_every_long_run_and_every_assigned_value_is_a_candidate(spark, corpus):
+    """Against a plain search with the rule spelled out."""
+    texts = ["password = correcthorsebattery", "password: correcthorse", 'key="abcdefgh"', "key= 'abcdefgh'", "thisisaverylongword short", "a=b", "x:1234567 y", "é" * 30, "abc/def-ghi_jkl==", None, "", *[t for _, t, *_ in corpus]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[4]), (None, texts[0])]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.ordinal, r.candidate) for r in secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"path": F.lit(1), "length": F.lit("x")})).collect())
+    expected, token = [], re.compile(r"[A-Za-z0-9_+/\-]+")
+    for d, t in rows:
+        n = 0
+        for m in token.finditer(t or ""):
+            before = t[: m.start()]
+            if len(m[0]) >= 12 or len(m[0]) >= 8 and re.search(r"[=:](?:[\"'` ]| [\"'`])?$", before):
+                tail = re.match("={0,2}", t[m.end() :])[0]
+                expected.append((d if d is not None else -1, n, m[0] + tail))
+                n += 1
+    assert got == sorted(expected)
+
+
+def test_rows_that_share_an_id_are_redacted_by_their_own_text(spark):
+    key, other = "AKIA" + "ABCDEFGH2345JKLM", "AKIA" + "QRSTUVWX6723ABCD"
+    rows = [(1, f"a {key} b"), (1, f"c {other} d"), (1, "AKIA alone"), (None, f"{key} {key}"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit(0))
+    found = secret_scan.scan(docs, None)
+    assert sorted((r.doc_id or 0, r.text or "") for r in secret_scan.redact(docs, found).collect()) == [(0, ""), (0, "[SECRET] [SECRET]"), (1, "AKIA alone"), (1, "a [SECRET] b"), (1, "c [SECRET] d")]
+
+
 def test_weak_labels_spare_real_secrets(spark):
     key = "AKIA" + "ABCDEFGH2345JKLM"
     texts = [f"a test of the deploy, key {key} here", "password=correcthorsebattery", "for the test run: token = a8f3k2m9x4q7z1w5", "test_token = a8f3k2m9x4q7z1w5"]
