@@ -40,8 +40,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = secret_scan.fit(secret_scan.weak_labels(secret_scan.candidates(docs, "source")))
-    return secret_scan.redact(docs, secret_scan.scan(docs, model, "source"))
+    candidates = secret_scan.candidates(docs, "source")
+    return secret_scan.redact(docs, secret_scan.judge(candidates, secret_scan.fit(secret_scan.weak_labels(candidates))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
