@@ -17,7 +17,8 @@ can match meet, and most never move:
 3. Each block marks the bytes that such windows cover.
 
 Nothing is capped: a hash that a third of all documents hold is one packed entry per block, and a run that they all share
-one copy per block. A block holds the documents of one hash bucket of doc_id.
+one copy per block. A block holds the documents of one hash bucket of doc_id and text. The number of packed rows is blocks times
+ranges at most; both sizes are parameters, so a larger corpus takes larger ones.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, partitions
 
-#: Stands for a null id: after all others.
+#: Order of a null id: after all others but an id of this value, which is no earlier.
 NO_ID = (1 << 63) - 1
 #: Bytes of text whose hashes are worked on at a time.
 CHUNK = 1 << 18
@@ -164,11 +165,11 @@ def previous_smaller(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
 class Block:
     """The documents of a block, sorted by id, and their anchors. Equal texts keep the smallest id; later ones are copies."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array, length: int, anchor: int):
+    def __init__(self, ids: np.ndarray, known: np.ndarray, texts: pa.Array, length: int, anchor: int):
         order = np.argsort(ids, kind="stable")
         if len(np.unique(ids)) < len(ids):  # texts of one id in an order of their own, the same in every pass
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_py())))
-        self.ids, self.texts = ids[order], texts.take(pa.array(order))
+            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], known[i], texts[i].as_py())))
+        self.ids, self.known, self.texts = ids[order], known[order], texts.take(pa.array(order))
         self.data, self.ends = buffers(self.texts)
         parts, at = [], 0
         while at < len(self.ids):  # a few texts at a time: hashes take many times the room of the texts
@@ -194,23 +195,25 @@ def _block(table: pa.Table, length: int, anchor: int) -> Block | None:
     if not table.num_rows:
         return None
     texts = table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0)
-    return Block(table["doc_id"].to_numpy(), pa.compute.fill_null(texts.cast(pa.large_string()), ""), length, anchor)
+    return Block(table["doc_id"].to_numpy(), table["known"].to_numpy(), pa.compute.fill_null(texts.cast(pa.large_string()), ""), length, anchor)
 
 
-def removal(docs: DataFrame, length: int = 50, anchor: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
+def removal(docs: DataFrame, length: int = 50, anchor: int = 20, block_bytes: int = 8 << 20, range_bytes: int = 4 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, spans (array of [start, end) in bytes), kept_sha256, kept (binary).
 
-    docs: (doc_id, text), doc_id unique; a null id is one document after all others; other columns are left out. Texts are UTF-8 bytes, null is empty. Matches
-    never cross documents and never count within one document. Texts shorter than length lose nothing. Equal doc_ids
-    are no earlier than each other, so copies under one id stay. block_bytes is the text in one block, and what a task works on:
-    it holds some twenty times as much in memory. There are as many ranges as blocks.
+    docs: (doc_id, text); other columns are left out. Texts are UTF-8 bytes, null is empty. Matches never cross documents and never count
+    within one document. Texts shorter than length lose nothing. Equal doc_ids are no earlier than each other, so copies under one id
+    stay; so are null ids, which come after all others (as if they were the largest number there is). Repeated rows are rows of the result each.
+    block_bytes is the text in one block, and what a task works on: it holds some ten times as much in memory. range_bytes is the text for
+    each range of hashes.
     """
     if not 16 <= anchor <= length - 1:
         raise ValueError("anchor must be from 16 to length - 1")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = total // block_bytes + 1
-    block_of = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", block_of.alias("block")).repartition(max(count, partitions(docs.sparkSession)), "block")
+    blocks, count = total // block_bytes + 1, total // range_bytes + 1
+    block_of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text", block_of.alias("block"))
+    dealt = own.repartition(max(blocks, partitions(docs.sparkSession)), "block")
 
     def send_hashes(key: tuple, rows: pa.Table) -> pa.Table:
         """The distinct anchor hashes of a block by range: low 32 bits, and whether two documents of the block have it."""
@@ -347,7 +350,7 @@ def removal(docs: DataFrame, length: int = 50, anchor: int = 20, block_bytes: in
                 mask = gone[a:z]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
                 kept = b.data[a:z][~mask].tobytes()
-                for name, value in (("doc_id", None if b.ids[i] == NO_ID else int(b.ids[i])), ("n_bytes", z - a), ("n_removed", int(mask.sum())), ("n_spans", len(edges) // 2), ("spans", edges.reshape(-1, 2).tolist()), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
+                for name, value in (("doc_id", int(b.ids[i]) if b.known[i] else None), ("n_bytes", z - a), ("n_removed", int(mask.sum())), ("n_spans", len(edges) // 2), ("spans", edges.reshape(-1, 2).tolist()), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
                     out[name].append(value)
             found.append(pa.RecordBatch.from_pydict(out, schema=RESULT))
         return pa.Table.from_batches(found, schema=RESULT)

@@ -99,13 +99,22 @@ def test_suffix_dedup_equals_brute_force(docs, corpus, empty):
         kept = bytes(x for x, c in zip(data, covered) if not c)
         spans = sum(c and (i == 0 or not covered[i - 1]) for i, c in enumerate(covered))
         expected[d] = (len(data), sum(covered), spans, hashlib.sha256(kept).hexdigest())
-    for block_bytes in (1 << 10, 1 << 20):
-        rows = suffix_dedup.removal(docs.withColumn("block", F.lit("x")), block_bytes=block_bytes).collect()
+    for block_bytes, range_bytes in ((1 << 10, 1 << 10), (1 << 12, 300), (1 << 20, 1 << 11)):
+        rows = suffix_dedup.removal(docs.withColumns({"block": F.lit("x"), "known": F.lit(2)}), block_bytes=block_bytes, range_bytes=range_bytes).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected
         assert len(rows) == len(corpus)
     assert suffix_dedup.removal(empty).count() == 0
 
 
+def test_the_largest_id_and_null_ids(spark):
+    rng = random.Random(21)
+    passage, most = prose(rng, 30), (1 << 63) - 1
+    rows = [(most, f"x {passage}"), (None, f"y {passage}"), (None, f"z {passage}"), (5, "short"), (None, None), (6, passage[:60]), (None, "")]
+    found = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.removal(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=64, range_bytes=64).collect()]
+    n = len(passage)
+    assert sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == [(5, 5, 0), (6, 60, 0), (most, n + 2, 60), (None, 0, 0), (None, 0, 0), (None, n + 2, 60), (None, n + 2, 60)]
+
+
 def test_suffix_ranks_are_suffix_order():
     import numpy as np
 
