@@ -23,7 +23,7 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs in one process (tests) a temporary folder is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()

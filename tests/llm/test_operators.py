@@ -465,8 +465,28 @@ def test_ledger_is_idempotent_and_signed(spark, docs, corpus, tmp_path, empty):
     assert ledger.commit("b", token_counts.deletes(counts.where("doc_id % 5 = 0")))
     assert ledger.commit("c", token_counts.revisions(counts.where("doc_id % 7 = 0 AND doc_id % 5 <> 0"), F.col("n_tokens") + 1))
     assert ledger.commit("d", token_counts.inserts(token_counts.counted(empty, VOCABULARY, PATTERN, "v1")))
-    got = {(r.source, r.lang): (r.docs, r.tokens) for r in ledger.totals().collect()}
-    assert got == {k: (n[k], expected[k]) for k in n}
+    def got():
+        return {(r.source, r.lang): (r.docs, r.tokens) for r in ledger.totals().collect()}
+
+    assert got() == {k: (n[k], expected[k]) for k in n}
+    ledger.compact()
+    ledger.compact()
+    assert got() == {k: (n[k], expected[k]) for k in n} and len(ledger._tables()[0]) == 1
+    assert not ledger.commit("b", token_counts.deletes(counts)) and ledger.commit("e", token_counts.inserts(counts.where("doc_id % 5 = 0")))
+    assert not ledger._claim("batch=e", "another") and sum(x for x, _ in got().values()) == len(corpus)
+    ledger.compact()
+    assert sum(x for x, _ in got().values()) == len(corpus)
+    # A commit that broke off before it named its table counts for nothing and is done again.
+    ledger._fs.create(ledger._path(f"{ledger.path}/commits/batch=f"), False).close()
+    assert not ledger.committed("f") and ledger.commit("f", token_counts.deletes(counts.where("doc_id % 5 = 0"))) and ledger.committed("f")
+    assert got() == {k: (n[k], expected[k]) for k in n}
+
+
+def test_counts_of_odd_rows(spark):
+    rows = [(1, None, "s", None), (1, None, "s", None), (None, "a b", None, "en"), (3, "word " * 20_000, "s", None), (4, "", "t", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"n_tokens": F.lit("x"), "tokenizer": F.lit(1)})
+    found = {(r.doc_id, r.source, r.lang): r.n_tokens for r in token_counts.counted(docs, VOCABULARY, PATTERN, "v").collect()}
+    assert found == {(1, "s", None): 0, (None, None, "en"): 2, (3, "s", None): 20_001, (4, "t", "en"): 0}
 
 
 @pytest.mark.parametrize("text", ["", "\\", "####", "</turn>", "\\### Assistant: </turn> ok", "a\\\\b### </turn></turn>", "#" * 7 + "\\", "ünï ### \n"])
