@@ -69,22 +69,48 @@ def consistency_checks(resolved: DataFrame, members: DataFrame) -> DataFrame:
     return out.select("sequence_id", "rule", "n")
 
 
-def validate_resolution(resolved: DataFrame) -> DataFrame:
-    """(sequence_id, page_index, balloon_pos, rule) of all violations: page in range, text, speaker, order and uniqueness."""
+def validate_resolution(resolved: DataFrame, characters: DataFrame | None = None, identities: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """(sequence_id, page_index, balloon_pos, rule) of all violations; rules on whole sequences have no page and balloon.
+
+    Of every balloon: page in range, in rising order, balloon not repeated, not excluded, with an id, text, and a speaker if it is ordered. With
+    characters (sequence_id, character_id) the speaker must be one of them; with identities (sequence_id, character_id, identity_id,
+    label) its label must be one of them, an identity has one label and a label one identity; with expected (sequence_id) no other sequence may be there.
+    """
     along = Window.partitionBy("sequence_id").orderBy("sequence_position", "page_index", "balloon_pos")
-    checked = resolved.withColumns({"_prev": F.lag("page_index").over(along), "_times": F.count("*").over(Window.partitionBy(*BALLOON))})
+    checked = resolved.withColumns({"_prev": F.lag("page_index").over(along), "_times": F.count("*").over(Window.partitionBy(*BALLOON)), "_labels": F.lit(None).cast("array<string>"), "_known": F.lit(True)})
+    if identities is not None:
+        labels = identities.groupBy("sequence_id").agg(F.collect_set(normalize_labels(F.col("label"))).alias("_l"))
+        checked = checked.join(labels, "sequence_id", "left").withColumn("_labels", F.concat(F.coalesce("_l", F.array().cast("array<string>")), F.array(F.lit("NARRATION")))).drop("_l")
+    if characters is not None:
+        known = characters.select("sequence_id", "character_id").distinct().withColumn("_c", F.lit(True))
+        checked = checked.drop("_known").join(known, ["sequence_id", "character_id"], "left").withColumn("_known", F.col("character_id").isNull() | F.col("_c").isNotNull())
+    in_range = F.coalesce(F.col("page_index").between(0, 2), F.lit(False))
     rules = F.filter(
         F.array(
-            F.when(~F.col("page_index").between(0, 2), "page_range"),
+            F.when(~in_range, "page_range"),
             F.when(F.col("page_index") < F.col("_prev"), "page_order"),
             F.when(F.col("_times") > 1, "repeated_balloon"),
             F.when(F.col("resolution") == "excluded", "excluded_in_story"),
+            F.when(F.col("balloon_pos").isNull(), "source_id_missing"),
             F.when(F.trim(F.coalesce("final_text", F.lit(""))) == "", "text_missing"),
             F.when((F.col("resolution") == "ordered") & F.col("speaker").isNull(), "speaker_missing"),
+            F.when(~F.col("_known"), "unknown_character"),
+            F.when(F.col("speaker").isNotNull() & ~F.array_contains("_labels", F.col("speaker")), "unknown_label"),
         ),
         lambda r: r.isNotNull(),
     )
-    return checked.select(*BALLOON, F.explode(rules).alias("rule"))
+    found = checked.select(*BALLOON, F.explode(rules).alias("rule"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("page_index", "balloon_pos")]
+    whole = [resolved.where(~in_range).select("sequence_id", F.lit("three_pages").alias("rule")).distinct()]
+    if identities is not None:
+        named = resolved.where("speaker IS NOT NULL AND speaker <> 'NARRATION'").select("sequence_id", "character_id", "speaker").join(identities.select("sequence_id", "character_id", "identity_id"), ["sequence_id", "character_id"])
+        whole.append(named.groupBy("sequence_id", "identity_id").agg(F.countDistinct("speaker").alias("n")).where("n > 1").select("sequence_id", F.lit("several_labels_of_identity").alias("rule")))
+        whole.append(identities.where("label <> 'NARRATION'").groupBy("sequence_id", "label").agg(F.countDistinct("identity_id").alias("n")).where("n > 1").select("sequence_id", F.lit("several_identities_of_label").alias("rule")))
+    if expected is not None:
+        whole.append(resolved.select("sequence_id").distinct().join(expected, "sequence_id", "left_anti").select("sequence_id", F.lit("foreign_sequence").alias("rule")))
+    for rows in whole:
+        found = found.unionByName(rows.select("sequence_id", *none, "rule"))
+    return found
 
 
 def submission_speaker(speaker: Column, state: Column) -> Column:
@@ -106,6 +132,44 @@ def validate_submission(rows: DataFrame, template: DataFrame) -> DataFrame:
     return both.select("sequence_id", F.coalesce("items", F.lit(0)).alias("items"), (3 - F.coalesce("pages", F.lit(0))).alias("empty_pages"), F.coalesce("t", F.lit(False)).alias("in_template"), F.coalesce("r", F.lit(False)).alias("in_rows"))
 
 
+def submission_errors(rows: DataFrame, template: DataFrame, pages: int = 3) -> DataFrame:
+    """(sequence_id, page_index, error) of what a submission must not be; errors of a whole sequence have no page.
+
+    rows: (position, sequence_id, pages array<array<struct<speaker, text>>>); template: (position, sequence_id). Ids must be unique and those of
+    the template, in its order; each has so many pages; items need a speaker and a text, which must be no placeholder.
+    """
+    none = F.lit(None).cast("int").alias("page_index")
+    at = rows.select("position", F.col("sequence_id").alias("_mine")).join(template.select("position", "sequence_id"), "position", "full")
+    items = rows.select("sequence_id", F.posexplode("pages").alias("page_index", "page")).select("sequence_id", "page_index", F.explode("page").alias("item"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    error = F.when(F.col("item").isNull() | blank("item.speaker") | blank("item.text"), "invalid_item").when(F.col("item.text").startswith("[balloon "), "placeholder")
+    found = [
+        rows.groupBy("sequence_id").count().where("count > 1").select("sequence_id", none, F.lit("not_unique").alias("error")),
+        at.where(~F.col("_mine").eqNullSafe(F.col("sequence_id"))).select(F.coalesce("_mine", "sequence_id").alias("sequence_id"), none, F.lit("not_as_in_template").alias("error")),
+        rows.where(F.coalesce(F.size("pages"), F.lit(-1)) != pages).select("sequence_id", none, F.lit("page_count").alias("error")),
+        items.withColumn("error", error).where("error IS NOT NULL").select("sequence_id", "page_index", "error"),
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def speaker_histogram(rows: DataFrame) -> DataFrame:
+    """(speaker, n) of the items of a submission that are in order; rows as for submission_errors()."""
+    items = rows.select(F.explode("pages").alias("page")).select(F.explode("page").alias("item"))
+    return items.where("trim(item.speaker) <> '' AND trim(item.text) <> '' AND NOT startswith(item.text, '[balloon ')").groupBy(F.col("item.speaker").alias("speaker")).agg(F.count("*").alias("n"))
+
+
+def missing_rows(order: DataFrame, adjudications: DataFrame, speakers: DataFrame, characters: DataFrame, expected: DataFrame) -> DataFrame:
+    """(sequence_id, page_index, balloon_pos, missing): balloons without adjudication, speakers that are no known character, sequences that nobody expects."""
+    unsaid = order.select(*BALLOON).join(adjudications.select(*BALLOON).distinct(), BALLOON, "left_anti").withColumn("missing", F.lit("adjudication"))
+    unknown = speakers.where("character_id IS NOT NULL").join(characters.select("sequence_id", "character_id").distinct(), ["sequence_id", "character_id"], "left_anti").select(*BALLOON, F.lit("character").alias("missing"))
+    foreign = order.select("sequence_id").distinct().join(expected, "sequence_id", "left_anti")
+    none = [F.lit(None).cast(dict(order.dtypes)[c]).alias(c) for c in ("page_index", "balloon_pos")]
+    return unsaid.unionByName(unknown).unionByName(foreign.select("sequence_id", *none, F.lit("sequence").alias("missing")))
+
+
 def check_split(train: DataFrame, held_out: DataFrame) -> DataFrame:
     """Sequences that are in both."""
     return train.select("sequence_id").intersect(held_out.select("sequence_id"))
@@ -116,3 +180,14 @@ def character_graph(members: DataFrame, edges: DataFrame) -> DataFrame:
     m = members.select("sequence_id", "character_id", "cluster")
     a, b = m.withColumnsRenamed({"character_id": "a_id", "cluster": "ca"}), m.withColumnsRenamed({"character_id": "b_id", "cluster": "cb"})
     return edges.join(a, ["sequence_id", "a_id"]).join(b, ["sequence_id", "b_id"]).select("sequence_id", "a_id", "b_id", "score", (F.col("ca") == F.col("cb")).alias("matched"))
+
+
+def graph_nodes(members: DataFrame) -> DataFrame:
+    """(sequence_id, page_index, character_id, cluster, size): the nodes of a character graph, with the size of their cluster."""
+    return members.select("sequence_id", "page_index", "character_id", "cluster", F.count("*").over(Window.partitionBy("sequence_id", "cluster")).alias("size"))
+
+
+def speaker_links(decisions: DataFrame, members: DataFrame) -> DataFrame:
+    """(BALLOON, character_id, cluster) of balloons with a speaker; the cluster is null for a character of none."""
+    said = decisions.where("character_id IS NOT NULL").select(*BALLOON, "character_id")
+    return said.join(members.select("sequence_id", "character_id", "cluster").distinct(), ["sequence_id", "character_id"], "left").select(*BALLOON, "character_id", "cluster")

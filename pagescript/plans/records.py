@@ -150,13 +150,15 @@ def j13_dangling_regions(spark, sf_dir):
 
 
 @query(
-    "SELECT r.sequence_id, r.page_index, r.region_pos AS balloon_pos FROM fx_regions r WHERE NOT EXISTS (SELECT 1 FROM fx_adjudications a WHERE a.sequence_id = r.sequence_id AND a.page_index = r.page_index AND a.balloon_pos = r.region_pos)",
+    """WITH o AS (SELECT sequence_id, page_index, region_pos AS balloon_pos, k FROM fx_regions)
+    SELECT sequence_id, page_index, balloon_pos, 'adjudication' AS missing FROM o WHERE NOT EXISTS (SELECT 1 FROM fx_adjudications a WHERE a.sequence_id = o.sequence_id AND a.page_index = o.page_index AND a.balloon_pos = o.balloon_pos)
+    UNION ALL SELECT sequence_id, page_index, balloon_pos, 'character' FROM o WHERE k > 5 UNION ALL SELECT DISTINCT sequence_id, CAST(NULL AS INT), CAST(NULL AS INT), 'sequence' FROM o WHERE sequence_id % 50 = 3""",
     "fx_regions", "fx_adjudications",
 )
-def j14_missing_adjudications(spark, sf_dir):
+def j14_missing_rows(spark, sf_dir):
     regions, adjudications = load(spark, sf_dir, "fx_regions", "fx_adjudications")
-    keys = [*K, "balloon_pos"]
-    return regions.withColumnRenamed("region_pos", "balloon_pos").select(*keys).join(adjudications.select(*keys), keys, "left_anti")
+    order = regions.withColumnsRenamed({"region_pos": "balloon_pos", "k": "character_id"})
+    return resolve.missing_rows(order, adjudications, order, order.where("character_id <= 5"), order.select("sequence_id").distinct().where("sequence_id % 50 <> 3"))
 
 
 # ---- identity
@@ -292,12 +294,24 @@ def r3_consistency_checks(spark, sf_dir):
     return resolve.consistency_checks(resolved.unionByName(resolved.where("balloon_pos = 2")), members)
 
 
-@query(
-    f"""SELECT sequence_id, page_index, balloon_pos, unnest(list_filter([CASE WHEN resolution = 'excluded' THEN 'excluded_in_story' END, CASE WHEN trim(coalesce(final_text, '')) = '' THEN 'text_missing' END, CASE WHEN resolution = 'ordered' AND speaker IS NULL THEN 'speaker_missing' END], lambda x: x IS NOT NULL)) AS rule FROM ({_R1})""",
-    "fx_regions", "fx_adjudications",
-)
+_ROW = "sequence_id, page_index, balloon_pos"
+_WHOLE = "sequence_id, CAST(NULL AS INT) AS page_index, CAST(NULL AS INT) AS balloon_pos"
+_V1 = f"""WITH r AS ({_R1}), c AS (SELECT DISTINCT sequence_id, k AS character_id FROM fx_regions WHERE k <= 6), i AS (SELECT DISTINCT sequence_id, k AS character_id, CASE WHEN k <= 3 THEN chr(CAST(64 + k AS INT)) ELSE 'C' END AS label FROM fx_regions WHERE k <= 5)
+  SELECT {_ROW}, 'excluded_in_story' AS rule FROM r WHERE resolution = 'excluded' UNION ALL SELECT {_ROW}, 'text_missing' FROM r WHERE trim(coalesce(final_text, '')) = '' UNION ALL SELECT {_ROW}, 'speaker_missing' FROM r WHERE resolution = 'ordered' AND speaker IS NULL
+  UNION ALL SELECT {_ROW}, 'unknown_character' FROM r WHERE character_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.sequence_id = r.sequence_id AND c.character_id = r.character_id)
+  UNION ALL SELECT {_ROW}, 'unknown_label' FROM r WHERE speaker <> 'NARRATION' AND NOT EXISTS (SELECT 1 FROM i WHERE i.sequence_id = r.sequence_id AND 'Character ' || i.label = r.speaker)
+  UNION ALL SELECT {_WHOLE}, 'several_labels_of_identity' FROM (SELECT sequence_id, i.character_id FROM r JOIN i USING (sequence_id, character_id) WHERE speaker <> 'NARRATION' GROUP BY ALL HAVING count(DISTINCT speaker) > 1)
+  UNION ALL SELECT {_WHOLE}, 'several_identities_of_label' FROM (SELECT sequence_id, label FROM i GROUP BY ALL HAVING count(DISTINCT character_id) > 1)
+  UNION ALL SELECT {_WHOLE}, 'foreign_sequence' FROM (SELECT DISTINCT sequence_id FROM r WHERE sequence_id % 50 = 3)"""
+
+
+@query(_V1, "fx_regions", "fx_adjudications")
 def v1_validate_resolution(spark, sf_dir):
-    return resolve.validate_resolution(_resolved(spark, sf_dir))
+    (regions,) = load(spark, sf_dir, "fx_regions")
+    cast = regions.select("sequence_id", F.col("k").alias("character_id")).distinct()
+    label = F.when(F.col("character_id") <= 3, F.char(64 + F.col("character_id"))).otherwise("C")
+    identities = cast.where("character_id <= 5").select("sequence_id", "character_id", F.col("character_id").alias("identity_id"), label.alias("label"))
+    return resolve.validate_resolution(_resolved(spark, sf_dir), cast.where("character_id <= 6"), identities, regions.select("sequence_id").distinct().where("sequence_id % 50 <> 3"))
 
 
 _V3 = f"""SELECT sequence_id, page_index, row_number() OVER (PARTITION BY sequence_id, page_index ORDER BY sequence_position) - 1 AS line_index,
@@ -324,6 +338,38 @@ def v4_validate_submission(spark, sf_dir):
     return resolve.validate_submission(pred, gold.select("sequence_id").distinct().where("sequence_id % 9 <> 2"))
 
 
+def _submission(spark, sf_dir):
+    """Predictions as lines of a submission; some texts are blank or placeholders, one sequence comes twice, some are swapped or short."""
+    gold, pred = load(spark, sf_dir, "fx_gold", "fx_pred")
+    text = F.when(F.col("line_index") == 1, "  ").when((F.col("line_index") == 0) & (F.col("sequence_id") % 3 == 0), F.concat(F.lit("[balloon "), F.col("sequence_id").cast("string"))).otherwise(F.col("text"))
+    entry = F.struct("page_index", "line_index", "speaker", text.alias("text"))
+    grouped = pred.groupBy("sequence_id").agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    page = lambda p: F.transform(F.filter("items", lambda x: x["page_index"] == p), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text")))
+    pages = F.transform(F.sequence(F.lit(0), F.when(F.col("sequence_id") % 7 == 1, 1).otherwise(2)), page)
+    rows = grouped.select(F.col("sequence_id").alias("position"), F.when(F.col("sequence_id") % 5 == 4, F.col("sequence_id") - 1).otherwise(F.col("sequence_id")).alias("sequence_id"), pages.alias("pages"))
+    return rows, gold.select(F.col("sequence_id").alias("position"), "sequence_id").distinct()
+
+
+_SUBMITTED = "SELECT sequence_id AS position, CASE WHEN sequence_id % 5 = 4 THEN sequence_id - 1 ELSE sequence_id END AS sequence_id, page_index, speaker, CASE WHEN line_index = 1 THEN '  ' WHEN line_index = 0 AND sequence_id % 3 = 0 THEN '[balloon ' || sequence_id ELSE text END AS text FROM fx_pred WHERE NOT (sequence_id % 7 = 1 AND page_index = 2)"
+
+
+@query(
+    f"""WITH s AS ({_SUBMITTED}), p AS (SELECT DISTINCT sequence_id AS position, CASE WHEN sequence_id % 5 = 4 THEN sequence_id - 1 ELSE sequence_id END AS sequence_id FROM fx_pred), t AS (SELECT DISTINCT sequence_id FROM fx_gold)
+    SELECT sequence_id, CAST(NULL AS INT) AS page_index, 'not_unique' AS error FROM p GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT coalesce(p.sequence_id, t.sequence_id), NULL, 'not_as_in_template' FROM p FULL JOIN t ON p.position = t.sequence_id WHERE p.sequence_id IS DISTINCT FROM t.sequence_id
+    UNION ALL SELECT sequence_id, NULL, 'page_count' FROM p WHERE position % 7 = 1
+    UNION ALL SELECT sequence_id, page_index, CASE WHEN trim(coalesce(speaker, '')) = '' OR trim(coalesce(text, '')) = '' THEN 'invalid_item' ELSE 'placeholder' END FROM s WHERE trim(coalesce(speaker, '')) = '' OR trim(coalesce(text, '')) = '' OR text LIKE '[balloon %'""",
+    "fx_gold", "fx_pred",
+)
+def v4_submission_errors(spark, sf_dir):
+    return resolve.submission_errors(*_submission(spark, sf_dir))
+
+
+@query(f"SELECT speaker, count(*) AS n FROM ({_SUBMITTED}) WHERE trim(speaker) <> '' AND trim(text) <> '' AND text NOT LIKE '[balloon %' GROUP BY speaker", "fx_pred")
+def v4_speaker_histogram(spark, sf_dir):
+    return resolve.speaker_histogram(_submission(spark, sf_dir)[0])
+
+
 @query("SELECT DISTINCT sequence_id FROM fx_gold WHERE sequence_id % 2 = 0 AND sequence_id % 3 = 0", "fx_gold")
 def v5_check_split(spark, sf_dir):
     (gold,) = load(spark, sf_dir, "fx_gold")
