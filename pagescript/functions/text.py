@@ -78,9 +78,21 @@ def word_error_rate(truth: Column, found: Column) -> Column:
 
 
 def punctuation_error(truth: Column, found: Column) -> Column:
-    """Texts differ, but not in letters and digits."""
-    bare = lambda t: F.regexp_replace(t, r"[^A-Za-z0-9]", "")
-    return (truth != found) & (bare(truth) == bare(found))
+    """The marks of the two texts, letters, digits and blanks taken out, differ."""
+    marks = lambda t: F.regexp_replace(F.upper(t), r"[\p{L}\p{N}\s\p{Z}]", "")
+    return marks(truth) != marks(found)
+
+
+def text_flags(truth: Column, found: Column, lines: Column, fragments: Column, orientation: Column) -> dict[str, Column]:
+    """exact_match, empty_output, punctuation_error, multi_line, multi_fragment, stylized (vertical, or six lines and more)."""
+    return {
+        "exact_match": plain(truth) == plain(found),
+        "empty_output": plain(found) == "",
+        "punctuation_error": punctuation_error(truth, found),
+        "multi_line": F.coalesce(lines, F.lit(1)) > 1,
+        "multi_fragment": F.coalesce(fragments, F.lit(0)) > 1,
+        "stylized": (F.coalesce(orientation, F.lit("")) == "vertical") | (F.coalesce(lines, F.lit(1)) >= 6),
+    }
 
 
 def _match_ratios(left: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

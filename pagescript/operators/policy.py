@@ -54,12 +54,29 @@ def top_improvements(oracle: DataFrame, n: int = 15) -> DataFrame:
     return oracle.orderBy(F.desc("gain"), "sequence_id", "item_id").limit(n)
 
 
+#: Inference-time features of a crop and its text.
+FEATURES = ["recognition_score", "width", "height", "aspect_ratio", "area_ratio", "line_count", "mean_line_height", "characters", "words", "punctuation_ratio", "digit_ratio", "is_vertical"]
+
+
 def policy_features(rows: DataFrame) -> DataFrame:
-    """+ characters, words, mean_word, digit_ratio, upper_ratio, punctuation_ratio, non_ascii of the text at hand."""
-    n = F.greatest(F.length("text"), F.lit(1))
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    ratio = lambda pattern: F.regexp_count("text", F.lit(pattern)) / n
-    return rows.withColumns({"characters": F.length("text"), "words": words, "mean_word": F.length("text") / F.greatest(words, F.lit(1)), "digit_ratio": ratio("[0-9]"), "upper_ratio": ratio("[A-Z]"), "punctuation_ratio": ratio("[.,!?;:'\\-]"), "non_ascii": F.regexp_count("text", F.lit("[^ -~]"))})
+    """+ FEATURES, and upper_ratio, mean_word, non_ascii of the text at hand; a null text is empty.
+
+    rows: text, and recognition_score, width, height, page_area, line_count, orientation as far as they are known; what is not there is
+    null. Nothing that depends on the truth is a feature.
+    """
+    text = F.coalesce("text", F.lit(""))
+    n = F.greatest(F.length(text), F.lit(1))
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    ratio = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
+    known = {c: F.col(c) if c in rows.columns else F.lit(None).cast(kind) for c, kind in (("recognition_score", "double"), ("width", "double"), ("height", "double"), ("page_area", "double"), ("line_count", "double"), ("orientation", "string"))}
+    positive = lambda a, b: F.when(b > 0, a / b)
+    made = {
+        "recognition_score": known["recognition_score"].cast("double"), "width": known["width"].cast("double"), "height": known["height"].cast("double"), "line_count": known["line_count"].cast("double"),
+        "aspect_ratio": positive(known["width"], known["height"]), "area_ratio": positive(known["width"] * known["height"], known["page_area"]), "mean_line_height": positive(known["height"], known["line_count"]),
+        "is_vertical": (known["orientation"] == "vertical").cast("double"), "characters": F.length(text), "words": words, "mean_word": F.length(text) / F.greatest(words, F.lit(1)),
+        "digit_ratio": ratio(r"\p{Nd}"), "upper_ratio": ratio("[A-Z]"), "punctuation_ratio": ratio("[.,!?;:'\"()\\-]"), "non_ascii": F.regexp_count(text, F.lit("[^ -~]")),
+    }
+    return rows.withColumns(made)
 
 
 def feature_summary(rows: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -89,10 +106,16 @@ def verifier_sweep(scores: DataFrame, thresholds: list[float], models: list[str]
     return rated.withColumns({"wrong_recall": F.when(F.col("tn") + F.col("fp") > 0, F.col("tn") / (F.col("tn") + F.col("fp"))), "call_rate": (F.col("tn") + F.col("fn")) / n, "wrong_accept_rate": F.col("fp") / n})
 
 
-def failure_breakdown(scores: DataFrame, model: str, threshold: float) -> DataFrame:
-    """(source, kind, n): misjudged rows by source and by kind, each with null for the other."""
+def always_accept(scores: DataFrame) -> DataFrame:
+    """Counts and rates of accepting everything: what any verifier has to beat."""
+    return with_rates(scores.agg(*confusion(F.col("expected"), F.lit(1))))
+
+
+def failure_breakdown(scores: DataFrame, model: str, threshold: float, example: str | None = None) -> DataFrame:
+    """(source, kind, n): misjudged rows by source and by kind, each with null for the other; + example, the least of that column."""
     wrong = scores.withColumn("kind", F.when((F.col(model) >= threshold) & (F.col("expected") == 0), "false_accept").when((F.col(model) < threshold) & (F.col("expected") == 1), "false_reject")).where("kind IS NOT NULL")
-    return wrong.groupingSets([[F.col("source")], [F.col("kind")]], "source", "kind").agg(F.count("*").alias("n"))
+    counts = [F.count("*").alias("n")] + ([F.min(example).alias("example")] if example else [])
+    return wrong.groupingSets([[F.col("source")], [F.col("kind")]], "source", "kind").agg(*counts)
 
 
 def stump_leave_one_out(rows: DataFrame, feature: str, label: str, group: str) -> DataFrame:

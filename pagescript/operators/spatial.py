@@ -142,27 +142,65 @@ def spatial_relations(regions: DataFrame, position: str = "region_pos") -> DataF
     return found.where("confidence IS NOT NULL").withColumn("strength", F.when(F.col("confidence") == 0.40, "weak").otherwise("strong"))
 
 
-def speaker_candidates(balloons: DataFrame, characters: DataFrame, pages: DataFrame) -> DataFrame:
-    """(keys, pos, character_pos + features): the characters of the balloon's panel if it has any, otherwise all of the page."""
-    same = F.coalesce(F.col("a.panel_pos") == F.col("b.panel_pos"), F.lit(False))
-    diagonal = F.sqrt(F.col("p.width") * F.col("p.width") + F.col("p.height") * F.col("p.height"))
-    gap_x = F.greatest(F.greatest(F.col("a.x1"), F.col("b.x1")) - F.least(F.col("a.x2"), F.col("b.x2")), F.lit(0.0))
-    gap_y = F.greatest(F.greatest(F.col("a.y1"), F.col("b.y1")) - F.least(F.col("a.y2"), F.col("b.y2")), F.lit(0.0))
+def speaker_candidates(balloons: DataFrame, characters: DataFrame, pages: DataFrame, tails: DataFrame | None = None, panels: DataFrame | None = None) -> DataFrame:
+    """(keys, pos, character_pos + features): the characters of the balloon's panel if it has any, otherwise all of the page.
+
+    Features: same_panel, center_distance_px, center_distance, overlap (of the smaller), box_distance, face_distance, tail_distance_px, tail_distance,
+    tail_inside, tail_alignment (cosine), face_available, body_available, dx, dy; distances without px are shares of the page's diagonal.
+    characters may have a face (face_x1 to face_y2) and has_body; tails: (keys, pos, tail_x, tail_y). With panels (panel_pos, source) only
+    panels of the layout model count, and same_panel is null for a balloon outside of them. Malformed boxes are left out; what a balloon or character
+    lacks is null.
+    """
+    faces = "face_x1" in characters.columns
+    box = [F.col(f"face_{c}") if faces else F.lit(None).cast("double").alias(f"face_{c}") for c in ("x1", "y1", "x2", "y2")]
+    body = F.col("has_body") if "has_body" in characters.columns else F.lit(True)
+    people = characters.where(is_valid()).select(*KEYS, "character_pos", "panel_pos", "x1", "y1", "x2", "y2", *box, body.alias("has_body"))
+    speech = balloons.where(is_valid()).select(*KEYS, "pos", "panel_pos", "x1", "y1", "x2", "y2")
+    tails = speech.select(*KEYS, "pos").limit(0).withColumns({"tail_x": F.lit(0.0), "tail_y": F.lit(0.0)}) if tails is None else tails.select(*KEYS, "pos", "tail_x", "tail_y")
+    speech = speech.join(tails, [*KEYS, "pos"], "left")
+    if panels is not None:
+        real = panels.where("source = 'layout_model'").select(*KEYS, "panel_pos").distinct().withColumn("_real", F.lit(True))
+        speech = speech.join(real, [*KEYS, "panel_pos"], "left").withColumn("in_panel", F.coalesce("_real", F.lit(False)))
+        same = F.when(F.col("a.in_panel"), F.coalesce(F.col("a.panel_pos") == F.col("b.panel_pos"), F.lit(False)))
+    else:
+        same = F.coalesce(F.col("a.panel_pos") == F.col("b.panel_pos"), F.lit(False))
+    joined = on_page(speech, people).join(pages.alias("p"), (F.col("a.sequence_id") == F.col("p.sequence_id")) & (F.col("a.page_index") == F.col("p.page_index")))
+    w, h = F.col("p.width"), F.col("p.height")
+    diagonal = F.when((w > 0) & (h > 0), F.sqrt(w * w + h * h))
+    between = lambda lo, hi: F.greatest(F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")) - F.least(F.col(f"a.{hi}"), F.col(f"b.{hi}")), F.lit(0.0))
+    hypot = lambda x, y: F.sqrt(x * x + y * y)
+
+    def beyond(x: Column, y: Column, side: str) -> Column:
+        """How far a point is from a box of b; greatest() passes over nulls, so a missing point or box is asked for."""
+        x1, y1, x2, y2 = (F.col(f"b.{side}{c}") for c in ("x1", "y1", "x2", "y2"))
+        away = hypot(F.greatest(x1 - x, x - x2, F.lit(0.0)), F.greatest(y1 - y, y - y2, F.lit(0.0)))
+        return F.when(x.isNotNull() & y.isNotNull() & (x2 > x1) & (y2 > y1), away)
+
     dx, dy = center_x("b") - center_x("a"), center_y("b") - center_y("a")
     smaller = F.least(area("a"), area("b"))
-    joined = on_page(balloons, characters).join(pages.alias("p"), (F.col("a.sequence_id") == F.col("p.sequence_id")) & (F.col("a.page_index") == F.col("p.page_index")))
+    tx, ty = F.col("a.tail_x"), F.col("a.tail_y")
+    along, across_ = tx - center_x("a"), ty - center_y("a")
+    lengths = hypot(along, across_) * hypot(dx, dy)
     rows = joined.select(
         *[F.col(f"a.{k}") for k in KEYS],
         F.col("a.pos"),
         F.col("b.character_pos"),
         same.alias("same_panel"),
-        (F.sqrt(dx * dx + dy * dy) / diagonal).alias("center_distance"),
-        (F.sqrt(gap_x * gap_x + gap_y * gap_y) / diagonal).alias("box_distance"),
+        hypot(dx, dy).alias("center_distance_px"),
+        (hypot(dx, dy) / diagonal).alias("center_distance"),
+        (hypot(between("x1", "x2"), between("y1", "y2")) / diagonal).alias("box_distance"),
         F.when(smaller > 0, intersection("a", "b") / smaller).otherwise(0.0).alias("overlap"),
-        (dx / F.col("p.width")).alias("dx"),
-        (dy / F.col("p.height")).alias("dy"),
+        (beyond(center_x("a"), center_y("a"), "face_") / diagonal).alias("face_distance"),
+        beyond(tx, ty, "").alias("tail_distance_px"),
+        (beyond(tx, ty, "") / diagonal).alias("tail_distance"),
+        (tx.between(F.col("b.x1"), F.col("b.x2")) & ty.between(F.col("b.y1"), F.col("b.y2"))).alias("tail_inside"),
+        F.when(lengths > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (along * dx + across_ * dy) / lengths))).alias("tail_alignment"),
+        F.col("b.face_x1").isNotNull().alias("face_available"),
+        F.col("b.has_body").alias("body_available"),
+        (dx / w).alias("dx"),
+        (dy / h).alias("dy"),
     )
-    any_same = F.max("same_panel").over(Window.partitionBy(*KEYS, "pos"))
+    any_same = F.coalesce(F.max("same_panel").over(Window.partitionBy(*KEYS, "pos")), F.lit(False))
     return rows.withColumn("_any", any_same).where("same_panel OR NOT _any").drop("_any")
 
 

@@ -228,11 +228,31 @@ _J8 = f"""WITH u AS (SELECT sequence_id, page_index, region_pos AS pos, x1, y1,
   SELECT sequence_id, page_index, pos, character_pos, same_panel, overlap, box_distance FROM k WHERE same_panel OR NOT any_same"""
 
 
-@query(f"SELECT sequence_id, page_index, pos, character_pos, same_panel, round(overlap, 6) AS overlap, round(box_distance, 6) AS box_distance FROM ({_J8.replace('WITH u', 'WITH u', 1)})", "fx_regions", "fx_characters", "fx_pages")
+_J8_ALL = ["center_distance_px", "center_distance", "box_distance", "overlap", "face_distance", "tail_distance_px", "tail_distance", "tail_alignment", "dx", "dy"]
+_FAR = lambda x, y, x1, y1, x2, y2: f"sqrt(pow(greatest({x1} - {x}, {x} - {x2}, 0.0e0), 2) + pow(greatest({y1} - {y}, {y} - {y2}, 0.0e0), 2))"
+_CXA, _CYA, _CXB, _CYB = "((a.x1 + a.x2) / 2)", "((a.y1 + a.y2) / 2)", "((b.x1 + b.x2) / 2)", "((b.y1 + b.y2) / 2)"
+_J8_FULL = f"""WITH u AS (SELECT sequence_id, page_index, region_pos AS pos, x1, y1, x2, y2, CAST(floor(x1 / 600) AS INT) AS pp, CAST(floor(x1 / 600) AS INT) = 1 AS real, CASE WHEN region_pos % 4 = 0 THEN x1 - 10 END AS tx, CASE WHEN region_pos % 4 = 0 THEN y2 + 20 END AS ty FROM fx_regions),
+  c AS (SELECT *, CAST(floor(x1 / 600) AS INT) AS pp FROM fx_characters),
+  j AS (SELECT a.sequence_id, a.page_index, a.pos, b.character_pos, CASE WHEN real THEN a.pp = b.pp END AS same_panel, sqrt(pow({_CXB} - {_CXA}, 2) + pow({_CYB} - {_CYA}, 2)) AS center_distance_px, {INTER} / least({AREA("a")}, {AREA("b")}) AS overlap,
+    sqrt({_GX} * {_GX} + {_GY} * {_GY}) / {_DIAG} AS box_distance, {_DIAG} AS diag, CASE WHEN has_face THEN {_FAR(_CXA, _CYA, "(b.x1 + 40)", "(b.y1 + 10)", "(b.x2 - 40)", "(b.y1 + 100)")} / {_DIAG} END AS face_distance,
+    CASE WHEN tx IS NOT NULL THEN {_FAR("a.tx", "a.ty", "b.x1", "b.y1", "b.x2", "b.y2")} END AS tail_distance_px, tx BETWEEN b.x1 AND b.x2 AND ty BETWEEN b.y1 AND b.y2 AS tail_inside, has_face AS face_available,
+    tx - {_CXA} AS vx, ty - {_CYA} AS vy, {_CXB} - {_CXA} AS wx, {_CYB} - {_CYA} AS wy, p.width, p.height
+    FROM u a JOIN c b ON {PAGE} JOIN fx_pages p ON a.sequence_id = p.sequence_id AND a.page_index = p.page_index),
+  k AS (SELECT *, coalesce(bool_or(same_panel) OVER (PARTITION BY sequence_id, page_index, pos), false) AS any_same FROM j)
+  SELECT sequence_id, page_index, pos, character_pos, same_panel, tail_inside, face_available, true AS body_available, center_distance_px, center_distance_px / diag AS center_distance, box_distance, overlap, face_distance, tail_distance_px, tail_distance_px / diag AS tail_distance,
+  CASE WHEN sqrt(vx * vx + vy * vy) * sqrt(wx * wx + wy * wy) > 0 THEN greatest(-1.0e0, least(1.0e0, (vx * wx + vy * wy) / (sqrt(vx * vx + vy * vy) * sqrt(wx * wx + wy * wy)))) END AS tail_alignment, wx / width AS dx, wy / height AS dy FROM k WHERE same_panel OR NOT any_same"""
+
+
+@query(f"SELECT sequence_id, page_index, pos, character_pos, same_panel, tail_inside, face_available, body_available, {', '.join(f'round({c}, 6) AS {c}' for c in _J8_ALL)} FROM ({_J8_FULL})", "fx_regions", "fx_characters", "fx_pages")
 def j8_speaker_candidates(spark, sf_dir):
     regions, characters, pages = load(spark, sf_dir, "fx_regions", "fx_characters", "fx_pages")
-    found = spatial.speaker_candidates(_with_half(regions).withColumnRenamed("region_pos", "pos"), _with_half(characters), pages)
-    return found.select(*K, "pos", "character_pos", "same_panel", F.round("overlap", 6).alias("overlap"), F.round("box_distance", 6).alias("box_distance"))
+    face = {"face_x1": F.col("x1") + 40, "face_y1": F.col("y1") + 10, "face_x2": F.col("x2") - 40, "face_y2": F.col("y1") + 100}
+    people = _with_half(characters).withColumns({k: F.when(F.col("has_face"), v) for k, v in face.items()})
+    balloons = _with_half(regions).withColumnRenamed("region_pos", "pos")
+    tails = balloons.where("pos % 4 = 0").select(*K, "pos", (F.col("x1") - 10).alias("tail_x"), (F.col("y2") + 20).alias("tail_y"))
+    panels = pages.select(*K, F.explode(F.array(F.struct(F.lit(0).alias("panel_pos"), F.lit("page_fallback").alias("source")), F.struct(F.lit(1).alias("panel_pos"), F.lit("layout_model").alias("source")))).alias("p")).select(*K, "p.*")
+    found = spatial.speaker_candidates(balloons, people, pages, tails, panels)
+    return found.select(*K, "pos", "character_pos", "same_panel", "tail_inside", "face_available", "body_available", *[F.round(c, 6).alias(c) for c in _J8_ALL])
 
 
 @query(

@@ -521,13 +521,20 @@ def t4_word_error_rate(spark, sf_dir):
     return _actions(spark, sf_dir).select("item_id", "action", F.round(T.word_error_rate(F.col("target_text"), F.col("text")), 6).alias("wer"))
 
 
+_SHAPE = "item_id % 7 AS lines, item_id % 3 AS fragments, CASE WHEN item_id % 5 = 0 THEN 'vertical' ELSE 'horizontal' END AS orientation"
+_SAME = lambda c: rf"trim(regexp_replace(upper(replace({c}, 'ß', 'SS')), '\s+', ' ', 'g'))"
+_MARKS = lambda c: rf"regexp_replace({c}, '[\p{{L}}\p{{N}}\s\p{{Z}}]', '', 'g')"
+
+
 @query(
-    f"""SELECT item_id, action, target_text = text AS exact, text = '' AS empty, target_text <> text AND regexp_replace(target_text, '[^A-Za-z0-9]', '', 'g') = regexp_replace(text, '[^A-Za-z0-9]', '', 'g') AS punctuation FROM ({_ERRORS})""",
+    f"""SELECT item_id, action, {_SAME("target_text")} = {_SAME("text")} AS exact_match, {_SAME("text")} = '' AS empty_output, {_MARKS("target_text")} <> {_MARKS("text")} AS punctuation_error, lines > 1 AS multi_line, fragments > 1 AS multi_fragment, orientation = 'vertical' OR lines >= 6 AS stylized
+    FROM (SELECT *, {_SHAPE} FROM ({_ERRORS}))""",
     "fx_actions",
 )
 def t5_text_flags(spark, sf_dir):
-    truth, found = F.col("target_text"), F.col("text")
-    return _actions(spark, sf_dir).select("item_id", "action", (truth == found).alias("exact"), (found == "").alias("empty"), T.punctuation_error(truth, found).alias("punctuation"))
+    i = F.col("item_id")
+    flags = T.text_flags(F.col("target_text"), F.col("text"), i % 7, i % 3, F.when(i % 5 == 0, "vertical").otherwise("horizontal"))
+    return _actions(spark, sf_dir).select("item_id", "action", *[v.alias(k) for k, v in flags.items()])
 
 
 @query(
@@ -663,9 +670,20 @@ _WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
 _X7 = f"""SELECT item_id, action, length(text) AS characters, {_WORDS} AS words, len(regexp_extract_all(text, '[0-9]')) / CAST(length(text) AS DOUBLE) AS digit_ratio, len(regexp_extract_all(text, '[A-Z]')) / CAST(length(text) AS DOUBLE) AS upper_ratio FROM ({_ERRORS})"""
 
 
-@query(f"SELECT item_id, action, characters, words, round(digit_ratio, 6) AS digit_ratio, round(upper_ratio, 6) AS upper_ratio FROM ({_X7})", "fx_actions")
+_X7_ALL = r"""SELECT item_id, action, recognition_score, 20.0e0 + item_id % 90 AS width, 10.0e0 + item_id % 40 AS height, 1.0e0 + item_id % 4 AS line_count, CASE WHEN item_id % 5 = 0 THEN 1.0e0 ELSE 0.0e0 END AS is_vertical, length(text) AS characters,
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(text, '\p{Nd}')) / CAST(greatest(length(text), 1) AS DOUBLE) AS digit_ratio, len(regexp_extract_all(text, '[.,!?;:''\x22()\-]')) / CAST(greatest(length(text), 1) AS DOUBLE) AS punctuation_ratio FROM fx_actions"""
+
+
+@query(
+    f"""SELECT item_id, action, round(recognition_score, 6) AS recognition_score, width, height, round(width / height, 6) AS aspect_ratio, round(width * height / 1800000.0e0, 6) AS area_ratio, line_count, round(height / line_count, 6) AS mean_line_height,
+    characters, words, round(punctuation_ratio, 6) AS punctuation_ratio, round(digit_ratio, 6) AS digit_ratio, is_vertical FROM ({_X7_ALL})""",
+    "fx_actions",
+)
 def x7_policy_features(spark, sf_dir):
-    return policy.policy_features(_actions(spark, sf_dir)).select("item_id", "action", "characters", "words", *r6("digit_ratio", "upper_ratio"))
+    i = F.col("item_id")
+    shaped = _actions(spark, sf_dir).withColumns({"width": i % 90 + 20.0, "height": i % 40 + 10.0, "page_area": F.lit(1800000.0), "line_count": i % 4 + 1.0, "orientation": F.when(i % 5 == 0, "vertical").otherwise("horizontal")})
+    whole = ["width", "height", "line_count", "is_vertical", "characters", "words"]
+    return policy.policy_features(shaped).select("item_id", "action", *whole, *r6(*[f for f in policy.FEATURES if f not in whole]))
 
 
 @query(
@@ -716,13 +734,18 @@ def x12_verifier_sweep(spark, sf_dir):
     return policy.verifier_sweep(rows, [0.25, 0.5, 0.75], ["base_score", "tuned_score"]).select("model", "threshold", "tp", "fp", "tn", "fn", *r6("accuracy", "precision", "recall", "f1", "wrong_recall", "call_rate", "wrong_accept_rate"))
 
 
+@query("SELECT count(*) FILTER (expected = 1) AS tp, count(*) FILTER (expected = 0) AS fp, 0 AS tn, 0 AS fn, round(avg(CAST(expected AS DOUBLE)), 6) AS accuracy, round(avg(CAST(expected AS DOUBLE)), 6) AS precision, 1.0e0 AS recall FROM fx_verifier", "fx_verifier")
+def x12_always_accept(spark, sf_dir):
+    return policy.always_accept(*load(spark, sf_dir, "fx_verifier")).select("tp", "fp", "tn", "fn", *r6("accuracy", "precision", "recall"))
+
+
 @query(
-    """SELECT source, kind, count(*) AS n FROM (SELECT source, CASE WHEN tuned_score >= 0.5e0 AND expected = 0 THEN 'false_accept' WHEN tuned_score < 0.5e0 AND expected = 1 THEN 'false_reject' END AS kind FROM fx_verifier) WHERE kind IS NOT NULL GROUP BY GROUPING SETS ((source), (kind))""",
+    """SELECT source, kind, count(*) AS n, min(doc_id) AS example FROM (SELECT doc_id, source, CASE WHEN tuned_score >= 0.5e0 AND expected = 0 THEN 'false_accept' WHEN tuned_score < 0.5e0 AND expected = 1 THEN 'false_reject' END AS kind FROM fx_verifier) WHERE kind IS NOT NULL GROUP BY GROUPING SETS ((source), (kind))""",
     "fx_verifier",
 )
 def x13_failure_breakdown(spark, sf_dir):
     (rows,) = load(spark, sf_dir, "fx_verifier")
-    return policy.failure_breakdown(rows, "tuned_score", 0.5)
+    return policy.failure_breakdown(rows, "tuned_score", 0.5, "doc_id")
 
 
 @query()
