@@ -214,17 +214,27 @@ def i5_label_clusters(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT sequence_id, character_id, row_number() OVER (PARTITION BY sequence_id ORDER BY character_id) AS cluster_no FROM fx_vectors WHERE character_id % 3 <> 0),
-    l AS (SELECT sequence_id, max(cluster_no) AS n FROM c GROUP BY ALL)
-    SELECT * FROM c UNION ALL SELECT v.sequence_id, v.character_id, coalesce(l.n, 0) + row_number() OVER (PARTITION BY v.sequence_id ORDER BY v.character_id) FROM fx_vectors v LEFT JOIN l ON l.sequence_id = v.sequence_id WHERE v.character_id % 3 = 0""",
+    """WITH c AS (SELECT sequence_id, character_id, 'identity-' || lpad(CAST(2 * n AS VARCHAR), 3, '0') AS identity, chr(CAST(63 + 2 * n AS INT)) AS label, 2 * n AS k FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY character_id) AS n FROM fx_vectors WHERE character_id % 3 <> 0)),
+    m AS (SELECT sequence_id, character_id, row_number() OVER (PARTITION BY sequence_id ORDER BY page_index, -character_id, character_id) AS n FROM fx_vectors WHERE character_id % 3 = 0),
+    free AS (SELECT s.sequence_id, chr(CAST(65 + i AS INT)) AS label, row_number() OVER (PARTITION BY s.sequence_id ORDER BY i) AS n FROM (SELECT DISTINCT sequence_id FROM fx_vectors) s, (SELECT unnest(range(0, 26)) AS i) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.sequence_id = s.sequence_id AND c.label = chr(CAST(65 + i AS INT)))),
+    l AS (SELECT sequence_id, max(k) AS k FROM c GROUP BY ALL)
+    SELECT sequence_id, character_id, identity, label FROM c UNION ALL SELECT m.sequence_id, character_id, 'identity-' || lpad(CAST(coalesce(k, 0) + m.n AS VARCHAR), 3, '0'), f.label FROM m JOIN free f ON m.sequence_id = f.sequence_id AND m.n = f.n LEFT JOIN l ON m.sequence_id = l.sequence_id""",
     "fx_vectors",
 )
 def i6_fill_singletons(spark, sf_dir):
+    """Two thirds of the characters have identities of even numbers and every other letter."""
     from pyspark.sql import Window
 
     (vectors,) = load(spark, sf_dir, "fx_vectors")
-    known = vectors.where("character_id % 3 <> 0").withColumn("cluster_no", F.row_number().over(Window.partitionBy("sequence_id").orderBy("character_id")))
-    return identity.fill_singletons(known, vectors)
+    n = F.row_number().over(Window.partitionBy("sequence_id").orderBy("character_id"))
+    known = vectors.where("character_id % 3 <> 0").withColumn("n", n).select("sequence_id", "character_id", F.format_string("identity-%03d", 2 * F.col("n")).alias("identity"), F.char(63 + 2 * F.col("n")).alias("label"))
+    return identity.fill_singletons(known, vectors.select("sequence_id", "character_id", "page_index", (-F.col("character_id")).alias("y1")))
+
+
+@query()
+def i4_merge_diagnostics(spark, sf_dir):
+    vectors, edges = _edges(spark, sf_dir)
+    return identity.merge_diagnostics(identity.constrained_clusters(vectors, edges, 0.55), edges, 0.45, 0.55).withColumn("score", F.round("score", 6))
 
 
 @query()
