@@ -25,15 +25,18 @@ def semantic_type(raw: Column) -> Column:
 def normalize_candidates(raw: DataFrame, text_keys: dict[str, list[str]]) -> DataFrame:
     """raw: (region_id, source, payload) with JSON payloads; + text by the source's keys in order, blank ones go.
 
-    A payload may stand inside "res"; one that is no object is the text itself.
+    A payload may stand inside "res". One that is no JSON, even if it begins like an object, is the transcription itself, for sources that
+    have this key; JSON of any other kind than an object has no text.
     """
-    inner = F.coalesce(F.get_json_object("payload", "$.res"), F.col("payload"))
-    whole = raw.withColumn("_p", inner)
-    by_source = F.lit(None).cast("string")
+    whole = raw.withColumn("_p", F.coalesce(F.get_json_object("payload", "$.res"), F.col("payload")))
+    by_source = as_text = F.lit(None).cast("string")
     for source, keys in text_keys.items():
         found = F.coalesce(*[F.get_json_object("_p", f"$.{k}") for k in keys])
         by_source = F.when(F.col("source") == source, found).otherwise(by_source)
-    text = F.trim(F.when(F.col("_p").rlike(r"^\s*\{"), by_source).otherwise(F.regexp_replace("_p", r'^\s*"|"\s*$', "")))
+        if "transcription" in keys:
+            as_text = F.when(F.col("source") == source, F.col("_p")).otherwise(as_text)
+    parsed = F.try_parse_json("_p")
+    text = F.trim(F.when(parsed.isNull(), as_text).when(F.schema_of_variant(parsed).startswith("OBJECT"), by_source))
     return whole.withColumn("text", text).where("text <> ''").drop("_p")
 
 

@@ -44,12 +44,22 @@ def action_distribution(oracle: DataFrame, actions: list[str]) -> DataFrame:
 
 def gain_sweep(oracle: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, used, mean_before, mean_after, mean_gain); the thresholds are the caller's short list."""
-    rows = oracle.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    rows = _at_thresholds(oracle, thresholds)
     use = F.col("gain") >= F.col("threshold")
     after = F.when(use, F.col("best_cer")).otherwise(F.col("base_cer"))
     return rows.groupBy("threshold").agg(F.sum(use.cast("int")).alias("used"), F.avg("base_cer").alias("mean_before"), F.avg(after).alias("mean_after"), F.avg(F.col("base_cer") - after).alias("mean_gain"))
 
 
+def _at_thresholds(oracle: DataFrame, thresholds: list[float]) -> DataFrame:
+    return oracle.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+
+
+def sweep_actions(oracle: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, action, n): how often each action is taken where a gain of the threshold is asked for; NONE where it is not reached."""
+    taken = F.when(F.col("gain") >= F.col("threshold"), F.col("best_action")).otherwise("NONE")
+    return _at_thresholds(oracle, thresholds).groupBy("threshold", taken.alias("action")).agg(F.count("*").alias("n"))
+
+
 def top_improvements(oracle: DataFrame, n: int = 15) -> DataFrame:
     return oracle.orderBy(F.desc("gain"), "sequence_id", "item_id").limit(n)
 

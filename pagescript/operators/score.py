@@ -251,9 +251,15 @@ def macro_scores(scores: DataFrame, predicted_sequences: DataFrame | None = None
 
 
 def recognizer_summary(pairs: DataFrame) -> DataFrame:
-    """(source, sequence_id, n, mean_cer, exact, empty): per sequence, and over all where sequence_id is null."""
-    cer = T.char_error_rate(F.col("truth"), F.col("found"))
-    return pairs.withColumn("cer", cer).rollup("source", "sequence_id").agg(F.count("*").alias("n"), F.avg("cer").alias("mean_cer"), F.sum((F.col("truth") == F.col("found")).cast("int")).alias("exact"), F.sum((F.col("found") == "").cast("int")).alias("empty")).where("source IS NOT NULL")
+    """(source, sequence_id, n, covered, coverage, mean_cer, mean_wer, exact, empty): per sequence, and over all where sequence_id is null.
+
+    pairs: source, sequence_id, truth, found; a null found is not covered and takes no part in the means.
+    """
+    truth, found = F.col("truth"), F.col("found")
+    there = found.isNotNull()
+    rates = pairs.withColumns({"cer": F.when(there, T.char_error_rate(truth, found)), "wer": F.when(there, T.word_error_rate(truth, found))})
+    counts = [F.count("*").alias("n"), F.count("found").alias("covered"), (F.count("found") / F.count("*")).alias("coverage"), F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.count_if(truth == found).alias("exact"), F.count_if(found == "").alias("empty")]
+    return rates.rollup("source", "sequence_id").agg(*counts).where("source IS NOT NULL")
 
 
 def paired_wins(pairs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def c1_normalize_candidates(spark, sf_dir):
     rows = _candidates(spark, sf_dir)
     key = F.when(F.col("source") == "ocr_base", F.to_json(F.struct(F.col("text").alias("rec_text")))).when(F.col("source") == "nemotron", F.to_json(F.struct(F.struct("text").alias("res"))))
     raw = rows.select("region_id", "source", F.coalesce(key, F.to_json(F.struct(F.col("text").alias("content")))).alias("payload"))
-    return evidence.normalize_candidates(raw, {"ocr_base": ["rec_text", "text"], "nemotron": ["text"], "qwen3_vl": ["text", "content"]}).select("region_id", "source", "text")
+    return evidence.normalize_candidates(raw, {"ocr_base": ["rec_text", "text", "transcription"], "nemotron": ["text", "transcription"], "qwen3_vl": ["text", "content"]}).select("region_id", "source", "text")
 
 
 @query(
@@ -548,12 +548,14 @@ def t5_text_flags(spark, sf_dir):
 
 
 @query(
-    f"""SELECT action AS source, sequence_id, count(*) AS n, round(avg(cer), 6) AS mean_cer, count(*) FILTER (target_text = text) AS exact, count(*) FILTER (text = '') AS empty FROM ({_ERRORS}) GROUP BY GROUPING SETS ((action, sequence_id), (action))""",
+    f"""SELECT action AS source, sequence_id, count(*) AS n, count(f) AS covered, round(count(f) / CAST(count(*) AS DOUBLE), 6) AS coverage, round(avg(CASE WHEN f IS NOT NULL THEN cer END), 6) AS mean_cer, count(*) FILTER (target_text = f) AS exact, count(*) FILTER (f = '') AS empty
+    FROM (SELECT *, CASE WHEN item_id % 9 <> 4 THEN text END AS f FROM ({_ERRORS})) GROUP BY GROUPING SETS ((action, sequence_id), (action))""",
     "fx_actions",
 )
 def t6_recognizer_summary(spark, sf_dir):
-    pairs = _actions(spark, sf_dir).select(F.col("action").alias("source"), "sequence_id", F.col("target_text").alias("truth"), F.col("text").alias("found"))
-    return score.recognizer_summary(pairs).select("source", "sequence_id", "n", *r6("mean_cer"), "exact", "empty")
+    found = F.when(F.col("item_id") % 9 != 4, F.col("text"))
+    pairs = _actions(spark, sf_dir).select(F.col("action").alias("source"), "sequence_id", F.col("target_text").alias("truth"), found.alias("found"))
+    return score.recognizer_summary(pairs).select("source", "sequence_id", "n", "covered", *r6("coverage", "mean_cer"), "exact", "empty")
 
 
 @query(f"SELECT count(*) FILTER (a.cer < b.cer) AS a, count(*) FILTER (b.cer < a.cer) AS b, count(*) FILTER (a.cer = b.cer) AS ties FROM ({_ERRORS}) a JOIN ({_ERRORS}) b ON a.item_id = b.item_id AND a.action = 'NONE' AND b.action = 'UPSCALE'", "fx_actions")
@@ -671,6 +673,11 @@ def x5_gain_sweep(spark, sf_dir):
     return policy.gain_sweep(_oracle(spark, sf_dir), [0.0, 0.01, 0.02, 0.05]).select("threshold", "used", *r6("mean_before", "mean_after", "mean_gain"))
 
 
+@query(f"SELECT t AS threshold, CASE WHEN gain >= t THEN best_action ELSE 'NONE' END AS action, count(*) AS n FROM ({_X2}), (SELECT unnest([0.0e0, 0.01e0, 0.02e0, 0.05e0]) AS t) GROUP BY ALL", "fx_actions")
+def x5_sweep_actions(spark, sf_dir):
+    return policy.sweep_actions(_oracle(spark, sf_dir), [0.0, 0.01, 0.02, 0.05])
+
+
 @query(f"SELECT sequence_id, item_id, round(gain, 6) AS gain FROM ({_X2}) ORDER BY gain DESC, sequence_id, item_id LIMIT 15", "fx_actions")
 def x6_top_improvements(spark, sf_dir):
     return policy.top_improvements(_oracle(spark, sf_dir)).select("sequence_id", "item_id", *r6("gain"))

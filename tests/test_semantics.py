@@ -130,6 +130,52 @@ def test_one_clear_tip_is_a_tail(spark):
     assert [(r.pos, r.tail_x, r.tail_y) for r in found] == [(0, 5.0, 40.0)]
 
 
+def test_any_overlap_without_a_sure_panel_is_ambiguous(spark):
+    box = "x1 double, y1 double, x2 double, y2 double"
+    regions = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 100.0, 100.0), (1, 0, 1, 60.0, 10.0, 90.0, 20.0), (1, 0, 2, 500.0, 500.0, 510.0, 510.0), (1, 0, 3, 5.0, 5.0, 5.0, 9.0), (1, 0, 4, 900.0, 900.0, 920.0, 920.0)], f"sequence_id long, page_index int, region_pos int, {box}")
+    panels = spark.createDataFrame([(1, 0, 1, 50.0, 0.0, 200.0, 100.0, "layout_model"), (1, 0, 2, 0.0, 0.0, 40.0, 100.0, "layout_model"), (1, 0, 3, 850.0, 850.0, 950.0, 950.0, "page_fallback")], f"sequence_id long, page_index int, panel_pos int, {box}, source string")
+    found = {r.region_pos: r for r in spatial.assign_panels(regions, panels).collect()}
+    assert {i: (r.status, r.panel_pos, r.confidence, r.candidates, r.covers) for i, r in found.items()} == {
+        0: ("ambiguous", None, None, [1, 2], [0.5, 0.4]), 1: ("assigned", 1, 0.95, [1], []), 2: ("unassigned", None, None, [], []), 3: ("unassigned", None, None, [], []), 4: ("assigned", 3, 0.5, [3], []),
+    }
+    characters = regions.withColumnRenamed("region_pos", "character_pos")
+    assert {r.character_pos: r.panel_pos for r in spatial.character_panels(characters, panels).collect()} == {0: None, 1: 1, 2: None, 3: None, 4: None}
+
+
+def test_payloads_of_every_kind(spark):
+    payloads = ['{"text": " a "}', '{"res": {"text": "b"}}', '{"text": "broken', "plain words", '"a string"', "[1]", "5", '{"text": ""}', None]
+    raw = spark.createDataFrame([(i, source, p) for i, p in enumerate(payloads) for source in ("x", "y")], "region_id int, source string, payload string")
+    found = sorted((r.region_id, r.source, r.text) for r in evidence.normalize_candidates(raw, {"x": ["text", "transcription"], "y": ["text"]}).collect())
+    assert found == [(0, "x", "a"), (0, "y", "a"), (1, "x", "b"), (1, "y", "b"), (2, "x", '{"text": "broken'), (3, "x", "plain words")]
+
+
+def test_every_rule_of_resolutions_is_found(spark):
+    columns = "sequence_id long, page_index int, balloon_pos int, sequence_position int, character_id long, speaker string, resolution string, final_text string"
+    rows = [(1, 0, 1, 0, 3, "Character A", "ordered", "t"), (1, 5, 2, 1, 3, "Character B", "ordered", "t"), (1, 1, 1, 2, 9, "Character A", "ordered", "t"), (1, 1, None, 3, None, "NARRATION", "ordered", " "), (1, 1, 4, 4, None, None, "ordered", "t"), (1, 1, 4, 5, 3, "Character A", "excluded", "t"), (2, 0, 1, 0, 4, "Character Z", "ordered", "t")]
+    resolved = spark.createDataFrame(rows, columns)
+    identities = spark.createDataFrame([(1, 3, 7, "A"), (1, 4, 8, "A"), (1, 5, 9, "B"), (2, 4, 1, "C")], "sequence_id long, character_id long, identity_id long, label string")
+    cast = spark.createDataFrame([(1, 3), (2, 4)], "sequence_id long, character_id long")
+    found = sorted((r.sequence_id, -1 if r.page_index is None else r.page_index, -1 if r.balloon_pos is None else r.balloon_pos, r.rule) for r in resolve.validate_resolution(resolved, cast, identities, spark.createDataFrame([(1,)], "sequence_id long")).collect())
+    assert found == sorted([
+        (1, 5, 2, "page_range"), (1, -1, -1, "three_pages"), (1, 1, 1, "page_order"), (1, 1, 1, "unknown_character"), (1, 1, -1, "source_id_missing"), (1, 1, -1, "text_missing"), (1, 1, 4, "speaker_missing"), (1, 1, 4, "repeated_balloon"), (1, 1, 4, "repeated_balloon"),
+        (1, 1, 4, "excluded_in_story"), (1, -1, -1, "several_labels_of_identity"), (1, -1, -1, "several_identities_of_label"), (2, 0, 1, "unknown_label"), (2, -1, -1, "foreign_sequence"),
+    ])
+
+
+def test_refused_merges_and_unused_labels(spark):
+    edge = "sequence_id long, a_id long, b_id long, a_page int, b_page int, score double"
+    edges = spark.createDataFrame([(1, 1, 2, 0, 1, 0.9), (1, 2, 3, 1, 0, 0.8), (1, 1, 4, 0, 2, 0.5)], edge)
+    people = spark.createDataFrame([(1, i, p) for i, p in ((1, 0), (2, 1), (3, 0), (4, 2))], "sequence_id long, character_id long, page_index int")
+    clusters = identity.constrained_clusters(people, edges)
+    assert {(r.a_id, r.b_id, r.code) for r in identity.merge_diagnostics(clusters, edges).collect()} == {(1, 4, "ambiguous_edge"), (2, 3, "same_page_constraint_violated")}
+    placed = people.withColumns({"y1": -F.col("character_id"), "x1": F.lit(0)})
+    labels = {r.cluster: r.label for r in identity.label_clusters(clusters, placed, edges.limit(0)).collect()}
+    assert labels == {3: "Character A", 1: "Character B", 4: "Character C"}
+    known = spark.createDataFrame([(1, 2, "identity-007", "A"), (1, 1, "special", "C")], "sequence_id long, character_id long, identity string, label string")
+    filled = {r.character_id: (r.identity, r.label) for r in identity.fill_singletons(known, placed).collect()}
+    assert filled == {2: ("identity-007", "A"), 1: ("special", "C"), 3: ("identity-008", "B"), 4: ("identity-009", "D")}
+
+
 def brute_alignment(gold, predicted):
     best = {(0, 0): 0.0}
     for i in range(len(gold) + 1):
