@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, pieces
+from .common import partitions, pieces, small_batches
 
 # The template.
 OPEN, SEP, CLOSE = "### ", ": ", " </turn>\n"
@@ -100,7 +100,7 @@ def format_turns(rows: DataFrame, vocabulary: str, pattern: str, trained: str =
                 at += len(texts)
 
     tie = F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    wanted = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), tie.alias("tie"), "role", "text")
+    wanted = small_batches(rows).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), tie.alias("tie"), "role", "text")
     return wanted.mapInArrow(run, "conv_id long, turn long, tie long, ids array<int>, loss array<boolean>")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 #: The same as a Java class; everything else is a word character.
 WORD = r"[^\x20\x09-\x0D]+"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -38,6 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(df: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+    """df, with Arrow batches of about so many bytes in its session from now on, unless the session names another size.
+
+    Spark's own bound is 64 MB, or 10,000 rows, of which the JVM and the Python worker of each task hold several.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(most_bytes))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder: lost executors cost no recomputation of what stands above."""
     shared_dir(df.sparkSession)

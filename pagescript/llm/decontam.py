@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 PART = 64
 BLOCK = 32
@@ -246,7 +246,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     kept = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
     chars = kept.agg(F.sum(F.length("question") + F.length("answer"))).first()[0] or 0
     passes = chars // MOST_CHARS + 1
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     out = None
     for i in range(passes):
         chunk = kept.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i)

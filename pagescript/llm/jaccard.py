@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, partitions, pieces, written
+from .common import broadcast_if_small, cut, partitions, pieces, small_batches, written
 from .components import components
 from .shingles import mixed, per_text, sets
 
@@ -439,7 +439,7 @@ def groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     That is the set, of those that the smallest doc_id has, of least signature. Components are told apart by it, whatever ids they share.
     """
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    rows = small_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     signed = cut(signatures(rows, width))
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     classes = cut(signed.where("n_shingles > 0").groupBy(*SIGNATURE).agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))

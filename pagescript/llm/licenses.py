@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 #: What stands between words: ASCII but for digits and small letters; A-Z are lowered first.
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -115,7 +115,7 @@ def scan(docs: DataFrame, wanted: list[Template] | None = None) -> DataFrame:
     """
     wanted = templates() if wanted is None else wanted
     vocabulary = sorted({w for t in wanted for w in t.words})
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     idf = frequencies(rows, vocabulary)
     number = {w: i for i, w in enumerate(vocabulary)}
     entries = []  # (term, template, offset)

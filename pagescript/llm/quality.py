@@ -3,7 +3,8 @@
 Each document gets a vector of three transformed statistics. For each language and source a minimum-covariance-determinant
 estimate is made: from a start of medians and median deviations, concentration steps keep the share ``SUBSET`` of the group that
 is nearest by Mahalanobis distance and estimate mean and covariance anew from it, until the determinant of no group falls any
-more. The covariance is then scaled so that the median distance is what a normal distribution has. Documents beyond ``CUTOFF`` go.
+more. The covariance is then scaled so that the median distance is what a normal distribution has, and the estimate drawn towards that of all
+documents, the more the smaller the group is. Documents beyond ``CUTOFF`` go.
 
 Estimates are sums and mergeable quantile sketches, so a group of any size is pre-aggregated where its rows are; only one row per
 group is joined back.
@@ -11,7 +12,7 @@ group is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import WS, broadcast_if_small, cut, let
@@ -21,8 +22,8 @@ SYMBOLS = "#*$%&|<>"
 SUBSET = 0.75
 #: A group whose determinant falls by no more than this share in a step has settled.
 SETTLED = 1e-6
-#: Groups of fewer documents are judged by the estimate of all documents.
-MIN_GROUP = 50
+#: A group's estimate counts by its documents, that of all documents as much as this many: small groups lean on it, large ones hardly.
+PRIOR = 50.0
 #: Median of chi-squared with three degrees of freedom.
 MEDIAN = 2.366
 #: Squared distance beyond which a document goes: chi-squared with three degrees of freedom exceeds it once in a thousand.
@@ -143,21 +144,30 @@ def mcd(vectors: DataFrame, group: str, subset: float = SUBSET) -> DataFrame:
     return cut(now.join(scale, group).withColumn("_f", factor).select(group, "m1", "m2", "m3", *[(F.col(c) * F.col("_f")).alias(c) for c in ("c11", "c12", "c13", "c22", "c23", "c33")]))
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def drawn(estimates: DataFrame, sizes: DataFrame, everything: Row, prior: float) -> DataFrame:
+    """(own, m1.., c11..): estimates of groups drawn towards everything by n / (n + prior). sizes: (own, count), one row a group."""
+    weight = F.col("count") / (F.col("count") + F.lit(prior))
+    names = [c for c in estimates.columns if c != "group"]
+    joined = sizes.join(estimates.withColumnRenamed("group", "own"), "own")
+    return joined.select("own", *[(weight * F.col(c) + (1 - weight) * F.lit(everything[c])).alias(c) for c in names])
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: float = PRIOR) -> DataFrame:
     """Per document: doc_id, lang, source, the statistics, base_failed, distance2 (null if base_failed), kept.
 
-    Documents that fail the base rules take no part in the estimates. Null languages and sources are groups of their own; a group of
-    fewer than min_group documents is judged by the estimate of all. Repeated rows are separate documents. An empty table gives an
-    empty result.
+    Documents that fail the base rules take no part in the estimates. Null languages and sources are groups of their own, as any other
+    value; a group of any size has an estimate, drawn towards that of all documents as if prior of these were in it. Repeated rows are
+    separate documents. An empty table gives an empty result.
     """
     group = F.concat_ws("/", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     stats = vector(statistics(docs.select("doc_id", "lang", "source", "text")).drop("text")).withColumn("base_failed", base_failed())
     named = cut(stats.withColumn("own", group))
-    sizes = broadcast_if_small(cut(named.where("NOT base_failed").groupBy("own").count()))
-    judged_by = F.when(F.col("count") >= min_group, F.col("own")).otherwise(F.lit("*"))
-    named = named.join(sizes, "own", "left").withColumn("group", judged_by)
-    vectors = named.where("NOT base_failed").select(F.explode(F.array_distinct(F.array("group", F.lit("*")))).alias("group"), *DIMS)
-    judged = named.join(broadcast_if_small(mcd(vectors, "group")), "group", "left")
+    sizes = cut(named.where("NOT base_failed").groupBy("own").count())
+    estimates = mcd(named.where("NOT base_failed").select(F.explode(F.array("own", F.lit("*"))).alias("group"), *DIMS), "group")
+    everything = estimates.where("group = '*'").first()
+    if everything is None:  # no document passes the base rules
+        return named.select(*stats.columns, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
+    judged = named.join(broadcast_if_small(cut(drawn(estimates, sizes, everything, prior))), "own", "left")
     judged = judged.withColumn("distance2", F.when(F.col("base_failed"), None).otherwise(distance(FLOORS)))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return judged.withColumn("kept", kept).select(*stats.columns, "distance2", "kept")

@@ -18,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -51,7 +51,7 @@ def counted(docs: DataFrame, vocabulary: str, pattern: str, version: str) -> Dat
 
     Repeated rows count each; a null text has no tokens, but counts as a document; other columns are left out.
     """
-    return docs.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), counter(vocabulary, pattern)(F.col("text")).alias("n_tokens"))
+    return small_batches(docs).select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), counter(vocabulary, pattern)(F.col("text")).alias("n_tokens"))
 
 
 def inserts(counts: DataFrame) -> DataFrame:

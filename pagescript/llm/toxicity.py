@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, pieces
+from .common import buffers, cut, pieces, small_batches
 
 PREAMBLE = b"0123456789QWERTYUIOPASDFGHJKLZXCVBNM9876543210MNBVCXZLKJHGFDSAPOIUYTREWQ"
 GRAM = 5
@@ -305,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
     sample make the dictionaries, one third calibrates. Null labels and texts count for nothing, repeated rows as often as they are there;
     without documents of both labels every text gets the share of label 1 (0 if there is none).
     """
-    rows = sample(docs, labels, toxic_rows, ordinary_rows, most_windows)
+    rows = sample(small_batches(docs), labels, toxic_rows, ordinary_rows, most_windows)
     make, hold = rows.where("part > 0"), rows.where("part = 0")
     if make.select("toxic").distinct().count() < 2:
         share = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
@@ -363,4 +363,4 @@ def learnable(doc_id: Column) -> Column:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs + toxicity (0 to 1), in place of a column of that name. Labels, language, source and ids are no input; equal texts score equally."""
-    return docs.withColumn("toxicity", scorer(model)(F.col("text")))
+    return small_batches(docs).withColumn("toxicity", scorer(model)(F.col("text")))

@@ -210,7 +210,7 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_quality_statistics_equal_brute_force(docs, corpus, empty):
-    rows = {r.doc_id: r for r in quality.judge(docs.withColumn("n_words", F.lit("clash")), min_group=20).collect()}
+    rows = {r.doc_id: r for r in quality.judge(docs.withColumn("n_words", F.lit("clash")), prior=20).collect()}
     for d, t, *_ in corpus:
         t = t or ""
         words = BLANK.findall(t)
@@ -275,6 +275,30 @@ def test_quality_estimates_settle(spark):
         assert [found[name][f"m{i}"] for i in (1, 2, 3)] == pytest.approx(list(m), abs=1e-6)
 
 
+def test_small_groups_lean_on_all_documents(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(i, " ".join("x" * rng.randrange(2, 9) + ("#" if rng.random() < 0.1 else "") for _ in range(rng.randrange(30, 80))), "en", "large" if i < 300 else "small", 0) for i in range(312)] + [(900, "one " * 3, "en", "none", 0), (901, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    found = {r.doc_id: r for r in quality.judge(docs, prior=30).collect()}
+    passed = [r for r in found.values() if not r.base_failed]
+    vectors = spark.createDataFrame([(g, r.z1, r.z2, r.z3) for r in passed for g in (r.source, "*")], "g string, z1 double, z2 double, z3 double")
+    estimates = {r.g: r for r in quality.mcd(vectors, "g").collect()}
+
+    def both(e):
+        return np.array([e.m1, e.m2, e.m3]), np.array([[e.c11, e.c12, e.c13], [e.c12, e.c22, e.c23], [e.c13, e.c23, e.c33]])
+
+    for r in passed:
+        w = (300 if r.source == "large" else 12) / ((300 if r.source == "large" else 12) + 30)
+        (m, c), (m0, c0) = both(estimates[r.source]), both(estimates["*"])
+        z = np.array([r.z1, r.z2, r.z3]) - (w * m + (1 - w) * m0)
+        assert r.distance2 == pytest.approx(z @ np.linalg.inv(w * c + (1 - w) * c0 + np.diag(np.square(quality.FLOORS))) @ z, rel=1e-3, abs=1e-6)
+        assert r.kept == (r.distance2 <= quality.CUTOFF)
+    assert not found[900].kept and not found[901].kept
+    assert [r.kept for r in quality.judge(docs.where("doc_id >= 900")).collect()] == [False, False]
+
+
 def test_license_base_places_equal_brute_force(spark, empty):
     texts = ["CC BY cc-by, x", "The GNU General  Public\nLicense; all rights reserved. All Rights", None, "", "cc", "by cc by cc by", "general public", "Released under the MIT License.", "license general public license", "a" * 5000 + " cc by", "Licensed under CC BY-NC 4.0."] * 2
     rows = [(i, t) for i, t in enumerate(texts)]
