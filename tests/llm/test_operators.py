@@ -428,20 +428,21 @@ def test_toxicity_of_phrases_of_ordinary_words(spark):
     assert sum((r.toxicity >= toxicity.CUTOFF) == bool(r.toxic) for r in held) >= 0.95 * len(held)
 
 
+def plain_toxicity(model, text):
+    """Every window of a text looked at, one by one."""
+    gain = toxicity.Gains(model.toxic, model.ordinary)
+    words = [w[i : i + 48] for w in re.findall(r"[^\W_]+", (text or "").lower()) for i in range(0, len(w), 48)]
+    every = [f" {' '.join(words[i : i + 6])} " for i in range(0, max(1, len(words) - 3), 3)] if words else []
+    gains = [g for w in set(every) if (g := gain(w)) > 0]
+    counts = [len(every) - len(gains)] + [sum(min(g, 16) == k for g in gains) for k in range(1, 17)]
+    return model.probability[min(max(round(sum(n * w for n, w in zip(counts, model.weights))) + 32, 0), 64)]
+
+
 def test_toxicity_scores_equal_a_plain_version(spark, docs, corpus):
-    """Every window of every text looked at, one by one."""
-    gain = toxicity.Gains(b" garbage  nonsense  w17 w18  dup line ", b" one two three w1 w2 w3 ")
-    model = toxicity.Model(b" garbage  nonsense  w17 w18  dup line ", b" one two three w1 w2 w3 ", (-0.1, 0.2, 0.9, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, *[4.5] * 8), tuple(i / toxicity.LEVELS for i in range(toxicity.LEVELS)))
+    weights = (-0.1, 0.2, 0.9, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, *[4.5] * 8)
+    model = toxicity.Model(b" garbage  nonsense  w17 w18  dup line ", b" one two three w1 w2 w3 ", weights, tuple(i / toxicity.LEVELS for i in range(toxicity.LEVELS)))
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs.withColumn("toxicity", F.lit("clash")), model).collect()}
-    assert len(got) == len(corpus)
-    for d, t, *_ in corpus:
-        words = [w[i : i + 48] for w in re.findall(r"[^\W_]+", (t or "").lower()) for i in range(0, len(w), 48)]
-        starts = range(0, max(1, len(words) - 3), 3) if words else []
-        every = [f" {' '.join(words[i : i + 6])} " for i in starts]
-        gains = [g for w in set(every) if (g := gain(w)) > 0]
-        counts = [len(every) - len(gains)] + [sum(min(g, 16) == k for g in gains) for k in range(1, 17)]
-        level = min(max(round(sum(n * w for n, w in zip(counts, model.weights))) + 32, 0), 64)
-        assert got[d] == model.probability[level]
+    assert got == {d: plain_toxicity(model, t) for d, t, *_ in corpus}
 
 
 def test_secrets_are_found_and_redacted(spark, empty):

@@ -3,11 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pagescript.llm import toxicity
 from pagescript.llm.common import read
 
-from .test_operators import BLANK, brute_components
+from .test_operators import BLANK, brute_components, plain_toxicity
 
 SF = "/root/testdata/sf0.001"
 SECRET = re.compile(r"AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = \")[0-9a-f]{40}")
@@ -65,7 +67,43 @@ def test_copies_follow_the_mix(stages):
     assert all(copies[r.doc_id] == r.copies for r in after)
 
 
-def test_toxicity_keeps_rows_as_they_are(stages):
+def test_toxicity_stage_equals_a_plain_version(spark, stages):
     _, before, _, after = stages["toxicity"]
-    rows = {r.doc_id: r for r in before}
-    assert 0 < len(after) <= len(before) and all(rows[r.doc_id] == r for r in after)
+    docs = read(spark, SF, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, SF, "labels").where(toxicity.learnable(F.col("doc_id"))).select("doc_id", "toxic"))
+    assert 0 < len(after) <= len(before)
+    assert sorted(after) == sorted(r for r in before if plain_toxicity(model, r.text) < toxicity.CUTOFF)
+
+
+CLASHES = ["_id", "_row", "_later", "stays", "toxicity", "text_hash", "_secrets", "copies", "size", "component_id"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids and texts, long texts, columns of all names that the stages use."""
+    schema = read(spark, SF, "documents").schema
+    words = " ".join(f"plain{i}" for i in range(60))
+    texts = [(None, None), (None, "lone words"), (None, "lone words"), (5, words), (5, words), (5, "another text of the same id"), (7, words), (8, ""), (9, None), (10, "x " * 60_000), (11, f"{words} password=0123456789abcdef01")]
+    rows = [tuple({"doc_id": d, "text": t}.get(c) for c in schema.names) for d, t in texts]
+    return spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in CLASHES})
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_odd_and_empty_tables(spark, odd, name, stage):
+    out = stage(spark, odd, SF)
+    rows = out.collect()
+    before = sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
+    if name == "mixing":
+        assert set(odd.columns) - {"size", "copies"} <= set(out.columns)
+        assert all(len(r.text.split()) == r["size"] for r in rows if r.text is not None)
+    else:
+        assert out.columns == odd.columns and all(r[c] == "clash" for r in rows for c in CLASHES)
+        found = sorted((r.doc_id or 0, r.text or "") for r in rows)
+        if name == "near_duplicates":
+            kept = {(5, "another text of the same id"), (8, ""), (9, ""), *(x for x in before if x[0] == 10), (5, next(t for d, t in before if d == 7))}
+            assert found == sorted([(0, ""), (0, "lone words"), (0, "lone words"), *kept])
+        elif name == "secrets":
+            assert len(found) == len(before) and [x for x in found if x[0] != 11] == [x for x in before if x[0] != 11]
+        else:
+            assert found == before
+    assert stage(spark, odd.limit(0), SF).count() == 0
