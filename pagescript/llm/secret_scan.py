@@ -103,8 +103,17 @@ def weak_labels(found: DataFrame, most_rows: int = 20_000) -> DataFrame:
     name = F.regexp_extract("before", r"([\w.\-]+)[\"'`]?\s*[=:]\s*[\"'`]?$", 1)
     example = c.rlike(EXAMPLE) | name.rlike(EXAMPLE) | F.translate(name, "_-.", "   ").rlike(EXAMPLE)
     labelled = found.withColumn("label", F.when(known, 1.0).when(example, 0.0).when(harmless, 0.0).when(secret, 1.0)).where("label IS NOT NULL")
+    # Counts by range of hashes tell which ranges hold the most_rows of least hash; only these are sorted.
     order = F.xxhash64("candidate", "before")
-    pick = [labelled.where(F.col("label") == y).orderBy(order, "doc_id", "ordinal").limit(most_rows).select("label", *FEATURES) for y in (0.0, 1.0)]
+    near = F.shiftright(order, 52).cast("int")
+    counts = sorted((r.label, r.near, r["count"]) for r in labelled.groupBy("label", near.alias("near")).count().collect())
+    pick = []
+    for y in (0.0, 1.0):
+        last, held = -(1 << 11), 0
+        for _, at, n in (c for c in counts if c[0] == y):
+            if held < most_rows:
+                last, held = at, held + n
+        pick.append(labelled.where((near <= last) & (F.col("label") == y)).orderBy(order, "doc_id", "ordinal").limit(most_rows).select("label", *FEATURES))
     return pick[0].unionAll(pick[1])
 
 
