@@ -133,6 +133,17 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]
     return tuple(spark.table(name) for name in names)
 
 
+_held: list[DataFrame] = []
+
+
+def hold(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """tables, persisted for the query that is being built; those of the query before are released."""
+    while _held:
+        _held.pop().unpersist()
+    _held.extend(t.persist() for t in tables)
+    return tables
+
+
 def with_views(sql: str, *names: str) -> str:
     """sql for DuckDB with the views as common table expressions."""
     views = {name: VIEWS[name].replace("explode(sequence(", "unnest(generate_series(") for name in needed(list(names))}

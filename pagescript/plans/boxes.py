@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import load, with_views
+from ..fixtures import hold, load, with_views
 from ..operators import boxes, layout, order, spatial, speakers, suppress
 
 K = ["sequence_id", "page_index"]
@@ -329,8 +329,8 @@ def l2_page_extent(spark, sf_dir):
 
 def _relations(spark, sf_dir):
     (regions,) = load(spark, sf_dir, "fx_regions")
-    halves = _with_half(regions).persist()
-    return halves, spatial.spatial_relations(halves).persist()
+    halves = _with_half(regions)
+    return hold(halves, spatial.spatial_relations(halves))
 
 
 _L3 = f"""WITH RECURSIVE rel AS ({_J7.replace("WITH r AS", "WITH r AS")}), e AS (SELECT sequence_id, page_index, a_pos AS u, b_pos AS v FROM rel WHERE strength = 'strong' UNION ALL SELECT sequence_id, page_index, b_pos, a_pos FROM rel WHERE strength = 'strong'),
@@ -382,7 +382,7 @@ _FIRST = "CASE WHEN ba THEN false WHEN ab THEN true WHEN overlap >= 0.6e0 OR sam
 
 def _balloons(spark, sf_dir):
     (regions,) = load(spark, sf_dir, "fx_regions")
-    return regions.withColumnRenamed("region_pos", "pos").persist()
+    return hold(regions.withColumnRenamed("region_pos", "pos"))[0]
 
 
 @query(f"WITH {_U} SELECT sequence_id, page_index, a_pos, b_pos, round(overlap, 6) AS overlap, ab AS a_contains_b, ba AS b_contains_a, dx, dy, same_row, same_column FROM ({_PAIRS})", "fx_regions")
@@ -434,8 +434,8 @@ def o5_story_filter(spark, sf_dir):
 def o6_page_order(spark, sf_dir):
     regions, panels = load(spark, sf_dir, "fx_regions", "fx_panels")
     balloons = regions.withColumnRenamed("region_pos", "pos")
-    placed = balloons.join(spatial.best_panel_for_balloon(balloons, panels), [*K, "pos"]).persist()
-    return order.page_order(placed, panels)
+    placed = balloons.join(spatial.best_panel_for_balloon(balloons, panels), [*K, "pos"])
+    return order.page_order(hold(placed)[0], panels)
 
 
 @query(f"WITH {_U}, {_RANK} SELECT sequence_id, page_index, pos, balloon_rank, row_number() OVER (PARTITION BY sequence_id ORDER BY page_index, balloon_rank, pos) - 1 AS sequence_position FROM o", "fx_regions")
