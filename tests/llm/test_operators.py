@@ -79,6 +79,21 @@ def test_mixing_reaches_targets_by_weight(docs, corpus, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_equals_its_sql(spark):
+    """The query and the SQL that is registered beside it, over the smallest tables."""
+    import duckdb
+
+    from pagescript.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{path}/documents.parquet')")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    expected = duck.execute(f"select {', '.join(columns)} from ({queries.oracle_sql()['op4_mix_sources']})").fetchall()
+    found = queries.queries()["op4_mix_sources"](spark, path).select(*columns).collect()
+    assert sorted((d, n, s, round(t, 6), k) for d, n, s, t, k in found) == sorted((d, n, s, round(t, 6), k) for d, n, s, t, k in expected)
+
+
 def test_targets_stop_at_the_cap(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 500)], "source string, source_size long")
     found = {r.source: r.target for r in mixing.source_targets(sources).collect()}
