@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, mixing, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from . import chat, decontam, jaccard, licenses, merkle, mixing, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from .common import read, scratch_path
 
 #: Place of the vocabulary files; a file of the same name must be on every executor.
@@ -87,10 +87,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id has an even CRC-32 are tampered with: their line ends are deleted."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(read(spark, sf_dir, "documents"), {"text": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
     found = (
         op1_toxicity, op2_license_scan, op3_secret_scan, op4_mix_sources, op5_token_counts,
         op6_decontamination, op7_chat_format, op8_suffix_dedup, op9_quality_rules, op10_ngram_jaccard,
+        op11_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
@@ -111,6 +119,34 @@ SELECT doc_id, size, source_size, target, size * CAST(least(floor(upto * rate +
 """
 
 
+#: CRC-32 of the bytes of a string, with the table t worked out in a CTE "crc".
+_CRC = "xor(list_reduce([4294967295] || list_transform(range(CAST(strlen({0}) AS BIGINT)), lambda i: CAST('0x' || substr(hex({0}), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_PART = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {_LEAF.format("text")} AS leaf,
+  {_LEAF.format(f"(CASE WHEN {_CRC.format('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS changed FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+up AS (SELECT 0 AS lvl, tree, pos, n, leaf AS digest FROM l
+  UNION ALL SELECT lvl + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lvl, tree, pos // 3, n),
+s AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+upper AS (SELECT 0 AS lvl, pos, n, subroot AS digest FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3, n),
+f AS (SELECT doc_id, tree, pos AS id, 0 AS lvl, pos, n, changed AS digest, '' AS proof FROM l
+  UNION ALL SELECT doc_id, f.tree, id, f.lvl + 1, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.digest ELSE u.digest END, '' ORDER BY u.pos)),
+    any_value(f.proof) || coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (WHERE u.pos <> f.pos), '')
+  FROM f JOIN up u ON u.tree = f.tree AND u.lvl = f.lvl AND u.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY doc_id, f.tree, id, f.lvl, f.pos // 3, f.n),
+g AS (SELECT f.doc_id, f.tree, id, 0 AS lvl, s.pos, s.n, f.digest, f.proof FROM f JOIN s USING (tree) WHERE f.n = 1
+  UNION ALL SELECT doc_id, g.tree, id, g.lvl + 1, g.pos // 3, (g.n + 2) // 3, sha256(string_agg(CASE WHEN u.pos = g.pos THEN g.digest ELSE u.digest END, '' ORDER BY u.pos)),
+    any_value(g.proof) || coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (WHERE u.pos <> g.pos), '')
+  FROM g JOIN upper u ON u.lvl = g.lvl AND u.pos // 3 = g.pos // 3 WHERE g.n > 1 GROUP BY doc_id, g.tree, id, g.lvl, g.pos // 3, g.n)
+SELECT l.doc_id, leaf, subroot, upper.digest AS root, sha256(g.proof) AS proof_sha256, g.digest AS folded_root, g.digest = upper.digest AS verified
+FROM l JOIN s USING (tree) JOIN g ON g.tree = l.tree AND g.id = l.pos AND g.n = 1 JOIN upper ON upper.n = 1
+"""
+
+
 def oracle_sql() -> dict:
-    """Mixing is plain SQL; the others train, tokenize, hash or search, and are tested against brute force."""
-    return {"op4_mix_sources": MIX_SQL}
+    """What SQL can express; the others train, tokenize, hash or search, and are tested in tests/llm."""
+    return {"op4_mix_sources": MIX_SQL, "op11_merkle_manifest": MERKLE_SQL}
