@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, merkle, mixing, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from . import chat, decontam, jaccard, licenses, merkle, mixing, quality, secret_scan, simhash, spelling, suffix_dedup, token_counts, toxicity
 from .common import read, scratch_path
 
 #: Place of the vocabulary files; a file of the same name must be on every executor.
@@ -94,11 +94,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     found = (
         op1_toxicity, op2_license_scan, op3_secret_scan, op4_mix_sources, op5_token_counts,
         op6_decontamination, op7_chat_format, op8_suffix_dedup, op9_quality_rules, op10_ngram_jaccard,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op12_spelling_variants, op13_simhash,
     )
     return {f.__name__: f for f in found}
 
@@ -145,8 +154,24 @@ g AS (SELECT f.doc_id, f.tree, id, 0 AS lvl, s.pos, s.n, f.digest, f.proof FROM
 SELECT l.doc_id, leaf, subroot, upper.digest AS root, sha256(g.proof) AS proof_sha256, g.digest AS folded_root, g.digest = upper.digest AS verified
 FROM l JOIN s USING (tree) JOIN g ON g.tree = l.tree AND g.id = l.pos AND g.n = 1 JOIN upper ON upper.n = 1
 """
+#: Near words by deletion: of equal length if they agree without one place, else if the longer one without one place is the shorter.
+SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR) || ':' || run, '') AS name FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, doc_id IS NOT NULL AS slips, {_CRC.format("name")} AS h FROM k, crc),
+c AS (SELECT CASE WHEN slips AND h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1),
+v AS MATERIALIZED (SELECT word, n FROM c WHERE length(word) >= 5 AND n >= 3),
+e AS MATERIALIZED (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS part FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+near AS (SELECT a.word AS a, b.word AS b FROM e a JOIN e b USING (p, part) WHERE a.word <> b.word
+  UNION SELECT e.word, v.word FROM e JOIN v ON e.part = v.word UNION SELECT v.word, e.word FROM e JOIN v ON e.part = v.word),
+b AS (SELECT a, CAST(count(*) AS BIGINT) AS n_near, min(struct_pack(k := -v.n, w := v.word)) AS best FROM near JOIN v ON v.word = near.b GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= 2 * v.n THEN best.w END AS form, CASE WHEN -best.k >= 2 * v.n THEN -best.k END AS form_n FROM v LEFT JOIN b ON b.a = v.word),
+w AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN w ON w.word = f.word AND w.next IS NULL
+"""
 
 
 def oracle_sql() -> dict:
     """What SQL can express; the others train, tokenize, hash or search, and are tested in tests/llm."""
-    return {"op4_mix_sources": MIX_SQL, "op11_merkle_manifest": MERKLE_SQL}
+    return {"op4_mix_sources": MIX_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_spelling_variants": SPELLING_SQL}
