@@ -7,8 +7,8 @@ one) become their H. What remains of each source is its subroot; the subroots, o
 A parent is a hash state that takes its children one by one; it keeps a copy of the state before each child. A changed child is folded in by
 resuming the copy before its place with the new digest and the digests to its right: nothing to its left is hashed again.
 
-Trees are built and folded in blocks of BLOCK consecutive nodes, which are whole subtrees of LEVELS levels. Only the top of each block goes
-on, so a source of n documents takes log n / log BLOCK rounds, and no task ever holds more than a few blocks, however large a source is.
+Trees are built and folded in blocks of FANOUT ** LEVELS consecutive nodes, which are whole subtrees of LEVELS levels. Only the top of each block goes
+on, so a source of n documents takes one round per LEVELS levels, and no task ever holds more than a few blocks, however large a source is.
 On the way down each block gets its path: a row of siblings per level above it.
 """
 
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut, small_batches, written
 
 FANOUT = 3
-#: Levels that one task builds at once, and the nodes below them.
+#: Levels of a block.
 LEVELS = 6
-BLOCK = FANOUT**LEVELS
 #: Rows that one task gets on average: whole blocks of one or many trees.
 TASK_ROWS = 8192
 #: Boundaries of ranges that a join may broadcast.
 MOST_RANGES = 100_000
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 _NODE = "tree string, pos long, size long, digest string"
+_PATH = "tree string, pos long, path array<string>"
 
 
 def leaf(*values: Column) -> Column:
@@ -131,78 +131,86 @@ def resumed(state, digest: bytes, right: bytes) -> bytes:
     return state.hexdigest().encode()
 
 
-def height(size: int) -> int:
-    """Levels of a block of a tree of so many nodes: as many as it needs, LEVELS at most."""
+def height(size: int, most: int) -> int:
+    """Levels of a block of a tree of so many nodes: as many as it needs, most at most."""
     levels = 0
-    while levels < LEVELS and size > 1:
+    while levels < most and size > 1:
         size, levels = -(-size // FANOUT), levels + 1
     return levels
 
 
-def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
-    """The blocks of a task: (rows in order, the table of these rows)."""
+def _blocks(table: pa.Table, levels: int) -> Iterator[tuple[str, int, Subtree, pa.Table]]:
+    """The blocks of a task: tree, number of the block, the block, and its rows in order."""
     order = pc.sort_indices(table, [("tree", "ascending"), ("pos", "ascending")])
     table = table.take(order).combine_chunks()
-    tree, block = table["tree"].to_pylist(), table["pos"].to_numpy() // BLOCK
+    tree, block = table["tree"].to_pylist(), table["pos"].to_numpy() // FANOUT**levels
     begin = 0
     for at in range(1, len(tree) + 1):
         if at == len(tree) or tree[at] != tree[begin] or block[at] != block[begin]:
-            yield table.slice(begin, at - begin)
+            rows = table.slice(begin, at - begin)
+            yield tree[begin], int(block[begin]), Subtree(rows["digest"].to_pylist(), height(rows["size"][0].as_py(), levels)), rows
             begin = at
 
 
-def _tops(table: pa.Table) -> pa.Table:
-    out = []
-    for part in _blocks(table):
-        size = part["size"][0].as_py()
-        out.append((part["tree"][0].as_py(), part["pos"][0].as_py() // BLOCK, -(-size // BLOCK), Subtree(part["digest"].to_pylist(), height(size)).top()))
-    return pa.table({c: pa.array([r[i] for r in out], kind) for i, (c, kind) in enumerate(zip(("tree", "pos", "size", "digest"), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))})
+def _siblings(step: str) -> bytes:
+    """A path step without the node itself."""
+    slot, run = int(step[0]), step[1:].encode()
+    return run[: 64 * slot] + run[64 * slot + 64 :]
 
 
-def _upper(table: pa.Table) -> dict:
-    """Path by (tree, block)."""
-    return {(t, p): path for t, p, path in zip(table["tree"].to_pylist(), table["pos"].to_pylist(), table["path"].to_pylist(), strict=True)}
+def _columns(rows: list[tuple], schema: dict) -> pa.Table:
+    return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(schema.items())})
 
 
-def _paths(nodes: pa.Table, upper: pa.Table) -> pa.Table:
-    above, tree, pos, paths = _upper(upper), [], [], []
-    for part in _blocks(nodes):
-        name, first = part["tree"][0].as_py(), part["pos"][0].as_py()
-        rest = above.get((name, first // BLOCK), [])
-        block = Subtree(part["digest"].to_pylist(), height(part["size"][0].as_py()))
-        for i in range(len(part)):
-            tree.append(name)
-            pos.append(first + i)
-            paths.append(block.path(i) + rest)
-    return pa.table({"tree": pa.array(tree, pa.string()), "pos": pa.array(pos, pa.int64()), "path": pa.array(paths, pa.list_(pa.string()))})
+def _tops(levels: int):
+    """A block's top, as a node of the next round."""
 
+    def tops(table: pa.Table) -> pa.Table:
+        rows = [(tree, at, -(-part["size"][0].as_py() // FANOUT**levels), block.top()) for tree, at, block, part in _blocks(table, levels)]
+        return _columns(rows, {"tree": pa.string(), "pos": pa.int64(), "size": pa.int64(), "digest": pa.string()})
 
-def _siblings(step: str) -> bytes:
-    """A path step without the node itself."""
-    slot, run = int(step[0]), step[1:].encode()
-    return run[: 64 * slot] + run[64 * slot + 64 :]
+    return tops
+
+
+def _paths(levels: int):
+    """Each node's path, from the paths of the blocks."""
+
+    def paths(nodes: pa.Table, upper: pa.Table) -> pa.Table:
+        above, rows = _by_block(upper), []
+        for tree, at, block, part in _blocks(nodes, levels):
+            rest = above.get((tree, at), [])
+            rows += [(tree, at * FANOUT**levels + i, block.path(i) + rest) for i in range(len(part))]
+        return _columns(rows, {"tree": pa.string(), "pos": pa.int64(), "path": pa.list_(pa.string())})
+
+    return paths
+
+
+def _proofs(levels: int):
+    """Each leaf with its siblings up to the root and the root that its changed digest gives."""
+
+    def proofs(nodes: pa.Table, upper: pa.Table) -> pa.Table:
+        above, proof, folded, parts = _by_block(upper), [], [], [nodes.slice(0, 0).select(["doc_id", "tree", "digest"])]
+        for tree, at, block, part in _blocks(nodes, levels):
+            rest, resume = above.get((tree, at), []), []
+            for step in rest:
+                slot, run = int(step[0]), step[1:].encode()
+                children = [run[i : i + 64] for i in range(0, len(run), 64)]
+                resume.append((midstates(children)[0][slot], b"".join(children[slot + 1 :])))
+            tail = b"".join(map(_siblings, rest))
+            for i, new in enumerate(part["changed"].to_pylist()):
+                digest = block.fold(i, new.encode())
+                for state, right in resume:
+                    digest = resumed(state, digest, right)
+                folded.append(digest.decode())
+                proof.append((b"".join(map(_siblings, block.path(i))) + tail).decode())
+            parts.append(part.select(["doc_id", "tree", "digest"]))
+        return pa.concat_tables(parts).append_column("proof", pa.array(proof, pa.string())).append_column("folded_root", pa.array(folded, pa.string()))
+
+    return proofs
 
 
-def _proofs(nodes: pa.Table, upper: pa.Table) -> pa.Table:
-    above, proofs, folded, parts = _upper(upper), [], [], []
-    for part in _blocks(nodes):
-        rest = above.get((part["tree"][0].as_py(), part["pos"][0].as_py() // BLOCK), [])
-        resume = []
-        for step in rest:
-            slot, run = int(step[0]), step[1:].encode()
-            children = [run[i : i + 64] for i in range(0, len(run), 64)]
-            resume.append((midstates(children)[0][slot], b"".join(children[slot + 1 :])))
-        tail = b"".join(map(_siblings, rest)).decode()
-        block = Subtree(part["digest"].to_pylist(), height(part["size"][0].as_py()))
-        for i, new in enumerate(part["changed"].to_pylist()):
-            digest = block.fold(i, new.encode())
-            for state, right in resume:
-                digest = resumed(state, digest, right)
-            folded.append(digest.decode())
-            proofs.append(b"".join(map(_siblings, block.path(i))).decode() + tail)
-        parts.append(part.select(["doc_id", "tree", "digest"]))
-    rows = pa.concat_tables(parts) if parts else nodes.select(["doc_id", "tree", "digest"])
-    return rows.append_column("proof", pa.array(proofs, pa.string())).append_column("folded_root", pa.array(folded, pa.string()))
+def _by_block(upper: pa.Table) -> dict:
+    return {(t, p): path for t, p, path in zip(upper["tree"].to_pylist(), upper["pos"].to_pylist(), upper["path"].to_pylist(), strict=True)}
 
 
 def _in_tasks(nodes: DataFrame, n: int, block: Column):
@@ -210,49 +218,49 @@ def _in_tasks(nodes: DataFrame, n: int, block: Column):
     return nodes.groupBy(F.pmod(F.xxhash64("tree", block), F.lit(max(1, n // TASK_ROWS))).alias("_task"))
 
 
-def _raised(nodes: DataFrame) -> list[tuple[DataFrame, int]]:
+def _raised(nodes: DataFrame, levels: int) -> list[tuple[DataFrame, int]]:
     """The rounds of nodes, from nodes (tree, pos, size, digest) to the one node that each tree has left, with the rows of each."""
     rounds = [(nodes, nodes.count())]
     while (nodes.agg(F.max("size")).first()[0] or 0) > 1:
         own = nodes.select("tree", "pos", "size", "digest")
-        nodes = cut(_in_tasks(own, rounds[-1][1], F.floor(F.col("pos") / BLOCK)).applyInArrow(_tops, _NODE))
+        nodes = cut(_in_tasks(own, rounds[-1][1], F.floor(F.col("pos") / FANOUT**levels)).applyInArrow(_tops(levels), _NODE))
         rounds.append((nodes, nodes.count()))
     return rounds
 
 
-def _with_upper(nodes: DataFrame, n: int, upper: DataFrame, function, schema: str) -> DataFrame:
-    left, right = _in_tasks(nodes, n, F.floor(F.col("pos") / BLOCK)), _in_tasks(upper, n, F.col("pos"))
-    return left.cogroup(right).applyInArrow(function, schema)
+def _with_upper(nodes: DataFrame, n: int, upper: DataFrame, levels: int, function, schema: str) -> DataFrame:
+    left, right = _in_tasks(nodes, n, F.floor(F.col("pos") / FANOUT**levels)), _in_tasks(upper, n, F.col("pos"))
+    return left.cogroup(right).applyInArrow(function(levels), schema)
 
 
-def _lowered(rounds: list[tuple[DataFrame, int]], paths: DataFrame) -> DataFrame:
+def _lowered(rounds: list[tuple[DataFrame, int]], paths: DataFrame, levels: int) -> DataFrame:
     """Paths of the blocks of the lowest round, from paths (tree, pos, path) of the one node of each tree."""
     for nodes, n in reversed(rounds[1:-1]):
-        paths = cut(_with_upper(nodes, n, paths, _paths, "tree string, pos long, path array<string>"))
+        paths = cut(_with_upper(nodes, n, paths, levels, _paths, _PATH))
     return paths
 
 
-def manifest(docs: DataFrame, changed: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """Per row of docs: doc_id, tree, leaf, subroot, root, proof (siblings level by level from the leaf up, 64 characters each), folded_root.
 
     docs: (doc_id, source, lang, n_chars, text), any of them null; other columns are ignored. folded_root is the root that follows from
     the original siblings and the row with the columns of changed put in place of its own, one row at a time; without changed it equals
     root. Leaves of a source stand by doc_id, a null one first; rows of one id by their leaf; rows that are equal in all columns take
-    places next to each other. An empty table has no rows.
+    places next to each other. An empty table has no rows. levels is that of a block: the result is the same for any.
     """
     rows = written(leaves(small_batches(docs), changed).withColumn("_row", F.monotonically_increasing_id()), "merkle-leaves")
     base = cut(placed(rows, "doc_id", "leaf", "_row").select("doc_id", "tree", "pos", "size", F.col("leaf").alias("digest"), "changed"))
-    rounds = _raised(base)
+    rounds = _raised(base, levels)
     subroots = cut(rounds[-1][0].select("tree", "digest"))
     names = cut(placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "name"))
-    above = _raised(names)
+    above = _raised(names, levels)
     root = above[-1][0].select("digest").first()  # one row for the whole corpus
 
     # The root's own path is empty; the lowest round of the upper tree gives a path to each subroot.
-    top = _lowered(above, above[-1][0].select("tree", "pos", F.array().cast("array<string>").alias("path")))
-    down = cut(_with_upper(names.select("tree", "pos", "size", "digest"), above[0][1], top, _paths, "tree string, pos long, path array<string>"))
+    top = _lowered(above, above[-1][0].select("tree", "pos", F.array().cast("array<string>").alias("path")), levels)
+    down = cut(_with_upper(names.select("tree", "pos", "size", "digest"), above[0][1], top, levels, _paths, _PATH))
     paths = down.join(names.select("pos", "name"), "pos").select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("pos"), "path")
-    blocks = _lowered(rounds, cut(paths))
-    out = _with_upper(base, rounds[0][1], blocks, _proofs, "doc_id long, tree string, digest string, proof string, folded_root string")
+    blocks = _lowered(rounds, cut(paths), levels)
+    out = _with_upper(base, rounds[0][1], blocks, levels, _proofs, "doc_id long, tree string, digest string, proof string, folded_root string")
     named = broadcast_if_small(subroots.withColumnRenamed("digest", "subroot"), MOST_RANGES)
     return out.join(named, "tree").select("doc_id", "tree", F.col("digest").alias("leaf"), "subroot", F.lit(root and root.digest).cast("string").alias("root"), "proof", "folded_root")
