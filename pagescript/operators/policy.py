@@ -121,52 +121,22 @@ def always_accept(scores: DataFrame) -> DataFrame:
     return with_rates(scores.agg(*confusion(F.col("expected"), F.lit(1))))
 
 
-def failure_breakdown(scores: DataFrame, model: str, threshold: float, example: str | None = None) -> DataFrame:
-    """(source, kind, n): misjudged rows by source and by kind, each with null for the other; + example, the least of that column."""
-    wrong = scores.withColumn("kind", F.when((F.col(model) >= threshold) & (F.col("expected") == 0), "false_accept").when((F.col(model) < threshold) & (F.col("expected") == 1), "false_reject")).where("kind IS NOT NULL")
-    counts = [F.count("*").alias("n")] + ([F.min(example).alias("example")] if example else [])
-    return wrong.groupingSets([[F.col("source")], [F.col("kind")]], "source", "kind").agg(*counts)
-
+def failure_breakdown(scores: DataFrame, model: str, threshold: float, example: str | None = None, examples: int = 10) -> DataFrame:
+    """(source, kind, n): misjudged rows by source and by kind, each with null for the other; + examples, the least few of that column, in order.
 
-def stump_leave_one_out(rows: DataFrame, feature: str, label: str, group: str) -> DataFrame:
-    """(group, threshold, direction, score): per left-out group the one-feature rule of best balanced accuracy on the others.
-
-    Thresholds lie midway between neighbouring values; direction 1 says yes above, -1 below; of equals the larger threshold, then
-    direction. Counts are the totals of each value less those of the left-out group.
+    Each task keeps the least few of a group before the shuffle, so groups may have any size.
     """
-    totals = rows.groupBy(group, F.col(feature).cast("double").alias("value")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"), F.count("*").alias("n")).where(F.col(group).isNotNull())
-    folds = totals.select(F.col(group).alias("fold")).distinct()
-    overall = totals.groupBy("value").agg(*[F.sum(x).alias(f"all_{x}") for x in ("pos", "neg", "n")])
-    own = totals.withColumnRenamed(group, "fold")
-    less = [(F.coalesce(f"all_{x}", F.lit(0)) - F.coalesce(x, F.lit(0))).alias(x) for x in ("pos", "neg", "n")]
-    kept = folds.crossJoin(overall).join(own, ["fold", "value"], "left").select("fold", "value", *less).where("n > 0").drop("n")
-    along = Window.partitionBy("fold").orderBy("value")
-    upto, all_ = along.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("fold")
-    cut = kept.withColumns({"next": F.lead("value").over(along), "pos_below": F.sum("pos").over(upto), "neg_below": F.sum("neg").over(upto), "pos_all": F.sum("pos").over(all_), "neg_all": F.sum("neg").over(all_)}).where("next IS NOT NULL AND pos_all > 0 AND neg_all > 0")
-    above = ((F.col("pos_all") - F.col("pos_below")) / F.col("pos_all") + F.col("neg_below") / F.col("neg_all")) / 2
-    long = cut.select("fold", ((F.col("value") + F.col("next")) / 2).alias("threshold"), F.explode(F.array(F.struct(F.lit(1).alias("direction"), above.alias("score")), F.struct(F.lit(-1).alias("direction"), (1 - above).alias("score")))).alias("d"))
-    return long.groupBy("fold").agg(F.max(F.struct("d.score", "threshold", "d.direction")).alias("b")).select(F.col("fold").alias(group), "b.threshold", "b.direction", "b.score")
-
-
-def grouped_cv(rows: DataFrame, features: list[str], label: str, fold: str, folds: int) -> DataFrame:
-    """(row_id, label, fold, probability): out-of-fold predictions of a balanced logistic regression. fold: 0 .. folds - 1, whole groups."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    table = VectorAssembler(inputCols=features, outputCol="raw").transform(rows).withColumn("label", F.col(label).cast("double"))
-    out = None
-    for k in range(folds):
-        train, test = table.where(F.col(fold) != k), table.where(F.col(fold) == k)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        share = train.agg(F.avg("label")).first()[0]
-        if share is None or not 0 < share < 1:
-            continue
-        weighted = scaler.transform(train).withColumn("w", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-        model = LogisticRegression(weightCol="w", regParam=0.01, maxIter=30).fit(weighted)
-        said = model.transform(scaler.transform(test)).select("row_id", "label", F.col(fold).alias("fold"), vector_to_array("probability")[1].alias("probability"))
-        out = said if out is None else out.unionByName(said)
-    return out
+    wrong = scores.withColumn("kind", F.when((F.col(model) >= threshold) & (F.col("expected") == 0), "false_accept").when((F.col(model) < threshold) & (F.col("expected") == 1), "false_reject")).where("kind IS NOT NULL")
+    sets = F.array(F.struct(F.col("source").alias("source"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("of")), F.struct(F.lit(None).cast("string").alias("source"), F.col("kind").alias("kind"), F.lit(1).alias("of")))
+    key = ["of", "source", "kind"]
+    rows = wrong.select(F.explode(sets).alias("s"), *([F.col(example).alias("example")] if example else [])).select("s.of", "s.source", "s.kind", *(["example"] if example else []))
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    if not example:
+        return counts.drop("of")
+    least = rows.where("example IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("example"))).where(F.col("_r") <= examples)
+    listed = least.groupBy(*key).agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    return counts.alias("a").join(listed.alias("b"), same, "left").select("a.source", "a.kind", "a.n", "b.examples")
 
 
 def group_split(sequences: DataFrame, ratio: float, seed: int) -> DataFrame:

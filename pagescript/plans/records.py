@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import load, with_views
 from ..functions import text as T
-from ..operators import evidence, identity, policy, resolve, score, telemetry
+from ..operators import evidence, identity, models, policy, resolve, score, stumps, telemetry
 from ..sources import transcripts
 
 K = ["sequence_id", "page_index"]
@@ -724,25 +724,101 @@ def x9_binary_metrics(spark, sf_dir):
     return policy.with_rates(rows.agg(*policy.confusion(F.col("expected"), said))).select("tp", "fp", "tn", "fn", *r6("accuracy", "precision", "recall", "f1", "balanced_accuracy"))
 
 
+#: Groups of 1, 2 or 6 rows; one feature is the same everywhere, one differs in each row.
+_STUMP_FEATURES = ["base_score", "tuned_score", "place", "same"]
+_LEFT_OUT = f"""f AS (SELECT *, CAST(CASE WHEN doc_id % 10 < 6 THEN floor(doc_id / 10) * 10 ELSE doc_id END AS BIGINT) AS grp, CAST(doc_id AS DOUBLE) / 16 AS place, 1.0e0 AS same FROM fx_verifier),
+    l AS (SELECT grp, expected, unnest({_STUMP_FEATURES}) AS feature, unnest([base_score, tuned_score, place, same]) AS value FROM f WHERE expected IS NOT NULL),
+    t AS (SELECT grp, feature, value, sum(expected) AS pos, sum(1 - expected) AS neg FROM l WHERE value IS NOT NULL GROUP BY ALL),
+    o AS (SELECT feature, value, sum(pos) AS pos, sum(neg) AS neg FROM t GROUP BY ALL),
+    k AS (SELECT g.grp, o.feature, o.value, o.pos - coalesce(t.pos, 0) AS pos, o.neg - coalesce(t.neg, 0) AS neg FROM (SELECT DISTINCT grp FROM t) g CROSS JOIN o LEFT JOIN t ON t.grp = g.grp AND t.feature = o.feature AND t.value = o.value),
+    c AS (SELECT *, lead(value) OVER w AS nxt, sum(pos) OVER w AS a, sum(neg) OVER w AS b, sum(pos) OVER v AS p, sum(neg) OVER v AS n FROM k WHERE pos + neg > 0 WINDOW w AS (PARTITION BY grp, feature ORDER BY value), v AS (PARTITION BY grp, feature)),
+    s AS (SELECT grp, feature, (value + nxt) / 2 AS threshold, a, b, p, n, CASE WHEN p * n > 0 THEN n ELSE 1 END AS wp, CASE WHEN p * n > 0 THEN p ELSE 1 END AS wn FROM c WHERE nxt IS NOT NULL),
+    d AS (SELECT grp, feature, threshold, 'ge' AS direction, wn * b + wp * (p - a) AS num, wn * n + wp * p AS den FROM s UNION ALL SELECT grp, feature, threshold, 'le', wn * (n - b) + wp * a, wn * n + wp * p FROM s),
+    stumps AS (SELECT grp, feature, threshold, direction, CAST(NULL AS INTEGER) AS said, num / CAST(den AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp, feature ORDER BY num DESC, threshold DESC, direction DESC) AS r FROM d) WHERE r = 1
+      UNION ALL SELECT grp, feature, min(value), 'constant', CASE WHEN min(p) >= min(n) THEN 1 ELSE 0 END, NULL FROM c GROUP BY grp, feature HAVING count(*) = 1)"""
+
+
+def _left_out(spark, sf_dir):
+    (rows,) = load(spark, sf_dir, "fx_verifier")
+    i = F.col("doc_id")
+    table = rows.withColumns({"grp": F.when(i % 10 < 6, F.floor(i / 10) * 10).otherwise(i), "place": i / 16.0, "same": F.lit(1.0)})
+    return table, stumps.leave_one_out_stumps(table, _STUMP_FEATURES, "expected", "grp")
+
+
+@query(f"WITH {_LEFT_OUT} SELECT grp, feature, threshold, direction, said, round(score, 6) AS score FROM stumps", "fx_verifier")
+def x10_stump_leave_one_out(spark, sf_dir):
+    return _left_out(spark, sf_dir)[1].select("grp", "feature", "threshold", "direction", "said", *r6("score"))
+
+
 @query(
-    """WITH t AS (SELECT doc_id % 5 AS grp, base_score AS value, sum(CAST(expected AS BIGINT)) AS pos, sum(1 - CAST(expected AS BIGINT)) AS neg FROM fx_verifier GROUP BY ALL),
-    k AS (SELECT f.grp AS fold, value, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT DISTINCT grp FROM t) f JOIN t ON f.grp <> t.grp GROUP BY ALL),
-    c AS (SELECT *, lead(value) OVER w AS nxt, sum(pos) OVER w AS pb, sum(neg) OVER w AS nb, sum(pos) OVER (PARTITION BY fold) AS pa, sum(neg) OVER (PARTITION BY fold) AS na FROM k WINDOW w AS (PARTITION BY fold ORDER BY value)),
-    s AS (SELECT fold, (value + nxt) / 2 AS threshold, ((pa - pb) / CAST(pa AS DOUBLE) + nb / CAST(na AS DOUBLE)) / 2 AS above FROM c WHERE nxt IS NOT NULL),
-    d AS (SELECT fold, threshold, 1 AS direction, above AS score FROM s UNION ALL SELECT fold, threshold, -1, 1 - above FROM s)
-    SELECT fold AS grp, round(threshold, 6) AS threshold, direction, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, threshold DESC, direction DESC) AS n FROM d) WHERE n = 1""",
+    f"""WITH {_LEFT_OUT}, h AS (SELECT feature, expected, CASE direction WHEN 'le' THEN value <= threshold WHEN 'ge' THEN value >= threshold ELSE said = 1 END AS y FROM l JOIN stumps USING (grp, feature) WHERE value IS NOT NULL),
+    q AS (SELECT feature, count(*) FILTER (expected = 1 AND y) AS tp, count(*) FILTER (expected = 0 AND y) AS fp, count(*) FILTER (expected = 0 AND NOT y) AS tn, count(*) FILTER (expected = 1 AND NOT y) AS fn FROM h GROUP BY feature)
+    SELECT feature, tp, fp, tn, fn, {_RATES}, round((tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2, 6) AS balanced_accuracy FROM q""",
     "fx_verifier",
 )
-def x10_stump_leave_one_out(spark, sf_dir):
+def x10_left_out_metrics(spark, sf_dir):
+    table, found = _left_out(spark, sf_dir)
+    return stumps.left_out_metrics(table, found, _STUMP_FEATURES, "expected", "grp").select("feature", "tp", "fp", "tn", "fn", *r6("accuracy", "precision", "recall", "f1", "balanced_accuracy"))
+
+
+@query(
+    f"WITH {_LEFT_OUT} SELECT grp, feature, threshold, direction, said, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(coalesce(score, -1), 12) DESC, feature) AS r FROM stumps) WHERE r = 1", "fx_verifier"
+)
+def x10_best_features(spark, sf_dir):
+    return stumps.best_features(_left_out(spark, sf_dir)[1], "grp").select("grp", "feature", "threshold", "direction", "said", *r6("score"))
+
+
+def _folds(spark, sf_dir):
     (rows,) = load(spark, sf_dir, "fx_verifier")
-    return policy.stump_leave_one_out(rows.withColumn("grp", F.col("doc_id") % 5), "base_score", "expected", "grp").select("grp", *r6("threshold"), "direction", *r6("score"))
+    chosen = F.when(F.col("source") == "hard_negative", 1.0).otherwise(0.0)
+    return rows.where("expected IS NOT NULL").select(F.col("doc_id").alias("row_id"), "expected", "base_score", "tuned_score", chosen.alias("hard"), (F.col("doc_id") % 4).cast("int").alias("fold"))
+
+
+_X11 = ["base_score", "tuned_score", "hard"]
 
 
 @query()
 def x11_grouped_cv(spark, sf_dir):
-    (rows,) = load(spark, sf_dir, "fx_verifier")
-    table = rows.select(F.col("doc_id").alias("row_id"), "expected", "base_score", "tuned_score", (F.col("doc_id") % 4).alias("fold"))
-    return policy.grouped_cv(table, ["base_score", "tuned_score"], "expected", "fold", 4).withColumn("probability", F.round("probability", 4))
+    found = models.logistic_says(_folds(spark, sf_dir), _X11, "expected", "fold", 4)
+    return found.select("row_id", F.col("expected").alias("label"), "fold", F.round("probability", 4).alias("probability"))
+
+
+def _tree_level(level: str, grown: str) -> str:
+    """Cuts of the nodes of a level, from the table `grown` of (fold, node, y, base_score, tuned_score, hard)."""
+    return f"""{level}_l AS (SELECT fold, node, y, unnest([0, 1, 2]) AS f, unnest([base_score, tuned_score, hard]) AS value FROM {grown}),
+    {level}_v AS (SELECT fold, node, f, value, sum(CASE WHEN y = 1 THEN w1 ELSE 0 END) AS dp, sum(CASE WHEN y = 0 THEN w0 ELSE 0 END) AS dq FROM {level}_l JOIN weights USING (fold) GROUP BY ALL),
+    {level}_c AS (SELECT *, lead(value) OVER w AS nxt, CAST(sum(dp) OVER w AS DOUBLE) AS a, CAST(sum(dq) OVER w AS DOUBLE) AS b, CAST(sum(dp) OVER v AS DOUBLE) AS p, CAST(sum(dq) OVER v AS DOUBLE) AS q FROM {level}_v WINDOW w AS (PARTITION BY fold, node, f ORDER BY value), v AS (PARTITION BY fold, node, f)),
+    {level}_n AS (SELECT fold, node, any_value(p) AS p, any_value(q) AS q FROM {level}_c GROUP BY fold, node),
+    {level}_s AS (SELECT fold, node, f, (value + nxt) / 2 AS threshold, row_number() OVER (PARTITION BY fold, node ORDER BY round((a * b / (a + b) + (p - a) * (q - b) / (p - a + q - b)) / (p + q), 12), f, value) AS r FROM {level}_c WHERE nxt IS NOT NULL AND p > 0 AND q > 0),
+    {level} AS (SELECT n.fold, n.node, s.f, s.threshold, CASE WHEN n.p > n.q THEN 1 ELSE 0 END AS said FROM {level}_n n LEFT JOIN {level}_s s ON s.fold = n.fold AND s.node = n.node AND s.r = 1)"""
+
+
+_VALUE = "CASE f WHEN 0 THEN base_score WHEN 1 THEN tuned_score ELSE hard END"
+_TREES = f"""rows AS (SELECT doc_id AS row_id, expected AS y, base_score, tuned_score, CASE WHEN source = 'hard_negative' THEN 1.0e0 ELSE 0.0e0 END AS hard, CAST(doc_id % 4 AS INTEGER) AS own FROM fx_verifier WHERE expected IS NOT NULL),
+    g1 AS (SELECT k.fold, 1 AS node, rows.* FROM rows JOIN (SELECT unnest([0, 1, 2, 3]) AS fold) k ON k.fold <> own),
+    weights AS (SELECT fold, greatest(sum(1 - y), 1) AS w1, greatest(sum(y), 1) AS w0 FROM g1 GROUP BY fold), {_tree_level("r1", "g1")},
+    g2 AS (SELECT fold, node * 2 + CASE WHEN {_VALUE} <= threshold THEN 0 ELSE 1 END AS node, y, base_score, tuned_score, hard FROM g1 JOIN r1 USING (fold, node) WHERE f IS NOT NULL), {_tree_level("r2", "g2")},
+    g3 AS (SELECT fold, node * 2 + CASE WHEN {_VALUE} <= threshold THEN 0 ELSE 1 END AS node, y, base_score, tuned_score, hard FROM g2 JOIN r2 USING (fold, node) WHERE f IS NOT NULL), {_tree_level("r3", "g3")},
+    trees AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT fold, node, NULL, NULL, said FROM r3)"""
+
+
+@query(f"WITH {_TREES} SELECT fold, CAST(node AS BIGINT) AS node, ['base_score', 'tuned_score', 'hard'][f + 1] AS feature, round(threshold, 6) AS threshold, said FROM trees", "fx_verifier")
+def x11_tree_folds(spark, sf_dir):
+    return models.tree_folds(_folds(spark, sf_dir), _X11, "expected", "fold", 4).select("fold", "node", "feature", *r6("threshold"), "said")
+
+
+@query()
+def x11_compared_models(spark, sf_dir):
+    """Out-of-fold answers of either model beside never saying yes."""
+    rows = _folds(spark, sf_dir)
+    trees = models.tree_says(rows, models.tree_folds(rows, _X11, "expected", "fold", 4), _X11, "fold").withColumnRenamed("said", "tree")
+    both = models.logistic_says(trees, _X11, "expected", "fold", 4).withColumns({"logistic": (F.col("probability") >= 0.5).cast("int"), "never": F.lit(0)})
+    return models.compared_models(both, "expected", ["never", "tree", "logistic"]).select("model", "tp", "fp", "tn", "fn", *r6("accuracy", "balanced_accuracy", "precision", "recall", "f1"))
+
+
+@query()
+def x11_ranked_coefficients(spark, sf_dir):
+    return models.ranked_coefficients(_folds(spark, sf_dir), _X11, "expected").withColumn("coefficient", F.round("coefficient", 4))
 
 
 @query(f"SELECT model, threshold, tp, fp, tn, fn, {_RATES}, round(tn / CAST(tn + fp AS DOUBLE), 6) AS wrong_recall, round((tn + fn) / CAST(tp + fp + tn + fn AS DOUBLE), 6) AS call_rate, round(fp / CAST(tp + fp + tn + fn AS DOUBLE), 6) AS wrong_accept_rate FROM ({_SWEEP})", "fx_verifier")
@@ -757,7 +833,7 @@ def x12_always_accept(spark, sf_dir):
 
 
 @query(
-    """SELECT source, kind, count(*) AS n, min(doc_id) AS example FROM (SELECT doc_id, source, CASE WHEN tuned_score >= 0.5e0 AND expected = 0 THEN 'false_accept' WHEN tuned_score < 0.5e0 AND expected = 1 THEN 'false_reject' END AS kind FROM fx_verifier) WHERE kind IS NOT NULL GROUP BY GROUPING SETS ((source), (kind))""",
+    """SELECT source, kind, count(*) AS n, list_slice(list(doc_id ORDER BY doc_id), 1, 10) AS examples FROM (SELECT doc_id, source, CASE WHEN tuned_score >= 0.5e0 AND expected = 0 THEN 'false_accept' WHEN tuned_score < 0.5e0 AND expected = 1 THEN 'false_reject' END AS kind FROM fx_verifier) WHERE kind IS NOT NULL GROUP BY GROUPING SETS ((source), (kind))""",
     "fx_verifier",
 )
 def x13_failure_breakdown(spark, sf_dir):
