@@ -84,6 +84,24 @@ select cast(floor(region_id / 4) as bigint) as balloon_id, region_id, s.source,
                      when 'nemotron' then text else upper(replace(text, 'ß', 'ss')) end as text,
        case when s.source = 'qwen3_vl' then null else ((n_chars + s.j * 17) % 101) / 100.0e0 end as ocr_confidence
 from fx_lines cross join (values ('ocr_base', 1), ('nemotron', 2), ('qwen3_vl', 3)) as s(source, j)
+""",
+    # a model's answer per document: whole texts, with every defect that an answer can have
+    "fx_answers": """
+select doc_id as balloon_id, case when doc_id % 31 = 30 then 'timeout' end as failure,
+       case doc_id % 31 when 1 then 'no json' when 2 then '[1, 2]' when 3 then '{"final_text": 7, "include_in_story": true}'
+         when 4 then concat('```json ', body, '"include_in_story":true} ```') when 5 then concat(body, '"include_in_story":"yes"}') when 6 then concat(body, '"confidence":0.25}')
+         when 7 then concat(body, '"include_in_story":true,"confidence":1.5}') when 8 then concat(body, '"include_in_story":true,"confidence":true}') when 9 then concat(body, '"include_in_story":true,"confidence":null,"decision_confidence":0.5}')
+         when 10 then concat(body, '"include_in_story":true,"decision_confidence":0.5}') when 11 then concat(body, '"include_in_story":true,"text_type":"shout"}') when 12 then concat(body, '"include_in_story":true,"text_type":"narration"}')
+         when 13 then concat(body, '"include_in_story":true,"text_type":null}') when 14 then concat(body, '"include_in_story":true,"corrections":"none"}')
+         when 15 then concat(body, '"include_in_story":true,"corrections":[{"candidate_id":"c1","from_text":"a","to_text":"b"},{"candidate_id":"c9","from_text":"a","to_text":"b"},5,{"candidate_id":"c2","from_text":"","to_text":""},{"candidate_id":"c0","from_text":1,"to_text":"b"}]}')
+         when 16 then '{"final_text":" ","include_in_story":true,"text_type":"shout"}' when 17 then '{"include_in_story":false,"notes":12}' when 18 then concat(body, '"include_in_story":false,"notes":"n","confidence":"0.5"}')
+         when 19 then '{"_json_parse_error":"cut off"}' when 20 then '"text"' when 21 then cast(null as string) when 22 then concat(body, '"include_in_story":null,"confidence":-1}')
+         else concat(body, '"include_in_story":true,"text_type":"dialogue","confidence":1}') end as payload
+from (select doc_id, concat(substring(cast(to_json(named_struct('final_text', coalesce(text, ''))) as string), 1, length(cast(to_json(named_struct('final_text', coalesce(text, ''))) as string)) - 1), ',') as body from documents) as bodies
+""",
+    # three candidates to an answer
+    "fx_answer_candidates": """
+select doc_id as balloon_id, concat('c', cast(n as string)) as candidate_id from documents cross join (values (0), (1), (2)) as t(n)
 """,
     # six preprocessing outcomes per reference text
     "fx_actions": """
@@ -146,5 +164,5 @@ def hold(*tables: DataFrame) -> tuple[DataFrame, ...]:
 
 def with_views(sql: str, *names: str) -> str:
     """sql for DuckDB with the views as common table expressions."""
-    views = {name: VIEWS[name].replace("explode(sequence(", "unnest(generate_series(") for name in needed(list(names))}
+    views = {name: VIEWS[name].replace("explode(sequence(", "unnest(generate_series(").replace("named_struct(", "json_object(") for name in needed(list(names))}
     return "WITH " + ", ".join(f"{name} AS ({view})" for name, view in views.items()) + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else "\n" + sql)

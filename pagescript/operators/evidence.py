@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import cut
 
 # The taxonomy of text types.
 TYPES = ["dialogue", "narration", "thought", "sound_effect", "sign", "title", "metadata", "document_text", "vocalisation", "unknown"]
@@ -62,26 +63,88 @@ def fallback_adjudication(candidates: DataFrame, balloon: str = "balloon_id", re
     return candidates.select(balloon).distinct().join(texts, balloon, "left").withColumn("final_text", F.coalesce("final_text", F.lit("[unreadable]")))
 
 
-def validate_adjudications(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, diagnostics) of raw (keys..., final_text, text_type, include, confidence), all strings.
+_CORRECTIONS = "array<struct<candidate_id:string,from_text:string,to_text:string>>"
+_MARKS = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
-    A bad confidence is null, a bad type unknown, what is not true is left out, and a text that counts but is blank is uncertain.
+
+def _blank(text: Column) -> Column:
+    """Whether nothing but white space of any kind is there."""
+    return F.regexp_replace(text, f"[{_MARKS}]+", "") == ""
+
+
+def parsed_answers(raw: DataFrame, answer: str = "payload") -> DataFrame:
+    """raw with `_v`, the answer as a variant (null if it is no JSON), taken out of a code fence."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(answer), f"^[{_MARKS}]+|[{_MARKS}]+$", ""), rf"(?i)^```(?:json)?[{_MARKS}]*|[{_MARKS}]*```$", "")
+    fenced = F.regexp_replace(F.col(answer), f"^[{_MARKS}]+", "").startswith("```")
+    return raw.withColumn("_v", F.try_parse_json(F.when(fenced, bare).otherwise(F.col(answer))))
+
+
+def validate_adjudications(raw: DataFrame, candidates: DataFrame, key: str = "balloon_id", strict_types: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(decisions, diagnostics) of answers raw (key, payload, failure) about balloons with candidates (key, candidate_id).
+
+    decisions has one row per answer: key, final_text, text_type, include_in_story, confidence, corrections, notes. diagnostics has one row per
+    defect: key, position (of a correction, else null), code. An answer that cannot be used at all is an empty text of unknown type that
+    is left out, with that one code: backend_failure (failure is not null), malformed_json, invalid_response_type, invalid_final_text,
+    and invalid_adjudication_result for a blank text that counts. Else the defect alone is dropped: invalid_confidence,
+    invalid_story_decision, missing_story_decision, invalid_text_type, invalid_corrections, invalid_correction, unknown_correction_candidate,
+    coerced_notes. With strict_types a type counts only as it is spelled in TYPES; without, as semantic_type() reads it.
+    JSON with a key twice, NaN or Infinity is malformed.
     """
-    confidence, kind = clean_confidence(F.col("confidence")), semantic_type(F.col("text_type"))
-    include = F.lower("include") == "true"
-    blank = include & (F.trim(F.coalesce("final_text", F.lit(""))) == "")
-    defects = F.filter(
-        F.array(
-            F.when(F.col("confidence").isNotNull() & confidence.isNull(), "bad_confidence"),
-            F.when(~F.replace(F.trim(F.lower("text_type")), F.lit(" "), F.lit("_")).isin(*TYPES, "vocalization"), "bad_type"),
-            F.when(~F.lower("include").isin("true", "false"), "bad_include"),
-            F.when(blank, "blank_text"),
-        ),
-        lambda d: d.isNotNull(),
+    part = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    kind = lambda name: F.schema_of_variant(part(name))
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get("_v", f"$.{name}", "string"))
+    number = F.when(kind("confidence").isNotNull(), F.struct(kind("confidence").alias("kind"), F.try_variant_get("_v", "$.confidence", "double").alias("value"))).otherwise(
+        F.struct(kind("decision_confidence").alias("kind"), F.try_variant_get("_v", "$.decision_confidence", "double").alias("value"))
     )
-    keys = [c for c in raw.columns if c not in ("final_text", "text_type", "include", "confidence")]
-    clean = raw.select(*keys, F.trim("final_text").alias("final_text"), F.when(blank, "unknown").otherwise(kind).alias("text_type"), (F.coalesce(include, F.lit(False)) & ~F.coalesce(blank, F.lit(False))).alias("include_in_story"), confidence.alias("confidence"))
-    return clean, raw.select(*keys, F.explode(defects).alias("defect"))
+    items = F.try_variant_get("_v", "$.corrections", "array<variant>")
+    piece = lambda v, name: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    read = parsed_answers(raw).select(
+        key, "_v", F.col("failure").isNotNull().alias("_failed"), F.schema_of_variant("_v").alias("_kind"), kind("_json_parse_error").alias("_own_error"),
+        kind("final_text").alias("_text_kind"), F.coalesce(text("final_text"), F.lit("")).alias("final_text"), kind("include_in_story").alias("_story_kind"),
+        F.coalesce(F.when(kind("include_in_story") == "BOOLEAN", F.try_variant_get("_v", "$.include_in_story", "boolean")), F.lit(False)).alias("include_in_story"),
+        number.alias("_number"), kind("text_type").alias("_type_kind"), text("text_type").alias("_type"), kind("corrections").alias("_list_kind"), items.alias("_items"),
+        kind("notes").alias("_notes_kind"), F.when(kind("notes") != "VOID", F.try_variant_get("_v", "$.notes", "string")).alias("notes"),
+    )
+    value = F.col("_number.value")
+    sound = F.col("_number.kind").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & value.between(0.0, 1.0)
+    known_type = F.col("_type").isin(TYPES) if strict_types else (semantic_type(F.col("_type")) != "unknown") | (F.trim(F.lower("_type")) == "unknown")
+    useless = (
+        F.when(F.col("_failed"), "backend_failure").when(F.col("_v").isNull(), "malformed_json").when(~F.col("_kind").startswith("OBJECT"), "invalid_response_type")
+        .when(F.col("_own_error").isNotNull() & ~F.col("_own_error").isin("VOID"), "malformed_json").when(F.col("_text_kind").isNotNull() & (F.col("_text_kind") != "STRING"), "invalid_final_text")
+        .when(F.col("include_in_story") & _blank(F.col("final_text")), "invalid_adjudication_result")
+    )
+    judged = read.withColumns({"_useless": useless, "_good_number": F.coalesce(sound, F.lit(False)), "_good_type": F.coalesce(known_type, F.lit(False)), "_row": F.monotonically_increasing_id()})
+    judged = cut(judged.drop("_v"))  # parsed once for both results, and rows keep their numbers
+    kept = judged.where("_useless IS NULL")
+
+    listed = kept.where(F.col("_list_kind").startswith("ARRAY")).select(key, "_row", F.posexplode("_items").alias("position", "_c"))
+    fields = listed.select(key, "_row", "position", *[piece(F.col("_c"), c).alias(c) for c in ("candidate_id", "from_text", "to_text")])
+    whole = F.col("candidate_id").isNotNull() & F.col("from_text").isNotNull() & F.col("to_text").isNotNull()
+    supplied = candidates.select(key, "candidate_id").distinct().withColumn("_known", F.lit(True))
+    checked = fields.join(supplied, [key, "candidate_id"], "left").withColumn("code", F.when(~whole, "invalid_correction").when(F.col("_known").isNull(), "unknown_correction_candidate"))
+    # One answer's corrections are a list inside its own text.
+    entry = F.struct("position", F.struct("candidate_id", "from_text", "to_text").alias("c"))
+    corrections = checked.where("code IS NULL").groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["c"]).alias("corrections"))
+
+    usable = F.col("_useless").isNull()
+    none = F.array().cast(_CORRECTIONS)
+    named_type = F.when(F.col("_good_type"), F.col("_type") if strict_types else semantic_type(F.col("_type"))).otherwise("unknown")
+    decisions = judged.join(corrections, "_row", "left").select(
+        key, F.when(usable, F.col("final_text")).otherwise("").alias("final_text"), F.when(usable, named_type).otherwise("unknown").alias("text_type"),
+        (usable & F.col("include_in_story")).alias("include_in_story"), F.when(usable & F.col("_good_number"), value).alias("confidence"),
+        F.when(usable, F.coalesce("corrections", none)).otherwise(none).alias("corrections"), F.when(usable, F.col("notes")).alias("notes"),
+    )
+    found = F.array_compact(F.array(
+        F.col("_useless"),
+        F.when(usable & F.col("_number.kind").isNotNull() & (F.col("_number.kind") != "VOID") & ~F.col("_good_number"), "invalid_confidence"),
+        F.when(usable & F.col("_story_kind").isNotNull() & (F.col("_story_kind") != "BOOLEAN"), "invalid_story_decision"),
+        F.when(usable & F.col("_story_kind").isNull(), "missing_story_decision"),
+        F.when(usable & F.col("_type_kind").isNotNull() & ~F.col("_good_type"), "invalid_text_type"),
+        F.when(usable & F.col("_list_kind").isNotNull() & ~F.col("_list_kind").startswith("ARRAY"), "invalid_corrections"),
+        F.when(usable & F.col("_notes_kind").isNotNull() & ~F.col("_notes_kind").isin("STRING", "VOID"), "coerced_notes"),
+    ))
+    diagnostics = judged.select(key, F.lit(None).cast("int").alias("position"), F.explode(found).alias("code"))
+    return decisions, diagnostics.unionByName(checked.where("code IS NOT NULL").select(key, "position", "code"))
 
 
 def reassemble_lines(lines: DataFrame, keys: list[str]) -> DataFrame:

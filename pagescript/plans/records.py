@@ -92,19 +92,41 @@ def c6_fallback_adjudication(spark, sf_dir):
     return evidence.fallback_adjudication(_candidates(spark, sf_dir))
 
 
+_LISTED = "('dialogue', 'narration', 'thought', 'sound_effect', 'sign', 'title', 'metadata', 'document_text', 'vocalisation', 'unknown')"
+_C7 = f"""p AS (SELECT balloon_id, failure, CASE WHEN payload LIKE '```%' THEN regexp_replace(regexp_replace(payload, '^```(json)?\\s*', ''), '\\s*```$', '') ELSE payload END AS payload FROM fx_answers),
+    v AS (SELECT balloon_id, failure, json_valid(payload) AS valid, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM p),
+    t AS (SELECT *, json_type(j) AS whole, json_type(j, '$.final_text') AS tt, json_type(j, '$.include_in_story') AS st, json_type(j, '$.text_type') AS yt, json_type(j, '$.corrections') AS ct, json_type(j, '$.notes') AS nt,
+      json_extract_string(j, '$.final_text') AS final_text, json_extract_string(j, '$.text_type') AS y, coalesce(json_extract_string(j, '$.include_in_story') = 'true' AND json_type(j, '$.include_in_story') = 'BOOLEAN', false) AS inc,
+      CASE WHEN json_type(j, '$.confidence') IS NOT NULL THEN j->'$.confidence' ELSE j->'$.decision_confidence' END AS c FROM v),
+    u AS (SELECT *, coalesce(json_type(c), 'NULL') AS ck, CASE WHEN json_type(c) IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND CAST(c AS DOUBLE) BETWEEN 0 AND 1 THEN CAST(c AS DOUBLE) END AS confidence,
+      CASE WHEN failure IS NOT NULL THEN 'backend_failure' WHEN NOT coalesce(valid, false) THEN 'malformed_json' WHEN whole <> 'OBJECT' THEN 'invalid_response_type' WHEN json_type(j, '$._json_parse_error') IS NOT NULL THEN 'malformed_json'
+        WHEN tt <> 'VARCHAR' THEN 'invalid_final_text' WHEN inc AND trim(regexp_replace(coalesce(final_text, ''), '\\s', '', 'g')) = '' THEN 'invalid_adjudication_result' END AS useless FROM t),
+    i AS (SELECT balloon_id, CAST(unnest(range(CAST(json_array_length(j, '$.corrections') AS BIGINT))) AS INTEGER) AS position, j FROM u WHERE useless IS NULL AND ct = 'ARRAY'),
+    k AS (SELECT balloon_id, position, j->('$.corrections[' || position || ']') AS item FROM i),
+    x AS (SELECT k.balloon_id, position, a.candidate_id, item, CASE WHEN coalesce(json_type(item, '$.candidate_id'), '') <> 'VARCHAR' OR coalesce(json_type(item, '$.from_text'), '') <> 'VARCHAR' OR coalesce(json_type(item, '$.to_text'), '') <> 'VARCHAR' THEN 'invalid_correction'
+      WHEN a.candidate_id IS NULL THEN 'unknown_correction_candidate' END AS code FROM k LEFT JOIN fx_answer_candidates a ON a.balloon_id = k.balloon_id AND a.candidate_id = json_extract_string(item, '$.candidate_id'))"""
+
+
 @query(
-    """SELECT sequence_id, page_index, balloon_pos, CASE WHEN k = 1 THEN 'unknown' WHEN k = 0 THEN 'unknown' ELSE text_type END AS text_type, include_in_story AND k <> 2 AND k <> 0 AS include_in_story, CASE WHEN k = 3 THEN NULL ELSE 0.5e0 END AS confidence
-    FROM (SELECT *, balloon_pos % 5 AS k FROM fx_adjudications) WHERE NOT (k = 0 AND NOT include_in_story)""",
-    "fx_adjudications",
+    f"""WITH {_C7}, n AS (SELECT balloon_id, string_agg(candidate_id, ',' ORDER BY position) AS corrections FROM x WHERE code IS NULL GROUP BY balloon_id)
+    SELECT balloon_id, CASE WHEN useless IS NULL THEN coalesce(final_text, '') ELSE '' END AS final_text, CASE WHEN useless IS NULL AND yt = 'VARCHAR' AND y IN {_LISTED} THEN y ELSE 'unknown' END AS text_type, useless IS NULL AND inc AS include_in_story,
+      CASE WHEN useless IS NULL THEN confidence END AS confidence, coalesce(corrections, '') AS corrections, CASE WHEN useless IS NULL AND nt <> 'NULL' THEN json_extract_string(j, '$.notes') END AS notes FROM u LEFT JOIN n USING (balloon_id)""",
+    "fx_answers", "fx_answer_candidates",
 )
 def c7_validate_adjudications(spark, sf_dir):
-    (rows,) = load(spark, sf_dir, "fx_adjudications")
-    k = F.col("balloon_pos") % 5
-    raw = rows.where(~((k == 0) & ~F.col("include_in_story"))).select(
-        *K, "balloon_pos", F.when(k == 0, "  ").otherwise(F.col("final_text")).alias("final_text"), F.when(k == 1, "shout").otherwise(F.col("text_type")).alias("text_type"),
-        F.when(k == 2, "yes").otherwise(F.col("include_in_story").cast("string")).alias("include"), F.when(k == 3, "2.0").otherwise("0.5").alias("confidence"),
-    )
-    return evidence.validate_adjudications(raw)[0].select(*K, "balloon_pos", "text_type", "include_in_story", "confidence")
+    decisions, _ = evidence.validate_adjudications(*load(spark, sf_dir, "fx_answers", "fx_answer_candidates"))
+    return decisions.withColumn("corrections", F.array_join(F.transform("corrections", lambda c: c["candidate_id"]), ","))
+
+
+@query(
+    f"""WITH {_C7} SELECT balloon_id, CAST(NULL AS INTEGER) AS position, unnest(list_filter([useless, CASE WHEN ck <> 'NULL' AND confidence IS NULL AND useless IS NULL THEN 'invalid_confidence' END, CASE WHEN st <> 'BOOLEAN' AND useless IS NULL THEN 'invalid_story_decision' END,
+      CASE WHEN st IS NULL AND useless IS NULL THEN 'missing_story_decision' END, CASE WHEN useless IS NULL AND yt IS NOT NULL AND NOT coalesce(yt = 'VARCHAR' AND y IN {_LISTED}, false) THEN 'invalid_text_type' END,
+      CASE WHEN ct <> 'ARRAY' AND useless IS NULL THEN 'invalid_corrections' END, CASE WHEN nt NOT IN ('VARCHAR', 'NULL') AND useless IS NULL THEN 'coerced_notes' END], lambda d: d IS NOT NULL)) AS code FROM u
+    UNION ALL SELECT balloon_id, position, code FROM x WHERE code IS NOT NULL""",
+    "fx_answers", "fx_answer_candidates",
+)
+def c7_adjudication_defects(spark, sf_dir):
+    return evidence.validate_adjudications(*load(spark, sf_dir, "fx_answers", "fx_answer_candidates"))[1]
 
 
 @query(
