@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import broadcast_if_small, components, cut
 from .boxes import KEYS, clip_boxes, valid_boxes
 from .suppress import suppress_overlaps
 
+#: Proposals of the pages that one task walks through, on average.
+TASK_PROPOSALS = 5000
+#: Edges of a page that are folded one by one.
+MOST_EDGES = 256
+
 _BY_PLACE = ["y1", "x1", "y2", "x2"]
 
 
@@ -33,9 +39,23 @@ def page_extent(pages: DataFrame, regions: DataFrame) -> DataFrame:
 def group_components(nodes: DataFrame, edges: DataFrame, position: str = "region_pos") -> DataFrame:
     """(keys, position, component): the least position that strong edges reach inside a page.
 
-    Pages have a few dozen regions. The edges of a page are folded into a map from position to label: each edge gives all that has
-    the larger of its two labels the smaller one. Regions without an edge are their own component.
+    Pages have a few dozen regions, as a rule: the edges of a page are folded into a map from position to label, where each edge gives all that has the
+    larger of its two labels the smaller one. Pages of more than MOST_EDGES edges go through alternating stars, all of them at once. Regions
+    without an edge are their own component.
     """
+    edges = cut(edges.select(*KEYS, "a_pos", "b_pos"))
+    large = cut(edges.groupBy(*KEYS).count().where(F.col("count") > MOST_EDGES).select(*KEYS))
+    if large.isEmpty():
+        found = _folded_components(edges, position)
+    else:
+        some = broadcast_if_small(large)
+        ends = [F.struct(*KEYS, F.col(c).alias(position)).alias(n) for c, n in (("a_pos", "a"), ("b_pos", "b"))]
+        reached = components(edges.join(some, KEYS, "left_semi").select(*ends))
+        found = _folded_components(edges.join(some, KEYS, "left_anti"), position).unionByName(reached.select("id.*", F.col(f"component.{position}").alias("component")))
+    return nodes.select(*KEYS, position).join(found, [*KEYS, position], "left").withColumn("component", F.coalesce("component", position))
+
+
+def _folded_components(edges: DataFrame, position: str) -> DataFrame:
     ends = F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["a_pos"], e["b_pos"]))))
     folded = edges.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("a_pos", "b_pos"))).alias("edges")).withColumn("ends", ends)
 
@@ -45,23 +65,29 @@ def group_components(nodes: DataFrame, edges: DataFrame, position: str = "region
         return F.get(F.transform(F.array(pair), lambda p: F.transform_values(labels, lambda _, label: F.when(label == p["high"], p["low"]).otherwise(label))), F.lit(0))
 
     labels = F.aggregate("edges", F.map_from_arrays("ends", "ends"), join)
-    found = folded.select(*KEYS, F.explode(labels).alias(position, "component"))
-    return nodes.select(*KEYS, position).join(found, [*KEYS, position], "left").withColumn("component", F.coalesce("component", position))
+    return folded.select(*KEYS, F.explode(labels).alias(position, "component"))
 
 
 def geometry_groups(regions: DataFrame, components: DataFrame, edges: DataFrame, position: str = "region_pos") -> DataFrame:
-    """(keys, component, members, x1..y2, confidence, method) of groups of two or more.
+    """(keys, component, members, panel_pos, x1..y2, confidence, method) of groups of two or more; members are positions in order.
 
-    The confidence is the least over all pairs of members, .5 for a pair without an edge; the method is the pairs' own if they
-    have just one, else hybrid.
+    The confidence is the least over all pairs of members, .5 for a pair without an edge; the method is the pairs' own if they have just one, else
+    hybrid, where a pair without an edge counts as geometry. Pairs without an edge are known by their number, so none are formed.
+    panel_pos is the first member's, null where regions have no panel.
     """
-    own = regions.join(components, [*KEYS, position])
-    a = components.select(*KEYS, "component", F.col(position).alias("a_pos"))
-    b = components.select(*KEYS, "component", F.col(position).alias("b_pos"))
-    pairs = a.join(b, [*KEYS, "component"]).where("a_pos < b_pos").join(edges.select(*KEYS, "a_pos", "b_pos", "confidence", "method"), [*KEYS, "a_pos", "b_pos"], "left")
-    of_pairs = pairs.groupBy(*KEYS, "component").agg(F.min(F.coalesce("confidence", F.lit(0.5))).alias("confidence"), F.count_distinct(F.coalesce("method", F.lit("geometry"))).alias("kinds"), F.min(F.coalesce("method", F.lit("geometry"))).alias("kind"))
-    boxes = own.groupBy(*KEYS, "component").agg(F.count("*").alias("members"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    return boxes.join(of_pairs, [*KEYS, "component"]).select(*KEYS, "component", "members", "x1", "y1", "x2", "y2", "confidence", F.when(F.col("kinds") == 1, F.col("kind")).otherwise("hybrid").alias("method"))
+    panel = F.col("panel_pos") if "panel_pos" in regions.columns else F.lit(None).cast("int").alias("panel_pos")
+    own = regions.select(*KEYS, position, "x1", "y1", "x2", "y2", panel).join(components, [*KEYS, position])
+    inside = edges.select(*KEYS, F.col("a_pos").alias(position), "confidence", "method").join(components, [*KEYS, position])
+    of_pairs = inside.groupBy(*KEYS, "component").agg(F.count("*").alias("known"), F.min(F.coalesce("confidence", F.lit(0.5))).alias("least"), F.collect_set(F.coalesce("method", F.lit("geometry"))).alias("kinds"))
+    boxes = own.groupBy(*KEYS, "component").agg(
+        F.array_sort(F.collect_list(position)).alias("members"), F.min_by("panel_pos", position).alias("panel_pos"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
+    )
+    n = F.size("members").cast("long")
+    missing = n * (n - 1) / 2 > F.col("known")
+    kinds = F.when(missing, F.array_union("kinds", F.array(F.lit("geometry")))).otherwise(F.col("kinds"))
+    return boxes.where(F.size("members") > 1).join(of_pairs, [*KEYS, "component"]).select(
+        *KEYS, "component", "members", "panel_pos", "x1", "y1", "x2", "y2", F.when(missing, F.least("least", F.lit(0.5))).otherwise(F.col("least")).alias("confidence"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("hybrid").alias("method")
+    )
 
 
 def singleton_groups(assigned: DataFrame, grouped: DataFrame, weak: DataFrame, position: str = "region_pos") -> DataFrame:
@@ -71,9 +97,12 @@ def singleton_groups(assigned: DataFrame, grouped: DataFrame, weak: DataFrame, p
 
 
 def materialize_balloons(groups: DataFrame) -> DataFrame:
-    """+ balloon_id by place on the page: balloon-geometry-<page>-<ordinal from 1>. groups: x1..y2, members, component."""
-    by = Window.partitionBy(*KEYS).orderBy("y1", "x1", "y2", "x2", "component")
-    return groups.where("members > 0").withColumn("balloon_id", F.format_string("balloon-geometry-%d-%04d", "page_index", F.row_number().over(by)))
+    """+ balloon_id of groups (keys, x1..y2, members and, where a proposal has named them, balloon_id): the proposal's own, else
+    balloon-geometry-<page>-<ordinal>. The ordinal counts all groups of the page that have members, named or not, from 1, by y1, x1, y2, x2, members."""
+    by = Window.partitionBy(*KEYS).orderBy("y1", "x1", "y2", "x2", "members")
+    made = F.format_string("balloon-geometry-%d-%04d", "page_index", F.row_number().over(by))
+    named = F.col("balloon_id").cast("string") if "balloon_id" in groups.columns else F.lit(None).cast("string")
+    return groups.where(F.size("members") > 0).withColumn("balloon_id", F.coalesce(named, made))
 
 
 def grouping_decisions(regions: DataFrame, panels: DataFrame, proposals: DataFrame, pages: DataFrame, weak: DataFrame, position: str = "region_pos") -> DataFrame:
@@ -102,36 +131,76 @@ def grouping_decisions(regions: DataFrame, panels: DataFrame, proposals: DataFra
     return decided.select(*own, status.alias("status"), "reason")
 
 
-def apply_visual_groupings(proposals: DataFrame, regions: DataFrame, least: float = 0.65) -> DataFrame:
-    """(keys, proposal_pos, accepted, target, members): which outside proposals to group regions are taken, in order.
+def apply_visual_groupings(proposals: DataFrame, regions: DataFrame, groups: DataFrame, least: float = 0.65) -> tuple[DataFrame, DataFrame]:
+    """(decisions, groups) after outside proposals to group regions were taken in or turned down, one after the other.
 
-    proposals: keys, proposal_pos, confidence, target (a balloon or null), members (array of region positions). regions: keys, region_pos,
-    status, panel_pos, targets (balloons that may own it). All members must be ambiguous and unused by an accepted proposal before; a
-    target must be open to each of them; without one it takes two members or more of exactly one panel. What was accepted decides on
-    the next, so the proposals of a page are folded in one place.
+    proposals: keys, proposal_pos, confidence, target (a balloon_id or null), members (positions). regions: keys, region_pos, x1..y2, status, panel_pos, targets
+    (balloon ids that may own it). groups: keys, group_pos, balloon_id (or null), panel_pos, x1..y2, confidence, method, members.
+    A proposal needs the least confidence, and members that are all ambiguous and not yet taken. A target must be a group of the page that is open to
+    each member and lies in no other panel than theirs; it gets the members that it lacks, their boxes, the proposal's confidence, and
+    their panel if it has none. Without a target, two members or more in exactly one panel become a group, method visual_fallback, after the others.
+    decisions: keys, proposal_pos, accepted, target, members (each once). What was taken decides on the next, so a page is walked through in one task;
+    pages without proposals are left as they are.
     """
-    import pandas as pd
-
-    def fold(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        by_pos = {r.region_pos: r for r in known.itertuples(index=False)}
-        used: set = set()
-        out = []
-        for p in asked.sort_values("proposal_pos").itertuples(index=False):
-            members = [int(m) for m in p.members]
-            rows = [by_pos.get(m) for m in members]
-            free = bool(rows) and all(r is not None and r.status == "ambiguous" for r in rows) and not used & set(members)
-            target = None if pd.isna(p.target) else int(p.target)
-            if target is not None:
-                fits = free and all(target in list(r.targets) for r in rows)
+    import pyarrow as pa
+
+    box = ["x1", "y1", "x2", "y2"]
+    names = [*KEYS, "kind", "pos", "accepted", "balloon_id", "panel_pos", *box, "confidence", "method", "members"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), *[pa.float64()] * 5, pa.string(), pa.list_(pa.int32())]
+    empty = dict.fromkeys(names)
+
+    def union(boxes: list[dict]) -> dict:
+        return {c: f(r[c] for r in boxes) for f, c in ((min, "x1"), (min, "y1"), (max, "x2"), (max, "y2"))}
+
+    def walk_page(asked: list[dict], spots: dict[int, dict], held: list[dict]) -> list[dict]:
+        taken: set = set()
+        out, following = [], max((g["pos"] for g in held), default=-1) + 1
+        for p in sorted(asked, key=lambda p: p["proposal_pos"]):
+            members = list(dict.fromkeys(p["members"] or []))
+            rows, target = [spots.get(m) for m in members], p["target"]
+            fits = bool(rows) and p["confidence"] is not None and p["confidence"] >= least and all(r is not None and r["status"] == "ambiguous" for r in rows) and not taken & set(members)
+            panels = {r["panel_pos"] for r in rows} - {None} if fits else set()
+            if fits and target is not None:
+                group = next((g for g in held if g["balloon_id"] == target), None)
+                fits = group is not None and all(target in (r["targets"] or []) for r in rows) and (group["panel_pos"] is None or not panels or panels == {group["panel_pos"]})
+                if fits:
+                    own = group["panel_pos"] if group["panel_pos"] is not None or len(panels) != 1 else next(iter(panels))
+                    group.update(union([group, *rows]), panel_pos=own, members=list(dict.fromkeys((group["members"] or []) + members)), confidence=p["confidence"])
+            elif fits:
+                fits = len(members) >= 2 and len(panels) == 1
+                if fits:
+                    held.append({**empty, **union(rows), "kind": 1, "pos": following, "panel_pos": next(iter(panels)), "confidence": p["confidence"], "method": "visual_fallback", "members": members})
+                    following += 1
+            taken |= set(members) if fits else set()
+            out.append({**empty, "kind": 0, "pos": p["proposal_pos"], "accepted": fits, "balloon_id": target, "members": members})
+        return out + held
+
+    def walk(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """All pages of a task, each on its own."""
+        pages: dict = {}
+        for p in asked.to_pylist():
+            pages.setdefault((p["sequence_id"], p["page_index"]), ([], {}, []))[0].append(p)
+        for r in known.to_pylist():
+            _, spots, held = pages[r["sequence_id"], r["page_index"]]
+            if r["kind"] == 0:
+                spots[r["pos"]] = r
             else:
-                fits = free and len(rows) >= 2 and len({r.panel_pos for r in rows}) == 1 and not pd.isna(rows[0].panel_pos)
-            accepted = bool(fits and p.confidence >= least)
-            used |= set(members) if accepted else set()
-            out.append((*key, p.proposal_pos, accepted, target, members))
-        return pd.DataFrame(out, columns=["sequence_id", "page_index", "proposal_pos", "accepted", "target", "members"])
-
-    # Named anew: both may come from one table.
-    grouped = proposals.select(*[F.col(c).alias(c) for c in (*KEYS, "proposal_pos", "confidence", "target", "members")]).groupBy(*KEYS)
-    beside = regions.select(*[F.col(c).alias(c) for c in (*KEYS, "region_pos", "status", "panel_pos", "targets")]).groupBy(*KEYS)
-    found = grouped.cogroup(beside).applyInPandas(fold, "sequence_id long, page_index int, proposal_pos int, accepted boolean, target int, members array<int>")
-    return found.where("proposal_pos IS NOT NULL")
+                held.append({**empty, **{c: r[c] for c in names if c in r}})
+        out = []
+        for key, (of_page, spots, held) in pages.items():
+            out += [{**r, **dict(zip(KEYS, key, strict=True))} for r in walk_page(of_page, spots, sorted(held, key=lambda g: g["pos"]))]
+        return pa.table({c: pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=True)})
+
+    places = [*box, "panel_pos"]
+    spots = regions.select(*KEYS, F.lit(0).alias("kind"), F.col("region_pos").cast("int").alias("pos"), *places, "status", F.col("targets").cast("array<string>").alias("targets"), F.lit(None).cast("string").alias("balloon_id"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("array<int>").alias("members"))
+    named = groups.select(*KEYS, F.lit(1).alias("kind"), F.col("group_pos").cast("int").alias("pos"), *places, F.lit(None).cast("string").alias("status"), F.lit(None).cast("array<string>").alias("targets"), F.col("balloon_id").cast("string").alias("balloon_id"), F.col("confidence").cast("double").alias("confidence"), "method", F.col("members").cast("array<int>").alias("members"))
+    asked = cut(proposals.select(*KEYS, F.col("proposal_pos").cast("int").alias("proposal_pos"), F.col("confidence").cast("double").alias("confidence"), F.col("target").cast("string").alias("target"), F.col("members").cast("array<int>").alias("members")))
+    pages = asked.select(*KEYS).distinct()
+    known = spots.unionByName(named).join(pages, KEYS, "left_semi")
+    schema = "sequence_id long, page_index int, kind int, pos int, accepted boolean, balloon_id string, panel_pos int, x1 double, y1 double, x2 double, y2 double, confidence double, method string, members array<int>"
+    task = F.pmod(F.xxhash64(*KEYS), F.lit(max(1, asked.count() // TASK_PROPOSALS))).alias("_task")
+    walked = cut(asked.groupBy(task).cogroup(known.groupBy(task)).applyInArrow(walk, schema))
+    decisions = walked.where("kind = 0").select(*KEYS, F.col("pos").alias("proposal_pos"), "accepted", F.col("balloon_id").alias("target"), "members")
+    columns = [*KEYS, F.col("pos").alias("group_pos"), "balloon_id", "panel_pos", *box, "confidence", "method", "members"]
+    rest = named.join(pages, KEYS, "left_anti").select(*columns)
+    return decisions, walked.where("kind = 1").select(*columns).unionByName(rest)

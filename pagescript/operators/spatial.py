@@ -1,10 +1,14 @@
-"""Spatial joins: every one is an equi-join on the page with a condition on boxes, then a window that picks the best."""
+"""Spatial joins: every one is an equi-join on the page with a condition on boxes, then a window that picks the best.
+
+Pages of very many boxes are laid out in a grid: boxes meet in the cells that they share, once, so only neighbours are compared.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import broadcast_if_small, cut
 from .boxes import KEYS, area, center_x, center_y, contains, height, intersection, iou, is_valid, overlap_x, overlap_y, width
 
 
@@ -13,6 +17,56 @@ def on_page(a: DataFrame, b: DataFrame, condition: Column | None = None, how: st
     return a.alias("a").join(b.alias("b"), on if condition is None else on & condition, how)
 
 
+#: Boxes on a page, of either table, from which on it is laid out in a grid.
+DENSE = 512
+
+
+def dense_pages(a: DataFrame, b: DataFrame, reach: Column | float = 0.0) -> DataFrame:
+    """(keys, cell_w, cell_h) of pages with more than DENSE boxes in both tables: cells of a mean box, but no more a side than the root of the number of boxes."""
+    x1, y1, x2, y2 = _reaching(reach)
+    one = lambda df: df.where(is_valid()).groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum(x2 - x1).alias("w"), F.sum(y2 - y1).alias("h"), F.min(x1).alias("l"), F.min(y1).alias("t"), F.max(x2).alias("r"), F.max(y2).alias("o")).where(F.col("n") > DENSE)
+    both = one(a) if a is b else one(a).unionByName(one(b))
+    of_page = both.groupBy(*KEYS).agg(F.count("*").alias("tables"), *[F.sum(c).alias(c) for c in "nwh"], *[F.min(c).alias(c) for c in "lt"], *[F.max(c).alias(c) for c in "ro"])
+    side = lambda total, span: F.greatest(total / F.col("n"), span / F.sqrt("n"), F.lit(1e-9))
+    return of_page.where(F.col("tables") == (1 if a is b else 2)).select(*KEYS, side(F.col("w"), F.col("r") - F.col("l")).alias("cell_w"), side(F.col("h"), F.col("o") - F.col("t")).alias("cell_h"))
+
+
+def _reaching(reach: Column | float) -> list[Column]:
+    far = reach if isinstance(reach, Column) else F.lit(float(reach))
+    return [F.col("x1") - far, F.col("y1") - far, F.col("x2") + far, F.col("y2") + far]
+
+
+def _in_cells(boxes: DataFrame, dense: DataFrame, reach: Column | float) -> DataFrame:
+    """A row per cell that a box reaches, with the first cell of the box."""
+    x1, y1, x2, y2 = _reaching(reach)
+    low = {"_fx": F.floor(F.least(x1, x2) / F.col("cell_w")), "_fy": F.floor(F.least(y1, y2) / F.col("cell_h"))}
+    laid = boxes.where("x1 + y1 + x2 + y2 IS NOT NULL").join(broadcast_if_small(dense), KEYS).withColumns(low)
+    across = F.sequence("_fx", F.floor(F.greatest(x1, x2) / F.col("cell_w")))
+    down = F.sequence("_fy", F.floor(F.greatest(y1, y2) / F.col("cell_h")))
+    return laid.withColumn("_x", F.explode(across)).withColumn("_y", F.explode(down)).drop("cell_w", "cell_h")
+
+
+def near_on_page(a: DataFrame, b: DataFrame, columns: list[Column], condition: Column | None = None, keep_a: bool = False, reach: Column | float = 0.0) -> DataFrame:
+    """columns of the pairs of boxes of a page that meet the condition; with keep_a also of rows of a with an empty b.
+
+    On pages of more than DENSE boxes pairs whose boxes, each widened by its reach, do not touch are not looked at, so the condition must fail
+    for them or the row not matter. There, keep_a gives every row of a once more with an empty b; elsewhere only those without a pair. reach is an
+    expression of a box's own columns.
+    """
+    dense = cut(dense_pages(a, b, reach))
+    how = "left" if keep_a else "inner"
+    if dense.isEmpty():
+        return on_page(a, b, condition, how).select(*columns)
+    pages = broadcast_if_small(dense.select(*KEYS))
+    plain = on_page(a.join(pages, KEYS, "left_anti"), b.join(pages, KEYS, "left_anti"), condition, how).select(*columns)
+    cell = (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y"))
+    first = (F.col("a._x") == F.greatest("a._fx", "b._fx")) & (F.col("a._y") == F.greatest("a._fy", "b._fy"))
+    laid = on_page(_in_cells(a, dense, reach), _in_cells(b, dense, reach), cell & first if condition is None else cell & first & condition).select(*columns)
+    if keep_a:
+        laid = laid.unionByName(on_page(a.join(pages, KEYS, "left_semi"), b.limit(0), None, "left").select(*columns))
+    return plain.unionByName(laid)
+
+
 def _coverage(inner: str, outer: str) -> Column:
     """Share of the inner box's area."""
     return F.when(area(inner) > 0, intersection(inner, outer) / area(inner)).otherwise(0.0)
@@ -34,7 +88,8 @@ def assign_panels(regions: DataFrame, panels: DataFrame, position: str = "region
     marked = regions.withColumn("_good", F.coalesce(is_valid(), F.lit(False)))
     cover = F.when(F.col("a._good"), _if_found("panel_pos", _coverage("a", "b"))).otherwise(0.0)
     inside = F.col("a._good") & F.coalesce(contains("b", "a"), F.lit(False))
-    joined = on_page(marked, panels, how="left").select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), inside.alias("inside"), area("b").alias("panel_area"), from_model.alias("from_model"), cover.alias("cover"))
+    columns = [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), inside.alias("inside"), area("b").alias("panel_area"), from_model.alias("from_model"), cover.alias("cover")]
+    joined = near_on_page(marked, panels, columns, keep_a=True)
     own = [*KEYS, position]
     summary = joined.groupBy(*own).agg(
         F.min(F.when(F.col("inside"), F.struct("panel_area", "panel_pos", "from_model"))).alias("first"),
@@ -59,7 +114,7 @@ def assign_regions_to_balloons(regions: DataFrame, proposals: DataFrame, positio
     proposals, the best first. Malformed regions are left out.
     """
     cover = _coverage("a", "b")
-    joined = on_page(regions.where(is_valid()), proposals, cover >= 0.25).select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.proposal_pos"), cover.alias("cover"))
+    joined = near_on_page(regions.where(is_valid()), proposals, [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.proposal_pos"), cover.alias("cover")], cover >= 0.25)
     grouped = joined.groupBy(*KEYS, position).agg(F.array_sort(F.collect_list(F.struct((-F.col("cover")).alias("c"), F.col("proposal_pos").alias("p")))).alias("over"))
     best, second = -F.get("over", F.lit(0))["c"], F.coalesce(-F.get("over", F.lit(1))["c"], F.lit(0.0))
     sure = (best >= 0.5) & (best - second >= 0.15)
@@ -78,7 +133,7 @@ def reject_cross_panel_groups(members: DataFrame, group: list[str]) -> DataFrame
 def best_panel_for_balloon(balloons: DataFrame, panels: DataFrame, position: str = "pos") -> DataFrame:
     """(keys, position, panel_pos): the panel that covers most of the balloon, null below a tenth; the first of equals."""
     ratio = _coverage("a", "b")
-    joined = on_page(balloons, panels, how="left").select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), _if_found("panel_pos", ratio).alias("ratio"))
+    joined = near_on_page(balloons, panels, [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), _if_found("panel_pos", ratio).alias("ratio")], keep_a=True)
     best = joined.groupBy(*KEYS, position).agg(F.max(F.struct("ratio", (-F.col("panel_pos")).alias("p"))).alias("best"))
     return best.select(*KEYS, position, F.when(F.col("best.ratio") >= 0.1, -F.col("best.p")).alias("panel_pos"))
 
@@ -91,7 +146,7 @@ def attach_faces(bodies: DataFrame, faces: DataFrame) -> DataFrame:
     """
     cover = _coverage("b", "a")
     panel = (F.col("a.panel_pos") == F.col("b.panel_pos")) | F.col("a.panel_pos").isNull() | F.col("b.panel_pos").isNull()
-    joined = on_page(bodies, faces, panel).select(*[F.col(f"b.{k}") for k in KEYS], F.col("b.face_pos"), F.struct((-cover).alias("c"), F.col("a.body_pos").alias("p")).alias("x"))
+    joined = near_on_page(bodies, faces, [*[F.col(f"b.{k}") for k in KEYS], F.col("b.face_pos"), F.struct((-cover).alias("c"), F.col("a.body_pos").alias("p")).alias("x")], panel)
     over = joined.groupBy(*KEYS, "face_pos").agg(F.array_sort(F.collect_list("x")).alias("over"))
     best, second = -F.get("over", F.lit(0))["c"], F.coalesce(-F.get("over", F.lit(1))["c"], F.lit(0.0))
     sure = F.coalesce((best >= 0.55) & (best - second >= 0.15), F.lit(False))
@@ -137,8 +192,10 @@ def spatial_relations(regions: DataFrame, position: str = "region_pos") -> DataF
     neighbours = ((along_x >= 0.45) & (gap_y <= 0.55 * F.greatest(ha, hb))) | ((along_y >= 0.45) & (gap_x <= 0.4 * F.greatest(wa, wb)))
     confidence = F.when(over >= 0.8, 0.88).when(over >= 0.35, 0.76).when(neighbours, 0.72).when(near & ((along_x >= 0.2) | (along_y >= 0.2)), 0.40)
     inside = (over >= 0.8) & (contains("a", "b") | contains("b", "a"))
-    pairs = on_page(regions, regions, (F.col(f"a.{position}") < F.col(f"b.{position}")) & F.col("a.panel_pos").eqNullSafe(F.col("b.panel_pos")))
-    found = pairs.select(*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}").alias("a_pos"), F.col(f"b.{position}").alias("b_pos"), F.when(inside, "containment").otherwise("geometry").alias("method"), confidence.alias("confidence"))
+    columns = [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}").alias("a_pos"), F.col(f"b.{position}").alias("b_pos"), F.when(inside, "containment").otherwise("geometry").alias("method"), confidence.alias("confidence")]
+    # Gaps are bounded by shares of the larger side of one of the two.
+    reach = F.greatest(F.lit(1.6), 1.6 * (F.col("x2") - F.col("x1")), 1.6 * (F.col("y2") - F.col("y1")))
+    found = near_on_page(regions, regions, columns, (F.col(f"a.{position}") < F.col(f"b.{position}")) & F.col("a.panel_pos").eqNullSafe(F.col("b.panel_pos")), reach=reach)
     return found.where("confidence IS NOT NULL").withColumn("strength", F.when(F.col("confidence") == 0.40, "weak").otherwise("strong"))
 
 
@@ -211,21 +268,23 @@ def reconstruct_blocks(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """
     near = center_x("a").between(F.col("b.x1") - 2, F.col("b.x2") + 2) & center_y("a").between(F.col("b.y1") - 2, F.col("b.y2") + 2)
     belongs = near | (_coverage("a", "b") >= 0.5)
-    rows = on_page(predictions, truths, belongs).select(*[F.col(f"b.{k}") for k in KEYS], F.col("b.gt_pos"), F.struct(F.col("a.y1"), F.col("a.x1"), F.col("a.region_pos"), F.col("a.text")).alias("t"), F.col("a.confidence"))
+    columns = [*[F.col(f"b.{k}") for k in KEYS], F.col("b.gt_pos"), F.struct(F.col("a.y1"), F.col("a.x1"), F.col("a.region_pos"), F.col("a.text")).alias("t"), F.col("a.confidence")]
+    rows = near_on_page(predictions, truths, columns, belongs, reach=2.0)
     return rows.groupBy(*KEYS, "gt_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), " ").alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("members"))
 
 
 def story_membership(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """(keys, inside, outside): predictions with their center in any true box of the page, and the others."""
     hit = center_x("a").between(F.col("b.x1"), F.col("b.x2")) & center_y("a").between(F.col("b.y1"), F.col("b.y2"))
-    inside = on_page(predictions, truths, hit, "left_semi").groupBy(*KEYS).agg(F.count("*").alias("inside"))
+    numbered = cut(predictions.withColumn("_row", F.monotonically_increasing_id()))
+    inside = near_on_page(numbered, truths, [*[F.col(f"a.{k}") for k in KEYS], F.col("a._row")], hit).distinct().groupBy(*KEYS).agg(F.count("*").alias("inside"))
     everything = predictions.groupBy(*KEYS).agg(F.count("*").alias("n"))
     return everything.join(inside, KEYS, "left").select(*KEYS, F.coalesce("inside", F.lit(0)).alias("inside"), (F.col("n") - F.coalesce("inside", F.lit(0))).alias("outside"))
 
 
 def match_truth_to_balloons(truths: DataFrame, balloons: DataFrame, least: float = 0.05) -> DataFrame:
     """(keys, gt_pos, pos, iou, coverage_failure): the balloon of largest IoU, the first of equals, if it is above least."""
-    joined = on_page(truths, balloons, how="left").select(*[F.col(f"a.{k}") for k in KEYS], F.col("a.gt_pos"), F.col("b.pos"), _if_found("pos", iou("a", "b")).alias("iou"))
+    joined = near_on_page(truths, balloons, [*[F.col(f"a.{k}") for k in KEYS], F.col("a.gt_pos"), F.col("b.pos"), _if_found("pos", iou("a", "b")).alias("iou")], keep_a=True)
     best = joined.groupBy(*KEYS, "gt_pos").agg(F.max(F.struct("iou", (-F.col("pos")).alias("p"))).alias("m"))
     hit = F.col("m.iou") > least
     return best.select(*KEYS, "gt_pos", F.when(hit, -F.col("m.p")).alias("pos"), F.col("m.iou").alias("iou"), (~hit).alias("coverage_failure"))

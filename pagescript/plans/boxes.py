@@ -344,7 +344,18 @@ def l3_components(spark, sf_dir):
     return layout.group_components(regions, relations.where("strength = 'strong'"))
 
 
-@query()
+_L4 = f"""WITH RECURSIVE rel AS ({_J7}), e AS (SELECT sequence_id, page_index, a_pos AS u, b_pos AS v FROM rel WHERE strength = 'strong' UNION ALL SELECT sequence_id, page_index, b_pos, a_pos FROM rel WHERE strength = 'strong'),
+  t AS (SELECT sequence_id, page_index, region_pos AS u, region_pos AS v FROM fx_regions UNION SELECT t.sequence_id, t.page_index, t.u, e.v FROM t JOIN e ON t.sequence_id = e.sequence_id AND t.page_index = e.page_index AND t.v = e.u),
+  c AS (SELECT sequence_id, page_index, u AS region_pos, min(v) AS component FROM t GROUP BY ALL),
+  m AS (SELECT c.*, r.* EXCLUDE (sequence_id, page_index, region_pos) FROM c JOIN fx_regions r USING (sequence_id, page_index, region_pos)),
+  p AS (SELECT a.sequence_id, a.page_index, a.component, min(coalesce(s.confidence, 0.5e0)) AS confidence, count(DISTINCT coalesce(s.method, 'geometry')) AS kinds, min(coalesce(s.method, 'geometry')) AS kind
+    FROM m a JOIN m b ON a.sequence_id = b.sequence_id AND a.page_index = b.page_index AND a.component = b.component AND a.region_pos < b.region_pos
+    LEFT JOIN (SELECT * FROM rel WHERE strength = 'strong') s ON s.sequence_id = a.sequence_id AND s.page_index = a.page_index AND s.a_pos = a.region_pos AND s.b_pos = b.region_pos GROUP BY ALL),
+  g AS (SELECT sequence_id, page_index, component, list(region_pos ORDER BY region_pos) AS members, CAST(floor(arg_min(x1, region_pos) / 600) AS INT) AS panel_pos, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM m GROUP BY ALL HAVING count(*) > 1)
+  SELECT g.*, p.confidence, CASE WHEN kinds = 1 THEN kind ELSE 'hybrid' END AS method, printf('balloon-geometry-%d-%04d', g.page_index, row_number() OVER (PARTITION BY g.sequence_id, g.page_index ORDER BY y1, x1, y2, x2, members)) AS balloon_id FROM g JOIN p USING (sequence_id, page_index, component)"""
+
+
+@query(f"SELECT * FROM ({_L4})", "fx_regions")
 def l4_geometry_groups(spark, sf_dir):
     regions, relations = _relations(spark, sf_dir)
     strong = relations.where("strength = 'strong'")
@@ -499,15 +510,28 @@ def d2_conflicting_candidates(spark, sf_dir):
     return conflicts.select("region_id", "candidate_id").distinct()
 
 
-@query()
-def l6_visual_groupings(spark, sf_dir):
+def _visual(spark, sf_dir):
+    """Every ambiguous region is proposed with the next one, for the first balloon of the page or for none; balloons are the groups."""
     regions, panels, balloons = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_balloons")
-    known = spatial.assign_regions_to_balloons(regions, balloons).select(*K, "region_pos", "status")
+    assigned = spatial.assign_regions_to_balloons(regions, balloons)
+    known = assigned.select(*K, "region_pos", "status", F.transform("candidates", lambda c: F.concat(F.lit("b"), c.cast("string"))).alias("targets"))
     placed = spatial.assign_panels(regions, panels).select(*K, "region_pos", "panel_pos")
-    near = balloons.select(*K, "proposal_pos").groupBy(*K).agg(F.collect_list(F.col("proposal_pos").cast("int")).alias("targets"))
-    rows = regions.select(*K, "region_pos", "confidence", "k").join(known, [*K, "region_pos"]).join(placed, [*K, "region_pos"]).join(near, K)
-    asked = rows.where("status = 'ambiguous'").select(*K, F.col("region_pos").alias("proposal_pos"), F.lit(0.7).alias("confidence"), F.when(F.col("k") % 2 == 0, F.col("targets")[0]).alias("target"), F.array("region_pos", (F.col("region_pos") + 1).cast("int")).alias("members"))
-    return layout.apply_visual_groupings(asked, rows)
+    rows = regions.select(*K, "region_pos", "x1", "y1", "x2", "y2", "k").join(known, [*K, "region_pos"]).join(placed, [*K, "region_pos"])
+    owned = assigned.where("status = 'assigned'").groupBy(*K, "proposal_pos").agg(F.array_sort(F.collect_list("region_pos")).alias("members"))
+    homes = spatial.best_panel_for_balloon(balloons.withColumn("pos", F.col("proposal_pos")), panels).withColumnRenamed("pos", "proposal_pos")
+    groups = balloons.join(owned, [*K, "proposal_pos"], "left").join(homes, [*K, "proposal_pos"], "left").select(*K, F.col("proposal_pos").alias("group_pos"), F.concat(F.lit("b"), F.col("proposal_pos").cast("string")).alias("balloon_id"), "panel_pos", "x1", "y1", "x2", "y2", F.lit(0.9).alias("confidence"), F.lit("layout_model").alias("method"), F.coalesce("members", F.array().cast("array<int>")).alias("members"))
+    asked = rows.where("status = 'ambiguous'").select(*K, F.col("region_pos").alias("proposal_pos"), F.lit(0.7).alias("confidence"), F.when(F.col("k") % 3 > 0, F.get("targets", F.lit(0))).alias("target"), F.when(F.col("k") % 3 == 1, F.array("region_pos")).otherwise(F.array("region_pos", (F.col("region_pos") + 1).cast("int"))).alias("members"))
+    return layout.apply_visual_groupings(asked, rows, groups)
+
+
+@query()
+def l6_visual_groupings(spark, sf_dir):
+    return _visual(spark, sf_dir)[0]
+
+
+@query()
+def l7_materialize_balloons(spark, sf_dir):
+    return layout.materialize_balloons(_visual(spark, sf_dir)[1]).drop("group_pos")
 
 
 @query()

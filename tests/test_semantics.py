@@ -85,7 +85,7 @@ def test_missing_pair_edge_counts_half(spark):
     regions = spark.createDataFrame(rows, BOX).withColumnRenamed("pos", "region_pos")
     edges = spark.createDataFrame([(1, 0, 0, 1, 0.88, "geometry"), (1, 0, 1, 2, 0.76, "containment")], "sequence_id long, page_index int, a_pos int, b_pos int, confidence double, method string")
     group = layout.geometry_groups(regions, layout.group_components(regions, edges), edges).first()
-    assert (group.members, group.confidence, group.method) == (3, 0.5, "hybrid")
+    assert (group.members, group.confidence, group.method) == ([0, 1, 2], 0.5, "hybrid")
 
 
 def test_components_equal_a_plain_model(spark):
@@ -342,18 +342,6 @@ def test_group_split_is_whole(spark):
     assert split.where("held_out").count() == 5
 
 
-def test_accepted_groupings_use_up_their_members(spark):
-    keys = "sequence_id long, page_index int"
-    regions = spark.createDataFrame([(1, 0, i, "ambiguous" if i < 5 else "assigned", 0 if i < 4 else 1, [7, 8] if i < 2 else [8]) for i in range(6)], f"{keys}, region_pos int, status string, panel_pos int, targets array<int>")
-    asked = [(0, 0.9, 7, [0, 1]), (1, 0.9, 8, [1, 2]), (2, 0.9, 7, [2]), (3, 0.6, None, [2, 3]), (4, 0.7, None, [2, 3]), (5, 0.9, None, [4]), (6, 0.9, 8, [5])]
-    proposals = spark.createDataFrame([(1, 0, *a) for a in asked], f"{keys}, proposal_pos int, confidence double, target int, members array<int>")
-    found = {r.proposal_pos: r.accepted for r in layout.apply_visual_groupings(proposals, regions).collect()}
-    assert found == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False}
-
-
-SF = "/root/testdata/sf0.001"
-
-
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
