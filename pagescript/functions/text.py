@@ -125,3 +125,16 @@ def match_ratio(a: Column | str, b: Column | str) -> Column:
 def fuzzy_ratio(a: Column | str, b: Column | str) -> Column:
     """100 * 2 * (longest common subsequence) / (both lengths); 100 for two empty texts."""
     return F.arrow_udf(_fuzzy_ratios, "double")(a, b)
+
+
+_SPACE = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
+def strip(text: Column) -> Column:
+    """text without white space of any kind at either end; trim() takes blanks only."""
+    return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+
+
+def blank(text: Column) -> Column:
+    """Whether there is nothing but white space of any kind; a null is blank."""
+    return F.coalesce(strip(text), F.lit("")) == ""

@@ -64,19 +64,13 @@ def fallback_adjudication(candidates: DataFrame, balloon: str = "balloon_id", re
 
 
 _CORRECTIONS = "array<struct<candidate_id:string,from_text:string,to_text:string>>"
-_MARKS = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-
-
-def _blank(text: Column) -> Column:
-    """Whether nothing but white space of any kind is there."""
-    return F.regexp_replace(text, f"[{_MARKS}]+", "") == ""
 
 
 def parsed_answers(raw: DataFrame, answer: str = "payload") -> DataFrame:
     """raw with `_v`, the answer as a variant (null if it is no JSON), taken out of a code fence."""
-    bare = F.regexp_replace(F.regexp_replace(F.col(answer), f"^[{_MARKS}]+|[{_MARKS}]+$", ""), rf"(?i)^```(?:json)?[{_MARKS}]*|[{_MARKS}]*```$", "")
-    fenced = F.regexp_replace(F.col(answer), f"^[{_MARKS}]+", "").startswith("```")
-    return raw.withColumn("_v", F.try_parse_json(F.when(fenced, bare).otherwise(F.col(answer))))
+    bare = T.strip(F.col(answer))
+    inner = T.strip(F.regexp_replace(bare, "(?i)^```(?:json)?|```$", ""))
+    return raw.withColumn("_v", F.try_parse_json(F.when(bare.startswith("```"), inner).otherwise(bare)))
 
 
 def validate_adjudications(raw: DataFrame, candidates: DataFrame, key: str = "balloon_id", strict_types: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +105,7 @@ def validate_adjudications(raw: DataFrame, candidates: DataFrame, key: str = "ba
     useless = (
         F.when(F.col("_failed"), "backend_failure").when(F.col("_v").isNull(), "malformed_json").when(~F.col("_kind").startswith("OBJECT"), "invalid_response_type")
         .when(F.col("_own_error").isNotNull() & ~F.col("_own_error").isin("VOID"), "malformed_json").when(F.col("_text_kind").isNotNull() & (F.col("_text_kind") != "STRING"), "invalid_final_text")
-        .when(F.col("include_in_story") & _blank(F.col("final_text")), "invalid_adjudication_result")
+        .when(F.col("include_in_story") & T.blank(F.col("final_text")), "invalid_adjudication_result")
     )
     judged = read.withColumns({"_useless": useless, "_good_number": F.coalesce(sound, F.lit(False)), "_good_type": F.coalesce(known_type, F.lit(False)), "_row": F.monotonically_increasing_id()})
     judged = cut(judged.drop("_v"))  # parsed once for both results, and rows keep their numbers

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Types that are told, not said.
 NARRATION = ["narration", "thought", "sound_effect", "sign", "title", "metadata", "document_text", "vocalisation"]
 BALLOON = ["sequence_id", "page_index", "balloon_pos"]
@@ -15,36 +19,83 @@ def normalize_labels(label: Column) -> Column:
     return F.when(label.rlike("^[A-Z]+$"), F.concat(F.lit("Character "), label)).otherwise(label)
 
 
-def resolve_sequence(order: DataFrame, adjudications: DataFrame, speakers: DataFrame, identity: DataFrame) -> DataFrame:
-    """Every ordered balloon with its text, speaker and state, and the codes of what is wrong with it.
+#: Codes of resolve_sequence and consistency_checks with their severity. Fixed values.
+SEVERITY = {
+    "balloon_not_in_any_page": "error", "missing_adjudication_result": "error", "page_index_mismatch": "warning", "no_speaker_resolved": "warning", "invalid_speaker_character_reference": "error",
+    "no_identity_result": "warning", "speaker_identity_unresolved": "warning", "speaker_identity_label_missing": "error", "speaker_identity_ambiguous": "warning",
+    "identity_label_conflict": "error", "same_page_identity_collapse": "error", "excluded_balloon_in_story": "error", "page_order_violation": "error", "duplicate_balloon_in_sequence": "error", "identity_references_unknown_character": "error",
+}
+
+
+class Resolution(NamedTuple):
+    """Balloons of the story, balloons that are left out of it, and items that cannot be told, with the codes of all."""
+
+    ordered: DataFrame
+    excluded: DataFrame
+    unresolved: DataFrame
+    diagnostics: DataFrame
+
+
+def _first(rows: DataFrame, keys: list[str], position: str, *columns: str) -> DataFrame:
+    """The first row of each key by position, as an aggregate: no key's rows are ever sorted in one place."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(position, *columns)).alias("_f")).select(*keys, *[F.col(f"_f.{c}").alias(c) for c in columns])
 
-    order: BALLOON + sequence_position; adjudications: BALLOON + adj_pos, text_type, include_in_story, final_text (the first per
-    balloon counts); speakers: BALLOON + character_id; identity: sequence_id, character_id, label, state.
+
+def resolve_sequence(order: DataFrame, balloons: DataFrame, adjudications: DataFrame, speakers: DataFrame, characters: DataFrame, identity: DataFrame) -> DataFrame:
+    """Every item of the reading order with its place, text, speaker and state, what became of it, and the codes of what is wrong with it.
+
+    order: sequence_id, balloon_id, sequence_position, page_index. balloons: sequence_id, balloon_id, page_index, panel_pos; the page is theirs,
+    whatever the order says. adjudications: sequence_id, balloon_id, adj_pos, text_type, include_in_story, final_text, and speakers: sequence_id, balloon_id,
+    decision_pos, character_id: the first of a balloon counts. characters: sequence_id, character_id. identity: sequence_id, character_id, identity_id, label,
+    state; a sequence without any row has no identity result. resolution is ordered, excluded (left out by its adjudication) or unresolved (no page
+    or no adjudication; reason says which). identity_state: null where no identity is asked for, else unmatched, ambiguous or the cluster's.
     """
-    first = adjudications.withColumn("_n", F.row_number().over(Window.partitionBy(*BALLOON).orderBy("adj_pos"))).where("_n = 1")
+    key = ["sequence_id", "balloon_id"]
+    place = _first(balloons.withColumn("_p", F.coalesce("page_index", F.lit(1 << 30))), key, "_p", "page_index", "panel_pos").withColumn("_placed", F.lit(True))
+    said = _first(adjudications, key, "adj_pos", "text_type", "include_in_story", "final_text").withColumn("_adj", F.lit(True))
+    by = _first(speakers, key, "decision_pos", "character_id")
+    people = characters.select("sequence_id", "character_id").distinct().withColumn("_person", F.lit(True))
+    named = _first(identity, ["sequence_id", "character_id"], "identity_id", "label", "state").join(identity.groupBy("sequence_id", "character_id").agg(F.min("identity_id").alias("identity_id")), ["sequence_id", "character_id"])
+    known = identity.select("sequence_id").distinct().withColumn("_identified", F.lit(True))
     joined = (
-        order.join(first.select(*BALLOON, "text_type", "include_in_story", "final_text", F.lit(True).alias("_adj")), BALLOON, "left")
-        .join(speakers.select(*BALLOON, "character_id"), BALLOON, "left")
-        .join(identity.select("sequence_id", "character_id", "label", "state"), ["sequence_id", "character_id"], "left")
-    )
-    told = F.col("text_type").isin(NARRATION)
-    speaker = F.when(told, "NARRATION").otherwise(normalize_labels(F.col("label")))
-    state = F.when(F.col("_adj").isNull(), "unresolved").when(~F.col("include_in_story"), "excluded").when(told | F.col("label").isNotNull(), "ordered").otherwise("unresolved")
-    codes = F.filter(
-        F.array(
-            F.when(F.col("_adj").isNull(), "missing_adjudication"),
-            F.when(F.col("_adj") & F.col("include_in_story") & (F.coalesce("final_text", F.lit("")) == ""), "blank_text"),
-            F.when(F.col("_adj") & ~told & F.col("character_id").isNull(), "missing_speaker"),
-            F.when(F.col("_adj") & ~told & F.col("character_id").isNotNull() & F.col("label").isNull(), "unknown_character"),
-            F.when(F.col("_adj") & ~told & (F.col("state") == "ambiguous"), "ambiguous_identity"),
-        ),
-        lambda c: c.isNotNull(),
-    )
-    return joined.select(*BALLOON, "sequence_position", "text_type", "final_text", "character_id", speaker.alias("speaker"), F.when(told, "not_applicable").otherwise(F.coalesce("state", F.lit("unknown"))).alias("identity_state"), state.alias("resolution"), codes.alias("codes"))
+        order.select(*key, "sequence_position", F.col("page_index").alias("_order_page")).join(place, key, "left").join(said, key, "left").join(by, key, "left")
+        .join(people, ["sequence_id", "character_id"], "left").join(named, ["sequence_id", "character_id"], "left").join(known, "sequence_id", "left")
+    )
+    placed, adjudicated = F.col("_placed").isNotNull(), F.col("_adj").isNotNull()
+    usable = placed & adjudicated
+    told = F.coalesce(F.col("text_type").isin(NARRATION), F.lit(False))
+    asked = usable & ~told
+    code = (
+        F.when(F.col("character_id").isNull(), "no_speaker_resolved").when(F.col("_person").isNull(), "invalid_speaker_character_reference").when(F.col("_identified").isNull(), "no_identity_result")
+        .when(F.col("identity_id").isNull(), "speaker_identity_unresolved").when(F.col("label").isNull(), "speaker_identity_label_missing").when(F.col("state") == "ambiguous", "speaker_identity_ambiguous")
+    )
+    codes = F.array_compact(F.array(F.when(~adjudicated, "missing_adjudication_result"), F.when(~placed, "balloon_not_in_any_page"), F.when(usable & ~F.col("_order_page").eqNullSafe(F.col("page_index")), "page_index_mismatch"), F.when(asked, code)))
+    named_speaker = asked & F.col("_person").isNotNull() & F.col("_identified").isNotNull()
+    include = F.coalesce("include_in_story", F.lit(False))
+    state = F.when(~named_speaker, F.lit(None)).when(F.col("identity_id").isNull(), "unmatched").when(F.col("label").isNull(), "ambiguous").otherwise(F.coalesce("state", F.lit("unmatched")))
+    return joined.select(
+        "sequence_id", "sequence_position", "page_index", "panel_pos", "balloon_id", "text_type", "include_in_story", "final_text", F.when(usable, F.col("character_id")).alias("character_id"),
+        F.when(named_speaker, F.col("identity_id")).alias("identity_id"), F.when(usable & told, "NARRATION").when(named_speaker & F.col("identity_id").isNotNull(), normalize_labels(F.col("label"))).alias("speaker"),
+        F.when(asked & F.col("_person").isNotNull() & F.col("_identified").isNull(), "unmatched").otherwise(state).alias("identity_state"),
+        F.when(~usable, "unresolved").when(include, "ordered").otherwise("excluded").alias("resolution"), F.when(~placed, "balloon_not_in_any_page").when(~adjudicated, "missing_adjudication_result").alias("reason"), codes.alias("codes"),
+    )
+
+
+def _severity(code: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])[code]
 
 
 def diagnostics(resolved: DataFrame) -> DataFrame:
-    return resolved.select(*BALLOON, F.explode("codes").alias("code"))
+    """(sequence_id, page_index, balloon_id, component, code, severity), a row per code."""
+    rows = resolved.select("sequence_id", "page_index", "balloon_id", F.lit("sequence_resolver").alias("component"), F.explode("codes").alias("code"))
+    return rows.withColumn("severity", _severity(F.col("code")))
+
+
+def split_resolution(resolved: DataFrame) -> Resolution:
+    """The three outputs and the codes of resolve_sequence(); persist resolved where several are used."""
+    part = lambda name: resolved.where(F.col("resolution") == name)
+    ends = ["reason", "codes", "resolution"]
+    return Resolution(part("ordered").drop(*ends), part("excluded").drop(*ends), part("unresolved").select("sequence_id", "sequence_position", "balloon_id", "page_index", "reason"), diagnostics(resolved))
 
 
 def identity_summary(members: DataFrame) -> DataFrame:
@@ -52,77 +103,98 @@ def identity_summary(members: DataFrame) -> DataFrame:
     return members.groupBy("sequence_id", "cluster").agg(F.sort_array(F.collect_list("character_id")).alias("members"), F.sort_array(F.collect_set("page_index")).alias("pages"))
 
 
-def consistency_checks(resolved: DataFrame, members: DataFrame) -> DataFrame:
-    """(sequence_id, rule, n): labels per identity, characters of one page in a cluster, excluded rows, page order, repeats, unknown characters."""
-    along = Window.partitionBy("sequence_id").orderBy("sequence_position")
-    found = [
-        members.groupBy("sequence_id", "cluster", "page_index").count().where("count > 1").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("same_page_members")),
-        resolved.where("character_id IS NOT NULL AND speaker IS NOT NULL AND speaker <> 'NARRATION'").groupBy("sequence_id", "character_id").agg(F.countDistinct("speaker").alias("k")).where("k > 1").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("several_labels")),
-        resolved.withColumn("_prev", F.lag("page_index").over(along)).where("page_index < _prev").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("page_order")),
-        resolved.groupBy(*BALLOON).count().where("count > 1").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("repeated_balloon")),
-        resolved.where("resolution = 'excluded'").groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("excluded_in_story")),
-        resolved.where(F.array_contains("codes", "unknown_character")).groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("unknown_character")),
+def _rows(parts: list[DataFrame], columns: dict[str, str]) -> DataFrame:
+    """The union of parts, each with all columns; those that a part does not have are null."""
+    out = None
+    for part in parts:
+        whole = part.select(*[F.col(c).cast(t).alias(c) if c in part.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+        out = whole if out is None else out.unionByName(whole)
+    return out
+
+
+def _several_labels(ordered: DataFrame) -> DataFrame:
+    named = ordered.where("identity_id IS NOT NULL AND speaker IS NOT NULL")
+    return named.groupBy("sequence_id", "identity_id").agg(F.countDistinct("speaker").alias("n")).where("n > 1")
+
+
+def _again(ordered: DataFrame) -> DataFrame:
+    """Balloons of the story after their first time."""
+    along = Window.partitionBy("sequence_id", "balloon_id").orderBy("sequence_position")
+    return ordered.withColumn("_n", F.row_number().over(along)).where("_n > 1")
+
+
+def _back(ordered: DataFrame) -> DataFrame:
+    """Balloons of the story whose page is before that of the balloon before them."""
+    along = Window.partitionBy("sequence_id").orderBy("sequence_position", "balloon_id")
+    return ordered.withColumn("_prev", F.lag("page_index").over(along)).where("page_index < _prev")
+
+
+def consistency_checks(ordered: DataFrame, identity: DataFrame, characters: DataFrame) -> DataFrame:
+    """(sequence_id, code, severity, page_index, balloon_id, identity_id, character_id) of what contradicts itself.
+
+    ordered: the story's balloons, as split_resolution() gives them; those that are left out are none of them. identity: sequence_id, character_id,
+    identity_id; characters: sequence_id, page_index, character_id. One row per identity with several labels, per page and identity with several
+    characters there, per balloon that is out of the story, on an earlier page than the one before or there again, and per character
+    that has an identity but is not there.
+    """
+    one = identity.select("sequence_id", "character_id", "identity_id").distinct()
+    there = characters.select("sequence_id", "page_index", "character_id").distinct()
+    parts = [
+        _several_labels(ordered).withColumn("code", F.lit("identity_label_conflict")),
+        there.join(one, ["sequence_id", "character_id"]).groupBy("sequence_id", "page_index", "identity_id").agg(F.countDistinct("character_id").alias("n")).where("n > 1").withColumn("code", F.lit("same_page_identity_collapse")),
+        ordered.where(~F.coalesce("include_in_story", F.lit(False))).select("sequence_id", "balloon_id").withColumn("code", F.lit("excluded_balloon_in_story")),
+        _back(ordered).select("sequence_id", "balloon_id", "page_index").withColumn("code", F.lit("page_order_violation")),
+        _again(ordered).select("sequence_id", "balloon_id").withColumn("code", F.lit("duplicate_balloon_in_sequence")),
+        one.where("identity_id IS NOT NULL").join(there, ["sequence_id", "character_id"], "left_anti").select("sequence_id", "character_id").withColumn("code", F.lit("identity_references_unknown_character")),
     ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select("sequence_id", "rule", "n")
+    types = {c: dict(df.dtypes)[c] for df, c in ((ordered, "sequence_id"), (ordered, "page_index"), (ordered, "balloon_id"), (identity, "identity_id"), (identity, "character_id"))}
+    found = _rows(parts, {"sequence_id": types["sequence_id"], "code": "string", **{c: types[c] for c in ("page_index", "balloon_id", "identity_id", "character_id")}})
+    return found.withColumn("severity", _severity(F.col("code")))
 
 
-def validate_resolution(resolved: DataFrame, characters: DataFrame | None = None, identities: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
-    """(sequence_id, page_index, balloon_pos, rule) of all violations; rules on whole sequences have no page and balloon.
+def validate_resolution(ordered: DataFrame, excluded: DataFrame, characters: DataFrame, identities: DataFrame, expected: DataFrame) -> DataFrame:
+    """(sequence_id, rule, page_index, balloon_id, identity_id, label) of all violations; what a rule does not speak of is null.
 
-    Of every balloon: page in range, in rising order, balloon not repeated, not excluded, with an id, text, and a speaker if it is ordered. With
-    characters (sequence_id, character_id) the speaker must be one of them; with identities (sequence_id, character_id, identity_id,
-    label) its label must be one of them, an identity has one label and a label one identity; with expected (sequence_id) no other sequence may be there.
+    ordered and excluded as split_resolution() gives them; only the range of pages is asked of balloons that are left out. characters: sequence_id, character_id;
+    identities: sequence_id, identity_id, label; expected: sequence_id. Rules on rows of the story are judged in one pass; the others are one aggregate
+    or anti-join each.
     """
-    along = Window.partitionBy("sequence_id").orderBy("sequence_position", "page_index", "balloon_pos")
-    checked = resolved.withColumns({"_prev": F.lag("page_index").over(along), "_times": F.count("*").over(Window.partitionBy(*BALLOON)), "_labels": F.lit(None).cast("array<string>"), "_known": F.lit(True)})
-    if identities is not None:
-        labels = identities.groupBy("sequence_id").agg(F.collect_set(normalize_labels(F.col("label"))).alias("_l"))
-        checked = checked.join(labels, "sequence_id", "left").withColumn("_labels", F.concat(F.coalesce("_l", F.array().cast("array<string>")), F.array(F.lit("NARRATION")))).drop("_l")
-    if characters is not None:
-        known = characters.select("sequence_id", "character_id").distinct().withColumn("_c", F.lit(True))
-        checked = checked.drop("_known").join(known, ["sequence_id", "character_id"], "left").withColumn("_known", F.col("character_id").isNull() | F.col("_c").isNotNull())
+    labels = identities.select("sequence_id", normalize_labels(F.col("label")).alias("speaker")).distinct().withColumn("_label", F.lit(True))
+    people = characters.select("sequence_id", "character_id").distinct().withColumn("_person", F.lit(True))
     in_range = F.coalesce(F.col("page_index").between(0, 2), F.lit(False))
-    rules = F.filter(
-        F.array(
-            F.when(~in_range, "page_range"),
-            F.when(F.col("page_index") < F.col("_prev"), "page_order"),
-            F.when(F.col("_times") > 1, "repeated_balloon"),
-            F.when(F.col("resolution") == "excluded", "excluded_in_story"),
-            F.when(F.col("balloon_pos").isNull(), "source_id_missing"),
-            F.when(F.trim(F.coalesce("final_text", F.lit(""))) == "", "text_missing"),
-            F.when((F.col("resolution") == "ordered") & F.col("speaker").isNull(), "speaker_missing"),
-            F.when(~F.col("_known"), "unknown_character"),
-            F.when(F.col("speaker").isNotNull() & ~F.array_contains("_labels", F.col("speaker")), "unknown_label"),
-        ),
-        lambda r: r.isNotNull(),
-    )
-    found = checked.select(*BALLOON, F.explode(rules).alias("rule"))
-    none = [F.lit(None).cast("int").alias(c) for c in ("page_index", "balloon_pos")]
-    whole = [resolved.where(~in_range).select("sequence_id", F.lit("three_pages").alias("rule")).distinct()]
-    if identities is not None:
-        named = resolved.where("speaker IS NOT NULL AND speaker <> 'NARRATION'").select("sequence_id", "character_id", "speaker").join(identities.select("sequence_id", "character_id", "identity_id"), ["sequence_id", "character_id"])
-        whole.append(named.groupBy("sequence_id", "identity_id").agg(F.countDistinct("speaker").alias("n")).where("n > 1").select("sequence_id", F.lit("several_labels_of_identity").alias("rule")))
-        whole.append(identities.where("label <> 'NARRATION'").groupBy("sequence_id", "label").agg(F.countDistinct("identity_id").alias("n")).where("n > 1").select("sequence_id", F.lit("several_identities_of_label").alias("rule")))
-    if expected is not None:
-        whole.append(resolved.select("sequence_id").distinct().join(expected, "sequence_id", "left_anti").select("sequence_id", F.lit("foreign_sequence").alias("rule")))
-    for rows in whole:
-        found = found.unionByName(rows.select("sequence_id", *none, "rule"))
-    return found
+    rules = F.array_compact(F.array(
+        F.when(~in_range, "all_page_indices_valid"),
+        F.when(~F.coalesce("include_in_story", F.lit(False)), "story_excluded_balloons_absent"),
+        F.when(T.blank(F.col("balloon_id").cast("string")), "every_balloon_has_source_id"),
+        F.when(T.blank(F.col("final_text")), "text_exists_for_story_balloons"),
+        F.when(F.col("character_id").isNotNull() & F.col("_person").isNull(), "speaker_references_valid_character"),
+        F.when(F.col("speaker").isNotNull() & (F.col("speaker") != "NARRATION") & F.col("_label").isNull(), "speaker_label_maps_to_valid_identity"),
+    ))
+    checked = ordered.join(people, ["sequence_id", "character_id"], "left").join(labels, ["sequence_id", "speaker"], "left")
+    of_row = checked.select("sequence_id", "page_index", "balloon_id", F.col("speaker").alias("label"), F.explode(rules).alias("rule"))
+    parts = [
+        of_row.withColumn("label", F.when(F.col("rule") == "speaker_label_maps_to_valid_identity", F.col("label"))),
+        excluded.where(~in_range).select("sequence_id", "page_index", "balloon_id", F.lit("all_page_indices_valid").alias("rule")),
+        ordered.where(~in_range).select("sequence_id", F.lit("exactly_three_pages").alias("rule")).distinct(),
+        _again(ordered).select("sequence_id", "page_index", "balloon_id", F.lit("no_duplicate_balloon").alias("rule")),
+        _back(ordered).select("sequence_id", "page_index", "balloon_id", F.lit("page_order_monotonic").alias("rule")),
+        _several_labels(ordered).select("sequence_id", "identity_id", F.lit("no_identity_label_conflicts").alias("rule")),
+        identities.where("label <> 'NARRATION'").groupBy("sequence_id", "label").agg(F.countDistinct("identity_id").alias("n")).where("n > 1").select("sequence_id", "label", F.lit("sequence_labels_deterministic").alias("rule")),
+        ordered.select("sequence_id").unionByName(excluded.select("sequence_id")).distinct().join(expected.select("sequence_id").distinct(), "sequence_id", "left_anti").select("sequence_id", F.lit("no_output_references_different_sequence").alias("rule")),
+    ]
+    types = dict(ordered.dtypes)
+    return _rows(parts, {"sequence_id": types["sequence_id"], "rule": "string", "page_index": types["page_index"], "balloon_id": types["balloon_id"], "identity_id": dict(identities.dtypes)["identity_id"], "label": "string"})
 
 
 def submission_speaker(speaker: Column, state: Column) -> Column:
-    blank = F.trim(F.coalesce(speaker, F.lit(""))) == ""
-    return F.when(blank, "UNKNOWN").when(speaker == "NARRATION", "NARRATION").when(state == "ambiguous", "UNKNOWN").otherwise(speaker)
+    return F.when(T.blank(speaker), "UNKNOWN").when(speaker == "NARRATION", "NARRATION").when(state == "ambiguous", "UNKNOWN").otherwise(speaker)
 
 
-def submission_rows(resolved: DataFrame) -> DataFrame:
-    """(sequence_id, page_index, line_index, speaker, text): pages 0 to 2, rows with text, in order."""
-    kept = resolved.where("resolution <> 'excluded' AND page_index BETWEEN 0 AND 2 AND trim(coalesce(final_text, '')) <> ''")
+def submission_rows(ordered: DataFrame) -> DataFrame:
+    """(sequence_id, page_index, line_index, speaker, text) of the story's balloons: pages 0 to 2, rows with text, in order."""
+    kept = ordered.where(F.col("page_index").between(0, 2) & ~T.blank(F.col("final_text")))
     line = F.row_number().over(Window.partitionBy("sequence_id", "page_index").orderBy("sequence_position")) - 1
-    return kept.select("sequence_id", "page_index", line.alias("line_index"), submission_speaker(F.col("speaker"), F.col("identity_state")).alias("speaker"), F.trim("final_text").alias("text"))
+    return kept.select("sequence_id", "page_index", line.alias("line_index"), submission_speaker(F.col("speaker"), F.col("identity_state")).alias("speaker"), T.strip(F.col("final_text")).alias("text"))
 
 
 def validate_submission(rows: DataFrame, template: DataFrame) -> DataFrame:
@@ -136,12 +208,12 @@ def submission_errors(rows: DataFrame, template: DataFrame, pages: int = 3) -> D
     """(sequence_id, page_index, error) of what a submission must not be; errors of a whole sequence have no page.
 
     rows: (position, sequence_id, pages array<array<struct<speaker, text>>>); template: (position, sequence_id). Ids must be unique and those of
-    the template, in its order; each has so many pages; items need a speaker and a text, which must be no placeholder.
+    the template, in its order; each has so many pages, else its items are not looked at; items need a speaker and a text that are not blank, and no placeholder.
     """
     none = F.lit(None).cast("int").alias("page_index")
     at = rows.select("position", F.col("sequence_id").alias("_mine")).join(template.select("position", "sequence_id"), "position", "full")
-    items = rows.select("sequence_id", F.posexplode("pages").alias("page_index", "page")).select("sequence_id", "page_index", F.explode("page").alias("item"))
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    items = rows.where(F.size("pages") == pages).select("sequence_id", F.posexplode("pages").alias("page_index", "page")).select("sequence_id", "page_index", F.explode("page").alias("item"))
+    blank = lambda c: T.blank(F.col(c))
     error = F.when(F.col("item").isNull() | blank("item.speaker") | blank("item.text"), "invalid_item").when(F.col("item.text").startswith("[balloon "), "placeholder")
     found = [
         rows.groupBy("sequence_id").count().where("count > 1").select("sequence_id", none, F.lit("not_unique").alias("error")),
@@ -155,10 +227,11 @@ def submission_errors(rows: DataFrame, template: DataFrame, pages: int = 3) -> D
     return out
 
 
-def speaker_histogram(rows: DataFrame) -> DataFrame:
-    """(speaker, n) of the items of a submission that are in order; rows as for submission_errors()."""
-    items = rows.select(F.explode("pages").alias("page")).select(F.explode("page").alias("item"))
-    return items.where("trim(item.speaker) <> '' AND trim(item.text) <> '' AND NOT startswith(item.text, '[balloon ')").groupBy(F.col("item.speaker").alias("speaker")).agg(F.count("*").alias("n"))
+def speaker_histogram(rows: DataFrame, pages: int = 3) -> DataFrame:
+    """(speaker, n) of the items of a submission that are in order, of sequences with so many pages; rows as for submission_errors()."""
+    items = rows.where(F.size("pages") == pages).select(F.explode("pages").alias("page")).select(F.explode("page").alias("item"))
+    sound = ~T.blank(F.col("item.speaker")) & ~T.blank(F.col("item.text")) & ~F.col("item.text").startswith("[balloon ")
+    return items.where(sound).groupBy(F.col("item.speaker").alias("speaker")).agg(F.count("*").alias("n"))
 
 
 def missing_rows(order: DataFrame, adjudications: DataFrame, speakers: DataFrame, characters: DataFrame, expected: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ def page_stats(regions: DataFrame, adjudications: DataFrame) -> DataFrame:
 
 
 def diagnostic_summary(diagnostics: DataFrame) -> DataFrame:
-    return diagnostics.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("sequences"))
+    """(component, code, severity, n, sequences)."""
+    return diagnostics.groupBy("component", "code", "severity").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("sequences"))
 
 
 def run_states(events: DataFrame, statuses: list[str]) -> DataFrame:

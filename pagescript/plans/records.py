@@ -274,40 +274,69 @@ def r4_identity_summary(spark, sf_dir):
 # ---- reconciliation
 
 _TOLD = "text_type IN ('narration', 'thought', 'sound_effect', 'sign', 'title', 'metadata', 'document_text', 'vocalisation')"
-_R1 = f"""WITH o AS (SELECT sequence_id, page_index, region_pos AS balloon_pos, row_number() OVER (PARTITION BY sequence_id ORDER BY page_index, region_pos) - 1 AS sequence_position, CASE WHEN region_pos % 3 <> 0 THEN k END AS character_id FROM fx_regions),
-  j AS (SELECT o.*, a.text_type, a.include_in_story, a.final_text, a.adj_pos IS NOT NULL AS adj, CASE WHEN o.character_id <= 5 THEN chr(CAST(64 + o.character_id AS INT)) END AS label, CASE WHEN o.character_id = 4 THEN 'ambiguous' WHEN o.character_id <= 5 THEN 'matched' END AS state
-    FROM o LEFT JOIN fx_adjudications a USING (sequence_id, page_index, balloon_pos)),
-  r AS (SELECT *, coalesce({_TOLD}, false) AS told FROM j)
-  SELECT sequence_id, page_index, balloon_pos, sequence_position, CASE WHEN told THEN 'NARRATION' WHEN label IS NOT NULL THEN 'Character ' || label END AS speaker,
-  CASE WHEN told THEN 'not_applicable' ELSE coalesce(state, 'unknown') END AS identity_state, CASE WHEN NOT adj THEN 'unresolved' WHEN NOT include_in_story THEN 'excluded' WHEN told OR label IS NOT NULL THEN 'ordered' ELSE 'unresolved' END AS resolution, final_text, text_type, adj, told, character_id, state FROM r"""
-
-
-def _resolved(spark, sf_dir):
+#: Regions as balloons. Some items name another page than their balloon's, some are in no page, some come twice; of two decisions and adjudications the first counts.
+_CAST = """n AS (SELECT sequence_id, page_index, region_pos, k, x1, CAST(page_index * 1000 + region_pos AS BIGINT) AS balloon_id, row_number() OVER (PARTITION BY sequence_id ORDER BY page_index, region_pos) - 1 AS sequence_position FROM fx_regions),
+  o AS (SELECT sequence_id, balloon_id, sequence_position, CASE WHEN k = 5 AND sequence_id % 4 = 0 THEN (page_index + 1) % 3 ELSE page_index END AS order_page FROM n UNION ALL SELECT sequence_id, balloon_id, sequence_position + 1000, page_index FROM n WHERE region_pos = 2 AND sequence_id % 5 = 0),
+  b AS (SELECT sequence_id, balloon_id, page_index + CASE WHEN sequence_id % 40 = 9 THEN 1 ELSE 0 END AS page_index, CAST(floor(x1 / 600) AS INT) AS panel_pos FROM n WHERE NOT (k = 7 AND sequence_id % 6 = 1)),
+  a AS (SELECT sequence_id, CAST(page_index * 1000 + balloon_pos AS BIGINT) AS balloon_id, text_type, include_in_story, CASE WHEN balloon_pos = 4 AND sequence_id % 3 = 0 THEN ' ' ELSE final_text END AS final_text FROM fx_adjudications),
+  s AS (SELECT sequence_id, balloon_id, CASE WHEN region_pos % 3 <> 0 THEN k END AS character_id FROM n),
+  c AS (SELECT DISTINCT sequence_id, page_index, k AS character_id FROM n WHERE k <= 6),
+  i AS (SELECT DISTINCT sequence_id, k AS character_id, CASE WHEN k = 2 AND sequence_id % 9 = 2 THEN 1 ELSE k END AS identity_id, CASE k WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 4 THEN 'B' WHEN 7 THEN 'Hero' END AS label, CASE WHEN k = 4 THEN 'ambiguous' ELSE 'matched' END AS state FROM n WHERE (k <= 4 OR k = 7) AND sequence_id % 8 <> 5)"""
+_R1 = f"""WITH {_CAST},
+  j AS (SELECT o.sequence_id, o.balloon_id, o.sequence_position, o.order_page, b.page_index, b.panel_pos, b.balloon_id IS NOT NULL AS placed, a.balloon_id IS NOT NULL AS adj, a.text_type, a.include_in_story, a.final_text, coalesce({_TOLD}, false) AS told, s.character_id,
+      EXISTS (SELECT 1 FROM c WHERE c.sequence_id = o.sequence_id AND c.character_id = s.character_id) AS person, o.sequence_id IN (SELECT sequence_id FROM i) AS identified, i.identity_id, i.label, i.state
+    FROM o LEFT JOIN b USING (sequence_id, balloon_id) LEFT JOIN a USING (sequence_id, balloon_id) LEFT JOIN s USING (sequence_id, balloon_id) LEFT JOIN i ON i.sequence_id = o.sequence_id AND i.character_id = s.character_id),
+  r AS (SELECT *, placed AND adj AS usable, placed AND adj AND NOT told AS asked, placed AND adj AND NOT told AND person AND identified AS named FROM j)
+  SELECT sequence_id, sequence_position, page_index, panel_pos, balloon_id, text_type, include_in_story, final_text, CASE WHEN usable THEN character_id END AS character_id, CASE WHEN named THEN identity_id END AS identity_id,
+    CASE WHEN usable AND told THEN 'NARRATION' WHEN named AND label IN ('A', 'B') THEN 'Character ' || label WHEN named THEN label END AS speaker,
+    CASE WHEN asked AND person AND NOT identified THEN 'unmatched' WHEN NOT named THEN NULL WHEN identity_id IS NULL THEN 'unmatched' WHEN label IS NULL THEN 'ambiguous' ELSE state END AS identity_state,
+    CASE WHEN NOT usable THEN 'unresolved' WHEN include_in_story THEN 'ordered' ELSE 'excluded' END AS resolution, CASE WHEN NOT placed THEN 'balloon_not_in_any_page' WHEN NOT adj THEN 'missing_adjudication_result' END AS reason,
+    list_filter([CASE WHEN NOT adj THEN 'missing_adjudication_result' END, CASE WHEN NOT placed THEN 'balloon_not_in_any_page' END, CASE WHEN usable AND order_page <> page_index THEN 'page_index_mismatch' END,
+      CASE WHEN NOT asked THEN NULL WHEN character_id IS NULL THEN 'no_speaker_resolved' WHEN NOT person THEN 'invalid_speaker_character_reference' WHEN NOT identified THEN 'no_identity_result' WHEN identity_id IS NULL THEN 'speaker_identity_unresolved'
+        WHEN label IS NULL THEN 'speaker_identity_label_missing' WHEN state = 'ambiguous' THEN 'speaker_identity_ambiguous' END], lambda x: x IS NOT NULL) AS codes FROM r"""
+
+
+def _cast(spark, sf_dir):
+    """(order, balloons, adjudications, speakers, characters, identity)."""
     from pyspark.sql import Window
 
     regions, adjudications = load(spark, sf_dir, "fx_regions", "fx_adjudications")
-    position = F.row_number().over(Window.partitionBy("sequence_id").orderBy("page_index", "region_pos")) - 1
-    order = regions.select(*K, F.col("region_pos").alias("balloon_pos"), position.alias("sequence_position"))
-    speakers = regions.where("region_pos % 3 <> 0").select(*K, F.col("region_pos").alias("balloon_pos"), F.col("k").alias("character_id"))
-    known = regions.select("sequence_id", F.col("k").alias("character_id")).distinct().where("character_id <= 5")
-    people = known.select("sequence_id", "character_id", F.char(F.lit(64) + F.col("character_id")).alias("label"), F.when(F.col("character_id") == 4, "ambiguous").otherwise("matched").alias("state"))
-    again = adjudications.withColumns({"adj_pos": F.lit(2), "text_type": F.lit("sign")})
-    return resolve.resolve_sequence(order, adjudications.unionByName(again), speakers, people)
+    i, k, ball = F.col("sequence_id"), F.col("k"), F.col("page_index") * 1000
+    numbered = regions.select(*K, "region_pos", "k", "x1", (ball + F.col("region_pos")).cast("long").alias("balloon_id"), (F.row_number().over(Window.partitionBy("sequence_id").orderBy("page_index", "region_pos")) - 1).alias("sequence_position"))
+    twice = numbered.where((F.col("region_pos") == 2) & (i % 5 == 0)).select("sequence_id", "balloon_id", (F.col("sequence_position") + 1000).alias("sequence_position"), "page_index")
+    order = numbered.select("sequence_id", "balloon_id", "sequence_position", F.when((k == 5) & (i % 4 == 0), (F.col("page_index") + 1) % 3).otherwise(F.col("page_index")).alias("page_index")).unionByName(twice)
+    balloons = numbered.where(~((k == 7) & (i % 6 == 1))).select("sequence_id", "balloon_id", (F.col("page_index") + F.when(i % 40 == 9, 1).otherwise(0)).alias("page_index"), F.floor(F.col("x1") / 600).cast("int").alias("panel_pos"))
+    first = adjudications.select("sequence_id", (ball + F.col("balloon_pos")).cast("long").alias("balloon_id"), "adj_pos", "text_type", "include_in_story", F.when((F.col("balloon_pos") == 4) & (i % 3 == 0), " ").otherwise(F.col("final_text")).alias("final_text"))
+    again = first.withColumns({"adj_pos": F.lit(2), "text_type": F.lit("sign")})
+    decided = numbered.select("sequence_id", "balloon_id", F.lit(0).alias("decision_pos"), F.when(F.col("region_pos") % 3 != 0, k).alias("character_id"))
+    characters = numbered.where("k <= 6").select(*K, k.alias("character_id")).distinct()
+    people = numbered.where(((k <= 4) | (k == 7)) & (i % 8 != 5)).select("sequence_id", k.alias("character_id")).distinct()
+    j = F.col("character_id")
+    label = F.when(j == 1, "A").when(j.isin(2, 4), "B").when(j == 7, "Hero")
+    identity_ = people.select("sequence_id", "character_id", F.when((j == 2) & (i % 9 == 2), 1).otherwise(j).alias("identity_id"), label.alias("label"), F.when(j == 4, "ambiguous").otherwise("matched").alias("state"))
+    return order, balloons, first.unionByName(again), decided.unionByName(decided.withColumns({"decision_pos": F.lit(1), "character_id": F.lit(1)})), characters, identity_
+
+
+def _resolved(spark, sf_dir):
+    return resolve.resolve_sequence(*_cast(spark, sf_dir))
 
 
-@query(f"SELECT sequence_id, page_index, balloon_pos, sequence_position, speaker, identity_state, resolution FROM ({_R1})", "fx_regions", "fx_adjudications")
+@query(f"SELECT sequence_id, sequence_position, page_index, panel_pos, balloon_id, character_id, identity_id, speaker, identity_state, resolution, reason, codes FROM ({_R1})", "fx_regions", "fx_adjudications")
 def r1_resolve_sequence(spark, sf_dir):
-    return _resolved(spark, sf_dir).select(*resolve.BALLOON, "sequence_position", "speaker", "identity_state", "resolution")
+    return _resolved(spark, sf_dir).drop("text_type", "include_in_story", "final_text")
 
 
-@query(
-    f"""SELECT code, count(*) AS n, count(DISTINCT sequence_id) AS sequences FROM (SELECT sequence_id, unnest(list_filter([CASE WHEN NOT adj THEN 'missing_adjudication' END, CASE WHEN adj AND include AND final_text = '' THEN 'blank_text' END,
-    CASE WHEN adj AND NOT told AND character_id IS NULL THEN 'missing_speaker' END, CASE WHEN adj AND NOT told AND character_id > 5 THEN 'unknown_character' END, CASE WHEN adj AND NOT told AND state = 'ambiguous' THEN 'ambiguous_identity' END], lambda x: x IS NOT NULL)) AS code
-    FROM (SELECT *, resolution <> 'excluded' AS include FROM ({_R1}))) GROUP BY code""",
-    "fx_regions", "fx_adjudications",
-)
+@query(f"SELECT sequence_id, sequence_position, balloon_id, page_index, reason FROM ({_R1}) WHERE resolution = 'unresolved'", "fx_regions", "fx_adjudications")
+def r1_unresolved_items(spark, sf_dir):
+    return resolve.split_resolution(_resolved(spark, sf_dir)).unresolved
+
+
+_SEVERITY = " ".join(f"WHEN '{c}' THEN '{v}'" for c, v in resolve.SEVERITY.items())
+
+
+@query(f"SELECT 'sequence_resolver' AS component, code, CASE code {_SEVERITY} END AS severity, count(*) AS n, count(DISTINCT sequence_id) AS sequences FROM (SELECT sequence_id, unnest(codes) AS code FROM ({_R1})) GROUP BY ALL", "fx_regions", "fx_adjudications")
 def m3_diagnostic_summary(spark, sf_dir):
-    return telemetry.diagnostic_summary(resolve.diagnostics(_resolved(spark, sf_dir)))
+    return telemetry.diagnostic_summary(resolve.split_resolution(_resolved(spark, sf_dir)).diagnostics)
 
 
 @query("SELECT sequence_id, page_index, line_index, CASE WHEN speaker = 'assistant' OR speaker = 'NARRATION' THEN speaker WHEN speaker = 'user' THEN 'Character USER' END AS speaker FROM fx_gold", "fx_gold")
@@ -318,46 +347,68 @@ def r2_normalize_labels(spark, sf_dir):
     return gold.select(*K, "line_index", keep.alias("speaker"))
 
 
-@query()
-def r3_consistency_checks(spark, sf_dir):
-    vectors, edges = _edges(spark, sf_dir)
-    members = vectors.select("sequence_id", "character_id", "page_index", F.col("label").alias("cluster"))
-    resolved = _resolved(spark, sf_dir)
-    return resolve.consistency_checks(resolved.unionByName(resolved.where("balloon_pos = 2")), members)
+_NONE = {"page_index": "CAST(NULL AS INT)", "balloon_id": "CAST(NULL AS BIGINT)", "identity_id": "CAST(NULL AS BIGINT)", "character_id": "CAST(NULL AS BIGINT)", "label": "CAST(NULL AS VARCHAR)"}
+
+
+def _says(kind: str, name: str, names: list[str], source: str, **columns: str) -> str:
+    """A part of a union of violations."""
+    return f"SELECT sequence_id, '{name}' AS {kind}, " + ", ".join(f"{columns.get(c, _NONE[c])} AS {c}" for c in names) + f" FROM {source}"
 
 
-_ROW = "sequence_id, page_index, balloon_pos"
-_WHOLE = "sequence_id, CAST(NULL AS INT) AS page_index, CAST(NULL AS INT) AS balloon_pos"
-_V1 = f"""WITH r AS ({_R1}), c AS (SELECT DISTINCT sequence_id, k AS character_id FROM fx_regions WHERE k <= 6), i AS (SELECT DISTINCT sequence_id, k AS character_id, CASE WHEN k <= 3 THEN chr(CAST(64 + k AS INT)) ELSE 'C' END AS label FROM fx_regions WHERE k <= 5)
-  SELECT {_ROW}, 'excluded_in_story' AS rule FROM r WHERE resolution = 'excluded' UNION ALL SELECT {_ROW}, 'text_missing' FROM r WHERE trim(coalesce(final_text, '')) = '' UNION ALL SELECT {_ROW}, 'speaker_missing' FROM r WHERE resolution = 'ordered' AND speaker IS NULL
-  UNION ALL SELECT {_ROW}, 'unknown_character' FROM r WHERE character_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.sequence_id = r.sequence_id AND c.character_id = r.character_id)
-  UNION ALL SELECT {_ROW}, 'unknown_label' FROM r WHERE speaker <> 'NARRATION' AND NOT EXISTS (SELECT 1 FROM i WHERE i.sequence_id = r.sequence_id AND 'Character ' || i.label = r.speaker)
-  UNION ALL SELECT {_WHOLE}, 'several_labels_of_identity' FROM (SELECT sequence_id, i.character_id FROM r JOIN i USING (sequence_id, character_id) WHERE speaker <> 'NARRATION' GROUP BY ALL HAVING count(DISTINCT speaker) > 1)
-  UNION ALL SELECT {_WHOLE}, 'several_identities_of_label' FROM (SELECT sequence_id, label FROM i GROUP BY ALL HAVING count(DISTINCT character_id) > 1)
-  UNION ALL SELECT {_WHOLE}, 'foreign_sequence' FROM (SELECT DISTINCT sequence_id FROM r WHERE sequence_id % 50 = 3)"""
+_STORY = f"""r AS ({_R1}), story AS (SELECT * FROM r WHERE resolution = 'ordered'), w AS (SELECT *, lag(page_index) OVER (PARTITION BY sequence_id ORDER BY sequence_position, balloon_id) AS prev, row_number() OVER (PARTITION BY sequence_id, balloon_id ORDER BY sequence_position) AS times FROM story),
+  labels AS (SELECT sequence_id, identity_id FROM story WHERE identity_id IS NOT NULL AND speaker IS NOT NULL GROUP BY ALL HAVING count(DISTINCT speaker) > 1)"""
+_IN_R3 = ["page_index", "balloon_id", "identity_id", "character_id"]
+_R3 = " UNION ALL ".join([
+    _says("code", "identity_label_conflict", _IN_R3, "labels", identity_id="identity_id"),
+    _says("code", "same_page_identity_collapse", _IN_R3, "(SELECT sequence_id, page_index, identity_id FROM c JOIN i USING (sequence_id, character_id) GROUP BY ALL HAVING count(DISTINCT character_id) > 1)", page_index="page_index", identity_id="identity_id"),
+    _says("code", "page_order_violation", _IN_R3, "w WHERE page_index < prev", page_index="page_index", balloon_id="balloon_id"),
+    _says("code", "duplicate_balloon_in_sequence", _IN_R3, "w WHERE times > 1", balloon_id="balloon_id"),
+    _says("code", "identity_references_unknown_character", _IN_R3, "i WHERE character_id = 7", character_id="character_id"),
+])
 
 
-@query(_V1, "fx_regions", "fx_adjudications")
+@query(f"WITH {_CAST}, {_STORY} SELECT *, 'error' AS severity FROM ({_R3})", "fx_regions", "fx_adjudications")
+def r3_consistency_checks(spark, sf_dir):
+    *_, characters, identity_ = cast = _cast(spark, sf_dir)
+    return resolve.consistency_checks(resolve.split_resolution(resolve.resolve_sequence(*cast)).ordered, identity_, characters)
+
+
+_IN_V1 = ["page_index", "balloon_id", "identity_id", "label"]
+_AT = {"page_index": "page_index", "balloon_id": "balloon_id"}
+_V1 = " UNION ALL ".join([
+    _says("rule", "all_page_indices_valid", _IN_V1, "r WHERE resolution <> 'unresolved' AND page_index NOT IN (0, 1, 2)", **_AT),
+    _says("rule", "exactly_three_pages", _IN_V1, "(SELECT DISTINCT sequence_id FROM story WHERE page_index NOT IN (0, 1, 2))"),
+    _says("rule", "no_duplicate_balloon", _IN_V1, "w WHERE times > 1", **_AT),
+    _says("rule", "page_order_monotonic", _IN_V1, "w WHERE page_index < prev", **_AT),
+    _says("rule", "text_exists_for_story_balloons", _IN_V1, "story WHERE trim(final_text) = ''", **_AT),
+    _says("rule", "speaker_references_valid_character", _IN_V1, "story WHERE character_id = 7", **_AT),
+    _says("rule", "speaker_label_maps_to_valid_identity", _IN_V1, "story WHERE speaker <> 'NARRATION' AND NOT EXISTS (SELECT 1 FROM l WHERE l.sequence_id = story.sequence_id AND 'Character ' || l.label = story.speaker)", label="speaker", **_AT),
+    _says("rule", "no_identity_label_conflicts", _IN_V1, "labels", identity_id="identity_id"),
+    _says("rule", "sequence_labels_deterministic", _IN_V1, "(SELECT sequence_id, label FROM l GROUP BY ALL HAVING count(DISTINCT identity_id) > 1)", label="label"),
+    _says("rule", "no_output_references_different_sequence", _IN_V1, "(SELECT DISTINCT sequence_id FROM r WHERE resolution <> 'unresolved' AND sequence_id % 50 = 3)"),
+])
+
+
+@query(f"WITH {_CAST}, {_STORY}, l AS (SELECT DISTINCT sequence_id, identity_id, label FROM i WHERE label IS NOT NULL AND NOT (character_id IN (1, 2) AND sequence_id % 7 = 3)) {_V1}", "fx_regions", "fx_adjudications")
 def v1_validate_resolution(spark, sf_dir):
-    (regions,) = load(spark, sf_dir, "fx_regions")
-    cast = regions.select("sequence_id", F.col("k").alias("character_id")).distinct()
-    label = F.when(F.col("character_id") <= 3, F.char(64 + F.col("character_id"))).otherwise("C")
-    identities = cast.where("character_id <= 5").select("sequence_id", "character_id", F.col("character_id").alias("identity_id"), label.alias("label"))
-    return resolve.validate_resolution(_resolved(spark, sf_dir), cast.where("character_id <= 6"), identities, regions.select("sequence_id").distinct().where("sequence_id % 50 <> 3"))
+    *_, characters, identity_ = cast = _cast(spark, sf_dir)
+    found = resolve.split_resolution(resolve.resolve_sequence(*cast))
+    identities = identity_.where("label IS NOT NULL AND NOT (character_id IN (1, 2) AND sequence_id % 7 = 3)").select("sequence_id", "identity_id", "label").distinct()
+    return resolve.validate_resolution(found.ordered, found.excluded, characters, identities, characters.select("sequence_id").distinct().where("sequence_id % 50 <> 3").unionByName(cast[0].select("sequence_id").distinct().where("sequence_id % 50 <> 3")))
 
 
 _V3 = f"""SELECT sequence_id, page_index, row_number() OVER (PARTITION BY sequence_id, page_index ORDER BY sequence_position) - 1 AS line_index,
-    CASE WHEN speaker IS NULL THEN 'UNKNOWN' WHEN speaker = 'NARRATION' THEN speaker WHEN identity_state = 'ambiguous' THEN 'UNKNOWN' ELSE speaker END AS speaker, final_text AS text FROM ({_R1}) WHERE resolution <> 'excluded' AND coalesce(final_text, '') <> ''"""
+    CASE WHEN speaker IS NULL THEN 'UNKNOWN' WHEN speaker = 'NARRATION' THEN speaker WHEN identity_state = 'ambiguous' THEN 'UNKNOWN' ELSE speaker END AS speaker, final_text AS text FROM ({_R1}) WHERE resolution = 'ordered' AND page_index <= 2 AND trim(final_text) <> ''"""
 
 
 @query(_V3, "fx_regions", "fx_adjudications")
 def v3_submission_rows(spark, sf_dir):
-    return resolve.submission_rows(_resolved(spark, sf_dir))
+    return resolve.submission_rows(resolve.split_resolution(_resolved(spark, sf_dir)).ordered)
 
 
 @query(f"SELECT speaker, count(*) AS n FROM ({_V3}) GROUP BY speaker", "fx_regions", "fx_adjudications")
 def v2_submission_speakers(spark, sf_dir):
-    return resolve.submission_rows(_resolved(spark, sf_dir)).groupBy("speaker").agg(F.count("*").alias("n"))
+    return resolve.submission_rows(resolve.split_resolution(_resolved(spark, sf_dir)).ordered).groupBy("speaker").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -390,14 +441,14 @@ _SUBMITTED = "SELECT sequence_id AS position, CASE WHEN sequence_id % 5 = 4 THEN
     SELECT sequence_id, CAST(NULL AS INT) AS page_index, 'not_unique' AS error FROM p GROUP BY ALL HAVING count(*) > 1
     UNION ALL SELECT coalesce(p.sequence_id, t.sequence_id), NULL, 'not_as_in_template' FROM p FULL JOIN t ON p.position = t.sequence_id WHERE p.sequence_id IS DISTINCT FROM t.sequence_id
     UNION ALL SELECT sequence_id, NULL, 'page_count' FROM p WHERE position % 7 = 1
-    UNION ALL SELECT sequence_id, page_index, CASE WHEN trim(coalesce(speaker, '')) = '' OR trim(coalesce(text, '')) = '' THEN 'invalid_item' ELSE 'placeholder' END FROM s WHERE trim(coalesce(speaker, '')) = '' OR trim(coalesce(text, '')) = '' OR text LIKE '[balloon %'""",
+    UNION ALL SELECT sequence_id, page_index, CASE WHEN trim(coalesce(speaker, '')) = '' OR trim(coalesce(text, '')) = '' THEN 'invalid_item' ELSE 'placeholder' END FROM s WHERE position % 7 <> 1 AND (trim(coalesce(speaker, '')) = '' OR trim(coalesce(text, '')) = '' OR text LIKE '[balloon %')""",
     "fx_gold", "fx_pred",
 )
 def v4_submission_errors(spark, sf_dir):
     return resolve.submission_errors(*_submission(spark, sf_dir))
 
 
-@query(f"SELECT speaker, count(*) AS n FROM ({_SUBMITTED}) WHERE trim(speaker) <> '' AND trim(text) <> '' AND text NOT LIKE '[balloon %' GROUP BY speaker", "fx_pred")
+@query(f"SELECT speaker, count(*) AS n FROM ({_SUBMITTED}) WHERE position % 7 <> 1 AND trim(speaker) <> '' AND trim(text) <> '' AND text NOT LIKE '[balloon %' GROUP BY speaker", "fx_pred")
 def v4_speaker_histogram(spark, sf_dir):
     return resolve.speaker_histogram(_submission(spark, sf_dir)[0])
 

@@ -149,19 +149,6 @@ def test_payloads_of_every_kind(spark):
     assert found == [(0, "x", "a"), (0, "y", "a"), (1, "x", "b"), (1, "y", "b"), (2, "x", '{"text": "broken'), (3, "x", "plain words")]
 
 
-def test_every_rule_of_resolutions_is_found(spark):
-    columns = "sequence_id long, page_index int, balloon_pos int, sequence_position int, character_id long, speaker string, resolution string, final_text string"
-    rows = [(1, 0, 1, 0, 3, "Character A", "ordered", "t"), (1, 5, 2, 1, 3, "Character B", "ordered", "t"), (1, 1, 1, 2, 9, "Character A", "ordered", "t"), (1, 1, None, 3, None, "NARRATION", "ordered", " "), (1, 1, 4, 4, None, None, "ordered", "t"), (1, 1, 4, 5, 3, "Character A", "excluded", "t"), (2, 0, 1, 0, 4, "Character Z", "ordered", "t")]
-    resolved = spark.createDataFrame(rows, columns)
-    identities = spark.createDataFrame([(1, 3, 7, "A"), (1, 4, 8, "A"), (1, 5, 9, "B"), (2, 4, 1, "C")], "sequence_id long, character_id long, identity_id long, label string")
-    cast = spark.createDataFrame([(1, 3), (2, 4)], "sequence_id long, character_id long")
-    found = sorted((r.sequence_id, -1 if r.page_index is None else r.page_index, -1 if r.balloon_pos is None else r.balloon_pos, r.rule) for r in resolve.validate_resolution(resolved, cast, identities, spark.createDataFrame([(1,)], "sequence_id long")).collect())
-    assert found == sorted([
-        (1, 5, 2, "page_range"), (1, -1, -1, "three_pages"), (1, 1, 1, "page_order"), (1, 1, 1, "unknown_character"), (1, 1, -1, "source_id_missing"), (1, 1, -1, "text_missing"), (1, 1, 4, "speaker_missing"), (1, 1, 4, "repeated_balloon"), (1, 1, 4, "repeated_balloon"),
-        (1, 1, 4, "excluded_in_story"), (1, -1, -1, "several_labels_of_identity"), (1, -1, -1, "several_identities_of_label"), (2, 0, 1, "unknown_label"), (2, -1, -1, "foreign_sequence"),
-    ])
-
-
 def test_refused_merges_and_unused_labels(spark):
     edge = "sequence_id long, a_id long, b_id long, a_page int, b_page int, score double"
     edges = spark.createDataFrame([(1, 1, 2, 0, 1, 0.9), (1, 2, 3, 1, 0, 0.8), (1, 1, 4, 0, 2, 0.5)], edge)
@@ -268,15 +255,6 @@ def test_equal_candidates_collapse_and_conflicts_are_reported(spark):
     assert once.count() == 3 and {r.candidate_id for r in conflicts.collect()} == {"b"}
 
 
-def test_first_adjudication_wins_and_excluded_rows_are_kept_apart(spark):
-    order_ = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 2)], "sequence_id long, page_index int, balloon_pos int, sequence_position int")
-    said = spark.createDataFrame([(1, 0, 0, 1, "unknown", True, "hi"), (1, 0, 0, 2, "sign", True, "no"), (1, 0, 1, 1, "dialogue", False, "x")], "sequence_id long, page_index int, balloon_pos int, adj_pos int, text_type string, include_in_story boolean, final_text string")
-    who = spark.createDataFrame([(1, 0, 0, 9)], "sequence_id long, page_index int, balloon_pos int, character_id int")
-    names = spark.createDataFrame([(1, 9, "B", "matched")], "sequence_id long, character_id int, label string, state string")
-    found = {r.balloon_pos: (r.resolution, r.speaker, r.final_text) for r in resolve.resolve_sequence(order_, said, who, names).collect()}
-    assert found == {0: ("ordered", "Character B", "hi"), 1: ("excluded", None, "x"), 2: ("unresolved", None, None)}
-
-
 def line(*items, sequence="s9", pages=3):
     import json
 
@@ -402,14 +380,6 @@ def test_every_region_is_compared(spark):
     assert QUERIES["c5_candidate_similarity"](spark, SF).count() == 6 * regions.count()
 
 
-def test_consistency_checks_find_excluded_rows_and_unknown_characters(spark):
-    rows = [(1, 0, 1, 0, 3, "A", "excluded", []), (1, 0, 2, 1, 9, None, "unresolved", ["unknown_character"]), (1, 1, 1, 2, 3, "A", "ordered", [])]
-    resolved = spark.createDataFrame(rows, "sequence_id long, page_index int, balloon_pos int, sequence_position int, character_id long, speaker string, resolution string, codes array<string>")
-    members = spark.createDataFrame([(1, 3, 0, 1)], "sequence_id long, character_id long, page_index int, cluster int")
-    found = {tuple(r) for r in resolve.consistency_checks(resolved, members).collect()}
-    assert found == {(1, "excluded_in_story", 1), (1, "unknown_character", 1)}
-
-
 def test_group_split_ranks_one_bucket_only(spark):
     table = spark.range(5000).withColumnRenamed("id", "sequence_id")
     found = policy.group_split(table, 0.2, 7)
