@@ -66,15 +66,45 @@ def char_error_rate(truth: Column, found: Column) -> Column:
     return F.when(F.length(truth) == 0, F.when(F.length(found) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.length(truth))
 
 
+def word_edits(a: list[str], b: list[str]) -> int:
+    """The least number of words to insert, delete or replace. A row of the table is worked out at once: what is inserted is a running minimum."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in (a, b))
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    x, y = x[head:], y[head:]
+    while len(x) and len(y) and x[-1] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    if len(x) < len(y):
+        x, y = y, x
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for i, word in enumerate(x, 1):
+        best = np.empty_like(row)
+        best[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (y != word), out=best[1:])
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row[-1])
+
+
+def _word_rates(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in pairs:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            if x is None or y is None:
+                out.append(None)
+            elif x == "":
+                out.append(0.0 if y == "" else 1.0)
+            else:
+                words = x.split(" ")
+                out.append(word_edits(words, y.split(" ")) / len(words))
+        yield pa.array(out, pa.float64())
+
+
 def word_error_rate(truth: Column, found: Column) -> Column:
-    """Edits between word lists per true word. Each word becomes one private character, so Spark's own distance does the work."""
-    a, b = F.split(truth, " "), F.split(found, " ")
-    both = F.array_distinct(F.concat(a, b))
-    def code(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x3400), 4, "0")), "UTF-16BE")), "")
-
-    edits = F.levenshtein(code(a), code(b))
-    return F.when(truth == "", F.when(found == "", 0.0).otherwise(1.0)).otherwise(edits / F.size(a))
+    """Edits between word lists per true word, for texts of any number of different words; null where either is null."""
+    return F.arrow_udf(_word_rates, "double")(truth, found)
 
 
 def punctuation_error(truth: Column, found: Column) -> Column:

@@ -41,12 +41,96 @@ def normalize_candidates(raw: DataFrame, text_keys: dict[str, list[str]]) -> Dat
     return whole.withColumn("text", text).where("text <> ''").drop("_p")
 
 
+#: Where each kind of source says how sure it is, the first key that is there. Fixed values.
+CONFIDENCE_KEYS = {"ocr": ["rec_score", "score"], "nemotron": ["confidence", "rec_score"], "other": ["ocr_confidence", "rec_score"]}
+TEXT_KEYS = {"ocr": ["rec_text", "text", "transcription"], "nemotron": ["text", "transcription", "rec_text"], "qwen3_vl": ["transcription", "text", "rec_text"], "fused": ["text", "transcription", "rec_text"]}
+
+
+def evidence_fields(raw: DataFrame) -> DataFrame:
+    """raw (sequence_id, page_index, region_id, source, payload and the region's x1 to y2) with the fields that its source gives; blank texts go.
+
+    + text, ocr_confidence, visual_confidence (not of recognizers), candidate_supported, semantic_type, notes and, where nemotron names a box inside the
+    region, bx1 to by2 in the page; shares of the region's size up to 1.5, pixels beyond. A payload may stand inside "res"; one that is no
+    JSON is the text itself where the source has the key "transcription", which all have; JSON that is no object has no text. Of several keys the
+    first counts that is there; for texts, that is not null.
+    """
+    parsed = raw.withColumn("_w", F.try_parse_json("payload"))
+    inner = F.try_variant_get("_w", "$.res", "variant")
+    whole = parsed.withColumn("_p", F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(F.col("_w")))
+    names = sorted({k for keys in (*TEXT_KEYS.values(), *CONFIDENCE_KEYS.values()) for k in keys} | {"visual_confidence", "candidate_supported", "text_type", "semantic_type", "notes", "bbox"})
+    corners = ["left", "upper", "right", "lower"]
+    read = {f"_kind_{n}": F.schema_of_variant(F.try_variant_get("_p", f"$.{n}", "variant")) for n in names} | {f"_text_{n}": F.try_variant_get("_p", f"$.{n}", "string") for n in names if n != "bbox"}
+    read |= {"_whole": F.schema_of_variant("_p"), "_corners": F.try_variant_get("_p", "$.bbox", "array<double>"), **{f"_{c}": F.try_variant_get("_p", f"$.{c}", "double") for c in corners}}
+    # Read once: what follows asks for each part many times.
+    whole = cut(whole.withColumns(read).drop("_w", "_p"))
+    kind = lambda name: F.col(f"_kind_{name}")
+    filled = lambda name: F.when(kind(name) != "VOID", F.col(f"_text_{name}"))
+    ocr, nemotron = F.col("source").startswith("ocr_"), F.col("source") == "nemotron"
+
+    def text_of(keys: list[str]) -> Column:
+        return F.coalesce(*[filled(k) for k in keys])
+
+    def sure(keys: list[str]) -> Column:
+        """The first key that is there; numbers and texts of numbers."""
+        value = F.lit(None).cast("double")
+        for k in reversed(keys):
+            value = F.when(kind(k).isNotNull(), F.when(kind(k).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)"), clean_confidence(F.col(f"_text_{k}")))).otherwise(value)
+        return value
+
+    text = F.when(ocr, text_of(TEXT_KEYS["ocr"])).when(F.col("source") == "qwen3_vl", text_of(TEXT_KEYS["qwen3_vl"])).otherwise(text_of(TEXT_KEYS["nemotron"]))
+    text = T.strip(F.when(F.col("_whole").isNull(), F.col("payload")).when(F.col("_whole").startswith("OBJECT"), text))
+    ocr_confidence = F.when(ocr, sure(CONFIDENCE_KEYS["ocr"])).when(nemotron, sure(CONFIDENCE_KEYS["nemotron"])).otherwise(sure(CONFIDENCE_KEYS["other"]))
+    typed = F.when(kind("text_type").isNotNull(), F.when(kind("text_type") == "STRING", filled("text_type"))).otherwise(F.when(kind("semantic_type") == "STRING", filled("semantic_type")))
+    listed = F.coalesce(kind("bbox").startswith("ARRAY") & (F.size("_corners") == 4), F.lit(False))
+    edges = {f"_e{i}": F.when(listed, F.get("_corners", F.lit(i))).otherwise(F.col(f"_{c}")) for i, c in enumerate(corners)}
+    made = whole.withColumns({
+        "text": text, "ocr_confidence": ocr_confidence, "visual_confidence": F.when(~ocr & ~nemotron, sure(["visual_confidence"])),
+        "candidate_supported": F.when(kind("candidate_supported") == "BOOLEAN", F.col("_text_candidate_supported") == "true"), "semantic_type": semantic_type(typed), "notes": filled("notes"), **edges,
+    })
+    largest = F.greatest(*[F.abs(c) for c in edges])
+    complete = nemotron & (largest < float("inf"))
+    for e in edges:
+        complete = complete & F.col(e).isNotNull()
+    w, h = F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0)), F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0))
+    scaled = lambda c, side: F.when(largest <= 1.5, F.col(c) * side).otherwise(F.col(c))
+    xs, ys = [F.col("x1") + scaled(c, w) for c in ("_e0", "_e2")], [F.col("y1") + scaled(c, h) for c in ("_e1", "_e3")]
+    boxed = {"bx1": F.least(*xs), "by1": F.least(*ys), "bx2": F.greatest(*xs), "by2": F.greatest(*ys)}
+    return made.where("text <> ''").withColumns({k: F.when(complete, c) for k, c in boxed.items()}).drop(*read, *edges)
+
+
 def candidate_bank(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, candidates): the candidates of each region by position, as an array of (position, source, text, ocr_confidence)."""
     entry = F.struct("position", "source", "text", "ocr_confidence")
     return candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("candidates"))
 
 
+def checked_bank(regions: DataFrame, candidates: DataFrame, keys: list[str], position: str = "position", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(bank, errors) of candidates (keys, candidate_id, position and what else they hold) of regions (keys, region_pos).
+
+    bank: keys, region_pos, candidates, of the regions that have any, each candidate once: of those that agree in all but position the first.
+    errors: keys, candidate_id, error: repeated_region, unknown_region (candidates of no region), conflicting_candidate (an id with several contents
+    in a region). Such regions and candidates are left out of the bank; with strict a ValueError names the first of them instead.
+    """
+    content = [c for c in candidates.columns if c not in (*keys, position)]
+    once = candidates.groupBy(*keys, *content).agg(F.min(position).alias(position))
+    one = regions.groupBy(*keys).agg(F.min("region_pos").alias("region_pos"), F.count("*").alias("_times"))
+    placed = once.join(one, keys, "left")
+    conflicts = once.groupBy(*keys, "candidate_id").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "candidate_id")
+    kind = dict(candidates.dtypes)["candidate_id"]
+    errors = (
+        one.where("_times > 1").select(*keys, F.lit(None).cast(kind).alias("candidate_id"), F.lit("repeated_region").alias("error"))
+        .unionByName(placed.where("_times IS NULL").select(*keys, "candidate_id", F.lit("unknown_region").alias("error")).distinct())
+        .unionByName(conflicts.withColumn("error", F.lit("conflicting_candidate")))
+    )
+    if strict:
+        first = errors.limit(1).collect()  # one row is enough to refuse
+        if first:
+            raise ValueError(f"{first[0].error}: {first[0].asDict()}")
+    sound = placed.where("_times = 1").join(conflicts, [*keys, "candidate_id"], "left_anti")
+    entry = F.struct(position, *content)
+    return sound.groupBy(*keys, "region_pos").agg(F.array_sort(F.collect_list(entry)).alias("candidates")), errors
+
+
 def candidate_similarity(candidates: DataFrame, group: str) -> DataFrame:
     """(group, a_id, b_id, ratio) for all ordered pairs of candidates of a group; each pair of texts is compared once."""
     a = candidates.select(group, F.col("candidate_id").alias("a_id"), F.col("text").alias("a_text"))
@@ -56,6 +140,10 @@ def candidate_similarity(candidates: DataFrame, group: str) -> DataFrame:
     return pairs.join(ratios, ["a_text", "b_text"]).select(group, "a_id", "b_id", "ratio")
 
 
+#: The type of text that a kind of balloon holds. Fixed values.
+KIND_TYPES = {"speech": "dialogue", "thought": "thought", "narration": "narration", "unknown": "dialogue"}
+
+
 def fallback_adjudication(candidates: DataFrame, balloon: str = "balloon_id", region: str = "region_id") -> DataFrame:
     """(balloon, final_text): per region the candidate of largest confidence (null is 0, the first of equals), joined in region order."""
     best = candidates.groupBy(balloon, region).agg(F.max(F.struct(F.coalesce("ocr_confidence", F.lit(0.0)).alias("c"), (-F.col("position")).alias("p"), "text")).alias("b"))
@@ -63,6 +151,27 @@ def fallback_adjudication(candidates: DataFrame, balloon: str = "balloon_id", re
     return candidates.select(balloon).distinct().join(texts, balloon, "left").withColumn("final_text", F.coalesce("final_text", F.lit("[unreadable]")))
 
 
+def fallback_adjudications(balloons: DataFrame, members: DataFrame, texts: DataFrame, order: str = "bank") -> DataFrame:
+    """(balloon_id, final_text, text_type, include_in_story) without an adjudicator, of every balloon.
+
+    balloons: balloon_id, kind; members: balloon_id, region_id, member_pos; texts: region_id, region_pos, position, text, ocr_confidence (null is 0). Each member's
+    text is that of its candidate of largest confidence, the first of equals, if that is not blank; texts are joined by blanks in the order of the page's
+    regions (order 'bank') or of the balloon's members ('member'). A balloon without members is left out, of unknown type; one whose
+    members have no text gets a placeholder with its id. The kind says the type, dialogue where it is not known.
+    """
+    best = texts.groupBy("region_id").agg(F.max(F.struct(F.coalesce("ocr_confidence", F.lit(0.0)).alias("c"), (-F.col("position")).alias("p"), "text", "region_pos")).alias("b"))
+    place = F.col("b.region_pos") if order == "bank" else F.col("member_pos")
+    own = members.join(best, "region_id", "left").select("balloon_id", place.alias("at"), F.col("member_pos").alias("then"), T.strip(F.col("b.text")).alias("t"))
+    once = own.groupBy("balloon_id", "at", "then", "t").agg(F.count("*").alias("n"))
+    joined = once.groupBy("balloon_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("at", "then", "t")))), lambda x: x["t"]), " ").alias("said"))
+    types = F.create_map(*[F.lit(x) for pair in KIND_TYPES.items() for x in pair])
+    has = F.col("said").isNotNull()
+    waiting = F.concat(F.lit("[balloon "), F.substring(F.col("balloon_id").cast("string"), 1, 24), F.lit(" -- adjudication unavailable]"))
+    return balloons.join(joined, "balloon_id", "left").select(
+        "balloon_id", F.when(~has, "").when(F.col("said") == "", waiting).otherwise(F.col("said")).alias("final_text"), F.when(has, F.coalesce(types[F.col("kind")], F.lit("dialogue"))).otherwise("unknown").alias("text_type"), has.alias("include_in_story")
+    )
+
+
 _CORRECTIONS = "array<struct<candidate_id:string,from_text:string,to_text:string>>"
 
 

@@ -31,9 +31,8 @@ def page_text_score(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.where(longest > 0).select(*PAGE, score.alias("score"))
 
 
-@lru_cache(1 << 18)
-def _letters(token: str) -> Counter:
-    return Counter(token)
+#: Buckets of letters for bounds on edits, letters of tokens that are compared many at once, and rows of a block at least.
+BUCKETS, MOST_LETTERS, LEAST_ROWS = 32, 64, 64
 
 
 @lru_cache(1 << 20)
@@ -42,9 +41,7 @@ def token_weight(a: str, b: str) -> float:
     if a == b:
         return 1.0
     longest = max(len(a), len(b))
-    least = longest - 0.4 * longest - 1e-9
-    # Tokens can't be nearer than by their lengths, or by the letters that they share.
-    if min(len(a), len(b)) < max(3, least) or sum((_letters(a) & _letters(b)).values()) < least:
+    if min(len(a), len(b)) < 3:
         return 0.0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -55,32 +52,110 @@ def token_weight(a: str, b: str) -> float:
     return similar if similar >= 0.6 else 0.0
 
 
-def align(gold: list[str], predicted: list[str]) -> list[tuple[int, int, float]]:
+class Weights:
+    """The weights of tokens against a list of different tokens, as the few that are not 0.
+
+    Tokens can't be nearer than by their lengths, or by the letters that they share; both are bounded for all tokens at once, and only what is
+    left is compared.
+    """
+
+    def __init__(self, tokens: list[str]):
+        self.tokens = tokens
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.letters = np.zeros((len(tokens), BUCKETS), dtype=np.int32)
+        flat = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)
+        np.add.at(self.letters, (np.repeat(np.arange(len(tokens)), self.lengths), flat % BUCKETS), 1)
+        self.place = {t: i for i, t in enumerate(tokens)}
+        short = self.lengths <= MOST_LETTERS
+        self.codes = np.zeros((len(tokens), int(self.lengths[short].max(initial=0))), np.uint32)
+        inside = np.repeat(short, self.lengths)
+        spot = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.codes[np.repeat(np.arange(len(tokens)), self.lengths)[inside], spot[inside]] = flat[inside]
+
+    def edits(self, token: str, near: np.ndarray) -> np.ndarray:
+        """Edits between a token and others, all of them at once; none is longer than MOST_LETTERS."""
+        width = int(self.lengths[near].max())
+        codes = self.codes[near, :width]
+        row = np.repeat(np.arange(width + 1)[:, None], len(near), axis=1)
+        for i, letter in enumerate(token, 1):
+            differs = (codes != ord(letter)).T
+            last, row[0] = row[0].copy(), i
+            for j in range(1, width + 1):
+                best = np.minimum(np.minimum(row[j], row[j - 1]) + 1, last + differs[j - 1])
+                last, row[j] = row[j].copy(), best
+        return row[self.lengths[near], np.arange(len(near))]
+
+    def of(self, token: str) -> tuple[np.ndarray, np.ndarray]:
+        """(places, weights) of a token."""
+        n, same = len(token), self.place.get(token)
+        places, weights = ([same], [1.0]) if same is not None else ([], [])
+        if n >= 3:
+            own = np.bincount(np.frombuffer(token.encode("utf-32-le"), np.uint32) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+            least = 0.6 * np.maximum(self.lengths, n) - 1e-9
+            near = np.flatnonzero(np.minimum(self.lengths, n) >= np.maximum(3, least))
+            near = near[np.minimum(self.letters[near], own).sum(axis=1) >= least[near]]
+            near = near[near != (-1 if same is None else same)]
+            many = near[self.lengths[near] <= MOST_LETTERS] if n <= MOST_LETTERS else near[:0]
+            if len(many):
+                similar = 1 - self.edits(token, many) / np.maximum(self.lengths[many], n)
+                places += many[similar >= 0.6].tolist()
+                weights += similar[similar >= 0.6].tolist()
+            for k in near if n > MOST_LETTERS else near[self.lengths[near] > MOST_LETTERS]:
+                if (w := token_weight(token, self.tokens[k])) > 0:
+                    places.append(int(k))
+                    weights.append(w)
+        return np.array(places, dtype=np.int64), np.array(weights)
+
+
+def align(gold: list[str], predicted: list[str], block: int | None = None) -> list[tuple[int, int, float]]:
     """The monotone alignment of greatest weight; of equal ones that which steps back in gold first, then in predicted.
 
-    Of the table of sums only one row is held, and of each cell two bits that tell the way back.
+    Of the table of sums every block-th row is held, from which a block's rows are worked out again on the way back, with two bits a cell. So
+    a page of n and m tokens takes room in the order of m * sqrt(n), not of n * m.
     """
-    rows, columns = sorted(set(gold)), sorted(set(predicted))
+    columns = sorted(set(predicted))
+    weights = Weights(columns)
     at_column = {t: i for i, t in enumerate(columns)}
     place = np.array([at_column[t] for t in predicted], dtype=np.int64)
-    known = {a: np.array([token_weight(a, b) for b in columns]) for a in rows}
-    best, up, left = np.zeros(len(predicted) + 1), [], []
-    for token in gold:
+    known = {token: weights.of(token) for token in set(gold)}
+    block = block or max(LEAST_ROWS, int(len(gold) ** 0.5))
+    row = np.zeros(len(columns) + 1)
+
+    def following(best: np.ndarray, token: str) -> np.ndarray:
+        where, w = known[token]
         now = np.zeros(len(predicted) + 1)
-        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + known[token][place]), out=now[1:])
-        up.append(np.packbits(now == best))
-        left.append(np.packbits(now[1:] == now[:-1]))
-        best = now
+        if len(where):
+            row[where] = w
+            np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row[place]), out=now[1:])
+            row[where] = 0
+        else:
+            now[1:] = best[1:]  # a token without any weight adds nothing, and rows never fall
+        return now
+
+    held, best = [np.zeros(len(predicted) + 1)], np.zeros(len(predicted) + 1)
+    for i, token in enumerate(gold, 1):
+        best = following(best, token)
+        if i % block == 0 and i < len(gold):
+            held.append(best)
     out, i, j = [], len(gold), len(predicted)
     bit = lambda bits, k: bits[k >> 3] >> (7 - (k & 7)) & 1
     while i and j:
-        if bit(up[i - 1], j):
-            i -= 1
-        elif bit(left[i - 1], j - 1):
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j, float(known[gold[i]][place[j]])))
+        first = (i - 1) // block * block
+        best, up, left = held.pop(), [], []
+        for token in gold[first:i]:
+            now = following(best, token)
+            up.append(np.packbits(now == best))
+            left.append(np.packbits(now[1:] == now[:-1]))
+            best = now
+        while i > first and j:
+            if bit(up[i - first - 1], j):
+                i -= 1
+            elif bit(left[i - first - 1], j - 1):
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                where, w = known[gold[i]]
+                out.append((i, j, float(w[np.flatnonzero(where == place[j])[0]])))
     return out[::-1]
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import load, with_views
+from ..fixtures import hold, load, with_views
 from ..functions import text as T
-from ..operators import evidence, identity, models, policy, resolve, score, stumps, telemetry
+from ..operators import evidence, identity, models, policy, resolve, rules, score, stumps, telemetry
 from ..sources import transcripts
 
 K = ["sequence_id", "page_index"]
@@ -78,6 +78,55 @@ def c4_candidate_bank(spark, sf_dir):
     return bank.select("region_id", F.transform("candidates", lambda c: F.concat_ws(":", c["source"], c["text"])).alias("candidates"))
 
 
+_BANK = """t AS (SELECT region_id, region_id AS region_pos FROM fx_lines WHERE region_id % 7 <> 3 UNION ALL SELECT region_id, region_id FROM fx_lines WHERE region_id % 11 = 5),
+    d AS (SELECT region_id, source AS candidate_id, text FROM fx_candidates UNION SELECT region_id, source, text || '!' FROM fx_candidates WHERE region_id % 13 = 2 AND source = 'nemotron'),
+    o AS (SELECT region_id, count(*) AS times FROM t GROUP BY region_id), f AS (SELECT DISTINCT region_id, candidate_id FROM d WHERE region_id % 13 = 2 AND candidate_id = 'nemotron')"""
+
+
+def _bank(spark, sf_dir):
+    """Every candidate twice; some regions are unknown, some come twice, some candidates contradict themselves."""
+    lines, rows = load(spark, sf_dir, "fx_lines", "fx_candidates")
+    i = F.col("region_id")
+    regions = lines.where(i % 7 != 3).unionByName(lines.where(i % 11 == 5)).select("region_id", i.alias("region_pos"))
+    first = rows.select("region_id", F.col("source").alias("candidate_id"), "text", F.lit(0).alias("position"))
+    other = first.where((i % 13 == 2) & (F.col("candidate_id") == "nemotron")).select("region_id", "candidate_id", F.concat("text", F.lit("!")).alias("text"), F.lit(2).alias("position"))
+    return evidence.checked_bank(regions, first.unionByName(first.withColumn("position", F.lit(1))).unionByName(other), ["region_id"])
+
+
+@query(
+    f"""WITH {_BANK} SELECT region_id, CAST(NULL AS VARCHAR) AS candidate_id, 'repeated_region' AS error FROM o WHERE times > 1 UNION ALL SELECT DISTINCT region_id, candidate_id, 'unknown_region' FROM d WHERE region_id NOT IN (SELECT region_id FROM o)
+    UNION ALL SELECT region_id, candidate_id, 'conflicting_candidate' FROM f""",
+    "fx_lines", "fx_candidates",
+)
+def c4_bank_errors(spark, sf_dir):
+    return _bank(spark, sf_dir)[1]
+
+
+@query(f"WITH {_BANK} SELECT region_id, list(candidate_id ORDER BY candidate_id) AS candidates FROM d JOIN o USING (region_id) WHERE times = 1 AND (region_id, candidate_id) NOT IN (SELECT (region_id, candidate_id) FROM f) GROUP BY region_id", "fx_lines", "fx_candidates")
+def c4_checked_bank(spark, sf_dir):
+    return _bank(spark, sf_dir)[0].select("region_id", F.array_sort(F.transform("candidates", lambda c: c["candidate_id"])).alias("candidates"))
+
+
+@query(
+    """SELECT doc_id AS region_id, trim(text) AS text, CASE WHEN k = 0 THEN s WHEN k = 1 THEN NULL WHEN k = 2 THEN s / 2 WHEN k = 3 THEN s END AS ocr_confidence, CASE WHEN k = 3 THEN 1 - s END AS visual_confidence, CASE WHEN k = 3 THEN doc_id % 2 = 0 END AS candidate_supported,
+    CASE k WHEN 0 THEN 'vocalisation' WHEN 3 THEN 'sound_effect' ELSE 'unknown' END AS semantic_type, CASE WHEN k = 2 THEN 100 + 0.25e0 * 50 END AS bx1, CASE WHEN k = 2 THEN 100 + 0.75e0 * 50 END AS bx2
+    FROM (SELECT *, doc_id % 5 AS k, (doc_id % 100) / 100.0e0 AS s FROM documents WHERE regexp_matches(text, '[^\\s\\p{Z}]'))""",
+)
+def c2_evidence_fields(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    k, share, even = F.col("doc_id") % 5, F.col("doc_id") % 100 / 100.0, F.col("doc_id") % 2 == 0
+    payload = (
+        F.when(k == 0, F.to_json(F.struct(F.struct(F.lit("unread").alias("transcription"), F.col("text").alias("rec_text"), share.alias("rec_score"), F.lit("Vocalization").alias("text_type")).alias("res"))))
+        .when(k == 1, F.to_json(F.struct(F.col("text").alias("text"), F.lit(True).alias("rec_score"), share.alias("score"))))
+        .when(k == 2, F.to_json(F.struct(F.col("text").alias("text"), (share / 2).cast("string").alias("confidence"), F.array(F.lit(0.75), F.lit(0.0), F.lit(0.25), F.lit(1.0)).alias("bbox"))))
+        .when(k == 3, F.to_json(F.struct(F.col("text").alias("transcription"), F.lit("other").alias("text"), share.alias("ocr_confidence"), (1 - share).alias("visual_confidence"), even.alias("candidate_supported"), F.lit("sound effect").alias("semantic_type"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("text"), F.lit(2.5).alias("ocr_confidence"), F.lit("yes").alias("candidate_supported"))))
+    )
+    source = F.when(k == 0, "ocr_base").when(k == 1, "ocr_upscale").when(k == 2, "nemotron").when(k == 3, "qwen3_vl").otherwise("fused")
+    raw = docs.select(F.col("doc_id").alias("region_id"), source.alias("source"), payload.alias("payload"), *[F.lit(v).alias(c) for c, v in (("x1", 100.0), ("y1", 0.0), ("x2", 150.0), ("y2", 20.0))])
+    return evidence.evidence_fields(raw).select("region_id", F.trim("text").alias("text"), "ocr_confidence", "visual_confidence", "candidate_supported", "semantic_type", "bx1", "bx2")
+
+
 @query()
 def c5_candidate_similarity(spark, sf_dir):
     rows = _candidates(spark, sf_dir).withColumn("candidate_id", F.concat_ws("-", "region_id", "source"))
@@ -92,6 +141,23 @@ def c6_fallback_adjudication(spark, sf_dir):
     return evidence.fallback_adjudication(_candidates(spark, sf_dir))
 
 
+_C6 = f"""SELECT b.balloon_id, CASE WHEN b.balloon_id % 10 = 9 THEN '' ELSE coalesce(said, '[balloon ' || substr(CAST(b.balloon_id AS VARCHAR), 1, 24) || ' -- adjudication unavailable]') END AS final_text,
+    CASE WHEN b.balloon_id % 10 = 9 THEN 'unknown' ELSE CASE b.balloon_id % 5 WHEN 1 THEN 'thought' WHEN 2 THEN 'narration' ELSE 'dialogue' END END AS text_type, b.balloon_id % 10 <> 9 AS include_in_story FROM (SELECT DISTINCT balloon_id FROM fx_candidates) b
+    LEFT JOIN (SELECT balloon_id, string_agg(t, ' ' ORDER BY region_id DESC) AS said FROM (SELECT balloon_id, region_id, trim(regexp_replace(CASE WHEN region_id % 6 = 1 OR balloon_id % 7 = 3 THEN ' ' ELSE text END, '^\\s+|\\s+$', '', 'g')) AS t, row_number() OVER (PARTITION BY region_id ORDER BY coalesce(ocr_confidence, 0) DESC, {_SOURCE}) AS n FROM fx_candidates)
+      WHERE n = 1 AND t <> '' GROUP BY balloon_id) f USING (balloon_id)"""
+
+
+@query(_C6, "fx_candidates")
+def c6_member_order(spark, sf_dir):
+    """Members from the last region to the first; some texts are blank, some balloons have no members."""
+    rows = _candidates(spark, sf_dir)
+    i = F.col("balloon_id")
+    balloons = rows.select("balloon_id").distinct().withColumn("kind", F.when(i % 5 == 0, "speech").when(i % 5 == 1, "thought").when(i % 5 == 2, "narration").when(i % 5 == 3, "unknown"))
+    members = rows.where(i % 10 != 9).select("balloon_id", "region_id").distinct().withColumn("member_pos", -F.col("region_id"))
+    texts = rows.select("region_id", F.col("region_id").alias("region_pos"), "position", F.when((F.col("region_id") % 6 == 1) | (i % 7 == 3), " ").otherwise(F.col("text")).alias("text"), "ocr_confidence")
+    return evidence.fallback_adjudications(balloons, members, texts, "member")
+
+
 _LISTED = "('dialogue', 'narration', 'thought', 'sound_effect', 'sign', 'title', 'metadata', 'document_text', 'vocalisation', 'unknown')"
 _C7 = f"""p AS (SELECT balloon_id, failure, CASE WHEN payload LIKE '```%' THEN regexp_replace(regexp_replace(payload, '^```(json)?\\s*', ''), '\\s*```$', '') ELSE payload END AS payload FROM fx_answers),
     v AS (SELECT balloon_id, failure, json_valid(payload) AS valid, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM p),
@@ -459,18 +525,38 @@ def v5_check_split(spark, sf_dir):
     return resolve.check_split(gold.where("sequence_id % 2 = 0"), gold.where("sequence_id % 3 = 0"))
 
 
+_V6 = """g AS (SELECT sequence_id, page_index, CASE WHEN k = 6 THEN 'r1' ELSE 'r' || region_pos END AS region_id, 'b' || region_pos AS balloon_id, x1, y1, CASE WHEN k = 7 AND sequence_id % 9 = 0 THEN x1 ELSE x2 END AS x2, y2, confidence * 1.2e0 AS confidence,
+      CASE k WHEN 1 THEN 'dialogue' WHEN 2 THEN 'shout' WHEN 3 THEN NULL ELSE 'sign' END AS category, k, region_pos FROM fx_regions),
+    a AS (SELECT sequence_id, page_index, 'b' || balloon_pos AS balloon_id, text_type, include_in_story, CASE WHEN balloon_pos = 2 THEN ' ' ELSE final_text END AS final_text FROM fx_adjudications),
+    m AS (SELECT sequence_id, page_index, balloon_id, 'r' || region_pos AS region_id FROM g)"""
+_KEY = lambda *c: "CAST(json_object(" + ", ".join(f"'{x}', {x}" for x in c) + ") AS VARCHAR)"
+_RID, _BID = _KEY("sequence_id", "page_index", "region_id"), _KEY("sequence_id", "page_index", "balloon_id")
+_MID = _KEY("sequence_id", "page_index", "balloon_id", "region_id")
+
+
+def _records(spark, sf_dir):
+    regions, adjudications = load(spark, sf_dir, "fx_regions", "fx_adjudications")
+    k, pos = F.col("k"), F.col("region_pos").cast("string")
+    named = regions.withColumns({
+        "region_id": F.when(k == 6, "r1").otherwise(F.concat(F.lit("r"), pos)), "balloon_id": F.concat(F.lit("b"), pos), "x2": F.when((k == 7) & (F.col("sequence_id") % 9 == 0), F.col("x1")).otherwise(F.col("x2")),
+        "confidence": F.col("confidence") * 1.2, "category": F.when(k == 1, "dialogue").when(k == 2, "shout").when(k == 3, F.lit(None)).otherwise("sign"),
+    })
+    said = adjudications.withColumns({"balloon_id": F.concat(F.lit("b"), F.col("balloon_pos").cast("string")), "final_text": F.when(F.col("balloon_pos") == 2, " ").otherwise(F.col("final_text"))})
+    return {
+        "regions": named.select(*K, "region_id", "x1", "y1", "x2", "y2", "confidence", "category"), "adjudications": said.select(*K, "balloon_id", "text_type", "include_in_story", "final_text"),
+        "members": named.select(*K, "balloon_id", F.concat(F.lit("r"), pos).alias("region_id")), "balloons": named.where("k <> 5").select(*K, "balloon_id"),
+    }
+
+
 @query(
-    "SELECT rule, count(*) AS n FROM (SELECT 'confidence_range' AS rule FROM fx_regions WHERE confidence > 0.9e0 UNION ALL SELECT 'empty_box' FROM fx_regions WHERE x2 - x1 < 30 UNION ALL SELECT 'duplicate_position' FROM fx_regions GROUP BY sequence_id, page_index, k HAVING count(*) > 1) GROUP BY rule",
-    "fx_regions",
+    f"""WITH {_V6} SELECT 'regions' AS record, 'range_confidence' AS rule, {_RID} AS key, 1 AS n FROM g WHERE confidence > 1 UNION ALL SELECT 'regions', 'kind_category', {_RID}, 1 FROM g WHERE category IS NULL OR category = 'shout'
+    UNION ALL SELECT 'regions', 'sound_box', {_RID}, 1 FROM g WHERE NOT (x2 > x1 AND y2 > y1) UNION ALL SELECT 'regions', 'unique_region', {_RID}, count(*) FROM g GROUP BY sequence_id, page_index, region_id HAVING count(*) > 1
+    UNION ALL SELECT 'adjudications', 'text_of_story', {_BID}, 1 FROM a WHERE include_in_story AND trim(final_text) = '' UNION ALL SELECT 'members', 'balloon_of_member', {_MID}, 1 FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE k <> 5 AND g.sequence_id = m.sequence_id AND g.page_index = m.page_index AND g.balloon_id = m.balloon_id)
+    UNION ALL SELECT 'members', 'region_of_member', {_MID}, 1 FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.sequence_id = m.sequence_id AND g.page_index = m.page_index AND g.region_id = m.region_id)""",
+    "fx_regions", "fx_adjudications",
 )
 def v6_schema_rules(spark, sf_dir):
-    (regions,) = load(spark, sf_dir, "fx_regions")
-    found = [
-        regions.where("confidence > 0.9").select(F.lit("confidence_range").alias("rule")),
-        regions.where("x2 - x1 < 30").select(F.lit("empty_box").alias("rule")),
-        regions.groupBy(*K, "k").count().where("count > 1").select(F.lit("duplicate_position").alias("rule")),
-    ]
-    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("rule").agg(F.count("*").alias("n"))
+    return rules.check_schema_rules(_records(spark, sf_dir))
 
 
 # ---- sources
@@ -692,6 +778,14 @@ def t13_macro_scores(spark, sf_dir):
     return score.macro_scores(scores, gold.where("sequence_id % 10 <> 7")).select("sequences", "missing_sequences", *r6(*score.METRICS))
 
 
+@query()
+def t13_macro_of_sequences(spark, sf_dir):
+    """The means of the scores that t12 gives."""
+    gold, predicted = load(spark, sf_dir, "fx_gold", "fx_pred")
+    (scores,) = hold(score.score_sequences(gold, predicted))
+    return score.macro_scores(scores, predicted).select("sequences", "missing_sequences", *r6(*score.METRICS))
+
+
 # ---- policies
 
 _X2 = f"""SELECT sequence_id, item_id, best_action, best_cer, base_cer, base_cer - best_cer AS gain, CASE WHEN base_cer - best_cer >= 0.03e0 THEN best_action ELSE 'NONE' END AS oracle_action FROM (
@@ -705,10 +799,10 @@ def _oracle(spark, sf_dir):
 def _blocks(spark, sf_dir):
     rows = _actions(spark, sf_dir)
     score_ = ((F.col("item_id") * 17 + F.col("action_pos") * 31) % 101).cast("double")
-    return rows.select(F.col("sequence_id").alias("page_id"), (F.col("item_id") % 5).alias("block_pos"), (F.col("item_id") * 3 % 7).alias("gt_pos"), "action", "action_pos", score_.alias("score"))
+    return rows.select(F.col("sequence_id").alias("page_id"), (F.col("item_id") % 5).alias("block_pos"), (F.col("item_id") % 3).alias("gt_pos"), "action", "action_pos", score_.alias("score"))
 
 
-_BLOCKS = "SELECT sequence_id AS page_id, item_id % 5 AS block_pos, item_id * 3 % 7 AS gt_pos, action, action_pos, CAST((item_id * 17 + action_pos * 31) % 101 AS DOUBLE) AS score FROM fx_actions"
+_BLOCKS = "SELECT sequence_id AS page_id, item_id % 5 AS block_pos, item_id % 3 AS gt_pos, action, action_pos, CAST((item_id * 17 + action_pos * 31) % 101 AS DOUBLE) AS score FROM fx_actions"
 _X1 = f"""SELECT page_id, block_pos, gt_pos, action, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, gt_pos ORDER BY score DESC, block_pos DESC) AS m FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id, block_pos ORDER BY score DESC, gt_pos, action_pos) AS n FROM ({_BLOCKS})) WHERE n = 1 AND score >= 50) WHERE m = 1"""
 
