@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def small_batches(df: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+def small_batches(df: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
     """df, with Arrow batches of about so many bytes in its session from now on, unless the session names another size.
 
     Spark's own bound is 64 MB, or 10,000 rows, of which the JVM and the Python worker of each task hold several.

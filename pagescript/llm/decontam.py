@@ -172,7 +172,7 @@ def searcher(index: Index, threshold: float):
         count = len(index.terms)
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(1), 1 << 20):
+            for texts in pieces(batch.column(1), 1 << 18):
                 split = pc.split_pattern_regex(pc.utf8_lower(texts), BREAK)
                 flat = split.flatten()
                 ends = split.offsets.to_numpy() - split.offsets[0].as_py()

@@ -37,7 +37,7 @@ from .components import components
 from .shingles import mixed, per_text, sets
 
 #: Bytes of text that are shingled at a time; this takes some forty times as much room.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Hashes and texts of one packed block.
 BLOCK_HASHES, BLOCK_TEXTS = 1_500_000, 60_000
 #: Hashes in one range, about.

@@ -45,7 +45,7 @@ LEVELS = 65
 #: Entries of a task's table of gains before it starts anew.
 CACHE = 20_000
 #: Bytes of text that are worked on at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 CUTOFF = 0.7
 _NONE, _BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 
