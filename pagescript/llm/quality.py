@@ -1,10 +1,11 @@
 """Quality rules: text statistics, fixed base rules, and robust multivariate outliers. Built-in expressions only.
 
 Each document gets a vector of three transformed statistics. For each language and source a minimum-covariance-determinant
-estimate is made: from a start of medians and median deviations, concentration steps keep the share ``SUBSET`` of the group that
-is nearest by Mahalanobis distance and estimate mean and covariance anew from it, until the determinant of no group falls any
-more. The covariance is then scaled so that the median distance is what a normal distribution has, and the estimate drawn towards that of all
-documents, the more the smaller the group is. Documents beyond ``CUTOFF`` go.
+estimate is made: from two starts, medians with quartile ranges and the plain mean and covariance, concentration steps keep the share ``SUBSET`` of the
+group that is nearest by Mahalanobis distance and estimate mean and covariance anew from it, until the determinant falls no more; the
+start that ends lower counts. The covariance is then scaled so that the median distance is what a normal distribution has, and drawn towards
+the scatter that groups have within themselves, the more the smaller the group is. The mean stays the group's own: a
+language or source that is unlike all others is no outlier for that. Documents beyond ``CUTOFF`` go.
 
 Estimates are sums and mergeable quantile sketches, so a group of any size is pre-aggregated where its rows are; only one row per
 group is joined back.
@@ -12,7 +13,7 @@ group is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, broadcast_if_small, cut, let
@@ -22,7 +23,9 @@ SYMBOLS = "#*$%&|<>"
 SUBSET = 0.75
 #: A group whose determinant falls by no more than this share in a step has settled.
 SETTLED = 1e-6
-#: A group's estimate counts by its documents, that of all documents as much as this many: small groups lean on it, large ones hardly.
+#: Steps at most; a step never makes an estimate worse, so where some group still moves its last estimate counts.
+MOST_STEPS = 25
+#: A group's covariance counts by its documents, the scatter within all groups as much as this many.
 PRIOR = 50.0
 #: Median of chi-squared with three degrees of freedom.
 MEDIAN = 2.366
@@ -117,26 +120,40 @@ def moments(rows: DataFrame, groups: list[str]) -> DataFrame:
     return rows.groupBy(*groups).agg(*[F.avg(f"z{i}").alias(f"m{i}") for i in (1, 2, 3)], *[F.covar_pop(f"z{i}", f"z{j}").alias(f"c{i}{j}") for i, j in pairs])
 
 
-def mcd(vectors: DataFrame, group: str, subset: float = SUBSET) -> DataFrame:
-    """Estimates per group: group + m1..m3, c11..c33, scaled to the normal distribution. group must not be null.
+_MOMENTS = ["m1", "m2", "m3", "c11", "c12", "c13", "c22", "c23", "c33"]
 
-    The start is the median and the quartile range of each statistic. A group keeps its estimate and takes part in no more steps once
-    a step doesn't lower its determinant (that of distance(), with the floors); as this is bounded below, the steps come to an end.
-    Groups whose subset is constant have a covariance of zero; the floors of distance() keep it usable.
-    """
+
+def starts(vectors: DataFrame, group: str) -> DataFrame:
+    """(group, start, m1.., c11..): 0, medians and quartile ranges, and 1, mean and covariance, of each group."""
     quartiles = vectors.groupBy(group).agg(*[F.percentile_approx(z, [0.25, 0.5, 0.75], 2000).alias(z) for z in DIMS])
     means = {f"m{i}": F.col(z)[1] for i, z in enumerate(DIMS, 1)}
     spreads = {f"c{i}{i}": F.pow((F.col(z)[2] - F.col(z)[0]) / 1.349, F.lit(2.0)) for i, z in enumerate(DIMS, 1)}
-    now = cut(quartiles.withColumns(means | spreads | {c: F.lit(0.0) for c in ("c12", "c13", "c23")}).drop(*DIMS).withColumns({"_det": F.lit(None).cast("double"), "_moved": F.lit(True)}))
-    while not (moving := now.where("_moved")).isEmpty():
-        far = vectors.join(broadcast_if_small(moving), group).select(group, *DIMS, distance(FLOORS).alias("d2"))
-        within = cut(far.groupBy(group).agg(F.percentile_approx("d2", subset, 2000).alias("most")))
-        step = moments(far.join(broadcast_if_small(within), group).where("d2 <= most"), [group]).withColumn("_new", determinant(FLOORS))
-        step = cut(step.join(moving.select(group, "_det"), group).where(F.col("_det").isNull() | (F.col("_new") < F.col("_det") * (1 - SETTLED))))
+    robust = quartiles.withColumns(means | spreads | {c: F.lit(0.0) for c in ("c12", "c13", "c23")}).select(group, F.lit(0).alias("start"), *_MOMENTS)
+    return robust.unionByName(moments(vectors, [group]).select(group, F.lit(1).alias("start"), *_MOMENTS))
+
+
+def mcd(vectors: DataFrame, group: str, subset: float = SUBSET, most_steps: int = MOST_STEPS) -> DataFrame:
+    """Estimates per group: group + m1..m3, c11..c33, scaled to the normal distribution. group must not be null.
+
+    A group keeps an estimate and takes part in no more steps from its start once a step doesn't lower its determinant (that of distance(), with
+    the floors). Of the two ends the one of lower determinant counts, of equals the first. Groups whose subset is constant have a covariance
+    of zero; the floors of distance() keep it usable.
+    """
+    own = [group, "start"]
+    now = cut(starts(vectors, group).withColumns({"_det": F.lit(None).cast("double"), "_moved": F.lit(True)}))
+    for _ in range(most_steps):
+        moving = now.where("_moved")
+        if moving.isEmpty():
+            break
+        far = vectors.join(broadcast_if_small(moving), group).select(*own, *DIMS, distance(FLOORS).alias("d2"))
+        within = cut(far.groupBy(*own).agg(F.percentile_approx("d2", subset, 2000).alias("most")))
+        step = moments(far.join(broadcast_if_small(within), own).where("d2 <= most"), own).withColumn("_new", determinant(FLOORS))
+        step = cut(step.join(moving.select(*own, "_det"), own).where(F.col("_det").isNull() | (F.col("_new") < F.col("_det") * (1 - SETTLED))))
         taken = step.drop("_det").withColumnRenamed("_new", "_det").withColumn("_moved", F.lit(True))
-        stays = now.join(step.select(group), group, "left_anti").withColumn("_moved", F.lit(False))
+        stays = now.join(step.select(*own), own, "left_anti").withColumn("_moved", F.lit(False))
         now = cut(stays.unionByName(taken))
-    now = now.drop("_det", "_moved")
+    least = F.min(F.struct(F.coalesce("_det", F.lit(float("inf"))).alias("d"), "start", *_MOMENTS)).alias("b")
+    now = cut(now.groupBy(group).agg(least).select(group, *[f"b.{c}" for c in _MOMENTS]))
     far = vectors.join(broadcast_if_small(now), group).select(group, distance().alias("d2"))
     scale = far.groupBy(group).agg((F.percentile_approx("d2", 0.5, 2000) / F.lit(MEDIAN)).alias("scale"))
     # A scale below 1 or from a degenerate group is no evidence that documents are closer together than their subset.
@@ -144,30 +161,30 @@ def mcd(vectors: DataFrame, group: str, subset: float = SUBSET) -> DataFrame:
     return cut(now.join(scale, group).withColumn("_f", factor).select(group, "m1", "m2", "m3", *[(F.col(c) * F.col("_f")).alias(c) for c in ("c11", "c12", "c13", "c22", "c23", "c33")]))
 
 
-def drawn(estimates: DataFrame, sizes: DataFrame, everything: Row, prior: float) -> DataFrame:
-    """(own, m1.., c11..): estimates of groups drawn towards everything by n / (n + prior). sizes: (own, count), one row a group."""
+def drawn(estimates: DataFrame, sizes: DataFrame, prior: float) -> DataFrame:
+    """(own, m1.., c11..): estimates of groups with covariances drawn towards their mean by documents by n / (n + prior). sizes: (own, count), one row a group."""
     weight = F.col("count") / (F.col("count") + F.lit(prior))
-    names = [c for c in estimates.columns if c != "group"]
-    joined = sizes.join(estimates.withColumnRenamed("group", "own"), "own")
-    return joined.select("own", *[(weight * F.col(c) + (1 - weight) * F.lit(everything[c])).alias(c) for c in names])
+    joined = cut(sizes.join(estimates.withColumnRenamed("group", "own"), "own"))
+    scatter = [c for c in _MOMENTS if c.startswith("c")]
+    within = joined.agg(*[(F.sum(F.col("count") * F.col(c)) / F.sum("count")).alias(c) for c in scatter]).first()
+    return joined.select("own", "m1", "m2", "m3", *[(weight * F.col(c) + (1 - weight) * F.lit(within[c])).alias(c) for c in scatter])
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: float = PRIOR) -> DataFrame:
     """Per document: doc_id, lang, source, the statistics, base_failed, distance2 (null if base_failed), kept.
 
     Documents that fail the base rules take no part in the estimates. Null languages and sources are groups of their own, as any other
-    value; a group of any size has an estimate, drawn towards that of all documents as if prior of these were in it. Repeated rows are
-    separate documents. An empty table gives an empty result.
+    value; a group of any size has an estimate, its covariance drawn towards the scatter within all groups as if prior documents of that were in it.
+    A document that is alone in its group is at its middle. Repeated rows are separate documents. An empty table gives an empty result.
     """
     group = F.concat_ws("/", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     stats = vector(statistics(docs.select("doc_id", "lang", "source", "text")).drop("text")).withColumn("base_failed", base_failed())
     named = cut(stats.withColumn("own", group))
     sizes = cut(named.where("NOT base_failed").groupBy("own").count())
-    estimates = mcd(named.where("NOT base_failed").select(F.explode(F.array("own", F.lit("*"))).alias("group"), *DIMS), "group")
-    everything = estimates.where("group = '*'").first()
-    if everything is None:  # no document passes the base rules
+    if sizes.isEmpty():  # no document passes the base rules
         return named.select(*stats.columns, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
-    judged = named.join(broadcast_if_small(cut(drawn(estimates, sizes, everything, prior))), "own", "left")
+    estimates = mcd(named.where("NOT base_failed").select(F.col("own").alias("group"), *DIMS), "group")
+    judged = named.join(broadcast_if_small(cut(drawn(estimates, sizes, prior))), "own", "left")
     judged = judged.withColumn("distance2", F.when(F.col("base_failed"), None).otherwise(distance(FLOORS)))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return judged.withColumn("kept", kept).select(*stats.columns, "distance2", "kept")
