@@ -62,16 +62,19 @@ def mix(docs: DataFrame, seed: str = "mix", max_ratio: float = 3.0, buckets: int
     """
     taken = {"size", "source_size", "target", "copies", "taken"} & {c.lower() for c in docs.columns}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in taken])
-    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
+    known = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    whole = docs.select("doc_id", "source", "text", F.xxhash64(*known).alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
     sized = whole.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.lit(seed))
+    # Rows without an id, and rows of one id, are told apart by their texts.
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce("text", F.lit(""))), F.lit("/"), F.lit(seed))
     octave = F.length(F.bin(F.col("size") + 1)) - 1
     keyed = sized.select(
         "doc_id",
         "source",
         "size",
         "_in",
+        "_tie",
         name.alias("_name"),
         (F.lit(CLASSES_PER_OCTAVE) * octave + F.floor((F.col("size") + 1) * F.lit(CLASSES_PER_OCTAVE) / F.pow(F.lit(2.0), octave))).alias("_class"),
         F.floor(hex_unit(key) * F.lit(buckets)).cast("int").alias("_bucket"),
@@ -85,7 +88,7 @@ def mix(docs: DataFrame, seed: str = "mix", max_ratio: float = 3.0, buckets: int
         .join(targets.drop("source"), "_name")
         .select("_name", "_class", "_bucket", "_before", "_rate", "source_size", "target", hex_unit(F.concat(F.col("_name"), F.lit("/"), F.lit(seed))).alias("_offset"))
     )
-    inside = Window.partitionBy("_name", "_class", "_bucket").orderBy("size", "doc_id")
+    inside = Window.partitionBy("_name", "_class", "_bucket").orderBy("size", "doc_id", "_tie")
     upto = F.col("_before") + F.col("_row")
     crossed = F.floor(upto * F.col("_rate") + F.col("_offset")) - F.floor((upto - 1) * F.col("_rate") + F.col("_offset"))
     return (

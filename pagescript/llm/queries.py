@@ -114,14 +114,14 @@ def queries() -> dict:
 
 _UNIT = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT) / 4294967296.0e0"
 MIX_SQL = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce('s' || source, 'n') AS name FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce('s' || source, 'n') AS name FROM documents),
 s AS (SELECT name, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY name),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0e0 AS cap, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM s),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w
   WINDOW b AS (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT (SELECT level FROM l WHERE cap / weight > level ORDER BY cap / weight, rk LIMIT 1) AS final),
 t AS (SELECT name, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, weight * final) END AS target FROM l, f),
-k AS (SELECT *, length(bin(size + 1)) - 1 AS o, floor({_UNIT.format("coalesce(CAST(doc_id AS VARCHAR), '') || '/mix'")} * 128) AS bucket FROM d),
+k AS (SELECT *, length(bin(size + 1)) - 1 AS o, floor({_UNIT.format("coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, '')) || '/mix'")} * 128) AS bucket FROM d),
 n AS (SELECT doc_id, size, name, row_number() OVER (PARTITION BY name ORDER BY 4 * o + floor((size + 1) * 4 / pow(2.0e0, o)), bucket, size, doc_id) AS upto FROM k),
 c AS (SELECT n.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, {_UNIT.format("n.name || '/mix'")} AS start FROM n JOIN t USING (name))
 SELECT doc_id, size, source_size, target, size * CAST(least(floor(upto * rate + start) - floor((upto - 1) * rate + start), 3) AS BIGINT) AS taken FROM c

@@ -90,12 +90,14 @@ class Ledger:
             stream.close()
 
     def _claim(self, name: str, content: str) -> bool:
-        """Create a commit; False if there is one of that name."""
+        """Create a commit; False if there is one of that name, RuntimeError if that one is not finished.
+
+        Only who creates the file may write to it, and nobody takes it away: whether its writer is at work or has broken off can't be told
+        from here, so an unfinished commit stays until abandon().
+        """
         path = self._path(f"{self.path}/commits/{name}")
-        if self._fs.exists(path):
-            if self._read(name):
-                return False
-            self._fs.delete(path, False)  # of a writer that broke off
+        if self._finished(name):
+            return False
         try:
             stream = self._fs.create(path, False)
         except Py4JJavaError as e:
@@ -108,6 +110,20 @@ class Ledger:
             stream.close()
         return True
 
+    def _finished(self, name: str) -> bool:
+        """Whether there is a commit of that name; RuntimeError if it is not finished."""
+        if not self._fs.exists(self._path(f"{self.path}/commits/{name}")):
+            return False
+        if not self._read(name):
+            raise RuntimeError(f"{name} is being committed, or its writer broke off; abandon() it once no writer is left")
+        return True
+
+    def abandon(self, batch_id: str) -> bool:
+        """Take away an unfinished commit whose writer is known to be gone; False if there is none, or it is finished."""
+        name = f"batch={batch_id}"
+        path = self._path(f"{self.path}/commits/{name}")
+        return bool(self._fs.exists(path) and not self._read(name) and self._fs.delete(path, False))
+
     def _commits(self) -> dict[str, str]:
         folder = self._path(f"{self.path}/commits")
         if not self._fs.exists(folder):
@@ -127,7 +143,9 @@ class Ledger:
         """Add a batch of signed rows; False if the ledger has the id already. Rows of a group are summed before they are written."""
         if self.committed(batch_id):
             return False
+        self._finished(f"batch={batch_id}")
         name = self._write(deltas)
+        # If this raises, the table stays: the commit may name it already.
         if self._claim(f"batch={batch_id}", name):
             return True
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
