@@ -11,7 +11,16 @@ GROUP = ["sequence_id", "page_index"]
 
 
 def pair_features(balloons: DataFrame, group: list[str] = GROUP, position: str = "pos") -> DataFrame:
-    """One row per pair of balloons of a group, a before b by position: overlaps, containment (within 1 px), gaps, same row / column."""
+    """One row per pair of balloons of a group, a before b by position: overlaps, containment (within 1 px), gaps, same row / column.
+
+    Where balloons have a reference box (ref_x1 to ref_y2, see with_reference), also both centers as shares of it: a_rel_cx to b_rel_cy.
+    All pairs of a group are what is asked for: groups are panels, or pages without panels.
+    """
+    relative = []
+    if "ref_x1" in balloons.columns:
+        side = lambda s, lo, hi: F.greatest(F.col(f"{s}.ref_{hi}") - F.col(f"{s}.ref_{lo}"), F.lit(1.0))
+        for s in ("a", "b"):
+            relative += [((center_x(s) - F.col(f"{s}.ref_x1")) / side(s, "x1", "x2")).alias(f"{s}_rel_cx"), ((center_y(s) - F.col(f"{s}.ref_y1")) / side(s, "y1", "y2")).alias(f"{s}_rel_cy")]
     a, b = balloons.alias("a"), balloons.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in group]
     on = F.col(f"a.{position}") < F.col(f"b.{position}")
@@ -34,9 +43,19 @@ def pair_features(balloons: DataFrame, group: list[str] = GROUP, position: str =
         (center_y("b") - center_y("a")).alias("dy"),
         F.when(smaller_h > 0, overlap_y("a", "b") >= 0.6 * smaller_h).otherwise(False).alias("same_row"),
         F.when(smaller_w > 0, overlap_x("a", "b") >= 0.6 * smaller_w).otherwise(False).alias("same_column"),
+        *relative,
     )
 
 
+def with_reference(balloons: DataFrame, panels: DataFrame, pages: DataFrame) -> DataFrame:
+    """balloons + ref_x1 to ref_y2: the box of their panel (panel_pos), else the page from 0 to its size, at least 1."""
+    boxes = panels.select(*GROUP, "panel_pos", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    joined = balloons.join(boxes, [*GROUP, "panel_pos"], "left").join(pages.select(*GROUP, F.col("width").alias("_w"), F.col("height").alias("_h")), GROUP, "left")
+    inside = F.col("_x1").isNotNull()
+    page = {"x1": F.lit(0.0), "y1": F.lit(0.0), "x2": F.greatest(F.coalesce("_w", F.lit(0)), F.lit(1)).cast("double"), "y2": F.greatest(F.coalesce("_h", F.lit(0)), F.lit(1)).cast("double")}
+    return joined.withColumns({f"ref_{c}": F.when(inside, F.col(f"_{c}")).otherwise(whole) for c, whole in page.items()}).drop("_x1", "_y1", "_x2", "_y2", "_w", "_h")
+
+
 def order_edges(pairs: DataFrame, group: list[str] = GROUP, rtl: bool | None = True) -> DataFrame:
     """(group, first, second, confidence, rule): which of each pair is read first.
 
@@ -102,6 +121,21 @@ def page_order(balloons: DataFrame, panels: DataFrame, rtl: bool | None = True)
     return ranks.join(placed, group, "left").select(*GROUP, "pos", "panel_rank", "balloon_rank")
 
 
+def order_diagnostics(pages: DataFrame, balloons: DataFrame, panels: DataFrame) -> DataFrame:
+    """(sequence, page, component, code, pos) of what page_order() had to do without.
+
+    no_layout_panels (no pos): a page without any panel of the layout model with a sound box; balloon_unassigned: a balloon of another page whose panel_pos is
+    none of the page's panels, and which is read after all others. panels may have a source; balloons have their panel_pos, as
+    best_panel_for_balloon() gives it.
+    """
+    real = panels.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    real = (real.where("source = 'layout_model'") if "source" in panels.columns else real).select(*GROUP, "panel_pos")
+    with_any = real.select(*GROUP).distinct()
+    none = pages.select(*GROUP).distinct().join(with_any, GROUP, "left_anti").select(*GROUP, F.lit("panel_order").alias("component"), F.lit("no_layout_panels").alias("code"), F.lit(None).cast(dict(balloons.dtypes)["pos"]).alias("pos"))
+    lost = balloons.join(with_any, GROUP, "left_semi").join(real, [*GROUP, "panel_pos"], "left_anti").select(*GROUP, F.lit("panel_assignment").alias("component"), F.lit("balloon_unassigned").alias("code"), "pos")
+    return none.unionByName(lost)
+
+
 def sequence_order(pages: DataFrame) -> DataFrame:
     """+ sequence_position from 0 along pages, panels (those without last) and balloons."""
     along = Window.partitionBy("sequence_id").orderBy("page_index", F.col("panel_rank").isNull(), "panel_rank", "balloon_rank", "pos")

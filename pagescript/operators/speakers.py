@@ -23,10 +23,11 @@ def speaker_scores(candidates: DataFrame) -> DataFrame:
 
 
 def resolve_speakers(balloons: DataFrame, candidates: DataFrame, visual: DataFrame | None = None) -> DataFrame:
-    """(keys, pos, character_pos, method, confidence, rule) of every balloon.
+    """(keys, pos, character_pos, method, confidence, rule, selected_score, runner_up_score, score_margin) of every balloon.
 
     candidates: scored, + has_tail, tail_inside, tail_distance (null without a tail). visual: (keys, pos, character_pos, vote).
-    A balloon with a tail is settled by the tail or by the vote, never by the score without a tail.
+    A balloon with a tail is settled by the tail or by the vote, never by the score without a tail; scores are given only where they were
+    weighed: without a tail, unless the one candidate in the panel settled it.
     """
     own = [*KEYS, "pos"]
     by_score = Window.partitionBy(*own).orderBy(F.desc("score"), "character_pos")
@@ -65,7 +66,9 @@ def resolve_speakers(balloons: DataFrame, candidates: DataFrame, visual: DataFra
     who = F.when(is_("tail_inside"), F.col("hit")).when(is_("tail_near"), F.col("near.character_pos")).when(is_("only_candidate", "score"), F.col("best.character_pos")).when(is_("visual"), -F.col("v.c"))
     method = F.when(is_("tail_inside", "tail_near"), "tail").when(is_("only_candidate", "score"), "spatial").when(is_("visual"), F.when(F.col("has_tail") | F.coalesce("any_same", F.lit(False)), "hybrid").otherwise("visual")).otherwise("unknown")
     confidence = F.when(is_("only_candidate"), 0.58).when(is_("score"), F.least(F.lit(0.99), 0.5 + 0.5 * F.least(F.lit(1.0), F.col("best.score") + margin))).when(is_("visual"), F.col("v.vote"))
-    found = decided.select(*own, who.alias("character_pos"), method.alias("method"), confidence.alias("confidence"), "rule")
+    weighed = ~F.col("has_tail") & ~is_("only_candidate")
+    scores = [F.when(weighed, value).alias(name) for value, name in ((F.col("best.score"), "selected_score"), (F.col("next"), "runner_up_score"), (margin, "score_margin"))]
+    found = decided.select(*own, who.alias("character_pos"), method.alias("method"), confidence.alias("confidence"), "rule", *scores)
     return balloons.select(*own).join(found, own, "left").fillna({"method": "unknown", "rule": "no_candidate"})
 
 
@@ -74,9 +77,25 @@ def candidate_ids(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(*KEYS, "pos").agg(F.sort_array(F.collect_list("character_pos")).alias("character_ids"))
 
 
-def compare_grounding(decisions: DataFrame, old_rules: list[str]) -> DataFrame:
-    """+ old_character_pos: what a system that has only the old rules would have said."""
-    return decisions.withColumn("old_character_pos", F.when(F.col("rule").isin(old_rules), F.col("character_pos")))
+#: Rules of systems without scores, and what is said of a decision by its rule. Fixed values.
+OLD_RULES = ["tail_inside", "tail_near", "only_candidate"]
+REASONS = {"tail_inside": "unique_tail_endpoint_inside_character", "tail_near": "unique_near_tail_endpoint", "only_candidate": "only_visible_character_instance_in_panel", "score": "multi_feature_no_tail", "no_candidate": "no_candidates"}
+
+
+def compare_grounding(decisions: DataFrame, old_rules: list[str] = OLD_RULES, labels: DataFrame | None = None) -> DataFrame:
+    """decisions + old_character_pos, reason and, with labels (keys, pos, speaker), old_result and new_result.
+
+    old_character_pos is what a system that has only the old rules would have said. reason is the rule's name; of decisions that fell through, that
+    scores were weighed in vain, or that there was no evidence. Results are the labels, UNKNOWN without one; the old result is the label
+    where an old rule settled it.
+    """
+    old = F.col("rule").isin(old_rules)
+    reason = F.coalesce(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[F.col("rule")], F.when(F.col("rule") == "visual", "visual").when(F.col("selected_score").isNotNull(), "insufficient_or_ambiguous_no_tail_evidence").otherwise("insufficient_or_ambiguous_evidence"))
+    compared = decisions.withColumns({"old_character_pos": F.when(old, F.col("character_pos")), "reason": reason})
+    if labels is None:
+        return compared
+    named = compared.join(labels.select(*KEYS, "pos", "speaker"), [*KEYS, "pos"], "left")
+    return named.withColumns({"old_result": F.when(old, F.coalesce("speaker", F.lit("UNKNOWN"))).otherwise("UNKNOWN"), "new_result": F.coalesce("speaker", F.lit("UNKNOWN"))}).drop("speaker")
 
 
 def balloon_tails(balloons: DataFrame) -> DataFrame:

@@ -307,7 +307,7 @@ def d3_first_by_key(spark, sf_dir):
 
 @query(
     """SELECT sequence_id, page_index, CAST(panel_pos AS INT) AS ordinal, x1, y1, x2, y2, 'layout_model' AS source FROM (SELECT sequence_id, page_index, x1, y1, x2, y2, row_number() OVER (PARTITION BY sequence_id, page_index ORDER BY y1, x1, y2, x2, panel_pos) AS panel_pos FROM fx_panels)
-    UNION ALL SELECT sequence_id, page_index, 1, 0, 0, width, height, 'page_fallback' FROM fx_pages p WHERE NOT EXISTS (SELECT 1 FROM fx_panels q WHERE p.sequence_id = q.sequence_id AND p.page_index = q.page_index)""",
+    UNION ALL SELECT sequence_id, page_index, 1, 0, 0, width, height, 'page_fallback' FROM fx_pages WHERE sequence_id % 5 = 0""",
     "fx_panels", "fx_pages",
 )
 def l1_panels_or_fallback(spark, sf_dir):
@@ -401,6 +401,18 @@ def o1_pair_features(spark, sf_dir):
     return order.pair_features(_balloons(spark, sf_dir)).select(*K, "a_pos", "b_pos", F.round("overlap", 6).alias("overlap"), "a_contains_b", "b_contains_a", "dx", "dy", "same_row", "same_column")
 
 
+@query(
+    f"""WITH u AS (SELECT r.*, r.region_pos AS pos, coalesce(q.x1, 0) AS rx1, coalesce(q.y1, 0) AS ry1, coalesce(q.x2, p.width) AS rx2, coalesce(q.y2, p.height) AS ry2 FROM fx_regions r JOIN fx_pages p USING (sequence_id, page_index) LEFT JOIN fx_panels q ON q.sequence_id = r.sequence_id AND q.page_index = r.page_index AND q.panel_pos = r.k)
+    SELECT a.sequence_id, a.page_index, a.pos AS a_pos, b.pos AS b_pos, round(((a.x1 + a.x2) / 2 - a.rx1) / (a.rx2 - a.rx1), 6) AS a_rel_cx, round(((a.y1 + a.y2) / 2 - a.ry1) / (a.ry2 - a.ry1), 6) AS a_rel_cy, round(((b.x1 + b.x2) / 2 - b.rx1) / (b.rx2 - b.rx1), 6) AS b_rel_cx,
+      round(((b.y1 + b.y2) / 2 - b.ry1) / (b.ry2 - b.ry1), 6) AS b_rel_cy FROM u a JOIN u b ON {PAGE} AND a.pos < b.pos""",
+    "fx_regions", "fx_pages", "fx_panels",
+)
+def o1_relative_centers(spark, sf_dir):
+    regions, pages, panels = load(spark, sf_dir, "fx_regions", "fx_pages", "fx_panels")
+    placed = order.with_reference(regions.withColumnsRenamed({"region_pos": "pos"}).withColumn("panel_pos", F.col("k")), panels, pages)
+    return order.pair_features(placed).select(*K, "a_pos", "b_pos", *[F.round(c, 6).alias(c) for c in ("a_rel_cx", "a_rel_cy", "b_rel_cx", "b_rel_cy")])
+
+
 _EDGES = f"""SELECT sequence_id, page_index, CASE WHEN f THEN a_pos ELSE b_pos END AS first, CASE WHEN f THEN b_pos ELSE a_pos END AS second,
     CASE WHEN ab OR ba THEN 0.85e0 WHEN (overlap >= 0.6e0 OR same_row) AND dx = 0 THEN 0.4e0 WHEN overlap >= 0.6e0 OR same_row THEN 0.78e0 WHEN abs(dy) > 10 THEN 0.82e0 WHEN dx = 0 THEN 0.4e0 ELSE 0.78e0 END AS confidence FROM (SELECT *, {_FIRST} AS f FROM ({_PAIRS}))"""
 
@@ -449,6 +461,18 @@ def o6_page_order(spark, sf_dir):
     return order.page_order(hold(placed)[0], panels)
 
 
+@query(
+    f"""SELECT sequence_id, page_index, 'panel_order' AS component, 'no_layout_panels' AS code, CAST(NULL AS INT) AS pos FROM fx_pages p LEFT JOIN (SELECT DISTINCT sequence_id, page_index, 1 AS found FROM fx_panels) USING (sequence_id, page_index) WHERE found IS NULL
+    UNION ALL SELECT sequence_id, page_index, 'panel_assignment', 'balloon_unassigned', pos FROM ({_J4}) JOIN (SELECT DISTINCT sequence_id, page_index FROM fx_panels) USING (sequence_id, page_index) WHERE panel_pos IS NULL OR pos = 6""",
+    "fx_regions", "fx_panels", "fx_pages",
+)
+def o6_order_diagnostics(spark, sf_dir):
+    """Every sixth balloon is told to be in a panel that its page does not have."""
+    regions, panels, pages = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_pages")
+    placed = spatial.best_panel_for_balloon(regions.withColumnRenamed("region_pos", "pos"), panels)
+    return order.order_diagnostics(pages, placed.withColumn("panel_pos", F.when(F.col("pos") == 6, 99).otherwise(F.col("panel_pos"))), panels)
+
+
 @query(f"WITH {_U}, {_RANK} SELECT sequence_id, page_index, pos, balloon_rank, row_number() OVER (PARTITION BY sequence_id ORDER BY page_index, balloon_rank, pos) - 1 AS sequence_position FROM o", "fx_regions")
 def o7_sequence_order(spark, sf_dir):
     balloons = _balloons(spark, sf_dir)
@@ -471,11 +495,27 @@ def p2_speaker_scores(spark, sf_dir):
     return _scored(spark, sf_dir)[1].select(*K, "pos", "character_pos", F.round("score", 6).alias("score"))
 
 
-@query()
+_P3 = f"""WITH s AS (SELECT *, pos % 4 = 0 AS has_tail, CASE WHEN pos % 4 = 0 THEN box_distance END AS td FROM ({_P2})),
+  r AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, page_index, pos ORDER BY score DESC, character_pos) AS sn, row_number() OVER (PARTITION BY sequence_id, page_index, pos ORDER BY td NULLS LAST, character_pos) AS tn FROM s),
+  f AS (SELECT sequence_id, page_index, pos, bool_or(has_tail) AS has_tail, count(*) AS n, count(*) FILTER (td = 0) AS hits, min(character_pos) FILTER (td = 0) AS hit, min(character_pos) FILTER (tn = 1) AS near, min(td) FILTER (tn = 1) AS nd, min(td) FILTER (tn = 2) AS far,
+    min(character_pos) FILTER (sn = 1) AS best, min(score) FILTER (sn = 1) AS bs, coalesce(min(score) FILTER (sn = 2), 0) AS nxt, coalesce(bool_or(same_panel) FILTER (sn = 1), false) AS sp, min(overlap) FILTER (sn = 1) AS ov FROM r GROUP BY ALL),
+  d AS (SELECT *, CASE WHEN has_tail AND hits = 1 THEN 'tail_inside' WHEN has_tail AND nd <= 0.025e0 AND (far IS NULL OR far - nd >= 0.03e0) THEN 'tail_near' WHEN NOT has_tail AND n = 1 AND sp THEN 'only_candidate'
+    WHEN NOT has_tail AND bs >= 0.6e0 AND bs - nxt >= 0.15e0 AND (least(1.0e0, ov / 0.75e0) >= 0.65e0 OR sp) THEN 'score' ELSE 'unknown' END AS rule FROM f),
+  e AS (SELECT *, NOT has_tail AND rule <> 'only_candidate' AS weighed, CASE rule WHEN 'tail_inside' THEN hit WHEN 'tail_near' THEN near WHEN 'only_candidate' THEN best WHEN 'score' THEN best END AS who FROM d)
+  SELECT sequence_id, page_index, region_pos AS pos, who AS character_pos, CASE WHEN rule IN ('tail_inside', 'tail_near') THEN 'tail' WHEN rule IN ('only_candidate', 'score') THEN 'spatial' ELSE 'unknown' END AS method,
+    CASE rule WHEN 'only_candidate' THEN 0.58e0 WHEN 'score' THEN round(least(0.99e0, 0.5e0 + 0.5e0 * least(1.0e0, bs + bs - nxt)), 6) END AS confidence, coalesce(rule, 'no_candidate') AS rule, CASE WHEN weighed THEN round(bs, 6) END AS selected_score,
+    CASE WHEN weighed THEN round(nxt, 6) END AS runner_up_score, CASE WHEN weighed THEN round(bs - nxt, 6) END AS score_margin, CASE WHEN rule IN ('tail_inside', 'tail_near', 'only_candidate') THEN who END AS old_character_pos,
+    CASE WHEN rule IS NULL THEN 'no_candidates' WHEN rule = 'tail_inside' THEN 'unique_tail_endpoint_inside_character' WHEN rule = 'tail_near' THEN 'unique_near_tail_endpoint' WHEN rule = 'only_candidate' THEN 'only_visible_character_instance_in_panel'
+      WHEN rule = 'score' THEN 'multi_feature_no_tail' WHEN weighed THEN 'insufficient_or_ambiguous_no_tail_evidence' ELSE 'insufficient_or_ambiguous_evidence' END AS reason
+  FROM (SELECT sequence_id, page_index, region_pos FROM fx_regions) LEFT JOIN (SELECT *, pos AS region_pos FROM e) USING (sequence_id, page_index, region_pos)"""
+
+
+@query(f"SELECT * FROM ({_P3})", "fx_regions", "fx_characters", "fx_pages")
 def p3_resolve_speakers(spark, sf_dir):
     balloons, scored = _scored(spark, sf_dir)
     tailed = scored.withColumns({"has_tail": F.col("pos") % 4 == 0, "tail_distance": F.when(F.col("pos") % 4 == 0, F.col("box_distance"))}).withColumn("tail_inside", F.when(F.col("has_tail"), F.col("box_distance") == 0))
-    return speakers.compare_grounding(speakers.resolve_speakers(balloons, tailed), ["tail_inside", "only_candidate"]).withColumn("confidence", F.round("confidence", 6))
+    found = speakers.compare_grounding(speakers.resolve_speakers(balloons, tailed))
+    return found.withColumns({c: F.round(c, 6) for c in ("confidence", "selected_score", "runner_up_score", "score_margin")})
 
 
 @query(f"SELECT sequence_id, page_index, pos, list(character_pos ORDER BY character_pos) AS character_ids FROM ({_J8}) GROUP BY ALL", "fx_regions", "fx_characters", "fx_pages")

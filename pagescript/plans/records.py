@@ -1036,6 +1036,26 @@ def m2_page_stats(spark, sf_dir):
     return telemetry.page_stats(regions.withColumnRenamed("region_pos", "balloon_pos").select(*K, "balloon_pos"), adjudications)
 
 
+_COUNTED = {
+    "regions": "fx_regions", "balloons": "b", "story_decisions": "a WHERE include_in_story", "characters": "c", "speakers_resolved": "r WHERE resolution = 'ordered' AND speaker <> 'NARRATION' AND identity_state IS NOT NULL", "speakers_narration": "r WHERE resolution = 'ordered' AND speaker = 'NARRATION'",
+    "speakers_unresolved": "r WHERE resolution = 'ordered' AND speaker IS NULL", "speakers_ambiguous": "r WHERE resolution = 'ordered' AND identity_state = 'ambiguous'", "clusters": "i", "clusters_matched": "i WHERE state = 'matched'", "clusters_ambiguous": "i WHERE state = 'ambiguous'", "pairs": "c x JOIN c y USING (sequence_id) WHERE x.page_index < y.page_index",
+    "ordered": "r WHERE resolution = 'ordered'", "excluded": "r WHERE resolution = 'excluded'", "unresolved": "r WHERE resolution = 'unresolved'", "diagnostics": "d", "errors": f"d WHERE CASE code {_SEVERITY} END = 'error'", "candidates": "b WHERE balloon_id % 3 = 0",
+}
+
+
+@query(
+    f"WITH {_CAST}, r AS ({_R1}), d AS (SELECT sequence_id, unnest(codes) AS code FROM r), m AS (" + " UNION ALL ".join(f"SELECT sequence_id, '{k}' AS metric FROM {v}" for k, v in _COUNTED.items()) + ") SELECT sequence_id, metric, count(*) AS n FROM m GROUP BY GROUPING SETS ((sequence_id, metric), (metric))",
+    "fx_regions", "fx_adjudications",
+)
+def m2_run_report(spark, sf_dir):
+    order, balloons, adjudications, speakers, characters, identity_ = _cast(spark, sf_dir)
+    (resolved,) = hold(resolve.resolve_sequence(order, balloons, adjudications, speakers, characters, identity_))
+    x, y = (characters.select("sequence_id", F.col("page_index").alias(c)) for c in ("p", "q"))
+    pairs = x.join(y, "sequence_id").where("p < q")
+    regions, _ = load(spark, sf_dir, "fx_regions", "fx_adjudications")
+    return telemetry.run_report(telemetry.report_tables(regions, balloons, adjudications.where("adj_pos = 1"), balloons.where("balloon_id % 3 = 0"), characters, resolved, identity_, pairs, resolve.diagnostics(resolved)))
+
+
 @query("SELECT sequence_id, stage AS status, event_id FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY ts DESC, event_id DESC) AS n FROM fx_timings WHERE stage IN ('click', 'purchase')) WHERE n = 1", "fx_timings")
 def m4_run_states(spark, sf_dir):
     (rows,) = load(spark, sf_dir, "fx_timings")
