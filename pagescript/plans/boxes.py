@@ -453,7 +453,17 @@ def o5_story_filter(spark, sf_dir):
     return order.story_filter(named, adjudications, [*K, "balloon_pos"]).select(*K, F.col("balloon_pos").alias("region_pos"))
 
 
-@query()
+_O6 = f"""WITH w AS (SELECT r.*, r.region_pos AS pos, b.panel_pos AS own, coalesce(b.panel_pos, -1) AS page_panel FROM fx_regions r JOIN ({_J4}) b ON b.sequence_id = r.sequence_id AND b.page_index = r.page_index AND b.pos = r.region_pos),
+  u AS (SELECT * FROM w), e AS (SELECT p.*, {_FIRST} AS f FROM (SELECT q.*, ua.page_panel FROM ({_PAIRS}) q JOIN u ua ON ua.sequence_id = q.sequence_id AND ua.page_index = q.page_index AND ua.pos = q.a_pos JOIN u ub ON ub.sequence_id = q.sequence_id AND ub.page_index = q.page_index AND ub.pos = q.b_pos AND ub.page_panel = ua.page_panel) p),
+  t AS (SELECT sequence_id, page_index, CASE WHEN f THEN b_pos ELSE a_pos END AS pos, count(*) AS d FROM e GROUP BY ALL),
+  d AS (SELECT u.sequence_id, u.page_index, u.pos, u.page_panel, coalesce(t.d, 0) AS d FROM u LEFT JOIN t USING (sequence_id, page_index, pos)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, page_index, page_panel ORDER BY d, pos) - 1 AS rk, count(*) OVER (PARTITION BY sequence_id, page_index, page_panel, d) AS same FROM d),
+  g AS (SELECT *, max(CAST(NOT (rk = d AND same = 1) AS INT)) OVER (PARTITION BY sequence_id, page_index, page_panel ORDER BY d, pos ROWS UNBOUNDED PRECEDING) AS rest FROM k),
+  o AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, page_index, page_panel ORDER BY rest, CASE WHEN rest = 0 THEN d ELSE pos END) - 1 AS balloon_rank FROM g)
+  SELECT sequence_id, page_index, pos, CASE page_panel WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 3 THEN 3 END AS panel_rank, balloon_rank FROM o"""
+
+
+@query(f"SELECT * FROM ({_O6})", "fx_regions", "fx_panels")
 def o6_page_order(spark, sf_dir):
     regions, panels = load(spark, sf_dir, "fx_regions", "fx_panels")
     balloons = regions.withColumnRenamed("region_pos", "pos")

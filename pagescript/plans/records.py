@@ -571,7 +571,7 @@ def _manifest(spark, sf_dir):
     return pages.select("sequence_id").distinct().select("sequence_id", F.when(F.col("sequence_id") % 4 == 0, "test").otherwise("development").alias("split"), images.alias("images"))
 
 
-@query()
+@query(f"SELECT CAST(sequence_id AS VARCHAR) AS sequence_id, CASE WHEN sequence_id % 5 = 0 THEN 'bad_images' END AS reason FROM ({_SEQ})", "fx_pages")
 def s1_check_manifest(spark, sf_dir):
     rows = _manifest(spark, sf_dir).withColumn("sequence_id", F.col("sequence_id").cast("string"))
     broken = rows.withColumn("images", F.when(F.col("sequence_id").cast("long") % 5 == 0, F.slice("images", 1, 2)).otherwise(F.col("images")))
