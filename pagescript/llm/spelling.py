@@ -33,7 +33,7 @@ COUNTED = 200_000
 #: Code points from which on the runs of a text are taken one by one.
 LONG_TEXT = 1 << 20
 #: Words that a join may broadcast.
-MOST_WORDS = 500_000
+MOST_WORDS = 100_000
 #: Rounds of pointer jumping; a form is at least twice as frequent, so paths are short.
 MOST_ROUNDS = 40
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
