@@ -31,8 +31,8 @@ def page_text_score(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.where(longest > 0).select(*PAGE, score.alias("score"))
 
 
-#: Buckets of letters for bounds on edits, letters of tokens that are compared many at once, and rows of a block at least.
-BUCKETS, MOST_LETTERS, LEAST_ROWS = 32, 64, 64
+#: Buckets of letters for bounds on edits, letters of tokens that are compared many at once, how few are compared one by one (and remembered), rows of a block at least.
+BUCKETS, MOST_LETTERS, FEW, LEAST_ROWS = 32, 64, 64, 64
 
 
 @lru_cache(1 << 20)
@@ -95,12 +95,12 @@ class Weights:
             near = np.flatnonzero(np.minimum(self.lengths, n) >= np.maximum(3, least))
             near = near[np.minimum(self.letters[near], own).sum(axis=1) >= least[near]]
             near = near[near != (-1 if same is None else same)]
-            many = near[self.lengths[near] <= MOST_LETTERS] if n <= MOST_LETTERS else near[:0]
+            many = near[self.lengths[near] <= MOST_LETTERS] if n <= MOST_LETTERS and len(near) > FEW else near[:0]
             if len(many):
                 similar = 1 - self.edits(token, many) / np.maximum(self.lengths[many], n)
                 places += many[similar >= 0.6].tolist()
                 weights += similar[similar >= 0.6].tolist()
-            for k in near if n > MOST_LETTERS else near[self.lengths[near] > MOST_LETTERS]:
+            for k in near[self.lengths[near] > MOST_LETTERS] if len(many) else near:
                 if (w := token_weight(token, self.tokens[k])) > 0:
                     places.append(int(k))
                     weights.append(w)
