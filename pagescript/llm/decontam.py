@@ -65,7 +65,7 @@ class Index:
     block_max: list[np.ndarray]
     #: Per part its item's number, per item its id and the word n-grams of question and answer.
     item_of: list[int]
-    ids: list[int]
+    ids: list[int | None]
     grams: list[tuple[frozenset, frozenset]]
 
 
@@ -74,7 +74,7 @@ def n_grams(found: list[str], n: int = GRAM) -> frozenset:
     return frozenset(tuple(found[i : i + n]) for i in range(len(found) - n + 1)) if n else frozenset()
 
 
-def build(items: list[tuple[int, str, str]]) -> Index:
+def build(items: list[tuple[int | None, str, str]]) -> Index:
     """Items are told apart by their place in the list: those that share an id are all in the index."""
     cut, grams = [], []
     for item, (_, question, answer) in enumerate(items):
@@ -238,19 +238,19 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each document and each item that leaked into it.
 
     docs: (doc_id, text); items: (item_id, question, answer). score is the largest share of a part's BM25 mass in a passage of the
-    document. Null and empty texts have no passages; items without words, or with a null id, can't leak. answer_overlap is null
+    document. Null and empty texts have no passages; items without words can't leak. answer_overlap is null
     where there is no answer. Documents that share an id, and rows without one, are reported row by row. Items that share an id are
-    all looked for, and what is found of any counts for that id, the largest values of each kind; equal items count once. Whole
-    texts of any length; columns besides the named ones play no part.
+    all looked for, and what is found of any counts for that id, the largest values of each kind; equal items count once. Items
+    without an id are looked for likewise, under the id null. Whole texts of any length; columns besides the named ones play no part.
     """
-    kept = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
+    kept = items.select(F.col("item_id").cast("long"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
     chars = kept.agg(F.sum(F.length("question") + F.length("answer"))).first()[0] or 0
     passes = chars // MOST_CHARS + 1
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     out = None
     for i in range(passes):
         chunk = kept.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i)
-        index = build(sorted({(r.item_id, r.question, r.answer) for r in chunk.collect()}))
+        index = build(sorted({(r.item_id, r.question, r.answer) for r in chunk.collect()}, key=lambda x: (x[0] is None, x[0] or 0, *x[1:])))
         if not index.terms:
             continue
         found = rows.mapInArrow(searcher(index, threshold), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")

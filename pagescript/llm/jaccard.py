@@ -229,17 +229,23 @@ def near_by_sketch(left: list[np.ndarray], sizes_l: np.ndarray, right: list[np.n
 
 
 def signatures(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2) per row of (doc_id, text)."""
+    """(doc_id, key, n_shingles, s1, s2) per row of (doc_id, key, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(1), PIECE):
+            for texts in pieces(batch.column(2), PIECE):
                 hashes, offsets = sets(texts, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *map(pa.array, _signed(hashes, offsets))], names=["doc_id", *SIGNATURE])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(texts)) for i in (0, 1)), *map(pa.array, _signed(hashes, offsets))], names=["doc_id", "key", *SIGNATURE])
                 at += len(texts)
 
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long")
+    return rows.mapInArrow(sign, "doc_id long, key long, n_shingles long, s1 long, s2 long")
+
+
+def keyed(docs: DataFrame) -> list[Column]:
+    """doc_id, and what joins tell rows by: doc_id, or a hash of the text where there is none, so that rows without an id are spread."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(F.lit("no id"), "text")).alias("key")]
 
 
 SIGNATURE = ["n_shingles", "s1", "s2"]
@@ -279,7 +285,7 @@ def closed_sets(rows: DataFrame, width: int, scheme: Scheme, total: int) -> Data
         held: tuple[list, list, list] = ([], [], [])
         n_hashes = n_texts = 0
         for batch in batches:
-            for piece in pieces(batch.column(1), PIECE):
+            for piece in pieces(batch.column(0), PIECE):
                 for at in range(0, len(piece), BLOCK_TEXTS):
                     texts = piece.slice(at, BLOCK_TEXTS)
                     if n_hashes >= BLOCK_HASHES or n_texts + len(texts) > BLOCK_TEXTS:
@@ -325,12 +331,12 @@ def closed_sets(rows: DataFrame, width: int, scheme: Scheme, total: int) -> Data
         found = signs[(signs[:, 0] > 0) & (own >= scheme.prefix(signs[:, 0]))]
         return pa.table({name: pa.array(found[:, i]) for i, name in enumerate(SIGNATURE)})
 
-    sent = rows.mapInArrow(send, "range long, block long, hashes binary, owners binary, signs binary")
+    sent = rows.select("text").mapInArrow(send, "range long, block long, hashes binary, owners binary, signs binary")
     told = sent.groupBy("range").applyInArrow(single, "block long, owners binary, times binary, signs binary")
     return told.groupBy("block").applyInArrow(settle, "n_shingles long, s1 long, s2 long")
 
 
-def open_sets(rows: DataFrame, open_ids: DataFrame, width: int) -> DataFrame:
+def open_sets(rows: DataFrame, open_keys: DataFrame, width: int) -> DataFrame:
     """The different sets of the texts of some documents: (sid, n_shingles, s1, s2, hashes), written; sid is made up here."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +346,7 @@ def open_sets(rows: DataFrame, open_ids: DataFrame, width: int) -> DataFrame:
                 made = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, _signed(hashes, offsets)), made], names=[*SIGNATURE, "hashes"])
 
-    texts = rows.join(broadcast_if_small(open_ids, MOST_OPEN), "doc_id").select("text")
+    texts = rows.join(broadcast_if_small(open_keys, MOST_OPEN), "key").select("text")
     found = texts.mapInArrow(shingle, "n_shingles long, s1 long, s2 long, hashes array<long>").where("n_shingles > 0")
     return written(found.dropDuplicates(SIGNATURE).select(F.monotonically_increasing_id().alias("sid"), *SIGNATURE, "hashes"), "jaccard-sets")
 
@@ -435,16 +441,17 @@ def _sketch_udf():
 
 
 def groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """join() with the signature of each row's set, and whether it is the one of its component that stays.
+    """join() with the key and the signature of each row's set, and whether it is the one of its component that stays.
 
     That is the set, of those that the smallest doc_id has, of least signature. Components are told apart by it, whatever ids they share.
+    Rows without an id stay only if no row of the component has one; then it is the set of the smallest key.
     """
-    rows = small_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    rows = small_batches(docs).select(*keyed(docs), "text")
     signed = cut(signatures(rows, width))
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = cut(signed.where("n_shingles > 0").groupBy(*SIGNATURE).agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))
-    open_ids = cut(classes.join(closed_sets(rows, width, Scheme(num, den), total), SIGNATURE, "left_anti").select(F.col("first").alias("doc_id")).distinct())
-    open_ = open_sets(rows, open_ids, width)
+    classes = cut(signed.where("n_shingles > 0").groupBy(*SIGNATURE).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "key")).alias("first"), F.count("*").alias("times")))
+    open_keys = cut(classes.join(closed_sets(rows, width, Scheme(num, den), total), SIGNATURE, "left_anti").select("first.key").distinct())
+    open_ = open_sets(rows, open_keys, width)
 
     sizes = open_.where(F.col("n_shingles") <= LARGEST_SMALL).groupBy("n_shingles").count().collect()
     entries = written(lists(open_, Scheme(num, den, boundary({r.n_shingles: r["count"] for r in sizes}, num, den))), "jaccard-lists")
@@ -463,16 +470,19 @@ def groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     named = reached.join(least, "component").select(*SIGNATURE, "least")
     copies = classes.where("times > 1").join(named, SIGNATURE, "left_anti").select(*SIGNATURE, F.struct("first", *SIGNATURE).alias("least"))
     known = broadcast_if_small(cut(named.unionByName(copies)), MOST_OPEN)
-    stays = (F.col("doc_id") == F.col("least.first")) & (F.struct(*SIGNATURE) == F.struct(*[f"least.{c}" for c in SIGNATURE]))
-    return signed.join(known, SIGNATURE, "left").select("doc_id", *SIGNATURE, F.coalesce("least.first", "doc_id").alias("component_id"), (F.col("least").isNull() | stays).alias("stays"))
+    own = F.struct(F.col("doc_id").isNull(), "key", *SIGNATURE)
+    stays = own == F.struct("least.first.nameless", "least.first.key", *[f"least.{c}" for c in SIGNATURE])
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).when(~F.col("least.first.nameless"), F.col("least.first.key"))
+    return signed.join(known, SIGNATURE, "left").select("doc_id", "key", *SIGNATURE, component.alias("component_id"), (F.col("least").isNull() | stays).alias("stays"))
 
 
 def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included).
 
-    docs: (doc_id, text); rows with a null doc_id are left out, other columns too. A-Z count as lower case, a null text is
+    docs: (doc_id, text); other columns play no part. A-Z count as lower case, a null text is
     empty; documents without words link with nothing. Copies of a set are linked. num / den is the least similarity, any above 0.
-    Rows that share a doc_id are documents of their own: each gets the component of its own text.
+    Rows that share a doc_id are documents of their own: each gets the component of its own text. So are rows without a doc_id; their
+    component_id is the smallest doc_id that they reach, null if there is none.
     """
     return groups(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
 
@@ -480,14 +490,15 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
 def first_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without near copies: of each component the row of the smallest doc_id stays, with all its columns.
 
-    Rows without a doc_id stay, as do documents without words. Rows that share a doc_id are judged each by its own text; of those that
-    agree in doc_id and set of shingles, any one stays.
+    Documents without words stay. Rows that share a doc_id are judged each by its own text; of those that
+    agree in doc_id and set of shingles, any one stays. A row without a doc_id stays if its component holds no doc_id and no other such row.
     """
     found = cut(groups(docs, width, num, den))
-    per_id = cut(found.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("stays").alias("stays")).where("times > 1 OR NOT stays"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    plain = whole.join(broadcast_if_small(per_id.select(F.col("doc_id").alias("_id")), MOST_OPEN), "_id", "left_anti").select("_row.*")
-    repeated = per_id.where("times > 1 AND stays").select(F.col("doc_id").alias("_id"))
+    judged = found.where("doc_id IS NOT NULL OR n_shingles > 0")
+    per_key = cut(judged.groupBy("key").agg(F.count("*").alias("times"), F.max("stays").alias("stays")).where("times > 1 OR NOT stays"))
+    whole = docs.select(keyed(docs)[1].alias("_key"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    plain = whole.join(broadcast_if_small(per_key.select(F.col("key").alias("_key")), MOST_OPEN), "_key", "left_anti").select("_row.*")
+    repeated = per_key.where("times > 1 AND stays").select(F.col("key").alias("_key"))
     if repeated.isEmpty():
         return plain
 
@@ -497,6 +508,6 @@ def first_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
             parts = [pa.StructArray.from_arrays([*map(pa.array, _signed(*sets(texts, width)))], names=SIGNATURE) for texts in pieces(batch, PIECE)]
             yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.int64())] * 3, names=SIGNATURE)
 
-    rows = whole.join(broadcast_if_small(repeated, MOST_OPEN), "_id").select("_id", "_row", signed("_text").alias("_s"))
-    wanted = found.where("stays").select(F.col("doc_id").alias("_id"), F.struct(*SIGNATURE).alias("_s")).distinct()
-    return plain.unionByName(rows.join(wanted, ["_id", "_s"]).dropDuplicates(["_id", "_s"]).select("_row.*"))
+    rows = whole.join(broadcast_if_small(repeated, MOST_OPEN), "_key").select("_key", "_row", signed("_text").alias("_s"))
+    wanted = judged.where("stays").select(F.col("key").alias("_key"), F.struct(*SIGNATURE).alias("_s")).distinct()
+    return plain.unionByName(rows.join(wanted, ["_key", "_s"]).dropDuplicates(["_key", "_s"]).select("_row.*"))
