@@ -8,7 +8,7 @@ Each stage takes all that its predecessor kept and decides on whole texts:
 4. secrets: secrets are replaced by a mark, n_chars follows; no document goes.
 5. mixing: one row per copy of the mix, with size, source_size, target, copies, taken and copy.
 
-Rows without a doc_id pass stages 1 and 2 on their own merit and count as one document in stages 3 and 4.
+Rows without a doc_id are documents of their own in all stages; near copies without any id leave one of them.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = decontam.question_and_answer(read(spark, sf_dir, "benchmark"))
-    leaked = cut(decontam.leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(broadcast_if_small(leaked, MOST_IDS), F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), "text"))
+    leaked = cut(decontam.leaks(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_leaked")).distinct())
+    return docs.join(broadcast_if_small(leaked, MOST_IDS), key == F.col("_leaked"), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
