@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame and SQL functions only.
 
-A candidate is any run of at least MIN_LENGTH characters of tokens and keys, or any of eight that is assigned. Its features are its length, its character
+A candidate is any run of at least MIN_LENGTH characters of tokens and keys, or any of eight that is assigned. Passwords hold other marks
+too: a quoted value that is assigned goes on to its quote, a bare one after a credential's name to what ends words in shells and query
+strings; both are printable ASCII and end at blanks. Its features are its length, its character
 transitions, how much of it dictionary words cover, hints in the path, and the words around it. The forest is fitted on labelled
 findings: (the same features, label). Where no such table exists, weak_labels() labels a bounded sample of the candidates by rules
 that are right about what they label.
@@ -21,9 +23,15 @@ from .common import broadcast_if_small, cut, let, written
 MIN_LENGTH = 12
 CUTOFF = 0.5
 _C = r"A-Za-z0-9_+/\-"
-#: A run of token characters; right after = or : , a blank and a quote, one of eight. Looked at once from its start, without a way
-#: back, so long words cost no more than their length.
-_FOUND = rf"(?<![{_C}])(?:(?<=[=:]|[=:][\"'` ]|[=:] [\"'`])[{_C}]{{8,}}+|[{_C}]{{{MIN_LENGTH},}}+)={{0,2}}"
+#: Right before an assigned value; before a bare one of a credential.
+_ASSIGNED = "(?<=[=:]|[=:][\"'` ]|[=:] [\"'`])"
+_NAMED = "(?<=(?i:pass|passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)[A-Za-z0-9_.-]{0,12}[\"'`]? ?[=:] ?)"
+#: Values in each kind of quote, and bare ones, which don't end in the marks that end sentences.
+_QUOTED = "(?<=\")[!#-~]{8,}+|(?<=')[!-&(-~]{8,}+|(?<=`)[!-_a-~]{8,}+"
+_BARE = r"[!#-%*+\-./0-9:=?@A-Z\\^_a-z~]{7,}[#-%*+\-/0-9=@A-Z\\^_a-z~]"
+#: A run of token characters, or an assigned value. Looked at once from its start, with no way back but over marks at the end, so
+#: long words cost no more than their length.
+_FOUND = rf"(?<![{_C}])(?:{_ASSIGNED}(?:{_QUOTED}|{_NAMED}{_BARE}|[{_C}]{{8,}}+)|[{_C}]{{{MIN_LENGTH},}}+)={{0,2}}"
 
 # Common words and word parts, names of credentials, signs of examples, prefixes of well-known key formats.
 DICTIONARY = "the|and|ing|ion|tion|ent|est|ere|her|ther|this|that|with|for|from|are|was|not|you|all|con|com|pre|pro|der|die|und|ein|sch|ich|ung|que|les|des|ent|ment|eau|aux|los|las|ado|cion|mente|http|www|org|test|example|sample|user|name|file|data|code|line|text|page|list|item|value|index|class|type|time|date|number|string|version|release"
@@ -65,7 +73,7 @@ def features(near: DataFrame) -> DataFrame:
             "digits": _share(c, "[0-9]"),
             "uppers": _share(c, "[A-Z]"),
             "lowers": _share(c, "[a-z]"),
-            "others": _share(c, r"[_+/=\-]"),
+            "others": _share(c, "[^A-Za-z0-9]"),
             "case_changes": _share(c, "(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
             "kind_changes": _share(c, "(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]"),
             "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),

@@ -632,19 +632,55 @@ def test_chat_round_trip(spark):
 
 def test_every_long_run_and_every_assigned_value_is_a_candidate(spark, corpus):
     """Against a plain search with the rule spelled out."""
-    texts = ["password = correcthorsebattery", "password: correcthorse", 'key="abcdefgh"', "key= 'abcdefgh'", "thisisaverylongword short", "a=b", "x:1234567 y", "é" * 30, "abc/def-ghi_jkl==", None, "", *[t for _, t, *_ in corpus]]
+    texts = ["password = correcthorsebattery", "password: correcthorse", 'key="abcdefgh"', "key= 'abcdefgh'", "thisisaverylongword short", "a=b", "x:1234567 y", "é" * 30, "abc/def-ghi_jkl==", None, "", 'password = "Tr0ub4dor&3xQ!9z" x', "db_password=s3cr3t!A", "see ?token=ab12cd34ef&next=/home/page", "secret_key: ab.cd!ef:gh...", "pass='it\"s,a;pass' more", "auth: `a'b\"c(d)e`", 'x="http://a.b/c?d=e"', "token=short!", "token:" + "!" * 500, "api-key = (abcdefgh)", 'said: "Wunderschöner Tag"', *[t for _, t, *_ in corpus]]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[4]), (None, texts[0])]
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.ordinal, r.candidate) for r in secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"path": F.lit(1), "length": F.lit("x")})).collect())
-    expected, token = [], re.compile(r"[A-Za-z0-9_+/\-]+")
-    for d, t in rows:
-        n = 0
-        for m in token.finditer(t or ""):
-            before = t[: m.start()]
-            if len(m[0]) >= 12 or len(m[0]) >= 8 and re.search(r"[=:](?:[\"'` ]| [\"'`])?$", before):
-                tail = re.match("={0,2}", t[m.end() :])[0]
-                expected.append((d if d is not None else -1, n, m[0] + tail))
-                n += 1
+    expected = [(d if d is not None else -1, n, c) for d, t in rows for n, c in enumerate(plain_candidates(t or ""))]
     assert got == sorted(expected)
+    of = {t: [c for d, _, c in got if d == i] for i, t in enumerate(texts)}
+    assert of['password = "Tr0ub4dor&3xQ!9z" x'] == ["Tr0ub4dor&3xQ!9z"] and of["db_password=s3cr3t!A"] == ["s3cr3t!A"] and of["see ?token=ab12cd34ef&next=/home/page"] == ["ab12cd34ef", "/home/page"]
+    assert of["secret_key: ab.cd!ef:gh..."] == ["ab.cd!ef:gh"] and of["pass='it\"s,a;pass' more"] == ['it"s,a;pass'] and of["token=short!"] == []
+
+
+def plain_candidates(t):
+    """The rule place by place, without lookbehinds."""
+    token = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"
+    ascii_ = [chr(c) for c in range(33, 127)]
+    names = r"(?i:pass|passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)[A-Za-z0-9_.-]{0,12}[\"'`]? ?[=:] ?$"
+
+    def run(i, of):
+        j = i
+        while j < len(t) and t[j] in of:
+            j += 1
+        return t[i:j]
+
+    out, i = [], 0
+    while i < len(t):
+        found = ""
+        if i == 0 or t[i - 1] not in token:
+            before = t[max(0, i - 60) : i]
+            if re.search(r"[=:](?:[\"'` ]| [\"'`])?$", before):
+                if before[-1] in "\"'`":
+                    found = run(i, [c for c in ascii_ if c != before[-1]])
+                elif re.search(names, before):
+                    found = run(i, [c for c in ascii_ if c not in "\"'`&(),;<>[]{|}"]).rstrip("!.?:")
+                found = found if len(found) >= 8 else run(i, token)
+                found = found if len(found) >= 8 else ""
+            if not found:
+                found = run(i, token)
+                found = found if len(found) >= 12 else ""
+        if found:
+            found += re.match("={0,2}", t[i + len(found) :])[0]
+            out.append(found)
+        i += max(1, len(found))
+    return out
+
+
+def test_nothing_of_a_secret_with_marks_is_left(spark):
+    texts = ['password = "Tr0ub4dor&3xQ!9z"', "db_password=s3cr3t!A", "export API_TOKEN='k9$Zx(2)qL#7'", "no secret here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.text for r in secret_scan.redact(docs, secret_scan.scan(docs, None)).orderBy("doc_id").collect()]
+    assert found == ['password = "[SECRET]"', "db_password=[SECRET]", "export API_TOKEN='[SECRET]'", "no secret here"]
 
 
 def test_rows_that_share_an_id_are_redacted_by_their_own_text(spark):
