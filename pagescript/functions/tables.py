@@ -1,4 +1,4 @@
-"""Helpers on whole tables: cut lineage, checked broadcasts, running sums over groups of any size, components of graphs of any size."""
+"""Helpers on whole tables: cut lineage, rounding as in SQL, checked broadcasts, running sums over groups of any size, components of graphs of any size."""
 
 from __future__ import annotations
 
@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rounded(value: Column | str, digits: int = 6) -> Column:
+    """value at so many digits as SQL engines round doubles: the scaled value to the nearest whole number, halves away from zero.
+
+    F.round() rounds the decimal that is printed, which differs where the scaled value lies next to a half.
+    """
+    c = F.col(value) if isinstance(value, str) else value
+    scaled = F.abs(c) * 10.0**digits
+    whole = F.rint(scaled)
+    return F.signum(c) * F.when(scaled - whole == 0.5, whole + 1).otherwise(whole) / 10.0**digits
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, counted; else as it is. df must be cheap to compute twice."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

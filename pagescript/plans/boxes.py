@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import hold, load, with_views
+from ..functions.tables import rounded
 from ..operators import boxes, layout, order, spatial, speakers, suppress
 
 K = ["sequence_id", "page_index"]
@@ -38,7 +39,7 @@ INSIDE = "(b.x1 <= a.x1 AND b.y1 <= a.y1 AND b.x2 >= a.x2 AND b.y2 >= a.y2)"
 )
 def b1_box_features(spark, sf_dir):
     regions, pages = load(spark, sf_dir, "fx_regions", "fx_pages")
-    return boxes.box_features(regions, pages).select(*K, "region_pos", "area", "center_x", "center_y", "box_width", "box_height", F.round("aspect", 6).alias("aspect"), F.round("area_ratio", 6).alias("area_ratio"), "orientation")
+    return boxes.box_features(regions, pages).select(*K, "region_pos", "area", "center_x", "center_y", "box_width", "box_height", rounded("aspect", 6).alias("aspect"), rounded("area_ratio", 6).alias("area_ratio"), "orientation")
 
 
 @query(
@@ -126,7 +127,7 @@ _J1 = f"""WITH j AS (SELECT a.sequence_id, a.page_index, a.region_pos, b.panel_p
 
 @query(_J1, "fx_regions", "fx_panels")
 def j1_assign_panels(spark, sf_dir):
-    return spatial.assign_panels(*load(spark, sf_dir, "fx_regions", "fx_panels")).withColumn("covers", F.transform("covers", lambda c: F.round(c, 6)))
+    return spatial.assign_panels(*load(spark, sf_dir, "fx_regions", "fx_panels")).withColumn("covers", F.transform("covers", lambda c: rounded(c, 6)))
 
 
 _J2 = f"""WITH j AS (SELECT a.sequence_id, a.page_index, a.region_pos, b.proposal_pos, {INTER} / {AREA("a")} AS cover FROM fx_regions a JOIN fx_balloons b ON {PAGE} AND {INTER} / {AREA("a")} >= 0.25e0),
@@ -139,7 +140,7 @@ _J2 = f"""WITH j AS (SELECT a.sequence_id, a.page_index, a.region_pos, b.proposa
 @query(_J2, "fx_regions", "fx_balloons")
 def j2_regions_to_balloons(spark, sf_dir):
     found = spatial.assign_regions_to_balloons(*load(spark, sf_dir, "fx_regions", "fx_balloons"))
-    return found.withColumns({"best": F.round("best", 6), "runner_up": F.round("runner_up", 6), "covers": F.transform("covers", lambda c: F.round(c, 6))})
+    return found.withColumns({"best": rounded("best", 6), "runner_up": rounded("runner_up", 6), "covers": F.transform("covers", lambda c: rounded(c, 6))})
 
 
 @query(
@@ -186,7 +187,7 @@ def _bodies_and_faces(spark, sf_dir):
 
 @query(f"{_J6} SELECT sequence_id, page_index, face_pos, body_pos, cover, candidates FROM a", "fx_characters")
 def j6_attach_faces(spark, sf_dir):
-    return spatial.attach_faces(*_bodies_and_faces(spark, sf_dir)).withColumn("cover", F.round("cover", 6))
+    return spatial.attach_faces(*_bodies_and_faces(spark, sf_dir)).withColumn("cover", rounded("cover", 6))
 
 
 @query(
@@ -252,7 +253,7 @@ def j8_speaker_candidates(spark, sf_dir):
     tails = balloons.where("pos % 4 = 0").select(*K, "pos", (F.col("x1") - 10).alias("tail_x"), (F.col("y2") + 20).alias("tail_y"))
     panels = pages.select(*K, F.explode(F.array(F.struct(F.lit(0).alias("panel_pos"), F.lit("page_fallback").alias("source")), F.struct(F.lit(1).alias("panel_pos"), F.lit("layout_model").alias("source")))).alias("p")).select(*K, "p.*")
     found = spatial.speaker_candidates(balloons, people, pages, tails, panels)
-    return found.select(*K, "pos", "character_pos", "same_panel", "tail_inside", "face_available", "body_available", *[F.round(c, 6).alias(c) for c in _J8_ALL])
+    return found.select(*K, "pos", "character_pos", "same_panel", "tail_inside", "face_available", "body_available", *[rounded(c, 6).alias(c) for c in _J8_ALL])
 
 
 @query(
@@ -265,7 +266,7 @@ def j8_speaker_candidates(spark, sf_dir):
 def j9_reconstruct_blocks(spark, sf_dir):
     regions, panels = load(spark, sf_dir, "fx_regions", "fx_panels")
     texts = regions.withColumn("text", F.concat(F.lit("t"), F.col("k").cast("string")))
-    return spatial.reconstruct_blocks(texts, panels.withColumnRenamed("panel_pos", "gt_pos")).withColumn("confidence", F.round("confidence", 6))
+    return spatial.reconstruct_blocks(texts, panels.withColumnRenamed("panel_pos", "gt_pos")).withColumn("confidence", rounded("confidence", 6))
 
 
 @query(
@@ -289,7 +290,7 @@ _IOU = f"({INTER} / ({AREA('a')} + {AREA('b')} - {INTER}))"
 def j11_match_truth(spark, sf_dir):
     regions, balloons = load(spark, sf_dir, "fx_regions", "fx_balloons")
     found = spatial.match_truth_to_balloons(regions.where("k <= 3").withColumnRenamed("region_pos", "gt_pos"), balloons.withColumnRenamed("proposal_pos", "pos"))
-    return found.withColumn("iou", F.round("iou", 6))
+    return found.withColumn("iou", rounded("iou", 6))
 
 
 @query()
@@ -398,7 +399,7 @@ def _balloons(spark, sf_dir):
 
 @query(f"WITH {_U} SELECT sequence_id, page_index, a_pos, b_pos, round(overlap, 6) AS overlap, ab AS a_contains_b, ba AS b_contains_a, dx, dy, same_row, same_column FROM ({_PAIRS})", "fx_regions")
 def o1_pair_features(spark, sf_dir):
-    return order.pair_features(_balloons(spark, sf_dir)).select(*K, "a_pos", "b_pos", F.round("overlap", 6).alias("overlap"), "a_contains_b", "b_contains_a", "dx", "dy", "same_row", "same_column")
+    return order.pair_features(_balloons(spark, sf_dir)).select(*K, "a_pos", "b_pos", rounded("overlap", 6).alias("overlap"), "a_contains_b", "b_contains_a", "dx", "dy", "same_row", "same_column")
 
 
 @query(
@@ -410,7 +411,7 @@ def o1_pair_features(spark, sf_dir):
 def o1_relative_centers(spark, sf_dir):
     regions, pages, panels = load(spark, sf_dir, "fx_regions", "fx_pages", "fx_panels")
     placed = order.with_reference(regions.withColumnsRenamed({"region_pos": "pos"}).withColumn("panel_pos", F.col("k")), panels, pages)
-    return order.pair_features(placed).select(*K, "a_pos", "b_pos", *[F.round(c, 6).alias(c) for c in ("a_rel_cx", "a_rel_cy", "b_rel_cx", "b_rel_cy")])
+    return order.pair_features(placed).select(*K, "a_pos", "b_pos", *[rounded(c, 6).alias(c) for c in ("a_rel_cx", "a_rel_cy", "b_rel_cx", "b_rel_cy")])
 
 
 _EDGES = f"""SELECT sequence_id, page_index, CASE WHEN f THEN a_pos ELSE b_pos END AS first, CASE WHEN f THEN b_pos ELSE a_pos END AS second,
@@ -502,7 +503,7 @@ _P2 = f"SELECT *, 0.55e0 * least(1.0e0, overlap / 0.75e0) + 0.2e0 * greatest(0.0
 
 @query(f"SELECT sequence_id, page_index, pos, character_pos, round(score, 6) AS score FROM ({_P2})", "fx_regions", "fx_characters", "fx_pages")
 def p2_speaker_scores(spark, sf_dir):
-    return _scored(spark, sf_dir)[1].select(*K, "pos", "character_pos", F.round("score", 6).alias("score"))
+    return _scored(spark, sf_dir)[1].select(*K, "pos", "character_pos", rounded("score", 6).alias("score"))
 
 
 _P3 = f"""WITH s AS (SELECT *, pos % 4 = 0 AS has_tail, CASE WHEN pos % 4 = 0 THEN box_distance END AS td FROM ({_P2})),
@@ -525,7 +526,7 @@ def p3_resolve_speakers(spark, sf_dir):
     balloons, scored = _scored(spark, sf_dir)
     tailed = scored.withColumns({"has_tail": F.col("pos") % 4 == 0, "tail_distance": F.when(F.col("pos") % 4 == 0, F.col("box_distance"))}).withColumn("tail_inside", F.when(F.col("has_tail"), F.col("box_distance") == 0))
     found = speakers.compare_grounding(speakers.resolve_speakers(balloons, tailed))
-    return found.withColumns({c: F.round(c, 6) for c in ("confidence", "selected_score", "runner_up_score", "score_margin")})
+    return found.withColumns({c: rounded(c, 6) for c in ("confidence", "selected_score", "runner_up_score", "score_margin")})
 
 
 @query(f"SELECT sequence_id, page_index, pos, list(character_pos ORDER BY character_pos) AS character_ids FROM ({_J8}) GROUP BY ALL", "fx_regions", "fx_characters", "fx_pages")
@@ -547,7 +548,7 @@ def j12_join_oracle(spark, sf_dir):
     (regions,) = load(spark, sf_dir, "fx_regions")
     oracle = regions.where("k <> 3").select(*K, F.col("region_pos").alias("block_pos"), (F.col("x1") + F.col("k")).alias("x1"), "y1", (F.col("x2") + F.col("k")).alias("x2"), "y2")
     blocks = regions.select("sequence_id", (F.col("page_index") + 1).alias("page_index"), F.col("region_pos").alias("block_pos"), "x1", "y1", "x2", "y2")
-    return spatial.join_oracle(blocks, oracle)[0].withColumn("iou", F.round("iou", 6))
+    return spatial.join_oracle(blocks, oracle)[0].withColumn("iou", rounded("iou", 6))
 
 
 @query("SELECT DISTINCT region_id, source AS candidate_id FROM fx_candidates WHERE region_id % 5 = 0", "fx_candidates")
@@ -592,4 +593,4 @@ def p1_balloon_tails(spark, sf_dir):
     tip = corner(x + w / 2, F.col("y2") + F.col("k") * 40)
     outline = F.array(corner(x, y), corner(F.col("x2"), y), corner(F.col("x2"), F.col("y2")), corner(x + w / 2 + 8, F.col("y2")), tip, corner(x + w / 2 - 8, F.col("y2")), corner(x, F.col("y2")))
     found = speakers.balloon_tails(regions.select(*K, F.col("region_pos").alias("pos"), outline.alias("polygon")))
-    return found.withColumns({c: F.round(c, 4) for c in ("tail_x", "tail_y", "strength")})
+    return found.withColumns({c: rounded(c, 4) for c in ("tail_x", "tail_y", "strength")})

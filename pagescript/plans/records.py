@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import hold, load, with_views
 from ..functions import text as T
+from ..functions.tables import rounded
 from ..operators import evidence, identity, models, policy, resolve, rules, score, stumps, telemetry
 from ..sources import transcripts
 
@@ -25,7 +26,7 @@ def query(sql: str | None = None, *views: str):
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [rounded(n).alias(n) for n in names]
 
 
 _SOURCE = "CASE source WHEN 'ocr_base' THEN 1 WHEN 'nemotron' THEN 2 ELSE 3 END"

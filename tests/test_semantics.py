@@ -389,3 +389,16 @@ def test_group_split_ranks_one_bucket_only(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "TakeOrdered" not in plan and "Exchange" not in plan
     assert policy.group_split(table.limit(0), 0.2, 7).count() == 0
+
+
+def test_covers_are_rounded_as_in_sql(spark):
+    """The cover is 0.2615625 but for its last bit; times 10^6 it lies below the half, while the decimal that is printed does not."""
+    import duckdb
+
+    from pagescript.functions.tables import rounded
+
+    values = [i / 128 / 5**j for i in range(-300, 300) for j in range(5)] + [0.2615625, 0.5 - 2**-54, 0.0]
+    found = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v").alias("v")).collect()]
+    assert found == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    table = spark.createDataFrame([(v,) for v in (None, float("nan"))], "v double")
+    assert [r.v is None or r.v != r.v for r in table.select(rounded("v").alias("v")).collect()] == [True, True]
