@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import tracemalloc
 
 import pytest
@@ -170,3 +171,23 @@ def test_similarity_moves_each_text_once(spark):
     assert {(r.g, r.a_id, r.b_id): r.ratio for r in found.collect()} == expected
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
     assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+
+
+def test_edits_of_texts_of_any_length():
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    for letters, longest in (("ab", 9), ("abé語", 70), ("abcdefgh 😀", 300)):
+        for _ in range(120 if longest < 100 else 12):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(longest))) for _ in range(2))
+            assert T.edits(a, b) == table(a, b)
+    long = "".join(rng.choice("abcdefgh the ") for _ in range(60_000))
+    began = time.process_time()
+    assert T.edits(long, long.replace("the", "te")) == long.count("the")
+    assert time.process_time() - began < 30
