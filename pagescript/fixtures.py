@@ -142,21 +142,49 @@ def needed(names: list[str]) -> list[str]:
     return [name for name in VIEWS if name in wanted]
 
 
-def load(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]:
+#: The same rows as those of VIEWS for Spark. A page stands for its l_orderkey, one to one, so boxes are numbered along the keys that all joins and groups ask for, and
+#: one exchange serves them; lines of a text are taken off in one pass, where substring() begins at the front for each of them.
+_COLUMNS = """cast(floor(l_orderkey / 3) as bigint) as sequence_id,
+       cast(l_orderkey % 3 as int) as page_index,"""
+ON_SPARK = {
+    "fx_regions": VIEWS["fx_regions"].replace(_COLUMNS, "sequence_id, page_index,").replace("partition by l_orderkey", "partition by sequence_id, page_index").replace("from lineitem", "from _paged"),
+    "fx_pages": "select distinct sequence_id, page_index, 1200 as width, 1500 as height, (sequence_id % 4) <> 0 as layout_ran from fx_regions",
+    "fx_lines": """
+select doc_id * 1000000 + line as region_id, text, n_chars from (select doc_id, n_chars,
+       posexplode(case when length(text) > 0 then regexp_extract_all(text, '(?s).{1,60}', 0) else array(text) end) as (line, text) from documents) as lines
+""",
+}
+_PAGE = ["sequence_id", "page_index"]
+
+
+def load(spark: SparkSession, sf_dir: str, *names: str, by: list[str] | None = None, held: bool = True) -> tuple[DataFrame, ...]:
+    """The views by name. With by, fx_regions is dealt out by these keys and, for queries that ask for it or for what is made of it several times, held."""
+    wanted = needed([*names, "fx_regions"] if by or "fx_pages" in needed(list(names)) else list(names))
     for table in TABLES:
-        if any(f" {table}" in VIEWS[name].replace("\n", " ") for name in needed(list(names))):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for name in needed(list(names)):
-        spark.sql(VIEWS[name]).createOrReplaceTempView(name)
+        if any(f" {table}" in VIEWS[name].replace("\n", " ") for name in wanted):
+            rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            if table == "documents" and "fx_lines" in wanted:
+                # A file of few row groups would be read, and its texts worked through, by as few tasks.
+                rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+            rows.createOrReplaceTempView(table)
+    if "fx_regions" in wanted:
+        # A number of partitions that is named is kept, so what is made of the boxes meets them without another exchange.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.sql(f"select *, {_COLUMNS[:-1]} from lineitem").repartition(parts, *(by or _PAGE)).createOrReplaceTempView("_paged")
+    for name in wanted:
+        view = spark.sql(ON_SPARK.get(name, VIEWS[name]))
+        if by and held and name == "fx_regions":
+            hold(view)
+        view.createOrReplaceTempView(name)
     return tuple(spark.table(name) for name in names)
 
 
 _held: list[DataFrame] = []
 
 
-def hold(*tables: DataFrame) -> tuple[DataFrame, ...]:
-    """tables, persisted for the query that is being built; those of the query before are released."""
-    while _held:
+def hold(*tables: DataFrame, too: bool = False) -> tuple[DataFrame, ...]:
+    """tables, persisted for the query that is being built; those of the query before are released, unless these are held too."""
+    while _held and not too:
         _held.pop().unpersist()
     _held.extend(t.persist() for t in tables)
     return tables

@@ -112,19 +112,28 @@ def grouping_decisions(regions: DataFrame, panels: DataFrame, proposals: DataFra
     provider ran), ambiguous between proposals, weak relations, uncertain panel.
     """
     own = [*KEYS, position]
-    joined = (
-        regions.join(panels.select(*own, F.col("status").alias("panel_status")), own, "left")
-        .join(proposals.select(*own, F.col("status").alias("layout_status")), own, "left")
-        .join(pages.select(*KEYS, "layout_ran"), KEYS, "left")
-        .join(weak.select(*own, F.lit(True).alias("is_weak")).distinct(), own, "left")
-    )
     bad = ~F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    # All that is known of a region meets in one group of flags, not in joins, which would deal out every table by region again.
+    flags = ["here", "bad", "covered", "torn", "is_weak", "uncertain"]
+    one = lambda rows, **known: rows.select(*own, *[known.get(f, F.lit(None).cast("long")).cast("long").alias(f) for f in flags])
+    found = lambda rows: rows.dropna(subset=own)
+    parts = [
+        one(found(panels), uncertain=F.col("status") != "assigned"), one(found(proposals), covered=F.col("status").isNotNull(), torn=F.col("status") == "ambiguous"),
+        one(found(weak), is_weak=F.lit(1)),
+    ]
+    together = one(regions, here=F.lit(1), bad=bad)
+    for part in parts:
+        together = together.unionByName(part)
+    sums = [F.sum("here").alias("here"), F.sum("bad").alias("bad"), *[F.coalesce(F.max(f), F.lit(0)).alias(f) for f in flags[2:]]]
+    known = together.groupBy(*own).agg(*sums).where("here > 0").join(pages.select(*KEYS, "layout_ran"), KEYS, "left")
+    # A region that is there several times has a decision each time.
+    joined = known.withColumn("malformed", F.explode(F.concat(F.array_repeat(F.lit(True), F.col("bad").cast("int")), F.array_repeat(F.lit(False), (F.col("here") - F.col("bad")).cast("int")))))
     reason = (
-        F.when(bad, "malformed")
-        .when(F.col("layout_ran") & F.col("layout_status").isNull(), "no_proposal_overlap")
-        .when(F.col("layout_ran") & (F.col("layout_status") == "ambiguous"), "layout_ambiguous")
-        .when(~F.col("layout_ran") & F.col("is_weak"), "weak_relation")
-        .when(F.col("panel_status") != "assigned", "panel_uncertain")
+        F.when(F.col("malformed"), "malformed")
+        .when(F.col("layout_ran") & (F.col("covered") == 0), "no_proposal_overlap")
+        .when(F.col("layout_ran") & (F.col("torn") == 1), "layout_ambiguous")
+        .when(~F.col("layout_ran") & (F.col("is_weak") == 1), "weak_relation")
+        .when(F.col("uncertain") == 1, "panel_uncertain")
     )
     decided = joined.withColumn("reason", reason)
     status = F.when(F.col("reason").isNull(), "assigned").when(F.col("reason").isin("malformed", "no_proposal_overlap"), "unassigned").otherwise("ambiguous")

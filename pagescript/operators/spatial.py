@@ -53,9 +53,11 @@ def near_on_page(a: DataFrame, b: DataFrame, columns: list[Column], condition: C
     for them or the row not matter. There, keep_a gives every row of a once more with an empty b; elsewhere only those without a pair. reach is an
     expression of a box's own columns.
     """
-    dense = cut(dense_pages(a, b, reach))
     how = "left" if keep_a else "inner"
-    if dense.isEmpty():
+    # Where no page of a has so many boxes, which one narrow count says, nothing is asked of b.
+    crowded = a.where(is_valid()).groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") > DENSE)
+    dense = None if crowded.isEmpty() else cut(dense_pages(a, b, reach))
+    if dense is None or dense.isEmpty():
         return on_page(a, b, condition, how).select(*columns)
     pages = broadcast_if_small(dense.select(*KEYS))
     plain = on_page(a.join(pages, KEYS, "left_anti"), b.join(pages, KEYS, "left_anti"), condition, how).select(*columns)
@@ -182,21 +184,32 @@ def spatial_relations(regions: DataFrame, position: str = "region_pos") -> DataF
     Strong: an overlap of .8 of the smaller (.88), of .35 (.76), or neighbours that are aligned by .45 with a small gap (.72). Weak (.40):
     aligned by .2 and near by the smaller sides.
     """
-    wa, wb, ha, hb = width("a"), width("b"), height("a"), height("b")
-    smaller = F.least(area("a"), area("b"))
-    over = F.when(smaller > 0, intersection("a", "b") / smaller).otherwise(0.0)
-    gap_x = F.greatest(F.greatest(F.col("a.x1"), F.col("b.x1")) - F.least(F.col("a.x2"), F.col("b.x2")), F.lit(0.0))
-    gap_y = F.greatest(F.greatest(F.col("a.y1"), F.col("b.y1")) - F.least(F.col("a.y2"), F.col("b.y2")), F.lit(0.0))
-    along_x, along_y = overlap_x("a", "b") / F.least(wa, wb), overlap_y("a", "b") / F.least(ha, hb)
-    near = F.sqrt(gap_x * gap_x + gap_y * gap_y) / F.greatest(F.lit(1.0), F.least(ha, hb), F.least(wa, wb)) <= 1.6
-    neighbours = ((along_x >= 0.45) & (gap_y <= 0.55 * F.greatest(ha, hb))) | ((along_y >= 0.45) & (gap_x <= 0.4 * F.greatest(wa, wb)))
-    confidence = F.when(over >= 0.8, 0.88).when(over >= 0.35, 0.76).when(neighbours, 0.72).when(near & ((along_x >= 0.2) | (along_y >= 0.2)), 0.40)
-    inside = (over >= 0.8) & (contains("a", "b") | contains("b", "a"))
-    columns = [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}").alias("a_pos"), F.col(f"b.{position}").alias("b_pos"), F.when(inside, "containment").otherwise("geometry").alias("method"), confidence.alias("confidence")]
+    def gap(lo: str, hi: str) -> Column:
+        """How far two boxes are apart along an axis; below 0 by how much they overlap."""
+        return F.greatest(f"a.{lo}", f"b.{lo}") - F.least(f"a.{hi}", f"b.{hi}")
+
+    both = contains("a", "b") | contains("b", "a")
+    sides = {"_wa": width("a"), "_wb": width("b"), "_ha": height("a"), "_hb": height("b"), "_gx": gap("x1", "x2"), "_gy": gap("y1", "y2"), "_smaller": F.least(area("a"), area("b")), "_within": both, "_row": F.monotonically_increasing_id()}
+    columns = [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}").alias("a_pos"), F.col(f"b.{position}").alias("b_pos"), *[c.alias(n) for n, c in sides.items()]]
     # Gaps are bounded by shares of the larger side of one of the two.
     reach = F.greatest(F.lit(1.6), 1.6 * (F.col("x2") - F.col("x1")), 1.6 * (F.col("y2") - F.col("y1")))
-    found = near_on_page(regions, regions, columns, (F.col(f"a.{position}") < F.col(f"b.{position}")) & F.col("a.panel_pos").eqNullSafe(F.col("b.panel_pos")), reach=reach)
-    return found.where("confidence IS NOT NULL").withColumn("strength", F.when(F.col("confidence") == 0.40, "weak").otherwise("strong"))
+    # Panels are compared after the join, which then goes by page as all others do.
+    same = F.coalesce(F.col("a.panel_pos") == F.col("b.panel_pos"), F.col("a.panel_pos").isNull() & F.col("b.panel_pos").isNull())
+    pairs = near_on_page(regions, regions, columns, (F.col(f"a.{position}") < F.col(f"b.{position}")) & same, reach=reach)
+    wa, wb, ha, hb = F.col("_wa"), F.col("_wb"), F.col("_ha"), F.col("_hb")
+    gap_x, gap_y, over_x, over_y = (F.greatest(c, F.lit(0.0)) for c in (F.col("_gx"), F.col("_gy"), -F.col("_gx"), -F.col("_gy")))
+    measured = pairs.select(
+        *KEYS, "a_pos", "b_pos", "_within", "_row", F.when(F.col("_smaller") > 0, over_x * over_y / F.col("_smaller")).otherwise(0.0).alias("_over"), gap_x.alias("_gap_x"), gap_y.alias("_gap_y"), (over_x / F.least(wa, wb)).alias("_along_x"), (over_y / F.least(ha, hb)).alias("_along_y"),
+        F.greatest(ha, hb).alias("_tall"), F.greatest(wa, wb).alias("_wide"), F.greatest(F.lit(1.0), F.least(ha, hb), F.least(wa, wb)).alias("_small"),
+    )
+    over, along_x, along_y = F.col("_over"), F.col("_along_x"), F.col("_along_y")
+    near = F.sqrt(F.col("_gap_x") * F.col("_gap_x") + F.col("_gap_y") * F.col("_gap_y")) / F.col("_small") <= 1.6
+    neighbours = ((along_x >= 0.45) & (F.col("_gap_y") <= 0.55 * F.col("_tall"))) | ((along_y >= 0.45) & (F.col("_gap_x") <= 0.4 * F.col("_wide")))
+    confidence = F.when(over >= 0.8, 0.88).when(over >= 0.35, 0.76).when(neighbours, 0.72).when(near & ((along_x >= 0.2) | (along_y >= 0.2)), 0.40)
+    judged = measured.select(*KEYS, "a_pos", "b_pos", F.when((over >= 0.8) & F.col("_within"), "containment").otherwise("geometry").alias("method"), confidence.alias("confidence"), "_row")
+    # The row number keeps this filter, and all that it is made of, out of the join's condition: written out there, it is too long to be compiled.
+    found = judged.where((F.col("_row") >= 0) & F.col("confidence").isNotNull()).drop("_row")
+    return found.withColumn("strength", F.when(F.col("confidence") == 0.40, "weak").otherwise("strong"))
 
 
 def speaker_candidates(balloons: DataFrame, characters: DataFrame, pages: DataFrame, tails: DataFrame | None = None, panels: DataFrame | None = None) -> DataFrame:

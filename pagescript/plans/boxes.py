@@ -329,9 +329,9 @@ def l2_page_extent(spark, sf_dir):
 
 
 def _relations(spark, sf_dir):
-    (regions,) = load(spark, sf_dir, "fx_regions")
+    (regions,) = load(spark, sf_dir, "fx_regions", by=K)
     halves = _with_half(regions)
-    return hold(halves, spatial.spatial_relations(halves))
+    return halves, *hold(spatial.spatial_relations(halves), too=True)
 
 
 _L3 = f"""WITH RECURSIVE rel AS ({_J7.replace("WITH r AS", "WITH r AS")}), e AS (SELECT sequence_id, page_index, a_pos AS u, b_pos AS v FROM rel WHERE strength = 'strong' UNION ALL SELECT sequence_id, page_index, b_pos, a_pos FROM rel WHERE strength = 'strong'),
@@ -380,7 +380,7 @@ def l5_singletons(spark, sf_dir):
     "fx_regions", "fx_pages", "fx_panels", "fx_balloons",
 )
 def l8_grouping_decisions(spark, sf_dir):
-    regions, panels, balloons, pages = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_balloons", "fx_pages")
+    regions, panels, balloons, pages = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_balloons", "fx_pages", by=K)
     return layout.grouping_decisions(regions, spatial.assign_panels(regions, panels), spatial.assign_regions_to_balloons(regions, balloons), pages, regions.where("k = 2"))
 
 
@@ -466,10 +466,10 @@ _O6 = f"""WITH w AS (SELECT r.*, r.region_pos AS pos, b.panel_pos AS own, coales
 
 @query(f"SELECT * FROM ({_O6})", "fx_regions", "fx_panels")
 def o6_page_order(spark, sf_dir):
-    regions, panels = load(spark, sf_dir, "fx_regions", "fx_panels")
+    regions, panels = load(spark, sf_dir, "fx_regions", "fx_panels", by=K)
     balloons = regions.withColumnRenamed("region_pos", "pos")
     placed = balloons.join(spatial.best_panel_for_balloon(balloons, panels), [*K, "pos"])
-    return order.page_order(hold(placed)[0], panels)
+    return order.page_order(hold(placed, too=True)[0], panels)
 
 
 @query(
@@ -563,7 +563,7 @@ def d2_conflicting_candidates(spark, sf_dir):
 
 def _visual(spark, sf_dir):
     """Every ambiguous region is proposed with the next one, for the first balloon of the page or for none; balloons are the groups."""
-    regions, panels, balloons = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_balloons")
+    regions, panels, balloons = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_balloons", by=K)
     assigned = spatial.assign_regions_to_balloons(regions, balloons)
     known = assigned.select(*K, "region_pos", "status", F.transform("candidates", lambda c: F.concat(F.lit("b"), c.cast("string"))).alias("targets"))
     placed = spatial.assign_panels(regions, panels).select(*K, "region_pos", "panel_pos")
