@@ -36,11 +36,6 @@ class Resolution(NamedTuple):
     diagnostics: DataFrame
 
 
-def _first(rows: DataFrame, keys: list[str], position: str, *columns: str) -> DataFrame:
-    """The first row of each key by position, as an aggregate: no key's rows are ever sorted in one place."""
-    return rows.groupBy(*keys).agg(F.min(F.struct(position, *columns)).alias("_f")).select(*keys, *[F.col(f"_f.{c}").alias(c) for c in columns])
-
-
 def resolve_sequence(order: DataFrame, balloons: DataFrame, adjudications: DataFrame, speakers: DataFrame, characters: DataFrame, identity: DataFrame) -> DataFrame:
     """Every item of the reading order with its place, text, speaker and state, what became of it, and the codes of what is wrong with it.
 
@@ -51,16 +46,22 @@ def resolve_sequence(order: DataFrame, balloons: DataFrame, adjudications: DataF
     or no adjudication; reason says which). identity_state: null where no identity is asked for, else unmatched, ambiguous or the cluster's.
     """
     key = ["sequence_id", "balloon_id"]
-    place = _first(balloons.withColumn("_p", F.coalesce("page_index", F.lit(1 << 30))), key, "_p", "page_index", "panel_pos").withColumn("_placed", F.lit(True))
-    said = _first(adjudications, key, "adj_pos", "text_type", "include_in_story", "final_text").withColumn("_adj", F.lit(True))
-    by = _first(speakers, key, "decision_pos", "character_id")
-    people = characters.select("sequence_id", "character_id").distinct().withColumn("_person", F.lit(True))
-    named = _first(identity, ["sequence_id", "character_id"], "identity_id", "label", "state").join(identity.groupBy("sequence_id", "character_id").agg(F.min("identity_id").alias("identity_id")), ["sequence_id", "character_id"])
-    known = identity.select("sequence_id").distinct().withColumn("_identified", F.lit(True))
-    joined = (
-        order.select(*key, "sequence_position", F.col("page_index").alias("_order_page")).join(place, key, "left").join(said, key, "left").join(by, key, "left")
-        .join(people, ["sequence_id", "character_id"], "left").join(named, ["sequence_id", "character_id"], "left").join(known, "sequence_id", "left")
-    )
+    # What is known of a balloon, and of a character, is one group each, so the order is dealt out twice: by balloon, then by character.
+    first = lambda position, *columns: F.struct(position, *columns)
+    facts = {"_place": (balloons, first(F.coalesce("page_index", F.lit(1 << 30)).alias("_p"), "page_index", "panel_pos")), "_said": (adjudications, first("adj_pos", "text_type", "include_in_story", "final_text")), "_by": (speakers, first("decision_pos", "character_id"))}
+    known = None
+    for name, (rows, fact) in facts.items():
+        part = rows.select(*key, fact.alias(name))
+        known = part if known is None else known.unionByName(part, allowMissingColumns=True)
+    known = known.groupBy(*key).agg(*[F.min(name).alias(name) for name in facts]).select(
+        *key, F.col("_place.page_index").alias("page_index"), "_place.panel_pos", F.when(F.col("_place").isNotNull(), True).alias("_placed"), "_said.text_type", "_said.include_in_story", "_said.final_text", F.when(F.col("_said").isNotNull(), True).alias("_adj"), "_by.character_id"
+    )
+    person = characters.select("sequence_id", "character_id").distinct().withColumn("_person", F.lit(True))
+    named = identity.select("sequence_id", "character_id", "identity_id", F.struct("identity_id", "label", "state").alias("_named"))
+    cast = person.unionByName(named, allowMissingColumns=True).groupBy("sequence_id", "character_id").agg(F.max("_person").alias("_person"), F.min("_named").alias("_named"), F.min("identity_id").alias("identity_id"))
+    cast = cast.select("sequence_id", "character_id", "_person", "identity_id", "_named.label", "_named.state")
+    identified = identity.select("sequence_id").distinct().withColumn("_identified", F.lit(True))
+    joined = order.select(*key, "sequence_position", F.col("page_index").alias("_order_page")).join(identified, "sequence_id", "left").join(known, key, "left").join(cast, ["sequence_id", "character_id"], "left")
     placed, adjudicated = F.col("_placed").isNotNull(), F.col("_adj").isNotNull()
     usable = placed & adjudicated
     told = F.coalesce(F.col("text_type").isin(NARRATION), F.lit(False))

@@ -367,9 +367,11 @@ def _cast(spark, sf_dir):
     """(order, balloons, adjudications, speakers, characters, identity)."""
     from pyspark.sql import Window
 
-    regions, adjudications = load(spark, sf_dir, "fx_regions", "fx_adjudications")
+    # Everything is asked for by sequence, a page included.
+    regions, adjudications = load(spark, sf_dir, "fx_regions", "fx_adjudications", by=["sequence_id"], held=False)
     i, k, ball = F.col("sequence_id"), F.col("k"), F.col("page_index") * 1000
     numbered = regions.select(*K, "region_pos", "k", "x1", (ball + F.col("region_pos")).cast("long").alias("balloon_id"), (F.row_number().over(Window.partitionBy("sequence_id").orderBy("page_index", "region_pos")) - 1).alias("sequence_position"))
+    hold(numbered)
     twice = numbered.where((F.col("region_pos") == 2) & (i % 5 == 0)).select("sequence_id", "balloon_id", (F.col("sequence_position") + 1000).alias("sequence_position"), "page_index")
     order = numbered.select("sequence_id", "balloon_id", "sequence_position", F.when((k == 5) & (i % 4 == 0), (F.col("page_index") + 1) % 3).otherwise(F.col("page_index")).alias("page_index")).unionByName(twice)
     balloons = numbered.where(~((k == 7) & (i % 6 == 1))).select("sequence_id", "balloon_id", (F.col("page_index") + F.when(i % 40 == 9, 1).otherwise(0)).alias("page_index"), F.floor(F.col("x1") / 600).cast("int").alias("panel_pos"))
@@ -437,7 +439,8 @@ _R3 = " UNION ALL ".join([
 @query(f"WITH {_CAST}, {_STORY} SELECT *, 'error' AS severity FROM ({_R3})", "fx_regions", "fx_adjudications")
 def r3_consistency_checks(spark, sf_dir):
     *_, characters, identity_ = cast = _cast(spark, sf_dir)
-    return resolve.consistency_checks(resolve.split_resolution(resolve.resolve_sequence(*cast)).ordered, identity_, characters)
+    (resolved,) = hold(resolve.resolve_sequence(*cast).drop("text_type", "final_text", "panel_pos"), too=True)
+    return resolve.consistency_checks(resolve.split_resolution(resolved).ordered, identity_, characters)
 
 
 _IN_V1 = ["page_index", "balloon_id", "identity_id", "label"]
@@ -459,7 +462,7 @@ _V1 = " UNION ALL ".join([
 @query(f"WITH {_CAST}, {_STORY}, l AS (SELECT DISTINCT sequence_id, identity_id, label FROM i WHERE label IS NOT NULL AND NOT (character_id IN (1, 2) AND sequence_id % 7 = 3)) {_V1}", "fx_regions", "fx_adjudications")
 def v1_validate_resolution(spark, sf_dir):
     *_, characters, identity_ = cast = _cast(spark, sf_dir)
-    found = resolve.split_resolution(resolve.resolve_sequence(*cast))
+    found = resolve.split_resolution(*hold(resolve.resolve_sequence(*cast).drop("text_type", "panel_pos"), too=True))
     identities = identity_.where("label IS NOT NULL AND NOT (character_id IN (1, 2) AND sequence_id % 7 = 3)").select("sequence_id", "identity_id", "label").distinct()
     return resolve.validate_resolution(found.ordered, found.excluded, characters, identities, characters.select("sequence_id").distinct().where("sequence_id % 50 <> 3").unionByName(cast[0].select("sequence_id").distinct().where("sequence_id % 50 <> 3")))
 
@@ -1050,10 +1053,10 @@ _COUNTED = {
 )
 def m2_run_report(spark, sf_dir):
     order, balloons, adjudications, speakers, characters, identity_ = _cast(spark, sf_dir)
-    (resolved,) = hold(resolve.resolve_sequence(order, balloons, adjudications, speakers, characters, identity_))
+    (resolved,) = hold(resolve.resolve_sequence(order, balloons, adjudications, speakers, characters, identity_).drop("text_type", "final_text", "panel_pos"), too=True)
     x, y = (characters.select("sequence_id", F.col("page_index").alias(c)) for c in ("p", "q"))
     pairs = x.join(y, "sequence_id").where("p < q")
-    regions, _ = load(spark, sf_dir, "fx_regions", "fx_adjudications")
+    regions, _ = load(spark, sf_dir, "fx_regions", "fx_adjudications", by=["sequence_id"], held=False)
     return telemetry.run_report(telemetry.report_tables(regions, balloons, adjudications.where("adj_pos = 1"), balloons.where("balloon_id % 3 = 0"), characters, resolved, identity_, pairs, resolve.diagnostics(resolved)))
 
 
