@@ -82,7 +82,9 @@ def dedupe_candidates(candidates: DataFrame, keys: list[str], position: str) ->
     keys: region and candidate id. The first of equal candidates stays.
     """
     content = [c for c in candidates.columns if c != position]
-    once = candidates.withColumn("_n", F.row_number().over(Window.partitionBy(*content).orderBy(position))).where("_n = 1").drop("_n")
+    # Dealt out by id, once; repeats go where they are read. A null position is before all others.
+    first = F.when(F.count_if(F.col(position).isNull()) == 0, F.min(position)).alias(position)
+    once = candidates.repartition(*keys).groupBy(*content).agg(first).select(*candidates.columns)
     counted = once.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     return once, counted.where("_n > 1").drop("_n")
 
