@@ -189,7 +189,7 @@ def spatial_relations(regions: DataFrame, position: str = "region_pos") -> DataF
         return F.greatest(f"a.{lo}", f"b.{lo}") - F.least(f"a.{hi}", f"b.{hi}")
 
     both = contains("a", "b") | contains("b", "a")
-    sides = {"_wa": width("a"), "_wb": width("b"), "_ha": height("a"), "_hb": height("b"), "_gx": gap("x1", "x2"), "_gy": gap("y1", "y2"), "_smaller": F.least(area("a"), area("b")), "_within": both, "_row": F.monotonically_increasing_id()}
+    sides = {"_wa": width("a"), "_wb": width("b"), "_ha": height("a"), "_hb": height("b"), "_gx": gap("x1", "x2"), "_gy": gap("y1", "y2"), "_smaller": F.least(area("a"), area("b")), "_within": both}
     columns = [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}").alias("a_pos"), F.col(f"b.{position}").alias("b_pos"), *[c.alias(n) for n, c in sides.items()]]
     # Gaps are bounded by shares of the larger side of one of the two.
     reach = F.greatest(F.lit(1.6), 1.6 * (F.col("x2") - F.col("x1")), 1.6 * (F.col("y2") - F.col("y1")))
@@ -199,14 +199,14 @@ def spatial_relations(regions: DataFrame, position: str = "region_pos") -> DataF
     wa, wb, ha, hb = F.col("_wa"), F.col("_wb"), F.col("_ha"), F.col("_hb")
     gap_x, gap_y, over_x, over_y = (F.greatest(c, F.lit(0.0)) for c in (F.col("_gx"), F.col("_gy"), -F.col("_gx"), -F.col("_gy")))
     measured = pairs.select(
-        *KEYS, "a_pos", "b_pos", "_within", "_row", F.when(F.col("_smaller") > 0, over_x * over_y / F.col("_smaller")).otherwise(0.0).alias("_over"), gap_x.alias("_gap_x"), gap_y.alias("_gap_y"), (over_x / F.least(wa, wb)).alias("_along_x"), (over_y / F.least(ha, hb)).alias("_along_y"),
+        *KEYS, "a_pos", "b_pos", "_within", F.when(F.col("_smaller") > 0, over_x * over_y / F.col("_smaller")).otherwise(0.0).alias("_over"), gap_x.alias("_gap_x"), gap_y.alias("_gap_y"), (over_x / F.least(wa, wb)).alias("_along_x"), (over_y / F.least(ha, hb)).alias("_along_y"),
         F.greatest(ha, hb).alias("_tall"), F.greatest(wa, wb).alias("_wide"), F.greatest(F.lit(1.0), F.least(ha, hb), F.least(wa, wb)).alias("_small"),
     )
     over, along_x, along_y = F.col("_over"), F.col("_along_x"), F.col("_along_y")
     near = F.sqrt(F.col("_gap_x") * F.col("_gap_x") + F.col("_gap_y") * F.col("_gap_y")) / F.col("_small") <= 1.6
     neighbours = ((along_x >= 0.45) & (F.col("_gap_y") <= 0.55 * F.col("_tall"))) | ((along_y >= 0.45) & (F.col("_gap_x") <= 0.4 * F.col("_wide")))
     confidence = F.when(over >= 0.8, 0.88).when(over >= 0.35, 0.76).when(neighbours, 0.72).when(near & ((along_x >= 0.2) | (along_y >= 0.2)), 0.40)
-    judged = measured.select(*KEYS, "a_pos", "b_pos", F.when((over >= 0.8) & F.col("_within"), "containment").otherwise("geometry").alias("method"), confidence.alias("confidence"), "_row")
+    judged = measured.select(*KEYS, "a_pos", "b_pos", F.when((over >= 0.8) & F.col("_within"), "containment").otherwise("geometry").alias("method"), confidence.alias("confidence"), F.monotonically_increasing_id().alias("_row"))
     # The row number keeps this filter, and all that it is made of, out of the join's condition: written out there, it is too long to be compiled.
     found = judged.where((F.col("_row") >= 0) & F.col("confidence").isNotNull()).drop("_row")
     return found.withColumn("strength", F.when(F.col("confidence") == 0.40, "weak").otherwise("strong"))
