@@ -79,8 +79,13 @@ def _if_found(position: str, value: Column) -> Column:
     return F.when(F.col(f"b.{position}").isNull(), 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
 
 
-def assign_panels(regions: DataFrame, panels: DataFrame, position: str = "region_pos") -> DataFrame:
-    """(keys, position, status, panel_pos, confidence, candidates, covers): the smallest panel that contains a region, else the one that covers it best.
+def _carried(carry: list[str]) -> tuple[list[Column], list[Column]]:
+    """Columns of a that come along through a group of its pairs: as joined, and as grouped. What is asked for later needs no join, which would deal all rows out again."""
+    return [F.col(f"a.{c}").alias(f"_a_{c}") for c in carry], [F.first(f"_a_{c}").alias(c) for c in carry]
+
+
+def assign_panels(regions: DataFrame, panels: DataFrame, position: str = "region_pos", carry: list[str] | None = None) -> DataFrame:
+    """(keys, position, columns to carry, status, panel_pos, confidence, candidates, covers): the smallest panel that contains a region, else the one that covers it best.
 
     Containment gives .95 (.5 if the panel's source, where there is such a column, is not layout_model), a cover of .8 or more with a lead of
     .2 gives .65; any other overlap is ambiguous, with all panels that overlap as candidates and their covers, largest first. Without an
@@ -90,17 +95,21 @@ def assign_panels(regions: DataFrame, panels: DataFrame, position: str = "region
     marked = regions.withColumn("_good", F.coalesce(is_valid(), F.lit(False)))
     cover = F.when(F.col("a._good"), _if_found("panel_pos", _coverage("a", "b"))).otherwise(0.0)
     inside = F.col("a._good") & F.coalesce(contains("b", "a"), F.lit(False))
-    columns = [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), inside.alias("inside"), area("b").alias("panel_area"), from_model.alias("from_model"), cover.alias("cover")]
-    joined = near_on_page(marked, panels, columns, keep_a=True)
+    joins, firsts = _carried(carry or [])
+    columns = [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), inside.alias("inside"), area("b").alias("panel_area"), from_model.alias("from_model"), cover.alias("cover"), *joins]
+    # Panels that a region does not meet say nothing of it, so they are not grouped.
+    joined = near_on_page(marked, panels, columns, F.col("a._good") & (inside | (_coverage("a", "b") > 0)), keep_a=True)
     own = [*KEYS, position]
     summary = joined.groupBy(*own).agg(
+        *firsts,
         F.min(F.when(F.col("inside"), F.struct("panel_area", "panel_pos", "from_model"))).alias("first"),
-        F.array_sort(F.collect_list(F.when(F.col("cover") > 0, F.struct((-F.col("cover")).alias("c"), F.col("panel_pos").alias("p"))))).alias("over"),
+        F.sort_array(F.collect_list(F.when(F.col("cover") > 0, F.struct((-F.col("cover")).alias("c"), F.col("panel_pos").alias("p"))))).alias("over"),
     )
     contained, best, second = F.col("first").isNotNull(), -F.get("over", F.lit(0))["c"], F.coalesce(-F.get("over", F.lit(1))["c"], F.lit(0.0))
     sure = F.coalesce((best >= 0.8) & ((F.size("over") == 1) | (best - second >= 0.2)), F.lit(False))
     return summary.select(
         *own,
+        *(carry or []),
         F.when(contained | sure, "assigned").when(F.size("over") > 0, "ambiguous").otherwise("unassigned").alias("status"),
         F.when(contained, F.col("first.panel_pos")).when(sure, F.get("over", F.lit(0))["p"]).alias("panel_pos"),
         F.when(contained, F.when(F.col("first.from_model"), 0.95).otherwise(0.5)).when(sure, 0.65).alias("confidence"),
@@ -109,19 +118,20 @@ def assign_panels(regions: DataFrame, panels: DataFrame, position: str = "region
     )
 
 
-def assign_regions_to_balloons(regions: DataFrame, proposals: DataFrame, position: str = "region_pos") -> DataFrame:
-    """(keys, position, status, proposal_pos, best, runner_up, candidates, covers) of regions that a proposal covers by a quarter or more.
+def assign_regions_to_balloons(regions: DataFrame, proposals: DataFrame, position: str = "region_pos", carry: list[str] | None = None) -> DataFrame:
+    """(keys, position, columns to carry, status, proposal_pos, best, runner_up, candidates, covers) of regions that a proposal covers by a quarter or more.
 
     Assigned if the best covers half and leads the next compatible one by .15, else ambiguous. candidates and covers: all compatible
     proposals, the best first. Malformed regions are left out.
     """
     cover = _coverage("a", "b")
-    joined = near_on_page(regions.where(is_valid()), proposals, [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.proposal_pos"), cover.alias("cover")], cover >= 0.25)
-    grouped = joined.groupBy(*KEYS, position).agg(F.array_sort(F.collect_list(F.struct((-F.col("cover")).alias("c"), F.col("proposal_pos").alias("p")))).alias("over"))
+    joins, firsts = _carried(carry or [])
+    joined = near_on_page(regions.where(is_valid()), proposals, [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.proposal_pos"), cover.alias("cover"), *joins], cover >= 0.25)
+    grouped = joined.groupBy(*KEYS, position).agg(*firsts, F.sort_array(F.collect_list(F.struct((-F.col("cover")).alias("c"), F.col("proposal_pos").alias("p")))).alias("over"))
     best, second = -F.get("over", F.lit(0))["c"], F.coalesce(-F.get("over", F.lit(1))["c"], F.lit(0.0))
     sure = (best >= 0.5) & (best - second >= 0.15)
     return grouped.select(
-        *KEYS, position, F.when(sure, "assigned").otherwise("ambiguous").alias("status"), F.when(sure, F.get("over", F.lit(0))["p"]).alias("proposal_pos"), best.alias("best"), second.alias("runner_up"),
+        *KEYS, position, *(carry or []), F.when(sure, "assigned").otherwise("ambiguous").alias("status"), F.when(sure, F.get("over", F.lit(0))["p"]).alias("proposal_pos"), best.alias("best"), second.alias("runner_up"),
         F.transform("over", lambda x: x["p"]).alias("candidates"), F.transform("over", lambda x: -x["c"]).alias("covers"),
     )
 
@@ -132,12 +142,13 @@ def reject_cross_panel_groups(members: DataFrame, group: list[str]) -> DataFrame
     return members.join(panels, group).withColumn("status", F.when(F.col("_panels") > 1, "ambiguous").otherwise("assigned")).drop("_panels")
 
 
-def best_panel_for_balloon(balloons: DataFrame, panels: DataFrame, position: str = "pos") -> DataFrame:
-    """(keys, position, panel_pos): the panel that covers most of the balloon, null below a tenth; the first of equals."""
+def best_panel_for_balloon(balloons: DataFrame, panels: DataFrame, position: str = "pos", carry: list[str] | None = None) -> DataFrame:
+    """(keys, position, columns to carry, panel_pos): the panel that covers most of the balloon, null below a tenth; the first of equals."""
     ratio = _coverage("a", "b")
-    joined = near_on_page(balloons, panels, [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), _if_found("panel_pos", ratio).alias("ratio")], keep_a=True)
-    best = joined.groupBy(*KEYS, position).agg(F.max(F.struct("ratio", (-F.col("panel_pos")).alias("p"))).alias("best"))
-    return best.select(*KEYS, position, F.when(F.col("best.ratio") >= 0.1, -F.col("best.p")).alias("panel_pos"))
+    joins, firsts = _carried(carry or [])
+    joined = near_on_page(balloons, panels, [*[F.col(f"a.{k}") for k in KEYS], F.col(f"a.{position}"), F.col("b.panel_pos"), _if_found("panel_pos", ratio).alias("ratio"), *joins], ratio >= 0.1, keep_a=True)
+    best = joined.groupBy(*KEYS, position).agg(*firsts, F.max(F.struct("ratio", (-F.col("panel_pos")).alias("p"))).alias("best"))
+    return best.select(*KEYS, position, *(carry or []), F.when(F.col("best.ratio") >= 0.1, -F.col("best.p")).alias("panel_pos"))
 
 
 def attach_faces(bodies: DataFrame, faces: DataFrame) -> DataFrame:

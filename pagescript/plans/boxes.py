@@ -564,15 +564,21 @@ def d2_conflicting_candidates(spark, sf_dir):
 def _visual(spark, sf_dir):
     """Every ambiguous region is proposed with the next one, for the first balloon of the page or for none; balloons are the groups."""
     regions, panels, balloons = load(spark, sf_dir, "fx_regions", "fx_panels", "fx_balloons", by=K)
-    assigned = spatial.assign_regions_to_balloons(regions, balloons)
-    known = assigned.select(*K, "region_pos", "status", F.transform("candidates", lambda c: F.concat(F.lit("b"), c.cast("string"))).alias("targets"))
-    placed = spatial.assign_panels(regions, panels).select(*K, "region_pos", "panel_pos")
-    rows = regions.select(*K, "region_pos", "x1", "y1", "x2", "y2", "k").join(known, [*K, "region_pos"]).join(placed, [*K, "region_pos"])
-    owned = assigned.where("status = 'assigned'").groupBy(*K, "proposal_pos").agg(F.array_sort(F.collect_list("region_pos")).alias("members"))
-    homes = spatial.best_panel_for_balloon(balloons.withColumn("pos", F.col("proposal_pos")), panels).withColumnRenamed("pos", "proposal_pos")
-    groups = balloons.join(owned, [*K, "proposal_pos"], "left").join(homes, [*K, "proposal_pos"], "left").select(*K, F.col("proposal_pos").alias("group_pos"), F.concat(F.lit("b"), F.col("proposal_pos").cast("string")).alias("balloon_id"), "panel_pos", "x1", "y1", "x2", "y2", F.lit(0.9).alias("confidence"), F.lit("layout_model").alias("method"), F.coalesce("members", F.array().cast("array<int>")).alias("members"))
-    asked = rows.where("status = 'ambiguous'").select(*K, F.col("region_pos").alias("proposal_pos"), F.lit(0.7).alias("confidence"), F.when(F.col("k") % 3 > 0, F.get("targets", F.lit(0))).alias("target"), F.when(F.col("k") % 3 == 1, F.array("region_pos")).otherwise(F.array("region_pos", (F.col("region_pos") + 1).cast("int"))).alias("members"))
-    return layout.apply_visual_groupings(asked, rows, groups)
+    box = ["x1", "y1", "x2", "y2"]
+    found = spatial.assign_regions_to_balloons(regions, balloons, carry=[*box, "k"])
+    (assigned,) = hold(found.select(*K, "region_pos", *box, "k", "status", "proposal_pos", F.col("candidates").alias("owners")), too=True)
+    # Only ambiguous regions are proposed, and no other may be in a proposal, so only these are asked for their panel.
+    placed = spatial.assign_panels(assigned.where("status = 'ambiguous'"), panels, carry=[*box, "k", "owners"])
+    targets = F.transform("owners", lambda c: F.concat(F.lit("b"), c.cast("string"))).alias("targets")
+    (rows,) = hold(placed.select(*K, "region_pos", *box, "k", F.lit("ambiguous").alias("status"), "panel_pos", targets), too=True)
+    # Balloons and the regions that they own meet in one group, not in a join, which would deal both out again.
+    homes = spatial.best_panel_for_balloon(balloons, panels, "proposal_pos", carry=box).withColumn("here", F.lit(1))
+    owned = assigned.where("status = 'assigned'").select(*K, "proposal_pos", "region_pos")
+    firsts = [F.max(c).alias(c) for c in [*box, "panel_pos", "here"]]
+    met = homes.unionByName(owned, allowMissingColumns=True).groupBy(*K, "proposal_pos").agg(*firsts, F.sort_array(F.collect_list("region_pos")).alias("members")).where("here = 1")
+    groups = met.select(*K, F.col("proposal_pos").alias("group_pos"), F.concat(F.lit("b"), F.col("proposal_pos").cast("string")).alias("balloon_id"), "panel_pos", *box, F.lit(0.9).alias("confidence"), F.lit("layout_model").alias("method"), "members")
+    asked = rows.select(*K, F.col("region_pos").alias("proposal_pos"), F.lit(0.7).alias("confidence"), F.when(F.col("k") % 3 > 0, F.get("targets", F.lit(0))).alias("target"), F.when(F.col("k") % 3 == 1, F.array("region_pos")).otherwise(F.array("region_pos", (F.col("region_pos") + 1).cast("int"))).alias("members"))
+    return layout.apply_visual_groupings(asked, rows, *hold(groups, too=True))
 
 
 @query()

@@ -64,6 +64,56 @@ def test_panels_that_a_target_got_before_count(spark):
     assert decided == {(0, 0): True, (0, 1): False, (0, 2): True} and found[0, 3].members == [9, 0, 2]
 
 
+def test_only_proposals_that_others_may_turn_down_are_walked_through(spark, monkeypatch):
+    regions = [region(0, targets=["b7"]), region(1, "assigned", targets=["b7"]), region(2, targets=["b8"]), region(3, targets=["b8"]), region(4)]
+    asked = [(1, 0, 0, 0.9, "b7", [0]), (1, 0, 1, 0.9, "b7", [1]), (1, 0, 2, 0.9, "b8", [2]), (1, 0, 3, float("nan"), "b7", [0]), (1, 0, 4, 0.9, "b7", [None]), (1, 0, 5, 0.9, None, [4, 0]), (1, 0, 6, 0.9, None, [4, 99])]
+    walked, plain = [], layout._walked
+    monkeypatch.setattr(layout, "_walked", lambda fit: walked.extend(r.proposal_pos for r in fit.collect()) or plain(fit))
+    decided, found = grouped(spark, regions, [B7, B8], asked)
+    assert sorted(walked) == [0, 5] and {p for (_, p), yes in decided.items() if yes} == {0} and found[0, 3].members == [9, 0]
+
+
+def test_random_pages_equal_a_plain_walk(spark):
+    rng, regions, groups, asked, expected, left = random.Random(9), [], [], [], {}, {}
+    for page in range(60):
+        spots = {m: (rng.choice(["ambiguous"] * 4 + ["assigned"]), rng.choice([None, 0, 0, 1]), rng.sample(["b0", "b1", "b2"], 2)) for m in range(6)}
+        held = {g: [f"b{g % 3}", rng.choice([None, None, 0]), [90 + g], 0.9] for g in range(rng.choice([3, 4]))}  # the fourth has the first one's name
+        regions += [region(m, status, panel, targets, page) for m, (status, panel, targets) in spots.items()]
+        groups += [(1, page, g, name, panel, 1000.0, 0.0, 1001.0, 1.0, c, "layout_model", members) for g, (name, panel, members, c) in held.items()]
+        taken: set = set()
+        for p in range(8):
+            target, members = rng.choice([None, "b0", "b1", "b2", "b9"]), [rng.randrange(7) for _ in range(rng.choice([1, 2, 2, 3]))]
+            confidence = rng.choice([0.7, 0.8, 0.6])
+            asked.append((1, page, p, confidence, target, members))
+            once = list(dict.fromkeys(members))
+            fits = confidence >= 0.65 and all(m in spots and spots[m][0] == "ambiguous" for m in once) and not taken & set(once)
+            panels = {spots[m][1] for m in once} - {None} if fits else set()
+            if fits and target:
+                group = next((g for g in held.values() if g[0] == target), None)
+                fits = group is not None and all(target in spots[m][2] for m in once) and (group[1] is None or not panels or panels == {group[1]})
+                if fits:
+                    group[1] = next(iter(panels)) if group[1] is None and len(panels) == 1 else group[1]
+                    group[2], group[3] = list(dict.fromkeys(group[2] + once)), confidence
+            elif fits:
+                fits = len(once) > 1 and len(panels) == 1
+                if fits:
+                    held[max(held) + 1] = [None, next(iter(panels)), once, confidence]
+            taken |= set(once) if fits else set()
+            expected[page, p] = fits
+        left |= {(page, g): tuple(v) for g, v in held.items()}
+    decided, found = grouped(spark, regions, groups, asked)
+    assert decided == expected and sum(expected.values()) > 40
+    assert {k: (r.balloon_id, r.panel_pos, r.members, r.confidence) for k, r in found.items()} == left
+
+
+def test_carried_columns_are_those_of_the_boxes(spark, crowded):
+    panels = crowded.where("y2 > y1 AND x2 > x1").withColumnRenamed("pos", "panel_pos").where("panel_pos % 2 = 0")
+    boxes = crowded.where("page_index = 1").withColumn("region_pos", F.col("pos"))
+    for found in (spatial.assign_panels(boxes, panels, carry=["x1", "y2"]), spatial.best_panel_for_balloon(boxes, panels, carry=["x1", "y2"])):
+        position = "pos" if "pos" in found.columns else "region_pos"
+        assert sorted(map(str, found.select(position, "x1", "y2").collect())) == sorted(map(str, boxes.select(position, "x1", "y2").collect()))
+
+
 def test_ordinals_count_named_groups_too(spark):
     at = lambda pos, y, name, members: (1, 2, pos, name, 0, 0.0, y, 9.0, y + 5, 0.5, "geometry", members)
     rows = [at(0, 30.0, None, [4]), at(1, 10.0, "mine", [1]), at(2, 20.0, None, []), at(3, 30.0, None, [3]), at(4, 5.0, None, [7])]
