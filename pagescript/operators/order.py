@@ -92,8 +92,10 @@ def balloon_order(balloons: DataFrame, edges: DataFrame, group: list[str] = GROU
     In a tournament the next balloon without open predecessors is the one whose number of predecessors equals its rank, and nobody
     shares that number. Where this ends (a cycle), the rest follows by position.
     """
-    before = edges.groupBy(*group, F.col("second").alias(position)).agg(F.count("*").alias("_d"))
-    ranked = balloons.select(*group, position).join(before, [*group, position], "left").fillna(0, ["_d"])
+    # Balloons and their predecessors meet in one exchange by group, which the windows then use too. A balloon that is there several times stays so.
+    both = balloons.select(*group, position, F.lit(0).alias("_one"), F.lit(1).alias("_here")).unionByName(edges.select(*group, F.col("second").alias(position), F.lit(1).alias("_one"), F.lit(0).alias("_here")))
+    counted = both.repartition(*group).groupBy(*group, position).agg(F.sum("_one").alias("_sum"), F.sum("_here").cast("int").alias("_here")).where("_here > 0")
+    ranked = counted.select(*group, position, F.explode(F.array_repeat("_sum", F.col("_here"))).alias("_d"))
     by_d = Window.partitionBy(*group).orderBy("_d", position)
     shared = F.count("*").over(Window.partitionBy(*group, "_d"))
     fits = ranked.withColumn("_ok", (F.row_number().over(by_d) - 1 == F.col("_d")) & (shared == 1))

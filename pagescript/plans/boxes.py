@@ -468,7 +468,7 @@ _O6 = f"""WITH w AS (SELECT r.*, r.region_pos AS pos, b.panel_pos AS own, coales
 def o6_page_order(spark, sf_dir):
     regions, panels = load(spark, sf_dir, "fx_regions", "fx_panels", by=K)
     balloons = regions.withColumnRenamed("region_pos", "pos")
-    placed = balloons.join(spatial.best_panel_for_balloon(balloons, panels), [*K, "pos"])
+    placed = spatial.best_panel_for_balloon(balloons, panels, carry=["x1", "y1", "x2", "y2"])
     return order.page_order(hold(placed, too=True)[0], panels)
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from pagescript import fixtures, plans
-from pagescript.operators import layout, spatial, suppress
+from pagescript.operators import layout, order, spatial, suppress
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,11 @@ def test_ids_are_dealt_out_once(spark):
     assert {r.text for r in several.collect()} == {"x", "y"}
     plan = several._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_balloons_are_dealt_out_by_group_once_to_be_ordered(spark):
+    balloons = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 0, 2), (1, 0, 3), (2, 0, 1)], "sequence_id long, page_index int, pos int")
+    edges = spark.createDataFrame([(1, 0, 3, 1), (1, 0, 2, 1), (1, 0, 3, 2), (9, 0, 1, 2)], "sequence_id long, page_index int, first int, second int")
+    ranks = order.balloon_order(balloons, edges)
+    assert sorted(map(tuple, ranks.collect())) == [(1, 0, 1, 1), (1, 0, 2, 2), (1, 0, 2, 3), (1, 0, 3, 0), (2, 0, 1, 0)]
+    assert ranks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
