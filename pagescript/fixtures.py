@@ -157,8 +157,11 @@ select doc_id * 1000000 + line as region_id, text, n_chars from (select doc_id,
 _PAGE = ["sequence_id", "page_index"]
 
 
-def load(spark: SparkSession, sf_dir: str, *names: str, by: list[str] | None = None, held: bool = True) -> tuple[DataFrame, ...]:
-    """The views by name. With by, fx_regions is dealt out by these keys and, for queries that ask for it or for what is made of it several times, held."""
+def load(spark: SparkSession, sf_dir: str, *names: str, by: list[str] | None = None, held: bool = True, by_document: bool = False) -> tuple[DataFrame, ...]:
+    """The views by name. With by, fx_regions is dealt out by these keys and, for queries that ask for it or for what is made of it several times, held.
+
+    With by_document, fx_lines and fx_candidates have their doc_id, too: by it they are dealt out as they come, so what is grouped or joined by it and more needs no exchange.
+    """
     wanted = needed([*names, "fx_regions"] if by or "fx_pages" in needed(list(names)) else list(names))
     for table in TABLES:
         if any(f" {table}" in VIEWS[name].replace("\n", " ") for name in wanted):
@@ -172,7 +175,8 @@ def load(spark: SparkSession, sf_dir: str, *names: str, by: list[str] | None = N
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.sql(f"select *, {_COLUMNS[:-1]} from lineitem").repartition(parts, *(by or _PAGE)).createOrReplaceTempView("_paged")
     for name in wanted:
-        view = spark.sql(ON_SPARK.get(name, VIEWS[name]))
+        sql = ON_SPARK.get(name, VIEWS[name])
+        view = spark.sql(sql.replace("select ", "select doc_id, ", 1) if by_document and name in ("fx_lines", "fx_candidates") else sql)
         if by and held and name == "fx_regions":
             hold(view)
         view.createOrReplaceTempView(name)

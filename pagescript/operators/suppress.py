@@ -76,15 +76,15 @@ def first_by_key(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(position))).where("_n = 1").drop("_n")
 
 
-def dedupe_candidates(candidates: DataFrame, keys: list[str], position: str) -> tuple[DataFrame, DataFrame]:
+def dedupe_candidates(candidates: DataFrame, keys: list[str], position: str, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """(candidates without repeats that agree in everything but position, those of an id that still has several).
 
-    keys: region and candidate id. The first of equal candidates stays.
+    keys: region and candidate id. The first of equal candidates stays. With dealt, candidates are dealt out by some of the keys already and stay where they are.
     """
     content = [c for c in candidates.columns if c != position]
     # Dealt out by id, once; repeats go where they are read. A null position is before all others.
     first = F.when(F.count_if(F.col(position).isNull()) == 0, F.min(position)).alias(position)
-    once = candidates.repartition(*keys).groupBy(*content).agg(first).select(*candidates.columns)
+    once = (candidates if dealt else candidates.repartition(*keys)).groupBy(*content).agg(first).select(*candidates.columns)
     counted = once.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     return once, counted.where("_n > 1").drop("_n")
 

@@ -553,12 +553,13 @@ def j12_join_oracle(spark, sf_dir):
 
 @query("SELECT DISTINCT region_id, source AS candidate_id FROM fx_candidates WHERE region_id % 5 = 0", "fx_candidates")
 def d2_conflicting_candidates(spark, sf_dir):
-    (rows,) = load(spark, sf_dir, "fx_candidates")
-    first = rows.select("region_id", F.col("source").alias("candidate_id"), "text", F.lit(0).alias("position"))
-    again = first.withColumn("position", F.lit(1))
-    other = first.where("region_id % 5 = 0").withColumns({"text": F.concat("text", F.lit("!")), "position": F.lit(2)})
-    conflicts = suppress.dedupe_candidates(first.unionByName(again).unionByName(other), ["region_id", "candidate_id"], "position")[1]
-    return conflicts.select("region_id", "candidate_id").distinct()
+    (rows,) = load(spark, sf_dir, "fx_candidates", by_document=True)
+    version = lambda text, position: F.struct(text.alias("text"), F.lit(position).alias("position"))
+    twice, other = [version(F.col("text"), 0), version(F.col("text"), 1)], version(F.concat(F.coalesce("text", F.lit("")), F.lit("!")), 2)
+    versions = F.when(F.col("region_id") % 5 == 0, F.array(*twice, other)).otherwise(F.array(*twice))
+    keys = ["doc_id", "region_id", "candidate_id"]
+    conflicts = suppress.dedupe_candidates(rows.select("doc_id", "region_id", F.col("source").alias("candidate_id"), F.inline(versions)), keys, "position", dealt=True)[1]
+    return conflicts.select(*keys).distinct().drop("doc_id")
 
 
 def _visual(spark, sf_dir):

@@ -55,6 +55,26 @@ def test_ids_are_dealt_out_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_candidates_stay_where_their_documents_are(spark, tmp_path):
+    """Texts are moved once, as documents; also rows of documents that are empty, null, blank, long or there twice."""
+    import duckdb
+
+    docs = [(0, "a" * 700, 700), (1, "", 0), (2, None, None), (3, " ", 1), (4, "two words " * 9, 90), (4, "two words " * 9, 90)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = plans.queries()["d2_conflicting_candidates"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "doc_id" in dealt[0] and "REPARTITION_BY_NUM" in dealt[0]
+    names = ["region_id", "candidate_id"]
+    expected = con.execute(plans.oracle_sql()["d2_conflicting_candidates"]).fetchall()
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(expected) and (2_000_000, "nemotron") in expected
+    lines, rows = fixtures.load(spark, SF, "fx_lines", "fx_candidates", by_document=True)
+    assert rows.where("doc_id <> floor(region_id / 1000000)").count() == lines.where("doc_id <> floor(region_id / 1000000)").count() == 0
+    assert rows.drop("doc_id").exceptAll(fixtures.load(spark, SF, "fx_candidates")[0]).count() == 0
+
+
 def test_balloons_are_dealt_out_by_group_once_to_be_ordered(spark):
     balloons = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 0, 2), (1, 0, 3), (2, 0, 1)], "sequence_id long, page_index int, pos int")
     edges = spark.createDataFrame([(1, 0, 3, 1), (1, 0, 2, 1), (1, 0, 3, 2), (9, 0, 1, 2)], "sequence_id long, page_index int, first int, second int")
