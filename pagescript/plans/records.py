@@ -32,8 +32,8 @@ def r6(*names: str) -> list:
 _SOURCE = "CASE source WHEN 'ocr_base' THEN 1 WHEN 'nemotron' THEN 2 ELSE 3 END"
 
 
-def _candidates(spark, sf_dir):
-    (rows,) = load(spark, sf_dir, "fx_candidates")
+def _candidates(spark, sf_dir, **how):
+    (rows,) = load(spark, sf_dir, "fx_candidates", **how)
     return rows.withColumn("position", F.when(F.col("source") == "ocr_base", 1).when(F.col("source") == "nemotron", 2).otherwise(3))
 
 
@@ -130,8 +130,8 @@ def c2_evidence_fields(spark, sf_dir):
 
 @query()
 def c5_candidate_similarity(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).withColumn("candidate_id", F.concat_ws("-", "region_id", "source"))
-    return evidence.candidate_similarity(rows, "region_id").withColumn("ratio", F.round("ratio", 6))
+    rows = _candidates(spark, sf_dir, by_document=True).withColumn("candidate_id", F.concat_ws("-", "region_id", "source"))
+    return evidence.candidate_similarity(rows, "region_id", "doc_id").withColumn("ratio", F.round("ratio", 6))
 
 
 @query(

@@ -189,6 +189,19 @@ def test_similarity_moves_each_text_once(spark):
     assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
 
 
+def test_candidates_that_are_dealt_out_are_compared_in_place(spark):
+    from pagescript.plans.records import QUERIES
+
+    rows = [(1, 7, "x", "one"), (1, 7, "y", None), (1, 7, "y", "one two"), (1, 7, None, "one"), (1, 8, "x", "one"), (2, None, "x", "a"), (2, None, "y", "b"), (3, 9, "x", "ab"), (3, 9, "z", "ba")]
+    table = spark.createDataFrame(rows, "doc_id long, g long, candidate_id string, text string")
+    found = evidence.candidate_similarity(table.repartition(4, "doc_id"), "g", "doc_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, evidence.candidate_similarity(table, "g").collect()))
+    assert found.where("g = 7").count() == 4 and found.columns == ["g", "a_id", "b_id", "ratio"]
+    plan = QUERIES["c5_candidate_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "doc_id" in dealt[0] and plan.count("ArrowEvalPython") == 1
+
+
 def test_short_texts_are_compared_in_bulk():
     """One at a time, 12,000 pairs in both orders take some 10 s."""
     from difflib import SequenceMatcher
